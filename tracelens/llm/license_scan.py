@@ -1,8 +1,10 @@
 """License scans: fuzzy search for short notices.
 
 Each notice of length L may be matched with up to k = L // 8 character edits. Cut into k + 1 pieces, any such
-match holds one piece unchanged (pigeonhole); an automaton over all pieces finds the candidate places in one pass,
-and the ``regex`` library's bounded-error matching verifies them and gives edits and spans.
+match holds one piece unchanged (pigeonhole); an automaton over all pieces finds the candidate places in one pass.
+The pieces are the leaves of a binary tree whose node over m pieces may have m - 1 edits: a match of a node within its
+bound has a child within its own (pigeonhole again), so a candidate is verified upwards by the ``regex`` library's
+bounded-error matching and given up at the first node that fails. The root gives edits and spans.
 """
 
 from __future__ import annotations
@@ -51,14 +53,26 @@ class NoticeScanner:
         import regex
 
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = []
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        self.notices, self.roots = [], []
+        self.paths: list[list[tuple]] = []  # of each piece, by number: (offset, length, bound, pattern) from its parent to the root
+        pieces: dict[str, list[tuple[int, int, int]]] = {}
         for n, (notice, label) in enumerate(notices.items()):
             k = len(notice) // edits_per
-            self.notices.append((notice, label, k, regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={k}}}")))
             cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:]):
-                pieces.setdefault(notice[a:b], []).append((n, a))
+            self.notices.append((len(notice), label, k))
+
+            def climb(lo: int, hi: int, above: list, n=n, notice=notice, cuts=cuts):
+                part = notice[cuts[lo] : cuts[hi]]
+                if hi - lo == 1:
+                    pieces.setdefault(part, []).append((n, cuts[lo], len(self.paths)))
+                    self.paths.append(above or [(0, len(part), 0, regex.compile(regex.escape(part)))])
+                    return
+                here = (cuts[lo], len(part), hi - lo - 1, regex.compile(f"(?e)(?:{regex.escape(part)}){{e<={hi - lo - 1}}}"))
+                for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)):
+                    climb(a, b, [here, *above])
+
+            climb(0, k + 1, [])
+            self.roots.append(self.paths[-1][-1][3])
         self.seeds = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.seeds.add_word(piece, (len(piece), uses))
@@ -77,23 +91,34 @@ class NoticeScanner:
         return sorted(out)
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, label, edits, similarity) of non-overlapping matches of each notice."""
+        """(start, end, label, edits, similarity) of matches; of those that overlap the most similar, then the longest."""
         zones: set[tuple[int, int, int]] = set()
         for end, (length, uses) in self.seeds.iter(joined):
-            for n, offset in uses:
-                notice, _, k, _ = self.notices[n]
-                start = end - length + 1 - offset
-                zones.add((n, max(0, start - k), start + len(notice) + k))
+            for n, offset, piece in uses:
+                start = end - length + 1 - offset  # of the notice, but for the edits before the piece
+                m = None
+                for at, size, bound, pattern in self.paths[piece]:
+                    m = pattern.search(joined, max(0, start + at - bound), start + at + size + bound)
+                    if not m:
+                        break
+                if m:
+                    zones.add((n, max(0, start - self.notices[n][2]), start))
         out, done = [], (-1, 0)
-        for n, a, b in sorted(zones):
-            notice, label, k, pattern = self.notices[n]
+        for n, a, start in sorted(zones):
+            size, label, k = self.notices[n]
             a = max(a, done[1]) if done[0] == n else a
-            if b - a >= len(notice) - k and (m := pattern.search(joined, a, b)):
+            if (b := start + size + k) - a >= size - k and (m := self.roots[n].search(joined, a, b)):
                 done = (n, m.end())
                 edits = sum(m.fuzzy_counts)
-                out.append((m.start(), m.end(), label, edits, 1 - edits / len(notice)))
-        return sorted(out)
-
+                out.append((m.start(), m.end(), label, edits, 1 - edits / size))
+        kept: list[tuple] = []
+        for m in sorted(out):  # notices that differ in little overlap; the closer one stays
+            if kept and m[0] < kept[-1][1]:
+                if (m[4], m[1] - m[0]) > (kept[-1][4], kept[-1][1] - kept[-1][0]):
+                    kept[-1] = m
+            else:
+                kept.append(m)
+        return kept
 
 def scan_licenses(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, edits_per: int = 8
