@@ -225,8 +225,8 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    spread = archives.select("path").repartition(F.col("path"))
-    return spread.mapInArrow(run, RECORD)
+    paths = archives.select("path")  # a task for each: adaptive execution would gather such small rows in one
+    return paths.repartition(max(1, paths.count())).mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
