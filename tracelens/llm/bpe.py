@@ -2,7 +2,9 @@
 
 A short word's parts stand in one contiguous array, part i between boundaries i and i + 1, beside the ranks of adjacent
 pairs. The ranks are scanned for the lowest, the boundary inside that pair is deleted, and the neighbouring ranks are
-refreshed, until no pair merges. Longer words use a heap over linked parts, whose result is the same.
+refreshed, until no pair merges. New words of equal length are rows of one matrix and take each of these steps together:
+a row loses one boundary in each step, so the rows that still merge always have equal lengths. Longer words use a heap over
+linked parts, whose result is the same.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_map
+
 #: How the pre-tokenizer splits text (fixed values of the byte-level vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-NO_RANK = 1 << 60
+NO_RANK = (1 << 31) - 1  #: of a pair that doesn't merge
 
 
 def default_path() -> str:
@@ -33,10 +37,48 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PairTable:
+    """Ranks of pairs of ids in an open-addressed table, looked up for whole arrays of pairs."""
+
+    BITS = 18
+
+    def __init__(self, ranks: dict[tuple[int, int], int]):
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.values = np.full(1 << self.BITS, NO_RANK, np.int32)
+        for (a, b), rank in ranks.items():
+            key = a << 32 | b
+            slot = int(self._slots(np.array([key]))[0])
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (1 << self.BITS) - 1
+            self.keys[slot], self.values[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        slots = self._slots(keys)
+        out = np.where(self.keys[slots] == keys, self.values[slots], NO_RANK)
+        open_ = np.nonzero((self.keys[slots] != keys) & (self.keys[slots] >= 0))
+        slots = slots[open_]
+        while len(slots):
+            slots = (slots + 1) & (1 << self.BITS) - 1
+            own, want = self.keys[slots], keys[open_]
+            hit = own == want
+            out[tuple(x[hit] for x in open_)] = self.values[slots[hit]]
+            more = ~hit & (own >= 0)
+            open_, slots = tuple(x[more] for x in open_), slots[more]
+        return out
+
+
 class Bpe:
-    """Encoder and decoder of one vocabulary file. ``short``: greatest number of bytes of a word for the scan."""
+    """Encoder and decoder of one vocabulary file.
 
-    def __init__(self, path: str, short: int = 96, cached: int = 1 << 18):
+    ``short``: greatest number of bytes of a word in the matrices. ``cached``: pieces of text kept with their ids.
+    """
+
+    def __init__(self, path: str, short: int = 48, cached: int = 1 << 18):
         import re
 
         import regex
@@ -46,16 +88,16 @@ class Bpe:
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        self.bytes = [ids[bytes([b])] for b in range(256)]
-        self.ranks, self.made = {}, []  # rank of a pair of ids, id that the merge of a rank makes
+        self.bytes = np.array([ids[bytes([b])] for b in range(256)], np.int32)
+        self.ranks, made = {}, []  # rank of a pair of ids, id that the merge of a rank makes
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(raw, pair if isinstance(pair, list) else pair.split(" "))
             self.ranks[ids[left], ids[right]] = rank
-            self.made.append(ids[left + right])
+            made.append(ids[left + right])
+        self.made, self.pairs = np.array(made, np.int32), PairTable(self.ranks)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.tokens = [b""] * size
+        self.tokens = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for t, i in ids.items():
             self.tokens[i] = t
         for t, i in self.special.items():
@@ -64,28 +106,42 @@ class Bpe:
         self.split = regex.compile(PATTERN).findall
         self.chunks = regex.compile(r"\s*\S+|\s+").findall
         self.joins = re.compile(r"\s ").search
-        self.words: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    # --- one word ---------------------------------------------------------------------------------
-
-    def merge_short(self, word: bytes) -> list[int]:
-        rank, made = self.ranks.get, self.made
-        parts = [self.bytes[b] for b in word]
-        ranks = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:])]
-        while ranks and (low := min(ranks)) != NO_RANK:
-            i = ranks.index(low)
-            parts[i] = part = made[low]
-            del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((part, parts[i + 1]), NO_RANK)
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], part), NO_RANK)
-        return parts
+        self.later: dict[str, bytes] = {}  # ids of a piece behind a space
+        self.whole: dict[str, bytes] = {}  # ids of a piece as it is
+
+    # --- words ------------------------------------------------------------------------------------
+
+    def merge_short(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of words of one length."""
+        parts = self.bytes[np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)]
+        ranks = self.pairs.ranks(parts[:, :-1], parts[:, 1:])
+        out: list[bytes] = [b""] * len(words)
+        row = np.arange(len(words))
+        while len(row):
+            width = parts.shape[1]
+            at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(row), np.int64)
+            low = ranks[np.arange(len(row)), at] if width > 1 else np.full(len(row), NO_RANK)
+            ended = low == NO_RANK
+            if ended.any():
+                data = parts[ended].astype("<u4").tobytes()
+                for k, i in enumerate(row[ended].tolist()):
+                    out[i] = data[4 * width * k : 4 * width * (k + 1)]
+                going = ~ended
+                row, parts, ranks, at, low = row[going], parts[going], ranks[going], at[going], low[going]
+                if not len(row):
+                    break
+            every = np.arange(len(row))
+            parts[every, at] = self.made[low]
+            parts = parts[np.arange(width) != at[:, None] + 1].reshape(len(row), width - 1)
+            ranks = ranks[np.arange(width - 1) != at[:, None]].reshape(len(row), width - 2)
+            for i in (at, at - 1):
+                ok = np.flatnonzero((i >= 0) & (i < width - 2))
+                ranks[ok, i[ok]] = self.pairs.ranks(parts[ok, i[ok]], parts[ok, i[ok] + 1])
+        return out
 
     def merge_long(self, word: bytes) -> list[int]:
         rank, made, n = self.ranks.get, self.made, len(word)
-        part = [self.bytes[b] for b in word]
+        part = self.bytes[list(word)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := rank((part[i], part[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -94,7 +150,7 @@ class Bpe:
             j = after[i] if part[i] >= 0 else n
             if j >= n or rank((part[i], part[j])) != r:
                 continue
-            part[i], part[j] = made[r], -1
+            part[i], part[j] = int(made[r]), -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
@@ -104,49 +160,80 @@ class Bpe:
                 heapq.heappush(heap, (r, h))
         return [p for p in part if p >= 0]
 
-    def word(self, word: str) -> bytes:
-        """Ids of one pre-token, as little-endian unsigned 32-bit integers."""
-        if (out := self.words.get(word)) is None:
-            raw = word.encode()
-            out = np.array(self.merge_short(raw) if len(raw) <= self.short else self.merge_long(raw), "<u4").tobytes()
-            if len(raw) <= self.short:
-                if len(self.words) >= self.cached:
-                    self.words.clear()
-                self.words[word] = out
+    def learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Add the ids of ``lead`` + piece to ``known``, for pieces that it lacks."""
+        new = list(pieces.difference(known))
+        if len(known) + len(new) > self.cached:
+            known.clear()
+            new = list(pieces)
+        plain = [p for p in new if p.isalpha()]  # letters alone are one word
+        known.update(zip(plain, self.merge([(lead + p).encode() for p in plain])))
+        mixed = [p for p in new if not p.isalpha()]
+        words = [self.split(lead + p) for p in mixed]
+        once = list({w for own in words for w in own})
+        ids = dict(zip(once, self.merge([w.encode() for w in once])))
+        known.update((p, b"".join(map(ids.__getitem__, own))) for p, own in zip(mixed, words))
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of any length."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        out: list[bytes] = [b""] * len(words)
+        cuts = np.flatnonzero(np.r_[True, np.diff(sizes) > 0]) if len(words) else []
+        for a, b in zip(cuts, [*cuts[1:], len(words)]):
+            same = order[a:b].tolist()
+            if sizes[a] <= self.short:
+                for i, ids in zip(same, self.merge_short([words[i] for i in same])):
+                    out[i] = ids
+            else:
+                for i in same:
+                    out[i] = np.array(self.merge_long(words[i]), "<u4").tobytes()
         return out
 
     # --- texts ------------------------------------------------------------------------------------
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.word, self.split(chunk)))
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of text without special tokens. No pre-token holds a space after a character that is no white space, so
-        text can be cut there and the pieces looked up."""
-        if not text:
-            return b""
-        if self.joins(text):
-            return b"".join(map(self._chunk, self.chunks(text)))
-        head, *rest = text.split(" ")
-        out = [self._chunk(head)] if head else []
-        later = self.later
-        for w in rest:
-            ids = later.get(w)
-            if ids is None:
-                ids = self._chunk(" " + w)
-                if len(w) <= self.short:
-                    if len(later) >= self.cached:
-                        later.clear()
-                    later[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        if not self.specials or not self.specials.search(text):
-            return self._plain(text)
-        return b"".join(
-            int(self.special[x]).to_bytes(4, "little") if x in self.special else self._plain(x) for x in self.specials.split(text)
-        )
+    def _cut(self, text: str, special: bool) -> list:
+        """What a text is made of: ids of special tokens, and lists of pieces with the table of their ids.
+
+        No pre-token holds a space after a character that is no white space, so text can be cut there.
+        """
+        out: list = []
+        for part in self.specials.split(text) if special and self.specials and self.specials.search(text) else [text]:
+            if special and part in self.special:
+                out.append(int(self.special[part]).to_bytes(4, "little"))
+            elif part and self.joins(part):
+                out.append((self.whole, self.chunks(part)))
+            elif part:
+                head, *rest = part.split(" ")
+                out += [(self.whole, [head] if head else []), (self.later, rest)]
+        return out
+
+    def encode_batch(self, texts: list[str], special: bool = True, chars: int = 2_000_000) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers. ``special``: read special tokens' strings as those tokens.
+
+        Texts are worked off in groups of about ``chars`` characters, which bounds memory.
+        """
+        out: list[bytes] = []
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= chars or i == len(texts) - 1:
+                cut = [self._cut(x, special) for x in texts[at : i + 1]]
+                for known, lead in ((self.whole, ""), (self.later, " ")):
+                    pieces: set[str] = set()
+                    for parts in cut:
+                        for p in parts:
+                            if p[0] is known:
+                                pieces.update(p[1])
+                    self.learn(known, pieces, lead)
+                for parts in cut:
+                    out.append(b"".join(p if isinstance(p, bytes) else b"".join(map(p[0].__getitem__, p[1])) for p in parts))
+                at, size = i + 1, 0
+        return out
+
+    def encode(self, text: str, special: bool = True) -> bytes:
+        return self.encode_batch([text], special)[0]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; unknown ids give nothing, bytes that are no UTF-8 give U+FFFD."""
@@ -172,7 +259,7 @@ def encoded(text, path: str | None = None):
     @F.arrow_udf("binary")
     def encode(column: pa.Array) -> pa.Array:
         bpe = load(path)
-        return pa.array([bpe.encode(x or "") for x in column.to_pylist()], pa.binary())
+        return pa.array(bpe.encode_batch([x or "" for x in column.to_pylist()]), pa.binary())
 
     return encode(text)
 
@@ -205,14 +292,30 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts give no ids and ''. Special tokens' strings in a text are read as those tokens, as the library does.
     Repeated rows each give a row; only doc_id and text are read.
     """
-    ids = docs.select("doc_id", encoded("text", path).alias("ids"))
-    return ids.select("doc_id", "ids", decoded("ids", path).alias("decoded"))
+    path = path or default_path()
+
+    def make():
+        bpe = load(path)
+
+        def run(batch: pa.RecordBatch):
+            for at in range(0, batch.num_rows, 1000):  # one map for both ways: chained functions of columns would encode twice
+                part = batch.slice(at, 1000)
+                ids = bpe.encode_batch([x or "" for x in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(ids, pa.binary()), pa.array(list(map(bpe.decode, ids)), pa.string())], names=["doc_id", "ids", "decoded"]
+                )
+
+        return run
+
+    return text_map(docs, ["doc_id", "text"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string", make)
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, *more: str) -> DataFrame:
+    """The contract's columns from ``encode_documents``' result, and those named in ``more``."""
     return found.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -46,11 +46,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         kind = None
         for batch in batches:
             kind = batch["doc_id"].type
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            texts = coder.encode_batch([t or "" for t in batch["text"].to_pylist()], special=False)
+            for doc_id, coded in zip(batch["doc_id"].to_pylist(), texts):
                 if out is None:
                     name = f"tokens-{context.partitionId():05d}-{part:04d}-{context.taskAttemptId()}-{os.getpid()}.bin"
                     out, size, part = fs.open_output_stream(f"{base}/{name}", compression=None), 0, part + 1
-                data = np.frombuffer(coder._plain(text or ""), "<u4").astype("<u2").tobytes() + stop
+                data = np.frombuffer(coded, "<u4").astype("<u2").tobytes() + stop
                 out.write(data)
                 size += len(data)
                 ids.append(doc_id)
