@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +162,35 @@ def decontaminate(
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 32_000_000) -> DataFrame:
+    """The rows of ``docs`` without any hit, with their columns: each text is judged where it lies. Null texts stay."""
+    for block in _blocks(benchmark.select("item_id", "text"), block_chars):
+        docs = docs.filter(~_hit(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()]), window)("text"))
+    return docs
+
+
+def _hit(shared, window: int):
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf("boolean")
+    def hit(text: pa.Array) -> pa.Array:
+        searchers = _compiled(name, shared, window)
+        return pa.array([any(next(s.search(w), None) for s in searchers) for w in map(words_of, utf8(text))], pa.bool_())
+
+    return hit
+
+
+_compiled_for: dict[str, list[WuManber]] = {}
+
+
+def _compiled(name: str, shared, window: int) -> list[WuManber]:
+    """The searchers of a broadcast benchmark, compiled once in a worker process."""
+    if name not in _compiled_for:
+        _compiled_for.clear()
+        _compiled_for[name] = compile_items(shared.value, window)
+    return _compiled_for[name]
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from ``decontaminate``'s result."""
     ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
