@@ -223,6 +223,21 @@ def d19(spark, sf):
     return docs(spark, sf).select("doc_id", first_fitting(variants, T.estimate_tokens, F.lit(400)).alias("v")).select("doc_id", "v.*")
 
 
+@query("d18_diagnosis_context")
+def d18(spark, sf):
+    """Prompts of generated programs under a budget that some exceed; tests hold the steps against a plain statement."""
+    from ..operators import context
+
+    own = programs(spark, sf).select(
+        "doc_id", F.col("target_file").alias("path"), T.lines(F.concat("source_code", F.repeat(F.lit("# filler line of the file\n"), (F.col("doc_id") % 40).cast("int")))).alias("lines"),
+        F.col("category").alias("error"), F.array(T.evidence_id("runtime", F.col("category"))).alias("error_ids"), F.col("fault_line").alias("line"),
+        F.array(F.struct(F.col("fault_line").alias("line"), F.lit("main").alias("function"), F.col("faulty").alias("code"), F.lit(True).alias("is_target"))).alias("frames"),
+        F.array(F.struct(F.lit("E1").alias("code"), F.lit(1).cast("long").alias("line"), F.lit("first line").alias("message"))).alias("findings"),
+        F.expr("cast(array() as array<struct<name:string,start:bigint,end:bigint>>)").alias("functions"), F.expr("cast(array() as array<struct<name:string,start:bigint,end:bigint>>)").alias("classes"),
+    )
+    return context.diagnosis(own, F.lit(260)).select("doc_id", "context.tokens", "context.omitted", "context.start", "context.end", "context.manifest")
+
+
 @query("w08_tracebacks", """
 SELECT event_id, CASE event_type WHEN 'view' THEN 'KeyError' WHEN 'click' THEN 'pkg.CustomError' WHEN 'purchase' THEN 'ValueError' END AS type, CASE event_type WHEN 'view' THEN '''k''' WHEN 'click' THEN 'first second' WHEN 'purchase' THEN '' END AS message,
   CASE WHEN event_type IN ('view', 'click', 'purchase') THEN CASE WHEN event_type = 'click' THEN '/lib/other.py' ELSE 'main.py' END END AS file, CASE event_type WHEN 'view' THEN greatest(1, user_id) WHEN 'click' THEN 7 WHEN 'purchase' THEN NULL END AS line,

@@ -144,14 +144,14 @@ def f20(spark, sf):
 
 
 @query("f22_same_signature", """
-WITH e AS (SELECT event_id, user_id, event_type, value, lag(event_type) OVER w AS p, lag(user_id % 3) OVER w AS q FROM events WINDOW w AS (ORDER BY event_id))
+WITH e AS (SELECT event_id, user_id, event_type, value, lag(event_type) OVER w AS p, lag(user_id % 3) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT event_id, coalesce(event_type = p AND user_id % 3 = q, false) AS same FROM e""")
 def f22(spark, sf):
     from pyspark.sql import Window
 
-    w = Window.orderBy("event_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
     sig = F.struct(F.col("event_type").alias("type"), (F.col("user_id") % 3).cast("string").alias("message"), F.concat(F.lit("/a/"), F.lit("x.py")).alias("file"))
-    return table(spark, sf, "events").select("event_id", sig.alias("a")).withColumn("b", F.lag("a").over(w)).select("event_id", T.same_signature(F.col("a"), F.col("b")).alias("same"))
+    return table(spark, sf, "events").select("event_id", "user_id", sig.alias("a")).withColumn("b", F.lag("a").over(w)).select("event_id", T.same_signature(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("f23_line_references", """
