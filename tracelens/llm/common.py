@@ -77,9 +77,28 @@ def text_map(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; null gives b''."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` that the function from ``make`` keeps, all columns as they are.
+
+    Rows pass through Python in batches and are judged where they lie. (A filter on a Python column holds the rows in the
+    JVM meanwhile, which takes more memory.)
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield part.filter(pa.array(f(part), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def utf8(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 bytes of a string column, some rows at a time; null gives b''."""
+    for at in range(0, len(column), rows):
+        for x in column.slice(at, rows).cast(pa.binary()).to_pylist():
+            yield x or b""
 
 
 # --- connected components -------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_map, utf8
+from .common import keep_rows, text_map, utf8
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
 WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -165,19 +165,18 @@ def decontaminate(
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 32_000_000) -> DataFrame:
     """The rows of ``docs`` without any hit, with their columns: each text is judged where it lies. Null texts stay."""
     for block in _blocks(benchmark.select("item_id", "text"), block_chars):
-        docs = docs.filter(~_hit(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()]), window)("text"))
+        docs = keep_rows(docs, _judge(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()]), window))
     return docs
 
 
-def _hit(shared, window: int):
+def _judge(shared, window: int):
     name = uuid.uuid4().hex
 
-    @F.arrow_udf("boolean")
-    def hit(text: pa.Array) -> pa.Array:
+    def make():
         searchers = _compiled(name, shared, window)
-        return pa.array([any(next(s.search(w), None) for s in searchers) for w in map(words_of, utf8(text))], pa.bool_())
+        return lambda batch: [not any(next(s.search(w), None) for s in searchers) for w in map(words_of, utf8(batch["text"]))]
 
-    return hit
+    return make
 
 
 _compiled_for: dict[str, list[WuManber]] = {}

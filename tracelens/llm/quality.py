@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import keep_rows, materialize, utf8
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -134,29 +134,31 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level:
     return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
-def judge(measured: DataFrame, cutoffs: DataFrame, rules: dict = RULES, broadcast_rows: int = 10_000) -> DataFrame:
-    """Adds base_failed, failed_rules and kept to rows with stratum and q. The cutoffs, a row for each stratum, are broadcast up to ``broadcast_rows`` rows."""
-    if cutoffs.limit(broadcast_rows + 1).count() <= broadcast_rows:
+#: Greatest number of strata whose cutoffs are broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def with_cutoffs(rows: DataFrame, stratum: str, cutoffs: DataFrame) -> DataFrame:
+    """Adds __cutoffs of each row's stratum. The cutoffs, a row for each stratum, are broadcast up to BROADCAST_ROWS rows."""
+    if cutoffs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         cutoffs = F.broadcast(cutoffs)
-    joined = measured.join(cutoffs.withColumnRenamed("stratum", "__of").withColumnRenamed("cutoffs", "__cutoffs"), F.col("stratum") == F.col("__of"), "left")
-    failed = F.array_compact(F.array(*[
-        F.when(F.expr(value_of(value)) > F.coalesce(F.col("__cutoffs")[name], F.lit(math.inf)), F.lit(name)) for name, (value, _) in rules.items()
-    ]))
-    base = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
-    return (
-        joined.withColumns({"base_failed": base, "failed_rules": failed})
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-        .drop("__of", "__cutoffs")
-    )
+    return rows.join(cutoffs.select(F.col("stratum").alias("__of"), F.col("cutoffs").alias("__cutoffs")), F.col(stratum) == F.col("__of"), "left").drop("__of")
+
+
+def verdict(q: str, rules: dict = RULES) -> tuple[Column, Column]:
+    """(whether the base rules reject, names of the rules that do) from features ``q`` and __cutoffs."""
+    failed = [F.when(F.expr(value_of(value, q)) > F.coalesce(F.col("__cutoffs")[name], F.lit(math.inf)), F.lit(name)) for name, (value, _) in rules.items()]
+    base = (F.col(f"{q}.n_words") < 50) | (100 * F.col(f"{q}.n_repeat_words") > 50 * F.col(f"{q}.n_words"))
+    return base, F.array_compact(F.array(*failed))
 
 
-def value_of(value: str) -> str:
-    """A rule's SQL over the fields of q."""
+def value_of(value: str, q: str) -> str:
+    """A rule's SQL over the fields of ``q``."""
     names = sorted((x.split(":")[0] for x in FEATURES[7:-1].split(",")), key=len, reverse=True)
     for i, n in enumerate(names):
         value = value.replace(n, f"@{i}@")
     for i, n in enumerate(names):
-        value = value.replace(f"@{i}@", f"q.{n}")
+        value = value.replace(f"@{i}@", f"{q}.{n}")
     return f"double({value})"
 
 
@@ -168,7 +170,10 @@ def assess(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **o
     cutoff is set, and only the base rules reject. Repeated rows each give a row. Only doc_id, text and the stratum are read.
     """
     measured = materialize(docs.select("doc_id", stratum_of(stratum).alias("stratum"), features("text").alias("q")), "quality")
-    return judge(measured, materialize(calibrate(measured, labels, **options), "cutoffs"))
+    base, failed = verdict("q")
+    judged = with_cutoffs(measured, "stratum", materialize(calibrate(measured, labels, **options), "cutoffs"))
+    judged = judged.select("doc_id", "stratum", "q", base.alias("base_failed"), failed.alias("failed_rules"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **options) -> DataFrame:
@@ -176,9 +181,28 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **opt
     columns; the second pass judges each row where it lies, so texts are never shuffled."""
     measured = materialize(docs.select("doc_id", stratum_of(stratum).alias("stratum"), features("text").alias("q")), "quality")
     cutoffs = materialize(calibrate(measured, labels, **options), "cutoffs")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = docs.select(row, stratum_of(stratum).alias("stratum"), features("text").alias("q"))
-    return judge(whole, cutoffs).filter("kept").select("row.*")
+    if cutoffs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        base, failed = verdict("__q")
+        whole = with_cutoffs(docs.withColumns({"__stratum": stratum_of(stratum), "__q": features("text")}), "__stratum", cutoffs)
+        return whole.filter(~base & (F.size(failed) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast({r["stratum"]: r["cutoffs"] for r in cutoffs.collect()})
+    names = [x.split(":")[0] for x in FEATURES[7:-1].split(",")]
+    formulas = {rule: compile(value.replace("greatest", "max"), rule, "eval") for rule, (value, _) in (options.get("rules") or RULES).items()}
+
+    def make():
+        def good(text: bytes, own: dict) -> bool:
+            q = dict(zip(names, measure(text)))
+            if q["n_words"] < 50 or 100 * q["n_repeat_words"] > 50 * q["n_words"]:
+                return False
+            return not any(eval(formulas[rule], {"max": max}, q) > cutoff for rule, cutoff in own.items())
+
+        def judge(batch: pa.RecordBatch) -> list[bool]:
+            strata = batch[stratum].cast(pa.string()).to_pylist() if stratum else [""] * batch.num_rows
+            return [good(t, shared.value.get(s or "", {})) for t, s in zip(utf8(batch["text"]), strata)]
+
+        return judge
+
+    return keep_rows(docs, make)
 
 
 def digest(assessed: DataFrame) -> DataFrame:

@@ -205,5 +205,6 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest; rows with a null doc_id stay."""
     kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    # the ids are hashed, so that the texts are shuffled but neither sorted nor spilled
+    whole = docs.filter("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     return whole.union(docs.filter("doc_id is null"))
