@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 Text = Column | str
 
-#: Line boundaries, longest first.
+#: Line boundaries, longest first (fixed values, as all patterns and markers below).
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: White space at either end, as plain text stripping takes it.
 OUTER_SPACE = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"

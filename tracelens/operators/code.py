@@ -97,19 +97,20 @@ def schema_errors(text: Column, schema: str) -> Column:
     return mapped(lambda t: pysource.schema_errors(t, schema), "array<string>", text)
 
 
-def language(path: Column, source: Column, parses: Column | None = None) -> Column:
+def language(path: Column, source: Column) -> Column:
     """Struct (language, confidence, reason) by layers, the first that speaks: NUL bytes, a shebang against the extension, another
-    language's extension, a markup header, emptiness, then whether the source parses. The parser runs in a column of its own
-    (``parses``); rows that an earlier layer decides don't need it."""
+    language's extension, a markup header, emptiness, then whether the source parses. Only what no other layer decides is parsed: the
+    rest goes to the parser as null."""
     ext, bang = T.extension(path), T.shebang(source)
     python = ext.isin(".py", ".pyw")
     bang_python = F.coalesce(bang["is_python"], F.lit(False))
-    parses = syntax(source).isNull() if parses is None else parses
     say = lambda lang, sure, why: F.struct(F.lit(lang).alias("language"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
     no = lambda why: say("unsupported", "UNSUPPORTED", why)
-    return (
+    early = (
         F.when(source.contains("\x00"), no("binary")).when(bang["has"] & ~bang_python & python, no("conflicting shebang"))
         .when(ext.isin(*OTHER_EXTENSIONS) & ~bang_python, no("other extension")).when(T.is_markup(source), no("markup"))
         .when((T.strip(source) == "") & python, say("python", "CERTAIN", "empty")).when(T.strip(source) == "", no("empty"))
-        .when((python | bang_python) & parses, say("python", "CERTAIN", "parses")).when(python | bang_python, say("python", "PROBABLE", "syntax error")).otherwise(no("no sign of Python"))
+        .when(~python & ~bang_python, no("no sign of Python"))
     )
+    parses = syntax(F.when(early.isNull(), source)).isNull()
+    return F.coalesce(early, F.when(parses, say("python", "CERTAIN", "parses")).otherwise(say("python", "PROBABLE", "syntax error")))
