@@ -91,3 +91,13 @@ def test_forest_of_dense_list():
     members = np.unique(np.int64(5) ^ (np.int64(1) << rng.integers(0, 12, (3000, 2))).sum(axis=1))
     joined = S.forest(members)
     assert len(joined) == len(members) - 1
+
+
+def test_components_of_paths_and_stars(spark):
+    from tracelens.llm.common import connected_components
+
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 400)] + [(7000, 7000), (None, 3)]
+    random.Random(2).shuffle(edges)
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long").filter("u is not null")).collect()))
+    assert got == {i: 0 for i in range(301)} | {1000 + k: 1000 for k in range(400)}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []

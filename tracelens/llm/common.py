@@ -21,19 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, a local master gets a fresh temporary folder and any other
     master the warehouse, never a folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local["):
-            base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
-            spark.conf.set("tracelens.shared.dir", base) if not spark.conf.get("tracelens.shared.dir", None) else None
-            base = spark.conf.get("tracelens.shared.dir")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
-    return base.rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracelens.shared.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
+        spark.conf.set("tracelens.shared.dir", base)
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; ``clear`` removes it once results are written."""
+    return f"{shared_dir(spark)}/tracelens/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    remove_path(spark, own_folder(spark))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracelens/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -138,12 +143,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     seen = None
     for _ in range(max_rounds):
-        print_ = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).head()
-        if print_ == seen or print_[0] == 0:
+        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).head()
+        if state == seen or state[0] == 0:
             return current.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
                 current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
-        seen = print_
+        seen = state
         big = materialize(_star(current, True), "links")
         nxt = materialize(_star(big, False), "links")
         discard(current), discard(big)

@@ -43,49 +43,41 @@ RAISE, WINDOW, THRESHOLD = 0.3, 48, 0.6
 _SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
-def proposals(text: str, pattern: str) -> Column:
-    """Array of (start, end, text) of a pattern's matches; offsets in code points, from the lengths of the parts between."""
+def spans_of(text: str, pattern: str, kind: str) -> Column:
+    """Array of (start, end, text) of a pattern's matches that are confirmed; offsets in code points, from the lengths of the parts between.
+
+    What is not confirmed only moves the offset on, so a text full of numbers stays cheap.
+    """
     p = pattern.replace("\\", "\\\\")
-    pairs = f"zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, g) -> named_struct('m', m, 'g', g))"
+    pairs = f"zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, g) -> named_struct('m', m, 'at', length(g), 'n', length(m)))"
     step = (
-        "if(x.m is null, a, named_struct('at', a.at + length(x.g) + length(x.m), 'out', concat(a.out, array(named_struct("
-        "'start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'text', x.m)))))"
+        f"case when x.m is null then a when {confirmed(kind, 'x.m')} then named_struct('at', a.at + x.at + x.n, 'out', concat(a.out, array(named_struct("
+        "'start', a.at + x.at, 'end', a.at + x.at + x.n, 'text', x.m)))) else named_struct('at', a.at + x.at + x.n, 'out', a.out) end"
     )
     return F.expr(f"aggregate({pairs}, named_struct('at', 0L, 'out', cast(array() as {_SPAN})), (a, x) -> {step}, a -> a.out)")
 
 
-def luhn(x: Column) -> Column:
-    digits = F.regexp_replace(x, "[^0-9]", "")
-    return F.when(F.length(digits).between(12, 19), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
-
-
-def mod97(x: Column) -> Column:
-    """Whether an IBAN's remainder is 1: four characters moved to the end, letters read as 10 to 35."""
-    plain = F.regexp_replace(x, " ", "")
-    moved = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
-    rest = F.aggregate(
-        F.split(moved, ""), F.lit(0),
-        lambda a, c: F.when(c.between("0", "9"), (a * 10 + F.ascii(c) - 48) % 97).when(c.between("A", "Z"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a),
-    )
-    return rest == 1
-
-
-def confirmed(kind: str, x: Column) -> Column:
+def confirmed(kind: str, x: str) -> str:
+    """SQL of whether a match is one of its kind: parts of an address at most 255, Luhn, digits of a phone number, remainder modulo 97."""
+    digits = f"regexp_replace({x}, '[^0-9]', '')"
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-        return x.rlike(rf"^{part}(?:\.{part}){{3}}$")
+        return f"{x} rlike '^{part}(?:[.]{part}){{3}}$'"
     if kind == "card":
-        return luhn(x)
+        return f"case when length({x}) >= 12 and length({digits}) between 12 and 19 then luhn_check({digits}) else false end"
     if kind == "phone":
-        return F.length(F.regexp_replace(x, "[^0-9]", "")).between(9, 15)
-    return mod97(x) if kind == "iban" else F.lit(True)
+        return f"length({digits}) between 9 and 15"
+    if kind == "iban":  # four characters move to the end, letters read as 10 to 35
+        plain = f"replace({x}, ' ', '')"
+        step = "(r, c) -> if(c between '0' and '9', (r * 10 + ascii(c) - 48) % 97, if(c between 'A' and 'Z', (r * 100 + ascii(c) - 55) % 97, r))"
+        return f"aggregate(split(concat(substring({plain}, 5, 40), substring({plain}, 1, 4)), ''), 0, {step}) = 1"
+    return "true"
 
 
 def base_spans(kind: str) -> Column:
-    found = proposals("__text", BASE[kind])
-    need = F.col("__text").contains(NEEDS[kind]) if kind in NEEDS else F.col("__digits")
-    found = F.when(need, found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-    return F.filter(found, lambda s: confirmed(kind, s["text"]))
+    found = spans_of("__pii_text", BASE[kind], kind)
+    need = F.col("__pii_text").contains(NEEDS[kind]) if kind in NEEDS else F.col("__pii_digits")
+    return F.when(need, found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def with_score(kind: str, spans: Column, base: bool) -> Column:
@@ -93,7 +85,7 @@ def with_score(kind: str, spans: Column, base: bool) -> Column:
     order = KINDS.index(kind)
 
     def one(s):
-        near = F.lower(F.substring(F.col("__text"), F.greatest(s["start"].cast("int") - WINDOW + 1, F.lit(1)), F.least(s["start"].cast("int"), F.lit(WINDOW))))
+        near = F.lower(F.substring(F.col("__pii_text"), F.greatest(s["start"].cast("int") - WINDOW + 1, F.lit(1)), F.least(s["start"].cast("int"), F.lit(WINDOW))))
         score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), RAISE).otherwise(0.0)
         score = F.least(F.greatest(score, F.lit(THRESHOLD)) if base else score, F.lit(1.0))
         return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"), F.lit(base).alias("base"))
@@ -101,28 +93,27 @@ def with_score(kind: str, spans: Column, base: bool) -> Column:
     return F.transform(spans, one)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a last column ``pii_spans``: array of (start, order, end, kind, score, base) by start, then kind as listed.
+def find(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
+    """``docs`` with a last column ``out``: array of (start, order, end, kind, score, base) by start, then kind as listed.
 
     Offsets are code points, end exclusive. All base spans are there; spans of the method that overlap a span of their kind
-    among the base ones are not. Null and empty texts have none. A column ``pii_spans`` that ``docs`` has already is replaced;
-    columns whose names begin with two underscores are taken for this operator's own. Rows stay one to one.
+    among the base ones are not. Null and empty texts have none. A column ``out`` that ``docs`` has already is replaced;
+    columns whose names begin with __pii_ are taken for this operator's own. Rows stay one to one.
     """
     from functools import reduce
 
-    out = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    out = out.withColumn("__digits", F.col("__text").rlike("[0-9]"))
-    out = out.withColumns({f"__{k}": base_spans(k) for k in BASE})
-    apart = lambda kind, spans: F.filter(spans, lambda s: ~F.exists(F.col(f"__{kind}"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    work = docs.withColumn("__pii_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    work = work.withColumn("__pii_digits", F.col("__pii_text").rlike("[0-9]"))
+    work = work.withColumns({f"__pii_{k}": base_spans(k) for k in BASE})
+    apart = lambda kind, spans: F.filter(spans, lambda s: ~F.exists(F.col(f"__pii_{kind}"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def more(kind):
-        found = F.when(F.col("__digits"), proposals("__text", MORE[kind])).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-        found = F.filter(found, lambda s: confirmed(kind, s["text"]))
+        found = F.when(F.col("__pii_digits"), spans_of("__pii_text", MORE[kind], kind)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
         return F.filter(with_score(kind, apart(kind, found) if kind in BASE else found, False), lambda s: s["score"] >= THRESHOLD)
 
-    parts = [with_score(k, F.col(f"__{k}"), True) for k in BASE] + [more(k) for k in MORE]
-    out = out.withColumn("pii_spans", F.array_sort(reduce(lambda a, b: F.concat(a, b), parts)))
-    return out.drop("__text", "__digits", *[f"__{k}" for k in BASE])
+    parts = [with_score(k, F.col(f"__pii_{k}"), True) for k in BASE] + [more(k) for k in MORE]
+    work = work.withColumn(out, F.array_sort(reduce(lambda a, b: F.concat(a, b), parts)))
+    return work.drop("__pii_text", "__pii_digits", *[f"__pii_{k}" for k in BASE])
 
 
 def redacted(text: str = "text", spans: str = "pii_spans") -> Column:
@@ -139,10 +130,10 @@ def redacted(text: str = "text", spans: str = "pii_spans") -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in text replaced and n_chars counted anew; columns as before."""
-    out = find(docs).withColumn("text", redacted())
+    out = find(docs, out="__pii_spans").withColumn("text", redacted(spans="__pii_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -192,9 +192,12 @@ def near_duplicates(docs: DataFrame, many: int = 1 << 25, **options) -> DataFram
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     options.setdefault("size", 4 if distinct.count() > many else 3)
     label = connected_components(links(distinct, **options))
-    classes = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    lowest = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_print = materialize(classes.join(lowest, "label").select("fp", "component_id"), "classes")
+    linked = materialize(distinct.join(label, distinct["fp"] == label["node"]).select("fp", "rep", "label"), "linked")
+    lowest = materialize(linked.groupBy("label").agg(F.min("rep").alias("component_id")), "lowest")
+    # of two written tables, the join may split a hot label; fingerprints without links keep their own smallest id
+    named = linked.join(lowest, "label").select(F.col("fp").alias("__fp"), "component_id")
+    own = distinct.join(named, distinct["fp"] == named["__fp"], "left")
+    by_print = materialize(own.select("fp", F.when(F.col("__fp").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")), "classes")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
