@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import hadoop_fs, new_path, read_table
 
 
+#: Greatest number of manifest lines that are broadcast to the rows' tasks.
+BROADCAST_SHARDS = 100_000
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -185,6 +189,9 @@ def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.read()
     if rows is None:
         return docs.limit(0).select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit("").alias("text_sha256"))
-    held = spark.createDataFrame([(s["path"].rsplit("/", 1)[1], s["rows"]) for s in store.manifest()[1]], "shard string, shard_rows long")
+    live = store.manifest()[1]
+    held = spark.createDataFrame([(s["path"].rsplit("/", 1)[1], s["rows"]) for s in live], "shard string, shard_rows long")
+    if len(live) <= BROADCAST_SHARDS:
+        held = F.broadcast(held)
     found = rows.select("doc_id", F.col("_shard").alias("shard"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     return found.join(held, "shard").select("doc_id", "shard", "shard_rows", "text_sha256")
