@@ -186,8 +186,9 @@ def test_scan_and_sinks(spark, tmp_path):
     pairs = windows.stratified_split(generator.pairs(spark, 100), "task_type", "id")
     sinks.write_splits(pairs, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 100
-    made = pairs.filter("task_type = 'diagnosis'").select(code.schema_errors(F.col("completion"), "diagnosis").alias("e")).filter("size(e) > 0")
-    assert made.count() == 0
+    for task, kind in (("diagnosis", "diagnosis"), ("edit_proposal", "edit_proposal"), ("abstention", "abstention")):
+        made = pairs.filter(F.col("task_type") == task).select(code.schema_errors(F.col("completion"), kind).alias("e"))
+        assert made.count() > 0 and made.filter("size(e) > 0").count() == 0
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n')
     assert sorted(r.a for r in files.json_lines(spark, f"{tmp_path}/x.jsonl", "a long").collect()) == [1, 2]
     (tmp_path / "m.json").write_text('{"samples": [{"id": "p"},\n {"id": "q"}]}')
@@ -231,3 +232,20 @@ def test_budgeted_context(spark):
     lines = F.col("lines")
     edits_ = rows.select("budget", context.edit(F.lit(""), lines, F.col("line"), F.col("findings"), F.col("budget")).alias("c")).collect()
     assert {r.budget: r.c and tuple(r.c.omitted) for r in edits_}[5000] == () and {r.budget: r.c for r in edits_}[10] is None
+
+
+def test_schemas(spark):
+    from tracelens import schemas
+
+    for table in schemas.TABLES:
+        assert spark.createDataFrame([], schemas.schema(table)).filter(schemas.holds(table)).count() == 0
+    rows = spark.createDataFrame([("p", "s", "c", "m", "error", 3, 2, 3, 1, False), ("p", "s", "c", "m", "error", 3, 2, 3, 2, False), ("p", "s", "c", "m", "error", 0, 2, 3, 2, False), ("p", "s", "c", "m", "error", None, 2, 3, 2, False)], schemas.schema("diagnostics"))
+    assert [r[0] for r in rows.select(schemas.holds("diagnostics")).collect()] == [False, True, False, False]
+
+
+def test_strict_schema_rejects_wrong_types():
+    bad = '{"bug_description": 1, "root_cause": "r", "confidence": "MAYBE", "cited_evidence_ids": "x", "rationale": true}'
+    assert pysource.schema_errors(bad, "diagnosis") == ["type of bug_description", "value of confidence", "type of cited_evidence_ids", "type of rationale"]
+    edit = '{"target_file": "a.py", "edits": [{"operation": "replace", "start_line": 1, "end_line": 1, "extra": 0}], "explanation": "e"}'
+    assert pysource.schema_errors(edit, "edit_proposal") == ["type of edits"] and pysource.schema_errors(edit.replace(', "extra": 0', ""), "edit_proposal") == []
+    assert pysource.schema_errors("[]", "diagnosis") == ["not an object"] and pysource.schema_errors('{"target": "t", "reason": "EMPTY_RESPONSE", "details": "d", "raw_payload": null}', "abstention") == []

@@ -12,6 +12,7 @@ import json
 import re
 import tokenize
 
+from ..schemas import CONFIDENCE, DIAGNOSIS_ABSTENTION, OPERATIONS
 from .text import GLYPHS
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -67,16 +68,24 @@ def unified_diff(before: str, after: str, name: str = "file.py", context: int =
     return "".join(f"{x}\n" for x in lines)
 
 
+def is_edit(v: object) -> bool:
+    texts, lines = ("expected_text", "replacement_text"), ("start_line", "end_line")
+    return (
+        isinstance(v, dict) and set(v) <= {"operation", *texts, *lines} and v.get("operation") in OPERATIONS
+        and all(TYPES["integer"](v.get(k)) for k in lines) and all(isinstance(v.get(k, ""), str) for k in texts)
+    )
+
+
 #: Checks of the types that record schemas use.
 TYPES = {
-    "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
-    "strings": lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v), "list": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict),
+    "string": lambda v: isinstance(v, str), "string?": lambda v: v is None or isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
+    "strings": lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v), "edits": lambda v: isinstance(v, list) and 1 <= len(v) <= 8 and all(map(is_edit, v)),
 }
 #: Fields of the closed record schemas: (type, required, allowed values).
-CONFIDENCE = ("HIGH", "MEDIUM", "LOW")
 SCHEMAS = {
-    "diagnosis": {"bug_description": ("string", True, None), "root_cause": ("string", True, None), "confidence": ("string", True, CONFIDENCE), "cited_evidence_ids": ("strings", True, None), "rationale": ("string", True, None)},
-    "edit_proposal": {"target_file": ("string", True, None), "edits": ("list", True, None), "explanation": ("string", True, None)},
+    "diagnosis": {"bug_description": ("string", True, None), "root_cause": ("string", True, None), "confidence": ("string", True, CONFIDENCE), "cited_evidence_ids": ("strings", False, None), "rationale": ("string", True, None)},
+    "edit_proposal": {"target_file": ("string", True, None), "edits": ("edits", True, None), "explanation": ("string", True, None)},
+    "abstention": {"target": ("string", True, None), "reason": ("string", True, DIAGNOSIS_ABSTENTION), "details": ("string", True, None), "raw_payload": ("string?", False, None), "validation_errors": ("strings", False, None), "retry_attempted": ("boolean", False, None)},
 }
 
 

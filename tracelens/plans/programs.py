@@ -104,7 +104,7 @@ def s07(spark, sf):
 
 
 @query("s08_lint_findings", """
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'E' || user_id WHEN 1 THEN 'RUFF' ELSE 'MalformedOutput' END AS code, CASE event_id % 3 WHEN 0 THEN 'ERROR' ELSE 'WARNING' END AS severity,
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'E' || user_id WHEN 1 THEN 'RUFF' ELSE 'MalformedOutput' END AS code, CASE event_id % 3 WHEN 0 THEN 'error' ELSE 'warning' END AS severity,
   CAST(CASE event_id % 3 WHEN 0 THEN greatest(1, user_id) ELSE 1 END AS BIGINT) AS start_line, CAST(CASE event_id % 3 WHEN 0 THEN greatest(1, user_id) ELSE 1 END AS BIGINT) AS end_line, event_id % 3 = 0 AS fix_available FROM events""")
 def s08(spark, sf):
     full = F.concat(F.lit('[{"code": "E'), F.col("user_id").cast("string"), F.lit('", "severity": "Error", "location": {"row": '), F.col("user_id").cast("string"), F.lit(', "column": 0}, "end_location": {"row": 0}, "fix": {"a": 1}}]'))

@@ -73,12 +73,12 @@ def findings(raw: Column) -> Column:
         level = F.lower(F.coalesce(i["severity"], F.lit("")))
         return F.struct(
             F.coalesce(i["code"], i["name"], F.lit("RUFF")).alias("code"), F.coalesce(i["message"], F.lit("Lint finding")).alias("message"),
-            F.when(level.isin("error", "info"), F.upper(level)).otherwise("WARNING").alias("severity"), row.alias("start_line"), col.alias("start_col"), end.alias("end_line"),
+            F.when(level.isin("error", "info"), level).otherwise("warning").alias("severity"), row.alias("start_line"), col.alias("start_col"), end.alias("end_line"),
             F.when(end == row, F.greatest(col, end_col)).otherwise(end_col).alias("end_col"), i["fix"].isNotNull().alias("fix_available"),
         )
 
     kind = "array<struct<code:string,message:string,severity:string,start_line:bigint,start_col:bigint,end_line:bigint,end_col:bigint,fix_available:boolean>>"
-    broken = F.array(F.struct(F.lit("MalformedOutput").alias("code"), F.lit("output is no JSON").alias("message"), F.lit("WARNING").alias("severity"), one.alias("start_line"), one.alias("start_col"), one.alias("end_line"), one.alias("end_col"), F.lit(False).alias("fix_available")))
+    broken = F.array(F.struct(F.lit("MalformedOutput").alias("code"), F.lit("output is no JSON").alias("message"), F.lit("warning").alias("severity"), one.alias("start_line"), one.alias("start_col"), one.alias("end_line"), one.alias("end_col"), F.lit(False).alias("fix_available")))
     listed = F.when(t.startswith("["), F.transform(F.filter(parsed, lambda i: i.isNotNull()), finding))
     empty = F.array().cast(kind)
     return F.when(t == "", empty).when(~is_json, broken.cast(kind)).otherwise(F.coalesce(listed.cast(kind), empty))

@@ -60,7 +60,7 @@ def pairs(spark: SparkSession, total: int) -> DataFrame:
     completion = (
         F.when(F.col("task") == 0, F.to_json(F.struct(F.concat(F.col("category"), F.lit(" in "), "target_file").alias("bug_description"), F.col("faulty").alias("root_cause"), F.lit("HIGH").alias("confidence"), cited.alias("cited_evidence_ids"), F.lit("The line fails.").alias("rationale"))))
         .when(F.col("task") == 1, F.to_json(F.struct("target_file", F.array(edit).alias("edits"), F.lit("Corrects the line.").alias("explanation"))))
-        .otherwise(F.to_json(F.struct(F.col("target_file").alias("target"), F.lit("INSUFFICIENT_EVIDENCE").alias("reason"), F.lit("No evidence names a cause.").alias("details"))))
+        .otherwise(F.to_json(F.struct(F.col("target_file").alias("target"), F.lit("UNGROUNDED_EVIDENCE").alias("reason"), F.lit("No evidence names a cause.").alias("details"))))
     )
     out = full.select(
         F.concat(prefix, F.lit("_"), F.format_string("%05d", F.col("ordinal") + 1)).alias("id"), name.alias("task_type"), "category", "target_file", "source_code", "fault_line",
