@@ -68,9 +68,9 @@ def test_edits(spark):
     rows = spark.createDataFrame([(text, EDITS), (text, [("replace", 1, 1, "wrong", "x")]), ("", [("insert", 1, 0, "", "one")]), (text, [("insert", 8, 7, "", "h\n")]), (text, [])], f"t string, e array<{edits.EDIT}>")
     got = [r[0] for r in rows.select(edits.apply_edits(F.col("t"), F.col("e"))).collect()]
     assert got == [["a", "B", "d", "new", "lines", "e", "g"], None, ["one"], list("abcdefgh"), list("abcdefg")]
-    lines = rows.limit(1).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda n: edits.map_line(n.cast("long"), F.col("e")))).head()[0]
+    lines = rows.limit(1).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda n: edits.map_line(n.cast("long"), edits.measured(F.col("e"))))).head()[0]
     assert lines == [mapped(n, EDITS) for n in range(10)]
-    new = rows.limit(1).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda n: edits.is_new_line(n.cast("long"), F.col("e")))).head()[0]
+    new = rows.limit(1).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda n: edits.is_new_line(n.cast("long"), edits.measured(F.col("e"))))).head()[0]
     assert [n for n, x in enumerate(new) if x] == [2, 4, 5]
 
 

@@ -31,6 +31,11 @@ def col(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def text_or_empty(x: Text) -> Column:
     return F.coalesce(col(x), F.lit(""))
 
@@ -76,8 +81,7 @@ def is_binary(content: Text, first: int = 8192) -> Column:
 
 def lines(x: Text) -> Column:
     """Array of lines without their ends; a last line end opens no further line. Empty and null text have none."""
-    parts = F.split(col(x), LINE_BREAK, -1)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    whole = bind(F.split(col(x), LINE_BREAK, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
     return F.when(F.length(text_or_empty(x)) == 0, F.array().cast("array<string>")).otherwise(whole)
 
 
@@ -92,10 +96,13 @@ def number_lines(of: Column, start: Column) -> Column:
 
 def numbered_excerpt(x: Text, first: int = 1, last: int | None = None) -> Column:
     """Numbered lines of a range that is clamped to the text."""
-    own = lines(x)
-    end = F.size(own) if last is None else F.least(F.lit(last), F.size(own))
-    start = F.greatest(F.lit(1), F.least(F.lit(first), end))
-    return number_lines(F.slice(own, start, F.greatest(end - start + 1, F.lit(0))), start)
+
+    def excerpt(own: Column) -> Column:
+        end = F.size(own) if last is None else F.least(F.lit(last), F.size(own))
+        start = F.greatest(F.lit(1), F.least(F.lit(first), end))
+        return number_lines(F.slice(own, start, F.greatest(end - start + 1, F.lit(0))), start)
+
+    return bind(lines(x), excerpt)
 
 
 def find_snippet_line(x: Text, snippet: Text) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, line_count, lines, text_or_empty
+from ..functions.text import basename, bind, line_count, lines, text_or_empty
 
 EDIT = "struct<operation:string,start_line:bigint,end_line:bigint,expected_text:string,replacement_text:string>"
 MOST_EDITS, MOST_LINES = 8, 80
@@ -32,22 +32,27 @@ def in_order(edits: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["e"])
 
 
+def measured(edits: Column) -> Column:
+    """Edits by start, then end, as (insert, start, end, new, old): counts of lines instead of texts, for use against many lines."""
+    return F.transform(in_order(edits), lambda e: F.struct(is_insert(e).alias("insert"), e["start_line"].alias("start"), e["end_line"].alias("end"), new_lines(e).alias("new"), old_lines(e).alias("old")))
+
+
 def map_line(line: Column, edits: Column) -> Column:
-    """Where a line stands after the edits; null below 1 or where an edit replaces or deletes it."""
-    gone = F.exists(edits, lambda e: ~is_insert(e) & line.between(e["start_line"], e["end_line"]))
-    before = F.filter(edits, lambda e: F.when(is_insert(e), line >= e["start_line"]).otherwise(line > e["end_line"]))
-    shift = F.aggregate(before, F.lit(0).cast("long"), lambda a, e: a + new_lines(e) - old_lines(e))
+    """Where a line stands after ``measured`` edits; null below 1 or where an edit replaces or deletes it."""
+    gone = F.exists(edits, lambda e: ~e["insert"] & line.between(e["start"], e["end"]))
+    before = F.filter(edits, lambda e: F.when(e["insert"], line >= e["start"]).otherwise(line > e["end"]))
+    shift = F.aggregate(before, F.lit(0).cast("long"), lambda a, e: a + e["new"] - e["old"])
     return F.when((line >= 1) & ~gone, line + shift)
 
 
 def is_new_line(line: Column, edits: Column) -> Column:
-    """Whether a line of the edited text lies in text that an edit put there."""
+    """Whether a line of the edited text lies in text that one of the ``measured`` edits put there."""
     def step(a: Column, e: Column) -> Column:
-        first = e["start_line"] + a["shift"]
-        hit = (new_lines(e) > 0) & line.between(first, first + new_lines(e) - 1)
-        return F.struct((a["shift"] + new_lines(e) - old_lines(e)).cast("long").alias("shift"), (a["hit"] | hit).alias("hit"))
+        first = e["start"] + a["shift"]
+        hit = (e["new"] > 0) & line.between(first, first + e["new"] - 1)
+        return F.struct((a["shift"] + e["new"] - e["old"]).cast("long").alias("shift"), (a["hit"] | hit).alias("hit"))
 
-    found = F.aggregate(in_order(edits), F.struct(F.lit(0).cast("long").alias("shift"), F.lit(False).alias("hit")), step, lambda a: a["hit"])
+    found = F.aggregate(edits, F.struct(F.lit(0).cast("long").alias("shift"), F.lit(False).alias("hit")), step, lambda a: a["hit"])
     return (line >= 1) & found
 
 
@@ -70,16 +75,18 @@ def apply_edits(text: Column, edits: Column) -> Column:
 
     One pass in order: what lies between two edits is copied, then the new lines follow; ranges refer to the text as it was.
     """
-    own = lines(text)
 
-    def step(a: Column, e: Column) -> Column:
-        keep = F.slice(own, a["at"].cast("int"), F.greatest(e["start_line"] - a["at"], F.lit(0)).cast("int"))
-        new = F.when(e["operation"] == "delete", F.array().cast("array<string>")).otherwise(lines(e["replacement_text"]))
-        return F.struct((e["end_line"] + 1).cast("long").alias("at"), F.concat(a["out"], keep, new).alias("out"))
+    def edited(own: Column) -> Column:
+        def step(a: Column, e: Column) -> Column:
+            keep = F.slice(own, a["at"].cast("int"), F.greatest(e["start_line"] - a["at"], F.lit(0)).cast("int"))
+            new = F.when(e["operation"] == "delete", F.array().cast("array<string>")).otherwise(lines(e["replacement_text"]))
+            return F.struct((e["end_line"] + 1).cast("long").alias("at"), F.concat(a["out"], keep, new).alias("out"))
+
+        begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+        rest = lambda a: F.slice(own, a["at"].cast("int"), F.greatest(F.size(own) - a["at"] + 1, F.lit(0)).cast("int"))
+        return F.when(matches(own, edits), F.aggregate(in_order(edits), begin, step, lambda a: F.concat(a["out"], rest(a))))
 
-    begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(in_order(edits), begin, step, lambda a: F.concat(a["out"], F.slice(own, a["at"].cast("int"), F.greatest(F.size(own) - a["at"] + 1, F.lit(0)).cast("int"))))
-    return F.when(matches(own, edits), done)
+    return bind(lines(text), edited)
 
 
 def keeps_final_newline(edits: Column, n_lines: Column, had: Column) -> Column:

@@ -107,24 +107,21 @@ def resolve_selectors(selectors: DataFrame, functions: DataFrame) -> DataFrame:
     """Selectors (id, file, class_name, function) against functions (file, ordinal, name, qualified_name, is_method): adds
     ``matched`` (qualified name) and ``problem`` ('not found', 'ambiguous').
 
-    A class selects the exact qualified name; without one a top-level function comes first, else the only method of that name. One join on
-    (file, name) and one aggregate decide all tiers.
+    A class selects the exact qualified name; without one a top-level function comes first, else the only method of that name. Functions are
+    first reduced to a row for each (file, name) and (file, qualified name), so neither join multiplies selectors.
     """
-    f = functions.select(F.col("file").alias("__file"), F.col("name").alias("__name"), "qualified_name", "is_method", "ordinal")
-    both = selectors.join(f, (selectors["file"] == f["__file"]) & (selectors["function"] == f["__name"]), "left")
-    wanted = F.concat_ws(".", "class_name", "function")
-    exact = F.col("class_name").isNotNull() & (F.col("qualified_name") == wanted)
-    free = F.col("class_name").isNull()
-    picked = both.groupBy("id", "file", "class_name", "function").agg(
-        F.min_by("qualified_name", F.when(exact, F.col("ordinal"))).alias("exact"),
-        F.min_by("qualified_name", F.when(free & ~F.col("is_method"), F.col("ordinal"))).alias("top"),
-        F.min_by("qualified_name", F.when(free & F.col("is_method"), F.col("ordinal"))).alias("method"),
-        F.count_if(F.coalesce(free & F.col("is_method"), F.lit(False))).alias("methods"),
+    by_name = functions.groupBy(F.col("file").alias("__file"), F.col("name").alias("__name")).agg(
+        F.min_by("qualified_name", F.when(~F.col("is_method"), F.col("ordinal"))).alias("top"), F.min_by("qualified_name", F.when(F.col("is_method"), F.col("ordinal"))).alias("method"),
+        F.count_if("is_method").alias("methods"),
     )
-    one = F.when(F.col("methods") == 1, F.col("method"))
-    matched = F.coalesce("exact", "top", one)
+    by_path = functions.select(F.col("file").alias("__file2"), F.col("qualified_name").alias("exact")).distinct()
+    free = F.col("class_name").isNull()
+    wanted = F.when(~free, F.concat_ws(".", "class_name", "function"))
+    both = selectors.join(by_name, free & (F.col("file") == F.col("__file")) & (F.col("function") == F.col("__name")), "left")
+    both = both.join(by_path, (F.col("file") == F.col("__file2")) & (wanted == F.col("exact")), "left")
+    matched = F.coalesce("exact", "top", F.when(F.col("methods") == 1, F.col("method")))
     problem = F.when(matched.isNotNull(), None).when(F.col("methods") > 1, "ambiguous").otherwise("not found")
-    return picked.select("id", matched.alias("matched"), problem.alias("problem"))
+    return both.select("id", matched.alias("matched"), problem.alias("problem"))
 
 
 def nested_prefixes(selectors: DataFrame, functions: DataFrame) -> DataFrame:
