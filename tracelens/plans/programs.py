@@ -331,3 +331,114 @@ def t03(spark, sf):
     write = rows.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
     write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(where)).start().awaitTermination()
     return spark.read.parquet(where).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "total", "passed", "peak")
+
+
+# --- rules of complexity, each over programs that tell its cases apart ------------------------------
+
+
+def of_forms(spark, sf, sources):
+    """Documents with one of the given sources each, by doc_id."""
+    return docs(spark, sf).select("doc_id", F.get(F.array(*map(F.lit, sources)), (F.col("doc_id") % len(sources)).cast("int")).alias("source"))
+
+
+def cases(values) -> str:
+    """SQL CASE over doc_id modulo the number of values."""
+    return f"CASE doc_id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def classes(spark, sf, sources, *columns):
+    return code.complexities(of_forms(spark, sf, sources), "doc_id", "source").select("doc_id", *columns)
+
+
+def names(*values) -> list[str]:
+    return ["NULL" if v is None else f"'{v}'" for v in values]
+
+
+@query("a14_loops_and_recursion", f"SELECT doc_id, CAST({by_kind('0', '1', '0', '0', '1', '0', '0', '0', '0', '2')} AS BIGINT) AS max_depth, {KIND} = 7 AS any_recursion FROM documents WHERE {KIND} <> 8")
+def a14(spark, sf):
+    per_function = code.loop_summary(code.structure(programs(spark, sf), "doc_id", "source_code"), "doc_id")
+    return per_function.groupBy("doc_id").agg(F.max("max_depth").alias("max_depth"), F.bool_or("recursive").alias("any_recursion"))
+
+
+ERRORS = ["ValueError: bad\n  worse\n", "a.b.MyError\n", "one\nKeyError: 'k'\nHello\n", "   \n", "    IndentError: deep\n"]
+
+
+@query("f21_exceptions", f"SELECT doc_id, {cases(names('ValueError', 'a.b.MyError', 'Hello', None, 'IndentError'))} AS type, {cases(names('bad worse', '', '', None, 'deep'))} AS message FROM documents")
+def f21(spark, sf):
+    t = code.traceback(F.col("source"), F.lit("main.py"))
+    return of_forms(spark, sf, ERRORS).select("doc_id", t.alias("t")).select("doc_id", "t.type", "t.message")
+
+
+@query("f35_normalized_findings", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'info' ELSE 'warning' END AS severity, CAST(1 AS BIGINT) AS start_line, CAST(greatest(1, user_id - 3) AS BIGINT) AS end_line FROM events")
+def f35(spark, sf):
+    level = F.when(F.col("event_id") % 3 == 0, "ERROR").when(F.col("event_id") % 3 == 1, "Info").otherwise("fatal")
+    raw = F.concat(F.lit('[{"severity": "'), level, F.lit('", "location": {"row": -2}, "end_location": {"row": '), (F.col("user_id") - 3).cast("string"), F.lit("}}]"))
+    return table(spark, sf, "events").select("event_id", F.get(files.findings(raw), F.lit(0)).alias("f")).select("event_id", "f.severity", "f.start_line", "f.end_line")
+
+
+@query("f36_syntax_positions", f"SELECT doc_id, {cases(['NULL', '2', '1'])}::BIGINT AS line, {cases(['NULL', 'true', 'true'])} AS has_column FROM documents")
+def f36(spark, sf):
+    found = of_forms(spark, sf, ["x = 1\n", "x = 1\ny = = 2\n", "def f(:\n"]).select("doc_id", code.syntax(F.col("source")).alias("s"))
+    return found.select("doc_id", "s.line", (F.col("s.col") >= 1).alias("has_column"))
+
+
+@query("d06_all_functions", f"SELECT doc_id, CAST({cases(['3', '1', '1'])} AS BIGINT) AS n, {cases(['true', 'false', 'false'])} AS has_method FROM documents")
+def d06(spark, sf):
+    forms = ["def a(): return 1\nclass B:\n    def m(self): return 2\n    async def n(self): return 3\n    class C:\n        def deep(self): return 4\n", "x = 1\n", ""]
+    return classes(spark, sf, forms, "target").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("target").contains(".")).alias("has_method"))
+
+
+RECURSIVE = [
+    "def f(n):\n    if n < 2:\n        return n\n    return f(n - 1) + f(n - 2)\n", "def f(n):\n    if n < 1:\n        return 0\n    return 1 + f(n // 2)\n", "def f(n):\n    if n < 1:\n        return 0\n    return n + f(n - 1)\n",
+    "def f(n):\n    return f(n - 1)\n", "def f(xs):\n    if not xs:\n        return 0\n    for x in xs:\n        f(x)\n    return 1\n",
+]
+
+
+@query("d07_recursion", f"SELECT doc_id, {cases(names('O(2^n)', 'O(log n)', 'O(n)', 'UNKNOWN', 'UNKNOWN'))} AS time, {cases(names('O(n)', 'O(log n)', 'O(n)', 'UNKNOWN', 'UNKNOWN'))} AS aux_space, {cases(names(None, None, None, 'DYNAMIC_RECURSION', 'DYNAMIC_RECURSION'))} AS reason FROM documents")
+def d07(spark, sf):
+    return classes(spark, sf, RECURSIVE, "time", "aux_space", "reason")
+
+
+WHILES = [
+    "def f(n):\n    while n > 1:\n        n //= 2\n", "def f(n):\n    while n > 1:\n        n //= 2\n        n = n - 1\n", "def f(a, t):\n    lo, hi = 0, len(a)\n    while lo < hi:\n        mid = lo + (hi - lo) // 2\n        if a[mid] < t:\n            lo = mid + 1\n        else:\n            hi = mid\n",
+    "def f(n):\n    while True:\n        n = n >> 1\n",
+]
+
+
+@query("d08_halving_loops", f"SELECT doc_id, {cases(names('O(log n)', 'UNKNOWN', 'O(log n)', 'UNKNOWN'))} AS time, {cases(names(None, 'DYNAMIC_BOUNDS', None, 'DYNAMIC_BOUNDS'))} AS reason FROM documents")
+def d08(spark, sf):
+    return classes(spark, sf, WHILES, "time", "reason")
+
+
+CONTAINERS = [f"def f(xs, {p}):\n    for x in xs:\n        if x in {n}:\n            return x\n" for p, n in (("seen", "seen"), ("ys: list[int]", "ys"), ("ys: set[int]", "ys"), ("lookup", "lookup"), ("other", "other"))]
+
+
+@query("d09_container_kinds", f"SELECT doc_id, {cases(names('O(n)', 'O(nm)', 'O(n)', 'O(n)', 'O(nm)'))} AS time, {cases(['true', 'false', 'true', 'true', 'false'])} AS expected FROM documents")
+def d09(spark, sf):
+    return classes(spark, sf, CONTAINERS, "time", "expected")
+
+
+def nested(depth: int) -> str:
+    return "def f(a):\n" + "".join("    " * (i + 1) + f"for x{i} in a:\n" for i in range(depth)) + "    " * (depth + 1) + "pass\n"
+
+
+NESTS = [nested(1), nested(2), nested(3), nested(4), "def f(a, b):\n    for x in a:\n        for y in b:\n            pass\n", "def f(a):\n    for i in range(9):\n        for x in a:\n            pass\n"]
+
+
+@query("d10_nested_loops", f"SELECT doc_id, {cases(names('O(n)', 'O(n²)', 'O(n³)', 'UNKNOWN', 'O(nm)', 'O(n)'))} AS time, {cases(names(None, None, None, 'DYNAMIC_BOUNDS', None, None))} AS reason FROM documents")
+def d10(spark, sf):
+    return classes(spark, sf, NESTS, "time", "reason")
+
+
+SPACES = ["def f(a):\n    return [x for x in a]\n", "def f(a):\n    b = [x for x in a]\n    return len(b)\n", "def f(a):\n    return a[1:]\n", "def f(a):\n    yield 1\n", "def f(a):\n    a.sort()\n", "def f(a):\n    out = []\n    for x in a:\n        out.append(x)\n    return out\n"]
+
+
+@query("d11_spaces", f"SELECT doc_id, {cases(names('O(1)', 'O(n)', 'O(1)', 'O(1)', 'O(n)', 'O(1)'))} AS aux_space, {cases(names('O(n)', 'O(1)', 'O(n)', 'O(1)', 'O(1)', 'O(n)'))} AS output_space FROM documents")
+def d11(spark, sf):
+    return classes(spark, sf, SPACES, "aux_space", "output_space")
+
+
+@query("d12_confidence", f"SELECT doc_id, {cases(names('HIGH', 'MEDIUM', 'LOW'))} AS confidence, {cases(['true', 'false', 'true'])} AS no_assumptions FROM documents")
+def d12(spark, sf):
+    forms = ["def f(x):\n    return x + 1\n", nested(1), "def f(x):\n    return g(x)\n"]
+    return classes(spark, sf, forms, "confidence", (F.size("assumptions") == 0).alias("no_assumptions"))
