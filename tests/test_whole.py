@@ -1,8 +1,10 @@
 """Queries over whole tables: small fixtures on which a part of the rows or of a list gives another result."""
 
+from functools import reduce
+
 import pytest
-from pyspark.sql import functions as F
 
+from tracelens.functions import costs
 from tracelens.plans import catalogue
 
 
@@ -28,3 +30,10 @@ def test_spans_of_all_events(run):
     assert len(got) == len(own) and set(got) == inner
     pairs = sorted((a[0], b[0]) for a in spans for b in spans if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and a[3] >= b[2])
     assert sorted(run("j05_overlapping_spans", events=(own, EVENTS))) == pairs
+
+
+def test_costs_of_all_events(run):
+    own = [(i, i % 11) for i in range(200)] + [(200 + i, 50) for i in (0, 8, 16, 24, 38)] + [(400, 51)]
+    wanted = {u: reduce(costs.add, (costs.CLASSES[i % 8] for i, v in sorted(own) if v == u), costs.ONE) for _, u in own}
+    assert wanted[50] == costs.EXP  # the fifth event decides
+    assert dict(run("a15_cost_sum", events=(own, EVENTS))) == wanted

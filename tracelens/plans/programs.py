@@ -296,11 +296,8 @@ WITH c AS (SELECT user_id, list(event_id % 8 ORDER BY event_id)[1:4] AS l FROM e
 f AS (SELECT user_id, list_reduce(list_prepend(0, l), lambda a, b: CASE WHEN a = 8 OR b = 8 THEN 8 WHEN a = b THEN a WHEN a = 7 THEN CASE WHEN b <= 2 THEN 7 WHEN b >= 4 THEN b ELSE 8 END WHEN b = 7 THEN CASE WHEN a <= 2 THEN 7 WHEN a >= 4 THEN a ELSE 8 END ELSE greatest(a, b) END) AS r FROM c)
 SELECT user_id, ({NAMES})[r + 1] AS total FROM f""")
 def a15(spark, sf):
-    from ..operators.windows import first_per_group
-
-    few = first_per_group(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], 4)
     name = F.get(F.array(*map(F.lit, costs.CLASSES)), (F.col("event_id") % 8).cast("int"))
-    lists = stats.grouped_lists(few.withColumn("class", name), ["user_id"], "event_id", "class")
+    lists = stats.grouped_lists(table(spark, sf, "events").select("user_id", "event_id", name.alias("class")), ["user_id"], "event_id", "class")
     return lists.select("user_id", costs.sum_column(F.col("items")).alias("total"))
 
 
