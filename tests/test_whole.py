@@ -37,3 +37,9 @@ def test_costs_of_all_events(run):
     wanted = {u: reduce(costs.add, (costs.CLASSES[i % 8] for i, v in sorted(own) if v == u), costs.ONE) for _, u in own}
     assert wanted[50] == costs.EXP  # the fifth event decides
     assert dict(run("a15_cost_sum", events=(own, EVENTS))) == wanted
+
+
+def test_roles_of_all_turns(run):
+    turns = [(1, t, r) for t, r in enumerate(["user", "user", "assistant", "user", "tool"])] + [(2, 0, "system"), (2, 7, "user"), (2, 3, "assistant"), (2, 9, "system")] + [(3, 0, "b"), (3, 0, "a"), (4, 5, None), (4, 6, "user")]
+    got = dict(run("a19_distinct_in_order", conversations=(turns, "conv_id long, turn int, role string")))
+    assert got == {1: ["user", "assistant", "tool"], 2: ["system", "assistant", "user"], 3: ["a", "b"], 4: [None, "user"]}

@@ -105,6 +105,12 @@ def grouped_lists(rows: DataFrame, by: By, order: str, value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("items"))
 
 
+def distinct_in_order(rows: DataFrame, by: By, order: str, value: str) -> DataFrame:
+    """Distinct values of each group by their first occurrence, equal places by value: repeats combine before a group is gathered."""
+    firsts = rows.groupBy(*by, value).agg(F.min(F.struct(order, value)).alias("first"))
+    return firsts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("first")), lambda x: x[value]).alias("items"))
+
+
 def peaks(samples: DataFrame, by: By, value: str, failed: Column) -> DataFrame:
     """Greatest sample and number of samples; failed samples count, without a value."""
     return samples.groupBy(*by).agg(F.coalesce(F.max(F.when(~failed, F.col(value))), F.lit(0.0)).alias("peak"), F.count(F.lit(1)).alias("n"), count_of(failed).alias("n_failed"))

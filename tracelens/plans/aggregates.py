@@ -150,8 +150,7 @@ def a18(spark, sf):
 
 @query("a19_distinct_in_order", "SELECT conv_id, list_filter([list_extract(r, 1), CASE WHEN list_extract(r, 2) <> list_extract(r, 1) THEN list_extract(r, 2) END], lambda x: x IS NOT NULL) AS firsts FROM (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY conv_id)")
 def a19(spark, sf):
-    items = stats.grouped_lists(table(spark, sf, "conversations"), ["conv_id"], "turn", "role")
-    return items.select("conv_id", F.array_distinct(F.slice("items", 1, 2)).alias("firsts"))
+    return stats.distinct_in_order(table(spark, sf, "conversations"), ["conv_id"], "turn", "role").withColumnRenamed("items", "firsts")
 
 
 @query("a20_sorted_distinct", "SELECT user_id, list_sort(list_distinct(list(event_id % 17))) AS lines FROM events GROUP BY user_id")
