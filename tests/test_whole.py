@@ -43,3 +43,12 @@ def test_roles_of_all_turns(run):
     turns = [(1, t, r) for t, r in enumerate(["user", "user", "assistant", "user", "tool"])] + [(2, 0, "system"), (2, 7, "user"), (2, 3, "assistant"), (2, 9, "system")] + [(3, 0, "b"), (3, 0, "a"), (4, 5, None), (4, 6, "user")]
     got = dict(run("a19_distinct_in_order", conversations=(turns, "conv_id long, turn int, role string")))
     assert got == {1: ["user", "assistant", "tool"], 2: ["system", "assistant", "user"], 3: ["a", "b"], 4: [None, "user"]}
+
+
+def test_lines_of_whole_texts(run):
+    texts = ["", None, "one", "a\nb\n", "\r\n".join(f"l{i}" for i in range(12)), "\n".join(f"l{i}" for i in range(406)) + "\n", "\n\n\n"]
+    docs = (list(enumerate(texts)), "doc_id long, text string")
+    lines = [(i, n + 1) for i, t in enumerate(texts) for n in range(len((t or "").splitlines()))]
+    to = lambda n: None if n in (3, 8, 9) else n + (n > 3) + (n >= 6) - 2 * (n > 9)
+    assert sorted(run("j07_line_shift", documents=docs), key=lambda r: r[:2]) == [(i, n, to(n)) for i, n in lines]
+    assert sorted(run("j08_new_lines", documents=docs)) == [(i, n, n in (3, 4, 7)) for i, n in lines]

@@ -114,15 +114,21 @@ def edited(spark, sf):
     return docs(spark, sf).withColumn("l", T.lines("text")).withColumn("edits", F.expr(EDITS).cast(f"array<{E.EDIT}>"))
 
 
+def edited_lines(spark, sf):
+    """A row for each line of each text, its number n beside the measured edits; none of an empty text."""
+    own = edited(spark, sf).select("doc_id", E.measured(F.col("edits")).alias("edits"), F.size("l").cast("long").alias("n_lines"))
+    return own.filter("n_lines > 0").select("doc_id", "edits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines"))).alias("n"))
+
+
 @query("j07_line_shift", "SELECT doc_id, n, CASE WHEN n IN (3, 8, 9) THEN NULL ELSE n + CASE WHEN n > 3 THEN 1 ELSE 0 END + CASE WHEN n >= 6 THEN 1 ELSE 0 END - CASE WHEN n > 9 THEN 2 ELSE 0 END END AS mapped FROM documents, unnest(range(1, 13)) AS t(n)")
 def j07(spark, sf):
-    rows = edited(spark, sf).select("doc_id", E.measured(F.col("edits")).alias("edits")).select("doc_id", "edits", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("n"))
+    rows = edited_lines(spark, sf)
     return rows.select("doc_id", "n", E.map_line(F.col("n"), F.col("edits")).alias("mapped"))
 
 
 @query("j08_new_lines", "SELECT doc_id, n, n IN (3, 4, 7) AS is_new FROM documents, unnest(range(1, 13)) AS t(n)")
 def j08(spark, sf):
-    rows = edited(spark, sf).select("doc_id", E.measured(F.col("edits")).alias("edits")).select("doc_id", "edits", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("n"))
+    rows = edited_lines(spark, sf)
     return rows.select("doc_id", "n", E.is_new_line(F.col("n"), F.col("edits")).alias("is_new"))
 
 
