@@ -1,10 +1,12 @@
 """Queries over whole tables: small fixtures on which a part of the rows or of a list gives another result."""
 
+import math
 from functools import reduce
 
 import pytest
 
 from tracelens.functions import costs
+from tracelens.functions.text import CODE_END, CODE_START
 from tracelens.plans import catalogue
 
 
@@ -52,3 +54,26 @@ def test_lines_of_whole_texts(run):
     to = lambda n: None if n in (3, 8, 9) else n + (n > 3) + (n >= 6) - 2 * (n > 9)
     assert sorted(run("j07_line_shift", documents=docs), key=lambda r: r[:2]) == [(i, n, to(n)) for i, n in lines]
     assert sorted(run("j08_new_lines", documents=docs)) == [(i, n, n in (3, 4, 7)) for i, n in lines]
+
+
+def edit_step(doc_id, text):
+    """The first step of an edit prompt within 400 tokens and its tokens."""
+    own = (text or "").splitlines()
+    total, fault = len(own), doc_id % max(len(own), 1) + 1
+    told = ["E1 at line 1", f"W2 at line {fault}"][: doc_id % 3]
+    first, last = (max(1, fault - 15), min(total, fault + 15)) if total > 30 else (1, total)
+    for name, a, b, shown in (("full source", 1, total, told), ("around the fault", first, last, told), ("without findings", first, last, [])):
+        body = "\n".join(f"{n}: {own[n - 1]}" for n in range(a, b + 1))
+        prompt = f"### Source\n{CODE_START}\n{body}\n{CODE_END}" + ("\n\n### Findings\n" + "\n".join(shown) if shown else "")
+        tokens = max(1, math.ceil(len(prompt) / 3.5 * 1.15))
+        if tokens <= 400:
+            return name, tokens
+    return None, None
+
+
+def test_edit_steps_of_whole_texts(run):
+    rows = [(i, "\n".join(["x" * (i % 40)] * (i // 3 % 60))) for i in range(600)] + [(600, ""), (601, None), (602, "y" * 1300), (603, "\n".join(["z" * 90] * 29))]
+    rows += [(1000 + i, "v" * (1085 + i // 3)) for i in range(150)]
+    got = {r[0]: r[1:] for r in run("d19_edit_context", documents=(rows, "doc_id long, text string"))}
+    assert got == {i: edit_step(i, t) for i, t in rows}
+    assert {name for name, _ in got.values()} == {"full source", "around the fault", "without findings", None}

@@ -217,10 +217,16 @@ def d13(spark, sf):
 WITH t AS (SELECT doc_id, CAST(greatest(1, ceil((length(text)) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT) AS a, CAST(greatest(1, ceil(least(length(text), 700) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT) AS b FROM documents)
 SELECT doc_id, CASE WHEN a <= 400 THEN 'full source' WHEN b <= 400 THEN 'around the fault' END AS name, CASE WHEN a <= 400 THEN a WHEN b <= 400 THEN b END AS tokens FROM t""")
 def d19(spark, sf):
-    from ..operators.rules import first_fitting
+    """Edit prompts of whole texts, the fault on some line of the text and 0 to 2 findings; name and tokens are null where even the last step is too large."""
+    from ..operators import context
 
-    variants = [("full source", F.col("text")), ("around the fault", F.substring("text", 1, 700))]
-    return docs(spark, sf).select("doc_id", first_fitting(variants, T.estimate_tokens, F.lit(400)).alias("v")).select("doc_id", "v.*")
+    total = F.greatest(F.size("lines").cast("long"), F.lit(1))
+    found = F.array(F.struct(F.lit("E1").alias("code"), F.lit(1).cast("long").alias("line")), F.struct(F.lit("W2").alias("code"), F.col("line").alias("line")))
+    own = docs(spark, sf).select("doc_id", "text", T.lines("text").alias("lines")).withColumn("line", F.pmod("doc_id", total) + 1)
+    own = own.withColumn("findings", F.slice(found, F.lit(1), F.pmod("doc_id", F.lit(3)).cast("int")))
+    made = own.select("doc_id", context.edit(F.col("text"), F.col("lines"), F.col("line"), F.col("findings"), F.lit(400)).alias("c"))
+    names = F.array(*map(F.lit, ("full source", "around the fault", "without findings")))
+    return made.select("doc_id", F.get(names, F.size("c.omitted")).alias("name"), "c.tokens")
 
 
 @query("d18_diagnosis_context")
