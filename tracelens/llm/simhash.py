@@ -206,8 +206,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; rows with a null doc_id stay."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    # the ids are hashed, so that the texts are shuffled but neither sorted nor spilled
-    whole = docs.filter("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    return whole.union(docs.filter("doc_id is null"))
+    """One row of ``docs`` for each component: that with the smallest doc_id, null ids last; of rows that share it any one.
+
+    Only where ids are null or repeated, the rows are written once with a tag that tells them apart.
+    """
+    columns = docs.columns
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").head(1):
+        docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        found = near_duplicates(docs.select(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("doc_id"), "text"))
+        key, kept = "__row", found.filter("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("__row"))
+    else:
+        key, kept = "doc_id", near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+    # the keys are hashed, so that the texts are shuffled but neither sorted nor spilled
+    return docs.join(kept.hint("shuffle_hash"), key, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
