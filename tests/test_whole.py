@@ -7,6 +7,7 @@ import pytest
 
 from tracelens.functions import costs
 from tracelens.functions.text import CODE_END, CODE_START
+from tracelens.operators import stats
 from tracelens.plans import catalogue
 
 
@@ -77,3 +78,11 @@ def test_edit_steps_of_whole_texts(run):
     got = {r[0]: r[1:] for r in run("d19_edit_context", documents=(rows, "doc_id long, text string"))}
     assert got == {i: edit_step(i, t) for i, t in rows}
     assert {name for name, _ in got.values()} == {"full source", "around the fault", "without findings", None}
+
+
+def test_deep_trees_fail_instead_of_parting(spark):
+    chain = lambda n: spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(n)], "id long, parent long, v long")
+    assert [tuple(r) for r in stats.tree_sums(chain(128), "v").collect()] == [(0, 128, 128)]
+    assert [tuple(r) for r in stats.tree_sums(chain(300), "v", max_depth=256).collect()] == [(0, 300, 300)]
+    with pytest.raises(Exception, match="deeper than max_depth=64"):
+        stats.tree_sums(chain(300), "v").collect()

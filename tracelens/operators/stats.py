@@ -120,13 +120,15 @@ def tree_sums(nodes: DataFrame, value: str, max_depth: int = 64) -> DataFrame:
     """Sum of ``value`` over each root (null parent) and its descendants, from rows (id, parent, value).
 
     Pointer doubling: after k rounds each node points 2^k ancestors up, so a chain of depth d takes log d joins, each
-    on keys that are unique on one side.
+    on keys that are unique on one side. The rounds settle chains of fewer than 128 steps (2^7, for a ``max_depth`` of 64 to 127); a
+    deeper chain or a cycle fails instead of giving sums of parts.
     """
     hops = nodes.select("id", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), value)
     for _ in range(max(1, max_depth.bit_length())):
         above = hops.select(F.col("id").alias("a"), F.col("up").alias("up2"), F.col("root").alias("root2"))
         hops = hops.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), value)
-    return hops.groupBy("root").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    root = F.when(F.col("up").isNull(), F.col("root")).otherwise(F.raise_error(F.lit(f"tree_sums: a chain is deeper than max_depth={max_depth} allows, or has a cycle")))
+    return hops.select(root.alias("root"), value).groupBy("root").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def verdicts(rows: DataFrame, by: By, established: Column, broken: Column) -> DataFrame:
