@@ -148,7 +148,7 @@ def a18(spark, sf):
     return stats.verdicts(events(spark, sf), ["user_id"], F.col("value") > 0.5, F.col("event_type") == "error")
 
 
-@query("a19_distinct_in_order", "SELECT conv_id, list_filter([list_extract(r, 1), CASE WHEN list_extract(r, 2) <> list_extract(r, 1) THEN list_extract(r, 2) END], lambda x: x IS NOT NULL) AS firsts FROM (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY conv_id)")
+@query("a19_distinct_in_order", "SELECT conv_id, list(role ORDER BY first, role) AS firsts FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def a19(spark, sf):
     return stats.distinct_in_order(table(spark, sf, "conversations"), ["conv_id"], "turn", "role").withColumnRenamed("items", "firsts")
 

@@ -17,6 +17,7 @@ from ..sources import files, generator, sinks
 from ..streaming import suites
 from .aggregates import suites as suite_rows
 from .registry import query, table
+from .scalars import SQL_LINES
 
 
 def docs(spark, sf):
@@ -213,9 +214,21 @@ def d13(spark, sf):
     return checked.join(found, "doc_id", "left").select("doc_id", "syntax_valid", F.when(F.col("syntax_valid"), F.coalesce("n_functions", F.lit(0))).otherwise(0).cast("long").alias("n_functions"))
 
 
-@query("d19_edit_context", """
-WITH t AS (SELECT doc_id, CAST(greatest(1, ceil((length(text)) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT) AS a, CAST(greatest(1, ceil(least(length(text), 700) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT) AS b FROM documents)
-SELECT doc_id, CASE WHEN a <= 400 THEN 'full source' WHEN b <= 400 THEN 'around the fault' END AS name, CASE WHEN a <= 400 THEN a WHEN b <= 400 THEN b END AS tokens FROM t""")
+def sql_prompt(first: str, last: str, findings: bool) -> str:
+    """Tokens of an edit prompt over the lines first to last."""
+    body = f"array_to_string(list_transform(range({first}, {last} + 1), lambda i: CAST(i AS VARCHAR) || ': ' || l[i]), chr(10))"
+    told = " || CASE WHEN k > 0 THEN chr(10) || chr(10) || '### Findings' || chr(10) || 'E1 at line 1' || CASE WHEN k > 1 THEN chr(10) || 'W2 at line ' || line ELSE '' END ELSE '' END" if findings else ""
+    fixed = f"'### Source' || chr(10) || '{T.CODE_START}' || chr(10) || replace(replace({body}, '<<<', '<\\<<'), '>>>', '>\\>>') || chr(10) || '{T.CODE_END}'"
+    return f"CAST(greatest(1, ceil(length({fixed}{told}) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT)"
+
+
+SQL_FIRST, SQL_LAST = "CASE WHEN n > 30 THEN greatest(1, line - 15) ELSE 1 END", "CASE WHEN n > 30 THEN least(n, line + 15) ELSE n END"
+
+
+@query("d19_edit_context", f"""
+WITH v AS (SELECT doc_id, {SQL_LINES} AS l FROM documents), w AS (SELECT *, len(l) AS n, doc_id % greatest(len(l), 1) + 1 AS line, doc_id % 3 AS k FROM v),
+t AS (SELECT doc_id, {sql_prompt('1', 'n', True)} AS a, {sql_prompt(SQL_FIRST, SQL_LAST, True)} AS b, {sql_prompt(SQL_FIRST, SQL_LAST, False)} AS c FROM w)
+SELECT doc_id, CASE WHEN a <= 400 THEN 'full source' WHEN b <= 400 THEN 'around the fault' WHEN c <= 400 THEN 'without findings' END AS name, CASE WHEN a <= 400 THEN a WHEN b <= 400 THEN b WHEN c <= 400 THEN c END AS tokens FROM t""")
 def d19(spark, sf):
     """Edit prompts of whole texts, the fault on some line of the text and 0 to 2 findings; name and tokens are null where even the last step is too large."""
     from ..operators import context
@@ -298,7 +311,7 @@ NAMES = "['O(1)', 'O(log n)', 'O(n)', 'O(n log n)', 'O(n²)', 'O(n³)', 'O(2^n)'
 
 
 @query("a15_cost_sum", f"""
-WITH c AS (SELECT user_id, list(event_id % 8 ORDER BY event_id)[1:4] AS l FROM events GROUP BY user_id),
+WITH c AS (SELECT user_id, list(event_id % 8 ORDER BY event_id) AS l FROM events GROUP BY user_id),
 f AS (SELECT user_id, list_reduce(list_prepend(0, l), lambda a, b: CASE WHEN a = 8 OR b = 8 THEN 8 WHEN a = b THEN a WHEN a = 7 THEN CASE WHEN b <= 2 THEN 7 WHEN b >= 4 THEN b ELSE 8 END WHEN b = 7 THEN CASE WHEN a <= 2 THEN 7 WHEN a >= 4 THEN a ELSE 8 END ELSE greatest(a, b) END) AS r FROM c)
 SELECT user_id, ({NAMES})[r + 1] AS total FROM f""")
 def a15(spark, sf):
