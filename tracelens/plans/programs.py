@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import costs
 from ..functions import text as T
 from ..operators import code, registry, stats
+from ..session import own_folder
 from ..sources import files, generator, sinks
 from ..streaming import suites
 from .aggregates import suites as suite_rows
@@ -29,12 +29,8 @@ def programs(spark, sf):
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, else the warehouse; a temporary one on a local master alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[")
-        base = "file://" + tempfile.mkdtemp(prefix="tracelens-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tracelens/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share; it goes when the application ends."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 KIND = "doc_id % 10"

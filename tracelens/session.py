@@ -1,4 +1,4 @@
-"""Makes the package importable where Python tasks run."""
+"""Makes the package importable where Python tasks run, and names the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_kept: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -27,3 +28,32 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     _shipped.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a fresh temporary folder and any other master the warehouse, never a folder of one machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracelens.shared.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
+        spark.conf.set("tracelens.shared.dir", base)
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def hadoop_fs(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables. It is removed when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/tracelens/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        fs, p = hadoop_fs(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _kept.add(folder)
+    return folder
