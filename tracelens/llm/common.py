@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,30 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import hadoop_fs, own_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a fresh temporary folder and any other
-    master the warehouse, never a folder of one machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracelens.shared.dir", None)
-    if not base and spark.sparkContext.master.startswith("local["):
-        base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
-        spark.conf.set("tracelens.shared.dir", base)
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-def own_folder(spark: SparkSession) -> str:
-    """Where this application keeps its intermediate tables; ``clear`` removes it once results are written."""
-    return f"{shared_dir(spark)}/tracelens/{spark.sparkContext.applicationId}"
-
-
 def clear(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once results are written."""
     remove_path(spark, own_folder(spark))
 
 
@@ -55,12 +39,6 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df._tracelens_path)
 
 
-def hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_fs(spark, path)
     fs.delete(p, True)
@@ -113,15 +91,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. Large: each node hands its larger neighbours to the smallest of its
     neighbourhood. Small: each node hands its smaller neighbours, and itself, to the smallest.
 
-    The smallest neighbour comes from a map-side combined aggregate and a join, which AQE can
-    split, so no task ever holds the neighbourhood of a hub.
+    The smallest neighbour comes from a map-side combined aggregate and a join. The aggregate's key is joined as an
+    expression (u ^ 0), so that both sides of the join are exchanges of its own: only such ones can AQE split at a hub.
     """
     if large:
         pairs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(low, "u")
+    joined = pairs.join(low.select(F.expr("u ^ 0L").alias("__u"), "m"), F.col("u") == F.col("__u"))
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
