@@ -137,6 +137,29 @@ def test_bpe(spark, texts):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_splits_every_code_point():
+    from tokenizers import Tokenizer
+
+    coder, ref = bpe.Bpe(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 20_000):
+        text = "".join(f"a{x}1{x}!{x}'ll  {x} " for x in points[at : at + 20_000])
+        assert coder.split(text) == [text[a:b] for _, (a, b) in ref.pre_tokenizer.pre_tokenize_str(text)]
+    made = [f"x{c} {c}'ll" for c in "\U00019077\U0001e6c0\U00018d80\U000323b0\u1c89\u0558"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_batch(made)] == [e.ids for e in ref.encode_batch(made, add_special_tokens=False)]
+
+
+def test_bpe_tables_are_bounded():
+    coder = bpe.Bpe(bpe.default_path(), cached=200, cached_chars=3000)
+    rng = random.Random(8)
+    for _ in range(20):
+        words = ["".join(rng.choices("abcdef12", k=rng.randint(1, 400))) for _ in range(30)]
+        text = "!" + " ".join(words)
+        assert coder.decode(coder.encode(text)) == text
+        for lead, known in (("", coder.whole), (" ", coder.later)):
+            assert coder.held[lead] == sum(map(len, known)) and (len(known) <= 30 or len(known) <= 200 and coder.held[lead] <= 3000)
+
+
 def PairCheck(coder):
     """Pairs whose rank the table doesn't give."""
     pairs = np.array(list(coder.ranks), np.int64)

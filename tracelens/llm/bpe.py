@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import text_map
 
-#: How the pre-tokenizer splits text (fixed values of the byte-level vocabulary).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How the pre-tokenizer splits text (fixed values of the byte-level vocabulary): {L} letters, {N} numbers, {S} white space.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: White space of the pre-tokenizer (fixed values).
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NO_RANK = (1 << 31) - 1  #: of a pair that doesn't merge
 
 
@@ -30,6 +35,30 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Letters and numbers of the library's tables (Unicode 16) beyond those of Unicode 15.1 (fixed values).
+LATER = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 "
+         "113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+
+
+@cache
+def classes() -> dict[str, str]:
+    """Character classes of ``PATTERN`` as ranges: letters and numbers of ``unicodedata`` (15.1 in Python 3.13) and ``LATER``. Those of the
+    ``regex`` module are newer than the library's."""
+    kinds = np.array([category(chr(c))[0] for c in range(0x110000)])
+    out = {"S": SPACE}
+    for name, later in LATER.items():
+        own = kinds == name
+        for a, b in (r.split("-") for r in later.split()):
+            own[int(a, 16) : int(b, 16) + 1] = True
+        at = np.flatnonzero(own)
+        ends = np.flatnonzero(np.diff(at) > 1)
+        out[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(at[np.r_[0, ends + 1]].tolist(), at[np.r_[ends, len(at) - 1]].tolist()))
+    return out
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in the file: itself, or the next free one from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -75,14 +104,11 @@ class PairTable:
 class Bpe:
     """Encoder and decoder of one vocabulary file.
 
-    ``short``: greatest number of bytes of a word in the matrices. ``cached``: pieces of text kept with their ids.
+    ``short``: greatest number of bytes of a word in the matrices. ``cached``, ``cached_chars``: most pieces of text that a table keeps with
+    their ids between groups of texts, and most characters of them.
     """
 
-    def __init__(self, path: str, short: int = 48, cached: int = 1 << 18):
-        import re
-
-        import regex
-
+    def __init__(self, path: str, short: int = 48, cached: int = 1 << 18, cached_chars: int = 4 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -102,12 +128,13 @@ class Bpe:
             self.tokens[i] = t
         for t, i in self.special.items():
             self.tokens[i] = t.encode()
-        self.short, self.cached = short, cached
-        self.split = regex.compile(PATTERN).findall
-        self.chunks = regex.compile(r"\s*\S+|\s+").findall
-        self.joins = re.compile(r"\s ").search
+        self.short, self.cached, self.cached_chars = short, cached, cached_chars
+        self.split = re.compile(PATTERN.format(**classes())).findall
+        self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.joins = re.compile(f"[{SPACE}] ").search
         self.later: dict[str, bytes] = {}  # ids of a piece behind a space
         self.whole: dict[str, bytes] = {}  # ids of a piece as it is
+        self.held = {"": 0, " ": 0}  # characters in ``whole`` and ``later``
 
     # --- words ------------------------------------------------------------------------------------
 
@@ -161,11 +188,12 @@ class Bpe:
         return [p for p in part if p >= 0]
 
     def learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Add the ids of ``lead`` + piece to ``known``, for pieces that it lacks."""
+        """Add the ids of ``lead`` + piece to ``known``, for pieces that it lacks. A table that would grow beyond its bounds is emptied first."""
         new = list(pieces.difference(known))
-        if len(known) + len(new) > self.cached:
+        if len(known) + len(new) > self.cached or self.held[lead] + sum(map(len, new)) > self.cached_chars:
             known.clear()
-            new = list(pieces)
+            self.held[lead], new = 0, list(pieces)
+        self.held[lead] += sum(map(len, new))
         plain = [p for p in new if p.isalpha()]  # letters alone are one word
         known.update(zip(plain, self.merge([(lead + p).encode() for p in plain])))
         mixed = [p for p in new if not p.isalpha()]
@@ -276,16 +304,6 @@ def decoded(ids, path: str | None = None):
     return decode(ids)
 
 
-def ids_array(ids):
-    """Ids as array<bigint>, for readers that want no bytes."""
-
-    @F.arrow_udf("array<bigint>")
-    def unpack(column: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(x or b"", "<u4").astype(np.int64) for x in column.to_pylist()], pa.list_(pa.int64()))
-
-    return unpack(ids)
-
-
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, ids (binary), decoded (string).
 
