@@ -191,8 +191,17 @@ def test_token_counts(spark, texts, tmp_path):
             start = e + 1
         if start < n:
             want.append((paths[-1], int((ids == token_counts.END).sum()), start, n - start, False))
-    found = token_counts.count_tokens(token_counts.token_files(spark, paths), block_bytes=30)
-    assert sorted(map(tuple, found.collect())) == sorted(want)
+    for span in (1, 3, 1024):
+        found = token_counts.count_tokens(token_counts.token_files(spark, paths), block_bytes=30, span=span)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    wide = {r.doc_id: r.n_tokens for r in token_counts.document_counts(frame(spark, some[:30]), width=4, block_bytes=128).collect()}
+    assert wide == {None: 2} | {i: got[i] for i in range(30)}
+
+
+def test_token_files_refuse_ids_that_do_not_fit(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="don't fit 2 bytes"):
+        token_counts.write_token_files(docs, f"file://{tmp_path}/t", end=70_000)
 
 
 def test_language_id(spark):

@@ -66,6 +66,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def greatest_id(path: str) -> int:
+    """The greatest id of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
+
+
 class PairTable:
     """Ranks of pairs of ids in an open-addressed table, looked up for whole arrays of pairs."""
 
