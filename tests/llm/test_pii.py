@@ -72,3 +72,65 @@ def test_native(spark):
 
 def test_empty_table(spark):
     assert P.digest(P.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def own(text, taken):
+    """The method's own spans of a text by plain steps: (start, end, kind)."""
+    out = []
+    for kind, pattern in P.MORE.items():
+        hidden = list(text)
+        for a, _, e, k in taken:
+            if k == kind:
+                hidden[a:e] = "\0" * (e - a)
+        found = list(re.finditer(pattern, "".join(hidden)))
+        for i, m in enumerate(found):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            if kind == "iban":
+                plain = m[0].replace(" ", "")
+                if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
+                    continue
+            after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)][: P.AFTER]
+            near = f"{''.join(hidden)[max(0, m.start() - P.BEFORE) : m.start()]}|{after}".lower()
+            score = P.SCORES[kind] + P.RAISE * bool(re.search(rf"\b(?:{P.CONTEXT[kind]})\b", near)) - P.LOWER * bool(re.search(rf"\b(?:{P.AGAINST})\b", near))
+            if score > P.THRESHOLD - 1e-6:
+                out.append((m.start(), m.end(), kind))
+    return out
+
+
+def test_all_spans_and_redaction_against_plain_steps(spark):
+    rng = random.Random(11)
+    bits = ["4465758382889437", "4465 7583 8288 9437", " ", ", ", "phone ", "555-555-0199", "(555) 555-0199", "ssn ", "123-45-6789", "order ", "card", "GB82 WEST 1234 5698 7654 32", "iban ", "+1 (555) 555-1234",
+            "a@b.co", "x" * 30, "\n", "é😀", "7", " visa", "10.0.0.1", "invoice no "]
+    made = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(400)] + ["call 555-555-0199 or " * 700, "", None, "é😀x" * 3000 + "a@b.co"]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(made)], "doc_id long, text string, n_chars long").repartition(4)
+    spans = {r.doc_id: r.spans.split(",") if r.spans else [] for r in P.digest(P.find(docs)).collect()}
+    plain = {r.doc_id: r.text for r in P.redact(docs).collect()}
+    some = set()
+    for i, t in enumerate(made):
+        taken = base(t or "")
+        want = sorted([(a, e, k) for a, _, e, k in taken] + own(t or "", taken), key=lambda s: (s[0], P.KINDS.index(s[2]), s[1]))
+        assert spans[i] == [f"{k}:{a}:{e}" for a, e, k in want], t
+        some |= {k for a, e, k in want if (a, P.KINDS.index(k), e, k) not in taken}
+        text, at = "", 0
+        for a, e, k in want:
+            if a >= at:
+                text += t[at:a] + f"[{k.upper()}]"
+            at = max(at, e)
+        assert plain[i] == (None if t is None else text + t[at:])
+    assert some == set(P.MORE)
+
+
+def test_time_in_proportion(spark):
+    import time
+
+    times = []
+    for n in (5_000, 5_000, 20_000):
+        docs = spark.createDataFrame([(1, "".join(f"user{i % 90}@mail.example.com +1 (555) 555-{i % 9000 + 1000} " for i in range(n)), 0)], "doc_id long, text string, n_chars long")
+        start = time.perf_counter()
+        r = P.digest(P.find(docs)).head()
+        text = P.redact(docs).head().text
+        times.append(time.perf_counter() - start)
+        assert r.n_email == r.n_phone == n and text == "[EMAIL] [PHONE] " * n
+    assert times[2] < 10 * times[1] + 2  # four times the text

@@ -1,7 +1,8 @@
 """Personal data, found with DataFrame functions alone.
 
-Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm them, and context words in the
-characters before a span adjust its score; what reaches the threshold stays.
+Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm them, and context words in the characters
+before and after a span raise or lower its score; what reaches the threshold stays. All steps take time in proportion to a text's length
+and number of spans: running offsets are folded in chunks (``scan``), and no part of a text is cut out by counting from its start.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ MORE = {
 }
 #: Characters without which a kind can't occur, as a cheap test before its pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Score of a confirmed span, and words before it that raise the score.
+#: Score of a confirmed span, words near it that raise the score, and words near it that lower it.
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.6, "phone": 0.3, "iban": 0.6, "ssn": 0.3}
 CONTEXT = {
     "card": "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta",
@@ -38,23 +39,54 @@ CONTEXT = {
     "ssn": "ssn|social security",
     "email": "mail|email|contact", "ip": "ip|address|host|server",
 }
-RAISE, WINDOW, THRESHOLD = 0.3, 48, 0.6
+AGAINST = "order|invoice|part|serial|sku|isbn|issn|tracking|version|ticket|example"
+RAISE, LOWER, BEFORE, AFTER, THRESHOLD = 0.3, 0.2, 48, 24, 0.6
 
-_SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,near:string>>"
+_PAIR = "array<struct<m:string,g:string,at:bigint,n:bigint,ok:boolean>>"
+CHUNK, PIECE = 256, 2048
 
 
-def spans_of(text: str, pattern: str, kind: str) -> Column:
-    """Array of (start, end, text) of a pattern's matches that are confirmed; offsets in code points, from the lengths of the parts between.
+def scan(items: str, combine, value, emit, kind: str) -> str:
+    """SQL of a fold that gives an array: ``emit(p, i, at, x)`` is an array for each element x of ``items``, at index i (from 0) of the whole array p,
+    and ``at`` is ``combine`` over the ``value`` of all elements before.
 
-    What is not confirmed only moves the offset on, so a text full of numbers stays cheap.
+    ``combine`` is associative with 0 as its start (a sum, or a greatest). Arrays grow within chunks of CHUNK elements only, whose starts come from a
+    fold over the chunks' totals, so the time is in proportion to the elements.
     """
+    part = f"slice(p, c * {CHUNK} + 1, {CHUNK})"
+    chunks = f"sequence(0, greatest(size(p) - 1, 0) div {CHUNK})"
+    totals = f"transform({chunks}, c -> aggregate({part}, 0L, (s, x) -> {combine('s', value('x'))}))"
+    starts = f"aggregate(t, array(0L), (s, v) -> concat(s, array({combine('element_at(s, -1)', 'v')})))"
+    step = f"(s, x) -> named_struct('at', {combine('s.at', value('x'))}, 'i', s.i + 1, 'out', concat(s.out, {emit('p', 's.i', 's.at', 'x')}))"
+    folded = f"flatten(transform({chunks}, c -> aggregate({part}, named_struct('at', o[c], 'i', c * {CHUNK}, 'out', cast(array() as {kind})), {step}, s -> s.out)))"
+    return f"transform(array({items}), p -> transform(array({totals}), t -> transform(array({starts}), o -> {folded})[0])[0])[0]"
+
+
+def pairs_of(text: str, pattern: str, kind: str) -> Column:
+    """Array of a pattern's matches m with the text g before each, their lengths, and whether the match is confirmed; a last element holds the rest (m null)."""
     p = pattern.replace("\\", "\\\\")
-    pairs = f"zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, g) -> named_struct('m', m, 'at', length(g), 'n', length(m)))"
-    step = (
-        f"case when x.m is null then a when {confirmed(kind, 'x.m')} then named_struct('at', a.at + x.at + x.n, 'out', concat(a.out, array(named_struct("
-        "'start', a.at + x.at, 'end', a.at + x.at + x.n, 'text', x.m)))) else named_struct('at', a.at + x.at + x.n, 'out', a.out) end"
+    ok = f"case when m is null then false else coalesce({confirmed(kind, 'm')}, false) end"
+    return F.expr(
+        f"zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), "
+        f"(m, g) -> named_struct('m', m, 'g', g, 'at', length(g) + 0L, 'n', coalesce(length(m), 0) + 0L, 'ok', {ok}))"
     )
-    return F.expr(f"aggregate({pairs}, named_struct('at', 0L, 'out', cast(array() as {_SPAN})), (a, x) -> {step}, a -> a.out)")
+
+
+def spans_of(pairs: str) -> Column:
+    """Array of (start, end, near) of the confirmed matches; offsets in code points. near: up to BEFORE characters before a span, '|', and what follows
+    it up to the next match, AFTER characters at most, in lower case."""
+    def emit(p, i, at, x):
+        behind = f"if({x}.at >= {BEFORE}, right({x}.g, {BEFORE}), right(concat(array_join(transform(slice({p}, greatest({i} - {BEFORE - 1}, 1), least({i}, {BEFORE})), y -> concat(right(y.g, {BEFORE}), y.m)), ''), {x}.g), {BEFORE}))"
+        near = f"lower(concat({behind}, '|', left(coalesce(get({p}, {i} + 1).g, ''), {AFTER})))"
+        return f"if({x}.ok, array(named_struct('start', {at} + {x}.at, 'end', {at} + {x}.at + {x}.n, 'near', {near})), cast(array() as {_SPAN}))"
+
+    return F.expr(scan(pairs, lambda a, b: f"{a} + {b}", lambda x: f"{x}.at + {x}.n", emit, _SPAN))
+
+
+def masked(text: str, pairs: str) -> Column:
+    """The text with confirmed matches overwritten by NUL, character by character."""
+    return F.expr(f"if(exists({pairs}, x -> x.ok), array_join(transform({pairs}, x -> concat(x.g, if(x.ok, repeat(chr(0), cast(x.n as int)), coalesce(x.m, '')))), ''), {text})")
 
 
 def confirmed(kind: str, x: str) -> str:
@@ -74,19 +106,12 @@ def confirmed(kind: str, x: str) -> str:
     return "true"
 
 
-def base_spans(kind: str) -> Column:
-    found = spans_of("__pii_text", BASE[kind], kind)
-    need = F.col("__pii_text").contains(NEEDS[kind]) if kind in NEEDS else F.col("__pii_digits")
-    return F.when(need, found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-
-
 def with_score(kind: str, spans: Column, base: bool) -> Column:
     """(start, order, end, kind, score, base) of spans; a base span keeps the threshold at least."""
     order = KINDS.index(kind)
 
     def one(s):
-        near = F.lower(F.substring(F.col("__pii_text"), F.greatest(s["start"].cast("int") - WINDOW + 1, F.lit(1)), F.least(s["start"].cast("int"), F.lit(WINDOW))))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), RAISE).otherwise(0.0)
+        score = F.lit(SCORES[kind]) + F.when(s["near"].rlike(rf"\b(?:{CONTEXT[kind]})\b"), RAISE).otherwise(0.0) - F.when(s["near"].rlike(rf"\b(?:{AGAINST})\b"), LOWER).otherwise(0.0)
         score = F.least(F.greatest(score, F.lit(THRESHOLD)) if base else score, F.lit(1.0))
         return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"), F.lit(base).alias("base"))
 
@@ -96,40 +121,50 @@ def with_score(kind: str, spans: Column, base: bool) -> Column:
 def find(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """``docs`` with a last column ``out``: array of (start, order, end, kind, score, base) by start, then kind as listed.
 
-    Offsets are code points, end exclusive. All base spans are there; spans of the method that overlap a span of their kind
-    among the base ones are not. Null and empty texts have none. A column ``out`` that ``docs`` has already is replaced;
+    Offsets are code points, end exclusive. All base spans are there; the method looks for its own spans of a base kind in the text without
+    the base spans of that kind, so those never overlap. Null and empty texts have none. A column ``out`` that ``docs`` has already is replaced;
     columns whose names begin with __pii_ are taken for this operator's own. Rows stay one to one.
     """
     from functools import reduce
 
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
     work = docs.withColumn("__pii_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     work = work.withColumn("__pii_digits", F.col("__pii_text").rlike("[0-9]"))
-    work = work.withColumns({f"__pii_{k}": base_spans(k) for k in BASE})
-    apart = lambda kind, spans: F.filter(spans, lambda s: ~F.exists(F.col(f"__pii_{kind}"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-
-    def more(kind):
-        found = F.when(F.col("__pii_digits"), spans_of("__pii_text", MORE[kind], kind)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-        return F.filter(with_score(kind, apart(kind, found) if kind in BASE else found, False), lambda s: s["score"] >= THRESHOLD)
-
-    parts = [with_score(k, F.col(f"__pii_{k}"), True) for k in BASE] + [more(k) for k in MORE]
+    need = {k: F.col("__pii_text").contains(NEEDS[k]) if k in NEEDS else F.col("__pii_digits") for k in BASE}
+    work = work.withColumns({f"__pii_{k}": F.when(need[k], pairs_of("__pii_text", BASE[k], k)).otherwise(none(_PAIR)) for k in BASE})
+    work = work.withColumns({f"__pii_free_{k}": masked("__pii_text", f"__pii_{k}") for k in BASE if k in MORE})
+    work = work.withColumns({f"__pii_more_{k}": F.when(F.col("__pii_digits"), pairs_of(f"__pii_free_{k}" if k in BASE else "__pii_text", MORE[k], k)).otherwise(none(_PAIR)) for k in MORE})
+    found = lambda pairs: F.when(F.exists(pairs, lambda x: x["ok"]), spans_of(pairs)).otherwise(none(_SPAN))
+    parts = [with_score(k, found(f"__pii_{k}"), True) for k in BASE]
+    parts += [F.filter(with_score(k, found(f"__pii_more_{k}"), False), lambda s: s["score"] >= THRESHOLD - 1e-9) for k in MORE]
     work = work.withColumn(out, F.array_sort(reduce(lambda a, b: F.concat(a, b), parts)))
-    return work.drop("__pii_text", "__pii_digits", *[f"__pii_{k}" for k in BASE])
+    return work.drop(*[c for c in work.columns if c.startswith("__pii_") and c != out])
 
 
 def redacted(text: str = "text", spans: str = "pii_spans") -> Column:
-    """The text with every stretch of overlapping spans replaced by the first one's kind in brackets; null stays null."""
-    step = (
-        f"if(s.end <= a.at, a, if(s.start < a.at, named_struct('at', s.end, 'out', a.out), named_struct('at', s.end, 'out', "
-        f"concat(a.out, array(substring({text}, cast(a.at + 1 as int), cast(s.start - a.at as int)), concat('[', upper(s.kind), ']'))))))"
-    )
-    return F.expr(
-        f"case when size({spans}) = 0 then {text} else aggregate({spans}, named_struct('at', 0L, 'out', cast(array() as array<string>)), "
-        f"(a, s) -> {step}, a -> concat(array_join(a.out, ''), substring({text}, cast(a.at + 1 as int)))) end"
-    )
+    """The text with every stretch of overlapping spans replaced by the first one's kind in brackets; null stays null.
+
+    The text is cut into pieces of PIECE characters once; what lies between two stretches is taken from the pieces that hold it.
+    """
+    def between(a: str, b: str) -> str:
+        held = f"array_join(slice(q, cast({a} div {PIECE} as int) + 1, cast(({b} - 1) div {PIECE} - {a} div {PIECE} as int) + 1), '')"
+        return f"if({b} <= {a}, '', substring({held}, cast({a} % {PIECE} as int) + 1, cast({b} - {a} as int)))"
+
+    def emit(p, i, at, s):
+        return f"if({s}.start < {at} or {s}.end <= {at}, cast(array() as array<string>), array({between(at, s + '.start')}, concat('[', upper({s}.kind), ']')))"
+
+    greatest = lambda a, b: f"greatest({a}, {b})"
+    body = scan(spans, greatest, lambda x: f"{x}.end", emit, "array<string>")
+    last = f"array_max({spans}.end)"
+    whole = f"transform(array(regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)), q -> concat(array_join({body}, ''), {between(last, f'(length({text}) + 0L)')}))[0]"
+    return F.expr(f"case when size({spans}) = 0 then {text} else {whole} end")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in text replaced and n_chars counted anew; columns as before."""
+    """``docs`` with personal data in text replaced by its kind in brackets and n_chars counted anew; columns and rows as before.
+
+    A null text stays null, with a null n_chars; an empty one stays empty. Repeated rows are worked off each by itself.
+    """
     out = find(docs, out="__pii_spans").withColumn("text", redacted(spans="__pii_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
