@@ -43,17 +43,56 @@ def test_license_base(spark, texts):
         assert r.base_labels == ",".join(sorted({v for _, v in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def edit_distance(a, b):
+    """Least edits between ``a`` and any stretch of ``b``."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
 def test_license_fuzzy():
+    """Edits of all three sorts outside the names: found with the right label, within the bound, at no more edits than were made or are needed."""
     scan = license_scan.NoticeScanner(license_scan.PHRASES, license_scan.NOTICES)
     rng = random.Random(2)
-    for notice, label in license_scan.NOTICES.items():
-        assert [m[2:4] for m in scan.fuzzy(f" before {notice} after ")] == [(label, 0)]
-        for _ in range(5):
-            text = list(notice)
-            for _ in range(len(notice) // 8):
-                text[rng.randrange(len(text))] = rng.choice("qz ")
-            found = scan.fuzzy(f" words here {''.join(text)} and there ")
-            assert found and all(m[3] <= len(notice) // 8 for m in found)
+    for marked, label in license_scan.NOTICES.items():
+        notice = license_scan.plain_notice(marked)
+        assert [m[2:4] for m in scan.fuzzy(f" before {notice} after ")] == [(label, 0)], marked
+        names = [m.span() for m in re.finditer(r"\{[^}]*\}", marked)]
+        # places of the marked notice that belong to no name, nor to the spaces around one
+        free = [i for i, c in enumerate(marked) if not any(a - 1 <= i <= b for a, b in names)]
+        for _ in range(12):
+            chars, k = list(marked.replace("#", "3")), rng.randint(1, len(notice) // 8)
+            for i in rng.sample(free, min(k, len(free))):
+                sort = rng.randrange(3)
+                chars[i] = "" if sort == 0 else rng.choice("qzxj") if sort == 1 else chars[i] + rng.choice("qzxj")
+            text = "".join(chars).replace("{", "").replace("}", "")
+            found = scan.fuzzy(f" words here {text} and there ")
+            need = edit_distance(notice, text)
+            if need > len(notice) // 8:
+                continue
+            assert [m[2] for m in found] == [label], (text, found)
+            assert all(m[3] <= max(need, 0) + 0 and m[4] == 1 - m[3] / len(notice) for m in found), (text, found, need)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("released under the bsd license", "bsd"), ("released under the isc license", "isc"), ("released under the gpl license", "gpl"), ("released under the abc license", None),
+    ("licensed under cc by sa 4 0", "cc-by-sa"), ("licensed under cc by nd 4 0", "cc-by-nd"), ("licensed under cc by 4 0", "cc-by"), ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"), ("licensed under cc by xx 4 0", None),
+    ("licensed under the apache license version 1 1", "apache-1"), ("licensed under the apache license version 3 0", None), ("mozilla public license version 1 1", "mpl-1"), ("eclipse public license version 1 0", "epl-1"),
+    ("licensed under the gnu general public license version 1", "gpl-1"), ("licensed under the gnu general public license version 4", None),
+    ("released under the bsd license released undr the mit license", "bsd,mit"), ("gnu general public license", None), ("creative commons attribution 3 0 international", "cc-by"),
+])
+def test_license_names(text, label):
+    scan = license_scan.NoticeScanner(license_scan.PHRASES, license_scan.NOTICES)
+    assert ",".join(sorted({m[2] for m in scan.fuzzy(f" some {text} here ")})) == (label or "")
+
+
+def test_license_spans(spark):
+    docs = spark.createDataFrame([(1, "A b c: Released undr the MIT license; and licensed under CC-BY-SA 4.0!")], "doc_id long, text string")
+    r = license_scan.digest(license_scan.scan_licenses(docs)).head()
+    assert (r.spans, r.labels, r.base_labels, r.n_matches) == ("mit:3:5:1,cc-by-sa:9:7:0", "cc-by-sa,mit", "", 2)
 
 
 def windows(text, m):
