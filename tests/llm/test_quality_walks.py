@@ -36,3 +36,90 @@ def test_walks():
     # one rule rejects all good documents at once: the joint walk ends there, the others go on by themselves
     bad = firsts(4000, word_length={0: 4000}) | {quality.JOINT: {steps.index(("word_length", 0)): 4000}}
     assert quality.cutoffs_of(bad, quality.RULES, 0.02, 0.05) == {k: v for k, v in strictest.items() if k != "word_length"}
+
+
+def plain_cutoffs(rows, rules, risk, level):
+    """Cutoffs of one stratum from the values of its good documents, by plain counting and exact sums."""
+    from math import comb
+
+    n = len(rows)
+    p_value = lambda k, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    ok = lambda k, p, part: k <= p * n and (1 if k >= n else p_value(k, p)) <= part
+    above = lambda row, found: any(row[r] > c for r, c in found.items())
+    joint, each = {}, {}
+    order = sorted(((r, i) for r, (_, cuts) in rules.items() for i in range(len(cuts))), key=lambda s: (s[0] in quality.LAST, (s[1] + 1) / len(rules[s[0]][1])))
+    for r, i in order:
+        tighter = joint | {r: float(rules[r][1][i])}
+        if not ok(sum(above(x, tighter) for x in rows), risk, level / 2):
+            break
+        joint = tighter
+    for r, (_, cuts) in rules.items():
+        for c in cuts:
+            if not ok(sum(x[r] > c for x in rows), risk / len(rules), level / 2 / len(rules)):
+                break
+            each[r] = float(c)
+    steps = lambda found: sum((rules[r][1].index(c) + 1) / len(rules[r][1]) for r, c in found.items())
+    return max(joint, each, key=steps)
+
+
+def test_kept_against_plain_steps(spark):
+    import random
+
+    from tests.llm.test_corpus import re
+
+    rng = random.Random(6)
+    rules = {"bangs_per_word": ("n_bangs / greatest(n_words, 1)", [0.5, 0.2, 0.1, 0.05]), "upper_share": ("n_upper / greatest(word_chars, 1)", [0.5, 0.3, 0.1]), "few_words": ("-n_words", [-30, -55, -65])}
+
+    def text():
+        n = rng.randint(40, 90)
+        return " ".join(f"w{rng.randrange(10**6)}" + "!" * (rng.random() < share) for share in [rng.choice([0, 0, 0, 0.05, 0.4])] for _ in range(n)).replace("w", rng.choice("wwwwW"))
+
+    rows = [(i, text(), rng.choice(["en", "en", "de", None])) for i in range(900)] + [(5000, None, "en"), (5001, "", "de"), (None, text(), "en"), (3, text(), "en")]
+    given = [(i, int(rng.random() < 0.8), 0) for i in range(0, 900, 2)] + [(4, 0, 0), (None, 1, 0), (6, None, 0)]
+    marks = {}
+    for i, q, _ in given:
+        marks.setdefault(i, []).append(q)
+    good = {i for i, q in marks.items() if i is not None and min((x for x in q if x is not None), default=0) == 1}
+
+    def facts(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return {"bangs_per_word": (t or "").count("!") / max(len(w), 1), "upper_share": sum("A" <= c <= "Z" for c in t or "") / max(sum(map(len, w)), 1), "few_words": -len(w)}
+
+    strata = {lang or "" for i, _, lang in rows if i in good}
+    cuts = {s: plain_cutoffs([facts(t) for i, t, lang in rows if i in good and (lang or "") == s], rules, 0.1, 0.3 / len(strata)) for s in strata}
+    assert any(cuts.values())
+    want = sorted((str(i), t) for i, t, lang in rows if len((t or "").split()) >= 50 and not any(facts(t)[r] > c for r, c in cuts.get(lang or "", {}).items()))
+    assert len(want) < sum(len((t or "").split()) >= 50 for _, t, _ in rows)  # the cutoffs reject some that the base rules keep
+    docs, labels = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(given, LABELS)
+    options = {"rules": rules, "risk": 0.1, "level": 0.3}
+    assert sorted((str(r.doc_id), r.text) for r in quality.keep(docs, labels, **options).collect()) == want
+    judged = quality.assess(docs, labels, **options).filter("kept").select("doc_id", "q.n_words").collect()
+    assert sorted(str(r.doc_id) for r in judged) == [i for i, _ in want]
+
+
+def test_false_rejections_stay_within_the_risk():
+    """Simulated holdouts: the cutoffs' true share of rejected good documents is above the risk in at most ``level`` of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rules = {"a": ("n_words", [3, 2, 1]), "b": ("n_bangs", [3, 2, 1]), "few_words": ("-n_words", [3, 2])}
+    steps = quality.joint_steps(rules)
+    risk, level, n, trials, wrong, acted = 0.05, 0.1, 400, 400, 0, 0
+    for _ in range(trials):
+        tails = {r: np.sort(rng.uniform(0, 0.08, len(c))) for r, (_, c) in rules.items()}  # true share beyond each cutoff
+        at = {r: np.searchsorted(t, rng.random(n)) for r, t in tails.items()}  # the first cutoff that a document lies above; all of them: none
+        firsts = {r: {} for r in (*rules, quality.JOINT)}
+        for i in range(n):
+            joint = []
+            for r in rules:
+                k = int(at[r][i]) if at[r][i] < len(tails[r]) else None
+                firsts[r][k] = firsts[r].get(k, 0) + 1
+                joint += [] if k is None else [steps.index((r, k))]
+            j = min(joint, default=None)
+            firsts[quality.JOINT][j] = firsts[quality.JOINT].get(j, 0) + 1
+        found = quality.cutoffs_of(firsts, rules, risk, level)
+        kept = 1.0
+        for r, c in found.items():
+            kept *= 1 - tails[r][rules[r][1].index(int(c))]
+        wrong, acted = wrong + (1 - kept > risk), acted + bool(found)
+    assert acted > trials / 4 and wrong <= level * trials

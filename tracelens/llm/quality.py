@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ FEATURES = (
     "n_lines:bigint,n_upper:bigint,n_bangs:bigint>"
 )
 
+NAMES = tuple(x.split(":")[0] for x in FEATURES[7:-1].split(","))
+
 #: Rule: (value as SQL over the features, cutoffs from lenient to strict).
 RULES = {
     "symbols_per_char": ("n_symbols / greatest(word_chars, 1)", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03]),
@@ -75,12 +78,11 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 def features(text: str) -> Column:
     """Column of ``FEATURES`` of a text column."""
-    names = [x.split(":")[0] for x in FEATURES[7:-1].split(",")]
 
     @F.arrow_udf(FEATURES)
     def run(column: pa.Array) -> pa.Array:
         rows = [measure(x) for x in utf8(column)]
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(NAMES))], names=list(NAMES))
 
     return run(text)
 
@@ -136,12 +138,49 @@ def cutoffs_of(firsts: dict, rules: dict, risk: float, level: float) -> dict[str
     return {rule: float(rules[rule][1][k - 1]) for rule, k in best.items() if k}
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the good documents: those whose labels are all quality 1."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1 and doc_id is not null").select("doc_id")
+
+
+#: Bits of the table by which rows without a good label are told apart before they are measured; it never grows.
+SIEVE_BITS = 1 << 23
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """Table of SIEVE_BITS bits, those of the ids set; at most SIEVE_BITS / 64 words reach the driver, however many ids there are."""
+    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)).alias("slot"))
+    words = slots.selectExpr("cast(slot div 64 as int) as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def measure_good(docs: DataFrame, good: DataFrame, stratum: str | None) -> DataFrame:
+    """doc_id, stratum and features q of the documents that have a good label, and of some others: the sieve lets a share of
+    them pass, which ``calibrate``'s join drops. Other texts are not measured."""
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(good).view(np.uint64))
+    rows = docs.select("doc_id", stratum_of(stratum).alias("stratum"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)).alias("slot"))
+    kinds = pa.struct([(n, pa.int64()) for n in NAMES])
+
+    def run(batches):
+        for batch in batches:
+            slot = batch["slot"].to_numpy(zero_copy_only=False)
+            hit = (bits.value[slot // 64] >> (slot % 64).astype(np.uint64)) & np.uint64(1)
+            own = batch.filter(pa.array(hit.astype(bool)))
+            q = [dict(zip(NAMES, measure(x))) for x in utf8(own["text"])]
+            yield pa.RecordBatch.from_arrays([own["doc_id"], own["stratum"], pa.array(q, kinds)], names=["doc_id", "stratum", "q"])
+
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stratum string, q {FEATURES}")
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, rules: dict = RULES) -> DataFrame:
     """(stratum, cutoffs map<string,double>): a rule that no cutoff passes for is left out of the map, a stratum without cutoffs has no row.
 
-    ``measured``: doc_id, stratum, q (features). Good documents: those whose labels are all quality 1.
+    ``measured``: doc_id, stratum, q (features) of the good documents at least (``good_ids``).
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    good = good_ids(labels)
     held = measured.join(good, "doc_id", "left_semi").select("stratum", "q.*")
     # cutoffs fall, so the first that a value lies above is found by how many do not lie below it
     first = {
@@ -158,12 +197,15 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level:
     )
     strata = max(1, counts.count())
 
-    @F.udf("map<string,double>")
-    def chosen(rows):
-        firsts: dict = {name: {} for name in (*rules, JOINT)}
-        for r in rows:
-            firsts[r["rule"]][r["at"]] = r["count"]
-        return cutoffs_of(firsts, rules, risk, level / strata)
+    @F.arrow_udf("map<string,double>")
+    def chosen(column: pa.Array) -> pa.Array:
+        out = []
+        for rows in column.to_pylist():
+            firsts: dict = {name: {} for name in (*rules, JOINT)}
+            for r in rows:
+                firsts[r["rule"]][r["at"]] = r["count"]
+            out.append(list(cutoffs_of(firsts, rules, risk, level / strata).items()))
+        return pa.array(out, pa.map_(pa.string(), pa.float64()))
 
     return counts.select("stratum", chosen("counts").alias("cutoffs")).filter(F.size("cutoffs") > 0)
 
@@ -188,7 +230,7 @@ def verdict(q: str, rules: dict = RULES) -> tuple[Column, Column]:
 
 def value_of(value: str, q: str) -> str:
     """A rule's SQL over the fields of ``q``."""
-    names = sorted((x.split(":")[0] for x in FEATURES[7:-1].split(",")), key=len, reverse=True)
+    names = sorted(NAMES, key=len, reverse=True)
     for i, n in enumerate(names):
         value = value.replace(n, f"@{i}@")
     for i, n in enumerate(names):
@@ -197,42 +239,48 @@ def value_of(value: str, q: str) -> str:
 
 
 def assess(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **options) -> DataFrame:
-    """Per row of ``docs``: doc_id, stratum, q (features), base_failed, failed_rules, kept.
+    """Per row of ``docs``: doc_id, stratum, q (features), base_failed, failed_rules, kept. All rows are measured once.
 
     Null and empty texts have no words and fail. A null stratum is a stratum of its own (''). Labels of a document
     that disagree count as not good; labels with null quality or unknown doc_id count for nothing. Without labels no
     cutoff is set, and only the base rules reject. Repeated rows each give a row. Only doc_id, text and the stratum are read.
     """
     measured = materialize(docs.select("doc_id", stratum_of(stratum).alias("stratum"), features("text").alias("q")), "quality")
-    base, failed = verdict("q")
+    base, failed = verdict("q", options.get("rules") or RULES)
     judged = with_cutoffs(measured, "stratum", materialize(calibrate(measured, labels, **options), "cutoffs"))
     judged = judged.select("doc_id", "stratum", "q", base.alias("base_failed"), failed.alias("failed_rules"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with their columns. The cutoffs come from a first pass over narrow
-    columns; the second pass judges each row where it lies, so texts are never shuffled."""
-    measured = materialize(docs.select("doc_id", stratum_of(stratum).alias("stratum"), features("text").alias("q")), "quality")
+    """The rows of ``docs`` that ``assess`` keeps, with their columns.
+
+    The cutoffs come from a first pass that measures labelled documents alone; the second pass judges each row where it lies, so texts are
+    never shuffled. Null and empty texts go (no words), repeated rows stay or go together, an empty table stays empty. Where the strata are
+    more than BROADCAST_ROWS, columns named __stratum and __q are taken for this operator's own; otherwise no name is.
+    """
+    rules = options.get("rules") or RULES
+    measured = materialize(measure_good(docs, materialize(good_ids(labels), "good"), stratum), "quality")
     cutoffs = materialize(calibrate(measured, labels, **options), "cutoffs")
     if cutoffs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        base, failed = verdict("__q")
+        base, failed = verdict("__q", rules)
         whole = with_cutoffs(docs.withColumns({"__stratum": stratum_of(stratum), "__q": features("text")}), "__stratum", cutoffs)
         return whole.filter(~base & (F.size(failed) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast({r["stratum"]: r["cutoffs"] for r in cutoffs.collect()})
-    names = [x.split(":")[0] for x in FEATURES[7:-1].split(",")]
-    formulas = {rule: compile(value.replace("greatest", "max"), rule, "eval") for rule, (value, _) in (options.get("rules") or RULES).items()}
+    formulas = {rule: compile(value.replace("greatest", "maximum"), rule, "eval") for rule, (value, _) in rules.items()}
 
     def make():
-        def good(text: bytes, own: dict) -> bool:
-            q = dict(zip(names, measure(text)))
-            if q["n_words"] < 50 or 100 * q["n_repeat_words"] > 50 * q["n_words"]:
-                return False
-            return not any(eval(formulas[rule], {"max": max}, q) > cutoff for rule, cutoff in own.items())
-
         def judge(batch: pa.RecordBatch) -> list[bool]:
-            strata = batch[stratum].cast(pa.string()).to_pylist() if stratum else [""] * batch.num_rows
-            return [good(t, shared.value.get(s or "", {})) for t, s in zip(utf8(batch["text"]), strata)]
+            """All rows of a batch at once: features as arrays, rules over arrays."""
+            if not batch.num_rows:
+                return []
+            q = dict(zip(NAMES, np.array([measure(x) for x in utf8(batch["text"])], np.int64).T))
+            good = (q["n_words"] >= 50) & (100 * q["n_repeat_words"] <= 50 * q["n_words"])
+            strata = [s or "" for s in batch[stratum].cast(pa.string()).to_pylist()] if stratum else [""] * batch.num_rows
+            for rule, formula in formulas.items():
+                limit = np.array([shared.value.get(s, {}).get(rule, math.inf) for s in strata])
+                good &= ~(eval(formula, {"maximum": np.maximum}, q) > limit)
+            return good.tolist()
 
         return judge
 
@@ -240,5 +288,6 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **opt
 
 
 def digest(assessed: DataFrame) -> DataFrame:
+    """The contract's columns from ``assess``' result, and the names of the learned rules that reject, comma-joined."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return assessed.select("doc_id", *[f"q.{n}" for n in names], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
