@@ -275,6 +275,23 @@ def test_viterbi_against_all_paths():
         assert abs(score(langid.viterbi(s, 1.5).tolist()) - best) < 1e-9
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_sharding_query(spark, tmp_path, parts):
+    """All columns of the query: each row once, its text's digest, shards that hold as many rows as they say, and fewer shards than were appended."""
+    import collections
+
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, i, i // 3]), rng.choice([None, "", f"text {i} " * rng.randint(1, 50)]), "s", i) for i in range(400)]
+    rows += rows[:40]
+    spark.createDataFrame(rows, "doc_id long, text string, shard string, shard_rows int").repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.shard_documents(spark, str(tmp_path)).collect()
+    assert got[0].__fields__ == ["doc_id", "shard", "shard_rows", "text_sha256"]
+    count = collections.Counter
+    assert count((r.doc_id, r.text_sha256) for r in got) == count((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _, _ in rows)
+    held = count(r.shard for r in got)
+    assert all(held[r.shard] == r.shard_rows for r in got) and len(held) < sharding.ARRIVALS * parts
+
+
 def test_sharding(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/t", target_bytes=60_000, least_bytes=2_000, fan_in=3)
     assert store.read() is None and store.manifest() == (0, [])
@@ -293,6 +310,22 @@ def test_sharding(spark, tmp_path):
     assert store.compact() == version
     with pytest.raises(sharding.Conflict):
         store.commit(version - 1, [])
-    assert store.vacuum() == 15 and same(store.read())
+    again = sharding.ShardStore(spark, f"file://{tmp_path}/t")
+    assert again.manifest() == store.manifest() and same(again.read())
+    # another writer's arrival that is not committed yet is young, and stays
+    spark.range(3).write.parquet(f"file://{tmp_path}/t/data/arrival-open")
+    assert store.vacuum() == 0 and same(store.read(before))
+    store._add(f"file://{tmp_path}/t/data/arrival-open")
+    assert store.manifest()[0] == version + 1
+    store.commit(version + 1, store.segments(version)[1])
+    n_open = len(list((tmp_path / "t/data/arrival-open").glob("part-*.parquet")))
+    assert store.vacuum(0) == 15 + n_open and same(store.read())
     assert not [s for s in store.runs(after)]
+    # an append writes lines for its own shards alone, whatever the table holds
+    held = set(store.segments()[1])
+    store.append(spark.range(0).selectExpr("id as doc_id", "'x' as text", "'x' as _x"))
+    assert set(store.segments()[1]) == held
+    store.append(spark.createDataFrame(want[:3], "doc_id long, text string, _x string").coalesce(1))
+    (new,) = set(store.segments()[1]) - held
+    assert held < set(store.segments()[1]) and sum(x["rows"] for x in store.shards_of(new)) == 3
     assert json.dumps(sharding.pack([{"path": str(i), "bytes": 40, "seq": i} for i in range(5)], 100)).count("path") == 4
