@@ -139,13 +139,17 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """``pages`` rows (page_id, url, html) with size, digest (hex SHA-1 of the payload) and refers_to.
 
     Equal payloads of ``least_bytes`` or more: the largest page_id is the response and the others refer to it. Counts meet as
-    one row for each digest and task before they are shuffled; the join back is one that AQE can split at a hot digest.
+    one row for each digest and task before they are shuffled; the join back is one that AQE can split at a hot digest. Smaller payloads,
+    the empty ones among them, are in no join.
     """
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html").withColumns({"size": F.octet_length(raw).cast("long"), "digest": F.sha1(raw)})
-    top = rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    sized = pages.select("page_id", "url", "html", F.octet_length(raw).cast("long").alias("size"))
+    small = sized.filter(F.col("size") < least_bytes).withColumns({"digest": F.sha1(raw), "refers_to": F.lit(None).cast(pages.schema["page_id"].dataType)})
+    rows = sized.filter(F.col("size") >= least_bytes).withColumn("digest", F.sha1(raw))
+    top = rows.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     joined = rows.join(top.filter("n > 1").drop("n"), "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("top") != F.col("page_id"), F.col("top")).when(F.col("page_id").isNull(), F.col("top"))).drop("top")
+    large = joined.withColumn("refers_to", F.when(F.col("top") != F.col("page_id"), F.col("top")).when(F.col("page_id").isNull(), F.col("top"))).drop("top")
+    return large.unionByName(small)
 
 
 def write(marked: DataFrame, folder: str, target_bytes: int = 64 << 20) -> DataFrame:
@@ -200,8 +204,8 @@ RECORD = "path string, record_id string, record_type string, target_uri string,
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the archives in column ``path``, each archive read in sequence by one task.
 
-    payload_bytes of a revisit is the size of what it refers to.
-    A damaged record fails the job.
+    payload_bytes of a revisit is the size of what it refers to. No archives, or archives without records, give no rows; a record without a
+    payload digest gives a null one. A damaged record fails the job.
     """
 
     def run(batches):
