@@ -4,12 +4,14 @@ from __future__ import annotations
 
 
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, text_map, utf8
+from .common import discard, keep_rows, materialize, text_map, utf8
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
 WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -25,7 +27,7 @@ class WuManber:
 
     The alphabet is words and a block is two adjacent words (one where m is 1). ``shift`` says how far the
     window may move when its last block is seen; at shift 0 the suffix hash picks a bucket whose
-    patterns are tested by prefix block, then compared word by word.
+    patterns are tested by their first word, then compared word by word.
     """
 
     def __init__(self, patterns: dict[tuple[bytes, ...], list], m: int):
@@ -37,8 +39,7 @@ class WuManber:
             for end in range(self.b, m + 1):
                 block = pattern[end - self.b : end]
                 self.shift[block] = min(self.shift.get(block, self.default), m - end)
-            bucket = self.buckets.setdefault(pattern[m - self.b :], {})
-            bucket.setdefault(pattern[: self.b], []).append((list(pattern), owners))
+            self.buckets.setdefault(pattern[m - self.b :], []).append((pattern, tuple(owners)))
 
     def search(self, words: list[bytes]):
         """(start, owners) of every occurrence, by start."""
@@ -48,7 +49,7 @@ class WuManber:
         if self.b == 1:
             for i, w in enumerate(words):
                 if (w,) in buckets:
-                    for _, owners in buckets[(w,)][(w,)]:
+                    for _, owners in buckets[(w,)]:
                         yield i, owners
             return
         while i < n:
@@ -58,8 +59,9 @@ class WuManber:
                 i += step
                 continue
             start = i - m + 1
-            for pattern, owners in buckets[block].get((words[start], words[start + 1]), ()):
-                if words[start : i + 1] == pattern:
+            first = words[start]
+            for pattern, owners in buckets[block]:
+                if pattern[0] == first and tuple(words[start : i + 1]) == pattern:
                     yield start, owners
             i += 1
 
@@ -97,8 +99,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+#: Greatest number of characters of the benchmark that is searched for at once: some 200 MB of tables in a worker process.
+BLOCK_CHARS = 2_000_000
+
+
 def _blocks(benchmark: DataFrame, max_chars: int) -> list[DataFrame]:
-    """The benchmark in blocks of about ``max_chars`` characters each, one block where it fits."""
+    """The benchmark in blocks of about ``max_chars`` characters each, one block where it fits. A block is collected when its turn comes."""
     total = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
     n = total // max_chars + 1
     if n == 1:
@@ -107,32 +113,46 @@ def _blocks(benchmark: DataFrame, max_chars: int) -> list[DataFrame]:
     return [benchmark.filter(part == k) for k in range(n)]
 
 
+def _each(docs: DataFrame, benchmark: DataFrame, block_chars: int, search: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """``search`` for block after block. Where there are several, what one block leaves is written before the next, so
+    one broadcast and one searcher a worker are alive at a time; the last block's result is lazy."""
+    blocks, held = _blocks(benchmark, block_chars), None
+    for k, block in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
+        docs = search(docs, shared)
+        if k < len(blocks) - 1:
+            docs = materialize(docs, "block")
+            shared.destroy()
+            if held is not None:
+                discard(held)
+            held = docs
+    return docs
+
+
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 32_000_000
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, text, n_words, hits (array of word intervals, end exclusive),
     item_ids (array of the items with an occurring window, sorted).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
     window. The patterns are broadcast; their size is measured first, and a benchmark of more than
-    ``block_chars`` characters is searched in blocks, one pass of the texts for each, with equal results.
+    ``block_chars`` characters is searched in blocks, one pass of the texts for each, written before the next, with equal results.
 
     Null and empty texts have no words and no hits. Items with null or empty text match nothing; a null
     item_id is dropped from item_ids, yet its words count as hit. Repeated items count once, by id.
     Repeated rows of ``docs`` each give a row. Columns of ``docs`` besides doc_id and text are not read.
     """
-    spark = docs.sparkSession
     out = docs.select("doc_id", "text").withColumns(
         {"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
          "item_ids": F.expr("cast(array() as array<bigint>)")}
     )
-    kept = benchmark.select(F.col("item_id").cast("long"), "text")
-    for block in _blocks(kept, block_chars):
-        items = [tuple(r) for r in block.collect()]
-        shared = spark.sparkContext.broadcast(items)
 
-        def make(shared=shared):
-            searchers = compile_items(shared.value, window)
+    def search(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        def make():
+            searchers = _compiled(name, shared, window)
 
             def run(batch: pa.RecordBatch):
                 n_words, hits, ids = [], [], []
@@ -154,19 +174,22 @@ def decontaminate(
 
             return run
 
-        out = text_map(
-            out, out.columns,
+        return text_map(
+            rows, rows.columns,
             f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, "
             "hits array<struct<start:bigint,end:bigint>>, item_ids array<bigint>", make,
         )
-    return out
 
+    return _each(out, benchmark.select(F.col("item_id").cast("long"), "text"), block_chars, search)
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 32_000_000) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns: each text is judged where it lies. Null texts stay."""
-    for block in _blocks(benchmark.select("item_id", "text"), block_chars):
-        docs = keep_rows(docs, _judge(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()]), window))
-    return docs
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` without any hit, with their columns: each text is judged where it lies.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; an empty table stays empty, and so does nothing go where the
+    benchmark has no words. No column name is taken.
+    """
+    return _each(docs, benchmark.select("item_id", "text"), block_chars, lambda rows, shared: keep_rows(rows, _judge(shared, window)))
 
 
 def _judge(shared, window: int):
