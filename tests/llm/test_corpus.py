@@ -264,6 +264,103 @@ def test_language_id(spark):
     assert langid.learn_and_identify(docs.limit(0)).collect() == []
 
 
+def plain_model(rows):
+    """Log-probabilities of trigram buckets and scripts of each language, counted letter by letter."""
+    import collections
+    import math
+
+    grams, scripts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        for word in plain_words(text):
+            for g, s, _ in word:
+                grams[lang][g] += 1
+                scripts[lang][s] += 1
+    total = {k: sum(v.values()) + 0.5 * langid.BUCKETS for k, v in grams.items()}
+    score = lambda k, g: math.log((grams[k][g] + 0.5) / total[k])
+    own = {k: {s for s, n in v.items() if n >= max(1, 0.001 * sum(v.values()))} for k, v in scripts.items()}
+    return sorted(grams), score, own
+
+
+def plain_words(text):
+    """Words as lists of (bucket, script, place) of their letters."""
+    out, low = [], []
+    for c in text:
+        low.append(0 if not c.isalpha() else ord(c.lower()) if len(c.lower()) == 1 else ord(c))
+    low = [0, *low, 0]
+    for i, c in enumerate(text):
+        if c.isalpha():
+            x = (low[i] * 0x9E3779B1 + low[i + 1] * 0x85EBCA77C2B2 + low[i + 2] * 0xC2B2AE3D27D4) & (1 << 48) - 1
+            x = ((x ^ x >> 21) * 0x2545F4914F6D & (1 << 64) - 1) >> 20
+            script = [s for a, s in langid.SCRIPT_RANGES if a <= ord(c)][-1]
+            if not i or not text[i - 1].isalpha():
+                out.append([])
+            out[-1].append((x % langid.BUCKETS, script, i))
+    return out
+
+
+def plain_label(text, model, switch):
+    """Language, share and spans of a text by Viterbi over all words, step by step."""
+    langs, score, own = model
+    words, best = plain_words(text), []
+    if not words:
+        return "und", 0.0, []
+    for w in words:
+        sums = [sum(score(k, g) for g, _, _ in w) for k in langs]
+        fits = [w[0][1] in own[k] for k in langs]
+        top = max(sums)
+        row = [s if f or not any(fits) else top + langid.APART for s, f in zip(sums, fits)]
+        if not best:
+            best.append([(s, None) for s in row])
+            continue
+        last = [s for s, _ in best[-1]]
+        at = last.index(max(last))
+        best.append([(max(last[k], last[at] - switch) + s, k if last[k] >= last[at] - switch else at) for k, s in enumerate(row)])
+    label = max(range(len(langs)), key=lambda k: best[-1][k][0])
+    path = [label]
+    for row in reversed(best[1:]):
+        label = row[label][1]
+        path.append(label)
+    path.reverse()
+    letters = [sum(len(w) for w, p in zip(words, path) if p == k) for k in range(len(langs))]
+    spans = []
+    for w, p in zip(words, path):
+        if spans and spans[-1][2] == langs[p]:
+            spans[-1][1] = w[-1][2] + 1
+        else:
+            spans.append([w[0][2], w[-1][2] + 1, langs[p]])
+    top = letters.index(max(letters))
+    return langs[top], letters[top] / sum(letters), [tuple(s) for s in spans]
+
+
+def test_language_predictions_against_plain_steps(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = {"en": ["the", "shore", "winter", "Thing", "with", "a"], "fr": ["être", "leçon", "où", "veau", "a"], "ru": ["это", "слово", "мир"], "el": ["και", "ΛΌΓΟΣ", "θάλασσα"]}
+    say = lambda lang, n: rng.choice([" ", ", ", " - "]).join(rng.choices(vocab[lang], k=n))
+    rows = [(i, say(lang, rng.randint(3, 30)), lang) for i, lang in enumerate(["en", "fr", "ru", "el"] * 25)]
+    rows += [(500 + i, "; ".join(say(rng.choice(list(vocab)), rng.randint(1, 9)) for _ in range(rng.randint(0, 5))) + rng.choice(["", " 漢字", " İ", " 42"]), None) for i in range(60)]
+    docs = spark.createDataFrame(rows, EMPTY).repartition(3)
+    model = langid.train(docs)
+    plain = plain_model([(t, lang) for _, t, lang in rows if lang])
+    assert model[0] == plain[0]
+    for limit in (langid.SCORES, 40):
+        monkeypatch.setattr(langid, "SCORES", limit)
+        for (i, text, _), (lang, share, spans) in zip(rows, langid.label_texts([t for _, t, _ in rows], model, 12.0)):
+            assert (lang, spans) == plain_label(text, plain, 12.0)[::2] and abs(share - plain_label(text, plain, 12.0)[1]) < 1e-9, (i, text)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9), r.spans) for r in langid.learn_and_identify(docs).collect()}
+    import zlib
+
+    taught = plain_model([(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2])
+    for i, text, _ in rows:
+        lang, share, spans = plain_label(text, taught, 12.0)
+        assert got[i] == (lang, round(share, 9), ",".join(f"{a}:{b}:{x}" for a, b, x in spans))
+
+
+def test_language_column_without_languages_is_refused(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "'a text' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="more than 512 languages"):
+        langid.train(docs)
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_map
+from .common import materialize, text_map
 
 #: First code point of a range and its script ('' is common to all).
 SCRIPT_RANGES = [
@@ -29,7 +29,9 @@ SCRIPT_RANGES = [
 ]
 SCRIPTS = sorted({s for _, s in SCRIPT_RANGES})
 BUCKETS = 1 << 14
-GROUP_CHARS = 1_000_000  #: code points that are scored in one go
+GROUP_CHARS = 1_000_000  #: code points that are split into words in one go
+SCORES = 4_000_000  #: letters times languages that are scored in one go
+MOST_LANGS = 512  #: greatest number of languages of a model, whose size is 64 KB a language
 APART = -1000.0  #: score of a word in a language that is not written in its script
 
 
@@ -87,16 +89,19 @@ def train(docs: DataFrame, max_docs_per_lang: int = 20_000) -> tuple[list[str],
 
     Counts are summed where the rows lie, then over tasks. Of a language with more than ``max_docs_per_lang``
     documents, about so many are taken, chosen by a hash of doc_id: the bound of the fit. Only the sums, at most
-    BUCKETS + len(SCRIPTS) numbers a language, reach the driver.
+    BUCKETS + len(SCRIPTS) numbers a language, reach the driver. Languages are counted first: beyond MOST_LANGS of them, as of a column
+    that holds no languages, the model and what it scores would outgrow memory, and the fit fails. Null languages and texts teach nothing.
     """
-    known = docs.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    counts = materialize(known.groupBy("lang").count(), "langs")
+    langs = sorted(r["lang"] for r in counts.select("lang").limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"column lang holds more than {MOST_LANGS} languages")
     if not langs:
-        return [], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS)), bool)
+        return [], np.zeros((0, BUCKETS), np.float32), np.zeros((0, len(SCRIPTS)), bool)
     part = 1_000_003
-    limit = F.create_map(*[F.lit(x) for k in langs for x in (k, min(part, part * max_docs_per_lang // counts[k] + 1))])
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < limit[F.col("lang")])
+    limits = counts.select("lang", F.least(F.lit(part), F.floor(F.lit(float(part * max_docs_per_lang)) / F.col("count")) + 1).alias("limit"))
+    sample = known.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < F.col("limit"))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -119,7 +124,7 @@ def train(docs: DataFrame, max_docs_per_lang: int = 20_000) -> tuple[list[str],
     for r in sums.collect():
         full[langs.index(r["lang"]), r["slot"]] = r["n"]
     grams, scripts = full[:, :BUCKETS] + 0.5, full[:, BUCKETS:]
-    logs = np.log(grams / grams.sum(axis=1, keepdims=True))
+    logs = np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32)
     return langs, logs, scripts >= np.maximum(1, 0.001 * scripts.sum(axis=1, keepdims=True))
 
 
@@ -149,6 +154,23 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return np.array(out[::-1])
 
 
+def word_scores(w: Words, logs: np.ndarray, scripts: np.ndarray) -> np.ndarray:
+    """Score of each word in each language: the sum of its trigrams' log-probabilities; a language that is not written in the word's script scores
+    below all that are. Worked off in runs of words of about SCORES letters times languages, which bounds memory."""
+    out = np.empty((len(w.first), len(logs)))
+    ends = np.r_[w.first[1:], len(w.bucket)]
+    step, lo = max(1, SCORES // len(logs)), 0
+    table = logs.T
+    while lo < len(w.first):
+        hi = max(lo + 1, int(np.searchsorted(ends, w.first[lo] + step, side="right")))
+        a, b = w.first[lo], ends[hi - 1]
+        out[lo:hi] = np.add.reduceat(table[w.bucket[a:b]], w.first[lo:hi] - a, axis=0, dtype=np.float64)
+        lo = hi
+    fits = scripts.T[w.script[w.first]]
+    fits |= ~fits.any(axis=1, keepdims=True)
+    return np.where(fits, out, out.max(axis=1, keepdims=True) + APART)
+
+
 def label_texts(texts: list[str], model, switch: float):
     """(language or 'und', share of letters, spans (start, end, language)) of each text."""
     langs, logs, scripts = model
@@ -157,11 +179,7 @@ def label_texts(texts: list[str], model, switch: float):
         w = Words(texts[a:b])
         if not len(w.first) or not langs:
             continue
-        flat = logs.T[w.bucket]
-        scores = np.add.reduceat(flat, w.first, axis=0)
-        fits = scripts.T[w.script[w.first]]
-        fits |= ~fits.any(axis=1, keepdims=True)
-        scores = np.where(fits, scores, scores.max(axis=1, keepdims=True) + APART)
+        scores = word_scores(w, logs, scripts)
         cuts = np.searchsorted(w.text, np.arange(b - a + 1))
         for i in range(b - a):
             lo, hi = cuts[i], cuts[i + 1]
@@ -205,7 +223,11 @@ HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
 
 def learn_and_identify(docs: DataFrame, **options) -> DataFrame:
-    """The contract: learns from documents that are not held out, labels all. A null doc_id is not held out."""
+    """The contract: learns from documents that are not held out, labels all. A null doc_id is not held out.
+
+    Beside the contract's columns: n_spans, and spans as start:end:language (code points), by place, comma-joined. Repeated rows each give a row.
+    """
     model = train(docs.filter(f"not {HELD_OUT}"), **options)
     found = identify(docs, model)
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"),
+                        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["lang"])), ",").alias("spans"))
