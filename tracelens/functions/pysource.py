@@ -115,44 +115,56 @@ def base(path: str) -> str:
     return re.split(r"[/\\]", path)[-1]
 
 
+INDENT = (" ", "\t")
+
+
+def paragraphs(lines: list[str]) -> list[list[str]]:
+    """Lines in runs: one that is not indented, and the indented ones after it. The first run may lack the former."""
+    starts = [i for i, line in enumerate(lines) if i == 0 or not line.startswith(INDENT)]
+    return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)])]
+
+
+def exception_of(run: list[str]) -> tuple[str, str] | None:
+    """(type, message) of a run whose first line raises: all its other lines continue the message."""
+    if run[0].startswith(INDENT) or _FRAME.match(run[0]) or _NOISE.match(run[0]) or not (m := _RAISED.match(run[0])):
+        return None
+    return m[1], " ".join(x for x in ((m[2] or ""), *map(str.strip, run[1:])) if x).strip()
+
+
+def frames_of(lines: list[str], target: str) -> list[dict]:
+    """Frames that lines tell of, each header with the indented lines up to the next; lines before the first header are of none."""
+    heads = [(i, m) for i, line in enumerate(lines) if (m := _FRAME.match(line))]
+    out = []
+    for (i, m), end in zip(heads, [*(i for i, _ in heads[1:]), len(lines)]):
+        ours = base(m[1]) == base(target)
+        code = [x.strip() for x in lines[i + 1 : end] if x.startswith(INDENT) and not _NOISE.match(x)]
+        out.append({"file": target if ours else m[1], "line": max(1, int(m[2])), "function": m[3] or "<module>", "code": "\n".join(code).strip(), "is_target": ours})
+    return out
+
+
 def parse_traceback(stderr: str, target: str) -> dict:
     """{frames, type, message, file, line} of captured error output; type is None without an exception.
 
-    Lines are sorted into kinds first: frame headers, noise, exception lines at column 0 that take the indented lines after them into
-    their message, and code, which belongs to the last header. The last exception decides; without one the last line
-    that looks like one does. file and line are the last target frame's, else the last frame's.
+    The output falls into stretches that end with an exception each, and a rest; each stretch has frames of its own. The last exception decides;
+    without one the last line that, stripped, looks like one does. file and line are the last target frame's, else the last frame's.
     """
     lines = _CONTROL.sub("", stderr or "").splitlines()
-    frames: list[dict] = []
-    open_: dict | None = None
-    kind = message = None
-    skip = 0
-    for i, line in enumerate(lines):
-        if skip:
-            skip -= 1
-        elif m := _FRAME.match(line):
-            ours = base(m[1]) == base(target)
-            open_ = {"file": target if ours else m[1], "line": max(1, int(m[2])), "function": m[3] or "<module>", "code": [], "is_target": ours}
-            frames.append(open_)
-        elif _NOISE.match(line):
-            pass
-        elif line[:1] not in (" ", "\t") and (m := _RAISED.match(line)):
-            rest = []
-            for more in lines[i + 1 :]:
-                if more[:1] not in (" ", "\t"):
-                    break
-                rest.append(more.strip())
-            kind, message, skip, open_ = m[1], " ".join(filter(None, [m[2] or "", *rest])).strip(), len(rest), None
-        elif open_ and line[:1] in (" ", "\t"):
-            open_["code"].append(line.strip())
-    if kind is None:
-        last = next((m for line in reversed(lines) if (m := _RAISED.match(line.strip()))), None)
-        kind, message = (last[1], (last[2] or "").strip()) if last else (None, None)
-    top = next((f for f in reversed(frames) if f["is_target"]), frames[-1] if frames else None)
-    out = [{**f, "code": "\n".join(f["code"]).strip()} for f in frames]
-    if kind is None:
-        return {"frames": out, "type": None, "message": None, "file": None, "line": None}
-    return {"frames": out, "type": kind, "message": message, "file": top["file"] if top else target, "line": top["line"] if top else None}
+    stretches: list[list[str]] = [[]]
+    raised: list[tuple[str, str]] = []
+    for run in paragraphs(lines):
+        if found := exception_of(run):
+            raised.append(found)
+            stretches.append([])
+        else:
+            stretches[-1] += run
+    frames = [f for s in stretches for f in frames_of(s, target)]
+    if not raised:
+        loose = [(m[1], (m[2] or "").strip()) for line in lines if (m := _RAISED.match(line.strip()))]
+        raised = loose[-1:]
+    if not raised:
+        return {"frames": frames, "type": None, "message": None, "file": None, "line": None}
+    top = max(enumerate(frames), key=lambda f: (f[1]["is_target"], f[0]), default=(0, {"file": target, "line": None}))[1]
+    return {"frames": frames, "type": raised[-1][0], "message": raised[-1][1], "file": top["file"], "line": top["line"]}
 
 
 # --- syntax trees -----------------------------------------------------------------------------------
