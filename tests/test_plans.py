@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
 #: Queries that join a single row (a range's ends, a manifest's parts, whether there is any row at all).
-SINGLE_ROW = {"p01_category_or_first", "s10_manifest", "w03_stride_sample"}
+SINGLE_ROW = {"p01_category_or_first", "s10_manifest"}
 #: Queries whose work needs a parser or order-dependent matching.
 PYTHON = {"d01_syntax", "d02_definitions", "d03_structure", "d04_input_needs", "d05_complexity", "d13_evidence", "f05_encodings", "f12_glyph_fallback", "f18_language", "f25_unified_diff", "f31_strict_schema",
           "j02_diff_pairs", "s01_target_facts", "s02_decoded_text", "s03_decoded_with_fallback", "w08_tracebacks", "x01_table_function",

@@ -80,9 +80,13 @@ def test_edit_steps_of_whole_texts(run):
     assert {name for name, _ in got.values()} == {"full source", "around the fault", "without findings", None}
 
 
-def test_deep_trees_fail_instead_of_parting(spark):
-    chain = lambda n: spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(n)], "id long, parent long, v long")
-    assert [tuple(r) for r in stats.tree_sums(chain(128), "v").collect()] == [(0, 128, 128)]
-    assert [tuple(r) for r in stats.tree_sums(chain(300), "v", max_depth=256).collect()] == [(0, 300, 300)]
-    with pytest.raises(Exception, match="deeper than max_depth=64"):
-        stats.tree_sums(chain(300), "v").collect()
+def test_trees_of_any_depth(spark):
+    chain = lambda n: [(i, i - 1 if i else None, 1, n) for i in range(n)]
+    nodes = "id long, parent long, v long, run long"
+    for n in (1, 2, 128, 129, 300, 1000):
+        assert [tuple(r) for r in stats.tree_sums(spark.createDataFrame(chain(n), nodes), "v").collect()] == [(0, n, n)]
+    many = chain(40) + chain(1) + chain(7) + [(90, 89, 5, 7), (91, 90, 5, 7)]
+    assert sorted(tuple(r) for r in stats.tree_sums(spark.createDataFrame(many, nodes), "v", "run").collect()) == [(1, 0, 1, 1), (7, 0, 7, 7), (7, 89, 10, 2), (40, 0, 40, 40)]
+    with pytest.raises(ValueError, match="cycle"):
+        stats.tree_sums(spark.createDataFrame([(1, 2, 1, 0), (2, 3, 1, 0), (3, 1, 1, 0), (4, None, 1, 0)], nodes), "v")
+    assert stats.tree_sums(spark.createDataFrame([], nodes), "v").collect() == []

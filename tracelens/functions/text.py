@@ -199,9 +199,9 @@ def out_of_bounds(numbers: Column, total: Column) -> Column:
 
 
 def reassemble(of: Column, style: Text, trailing: Column, bom: Column) -> Column:
-    """Text of lines: joined by CRLF for that style and LF for any other, with a last line end and mark as asked."""
+    """Text of lines (a null line is empty): joined by CRLF for that style and LF for any other, with a last line end and mark as asked."""
     end = F.when(col(style) == "\r\n", "\r\n").otherwise("\n")
-    body = F.aggregate(of, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, end, x)))
+    body = F.call_function("array_join", F.transform(of, lambda x: F.coalesce(x, F.lit(""))), end)
     body = F.when(F.size(of) == 0, "").otherwise(F.concat(body, F.when(trailing, end).otherwise("")))
     return F.concat(F.when(bom, "﻿").otherwise(""), body)
 

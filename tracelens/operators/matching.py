@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,21 +16,37 @@ def ungrounded_ids(cited: Column, manifest: Column) -> Column:
     return F.filter(cited, lambda x: ~F.array_contains(manifest, x))
 
 
+BIN = 64  #: lines of a bin, by which spans of one file are dealt out
+
+
+def bins(spans: DataFrame, start: str, end: str, name: str = "__bin") -> DataFrame:
+    """A row for each bin of lines that a span touches; a span that ends before it starts touches none."""
+    first, last = F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN)
+    return spans.filter(F.col(end) >= F.col(start)).withColumn(name, F.explode(F.sequence(first, last)))
+
+
 def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str, point_key: str, ordinal: str) -> DataFrame:
     """Each point with the shortest span of its ``by`` that holds it, ties to the smaller ordinal; points without one keep nulls.
 
-    The join has the equality on ``by``; the choice is an aggregate that combines before it is shuffled.
+    The join has an equality on ``by`` and the bin of lines, so that a file with very many spans is dealt out; the choice is an aggregate that
+    combines before it is shuffled.
     """
-    spans = spans.select(F.col(by).alias("__by"), F.struct((F.col(end) - F.col(start)).alias("size"), F.col(ordinal), F.col(start), F.col(end)).alias("__span"))
-    held = points.join(spans, (F.col(by) == F.col("__by")) & F.col(at).between(F.col(f"__span.{start}"), F.col(f"__span.{end}")))
-    best = held.groupBy(point_key).agg(F.min("__span").alias("span"))
+    held = bins(spans, start, end).select(F.col(by).alias("__by"), "__bin", F.struct((F.col(end) - F.col(start)).alias("size"), F.col(ordinal), F.col(start), F.col(end)).alias("__span"))
+    near = points.withColumn("__at", F.floor(F.col(at) / BIN)).join(held, (F.col(by) == F.col("__by")) & (F.col("__at") == F.col("__bin")) & F.col(at).between(F.col(f"__span.{start}"), F.col(f"__span.{end}")))
+    best = near.groupBy(point_key).agg(F.min("__span").alias("span"))
     return points.join(best, point_key, "left")
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
-    """Pairs of spans (start, end) of one ``by`` that share a line; right columns get a trailing underscore."""
-    other = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
-    return left.join(other, (left[by] == other[f"{by}_"]) & (left["start"] <= other["end_"]) & (left["end"] >= other["start_"]))
+    """Pairs of spans (start, end) of one ``by`` that share a line; right columns get a trailing underscore.
+
+    Spans meet in bins of lines; a pair is given in the first bin that both touch. All pairs is what the join is for.
+    """
+    own = bins(left, "start", "end")
+    other = bins(right.select(*[F.col(c).alias(f"{c}_") for c in right.columns]), "start_", "end_", "__bin_")
+    first = F.floor(F.greatest("start", "start_") / BIN)
+    joined = own.join(other, (F.col(by) == F.col(f"{by}_")) & (F.col("__bin") == F.col("__bin_")) & (F.col("start") <= F.col("end_")) & (F.col("end") >= F.col("start_")) & (F.col("__bin") == first))
+    return joined.drop("__bin", "__bin_")
 
 
 def diff_counts(baseline: DataFrame, candidate: DataFrame, key: list[str]) -> DataFrame:
@@ -80,15 +96,22 @@ def pair_findings(baseline: list[dict], candidate: list[dict]) -> list[tuple]:
 
 
 def diff_pairs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Which finding is which: cogroups the findings of a file (a few hundred at most), see ``pair_findings``."""
+    """Which finding is which: cogroups the findings of one file, code and line, within which the passes are independent; see ``pair_findings``.
+
+    Findings whose line was edited meet nobody and are in no group.
+    """
     import pandas as pd
 
-    def run(key, b, c):
-        rows = lambda df: [{**r, "line": None if pd.isna(r["line"]) else int(r["line"])} for r in df.sort_values("id").to_dict("records")]
+    key = ["file", "code", "line"]
+
+    def run(k, b, c):
+        rows = lambda df: [{**r, "line": int(k[2]), "code": k[1]} for r in df.sort_values("id").to_dict("records")]
         found = pair_findings(rows(b), rows(c))
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["file", "baseline_id", "candidate_id", "outcome"]).astype({"baseline_id": "Int64", "candidate_id": "Int64"})
+        return pd.DataFrame([(k[0], *x) for x in found], columns=["file", "baseline_id", "candidate_id", "outcome"]).astype({"baseline_id": "Int64", "candidate_id": "Int64"})
 
-    return baseline.groupBy("file").cogroup(candidate.groupBy("file")).applyInPandas(run, PAIRED)
+    there = baseline.filter("line is not null")
+    gone = baseline.filter("line is null").select("file", F.col("id").alias("baseline_id"), F.lit(None).cast("long").alias("candidate_id"), F.lit("eliminated").alias("outcome"))
+    return there.groupBy(*key).cogroup(candidate.groupBy(*key)).applyInPandas(run, PAIRED).unionByName(gone)
 
 
 def unknown_calls(calls: DataFrame, known: DataFrame, by: str, ordinal: str, name: str) -> DataFrame:
@@ -143,7 +166,3 @@ def first_mismatch(expected: Column, actual: Column) -> Column:
     same = F.zip_with(expected, actual, lambda a, b: a.eqNullSafe(b))
     at = F.array_position(same, F.lit(False))
     return F.when(at > 0, at - 1).cast("long")
-
-
-def rank_in_group(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 By = Sequence[str]
 
 
@@ -19,19 +21,62 @@ def count_of(flag: Column) -> Column:
     return F.count_if(F.coalesce(flag, F.lit(False)))
 
 
-def exact_median(x: str | Column) -> Column:
-    return F.percentile(x, 0.5)
+#: Accuracy of the sketches that bound a median, and how far below and above the middle they look; the latter must be larger than 1 / ACCURACY.
+ACCURACY, AROUND = 10_000, 0.001
+
+
+def grouped(rows: DataFrame, by: By, aggregates: Sequence[Column], medians: dict[str, Column]) -> DataFrame:
+    """Groups (none: all rows) with aggregates and exact medians (null where a group has no value), in the order given.
+
+    No task holds a group's values. Sketches of bounded size give two values that enclose each median; then values outside are counted and
+    values inside are counted one by one, a few thousandths of a group, and the middle is picked among those.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    source = rows.select("*", *[F.col(b).alias(k) for b, k in zip(by, keys)], *[v.cast("double").alias(f"__v_{m}") for m, v in medians.items()])
+    ends = F.array(F.lit(0.5 - AROUND), F.lit(0.5 + AROUND))
+    bounds = [x for m in medians for x in (F.percentile_approx(f"__v_{m}", ends, F.lit(ACCURACY)).alias(f"__at_{m}"), F.count(f"__v_{m}").alias(f"__n_{m}"))]
+    out = source.groupBy(*keys).agg(*aggregates, *bounds)
+
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.select(*[F.col(c).alias(f"{c}_") if c in keys else F.col(c) for c in right.columns])
+        if not keys:
+            return left.crossJoin(F.broadcast(other))  # a single row
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        return left.join(other, same, "left").drop(*[f"{k}_" for k in keys])
+
+    for m in medians:
+        v, at, n = F.col(f"__v_{m}"), F.col(f"__at_{m}"), F.col(f"__n_{m}")
+        limited = join(source.select(*keys, v).filter(v.isNotNull()), out.select(*keys, at.alias("__at"), n.alias("__n")))
+        side = F.when(v < F.col("__at")[0], -1).when(v > F.col("__at")[1], 1).otherwise(0)
+        counts = limited.groupBy(*keys, "__n", side.alias("__side"), F.when(side == 0, v).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
+        inside = F.when(F.col("__side") == 0, F.struct("__value", "__c"))
+        held = counts.groupBy(*keys, "__n").agg(F.coalesce(F.sum(F.when(F.col("__side") < 0, F.col("__c"))), F.lit(0)).alias("__below"), F.sort_array(F.collect_list(inside)).alias("__held"))
+        picked = held.select(*keys, (0.5 * ranked_value(F.floor((F.col("__n") - 1) / 2)) + 0.5 * ranked_value(F.floor(F.col("__n") / 2))).alias(f"__m_{m}"))
+        out = join(out, picked)
+    names = [c for c in out.columns if not c.startswith("__")]
+    if not keys:
+        return out.select(*names, *[F.col(f"__m_{m}").alias(m) for m in medians])
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], *names, *[F.col(f"__m_{m}").alias(m) for m in medians])
+
+
+def ranked_value(rank: Column) -> Column:
+    """The value of a rank (from 0) among __below smaller values and __held (value, count), sorted; fails if it is not among those."""
+    zero = F.struct(F.col("__below").cast("long").alias("upto"), F.lit(None).cast("double").alias("value"))
+    found = F.aggregate("__held", zero, lambda a, x: F.struct((a["upto"] + x["__c"]).alias("upto"), F.when(a["value"].isNull() & (a["upto"] <= rank) & (rank < a["upto"] + x["__c"]), x["__value"]).otherwise(a["value"]).alias("value")))
+    return F.coalesce(found["value"], F.raise_error(F.lit("a median lies outside the bounds of its sketch")).cast("double"))
 
 
 def summarize(samples: DataFrame, by: By, passed: Column, schema_valid: Column, duration: Column, peak: Column) -> DataFrame:
     """Suite summary: counts, unrounded percentages, latency statistics and greatest peak (0 without one)."""
     total, ok, valid = F.count(F.lit(1)), count_of(passed), count_of(schema_valid)
-    return samples.groupBy(*by).agg(
+    return grouped(samples, by, [
         total.alias("total"), ok.alias("passed"), (total - ok).alias("failed"), valid.alias("schema_valid"),
         share(ok, total).alias("accuracy_pct"), share(valid, total).alias("schema_valid_pct"),
-        F.min(duration).alias("min_ms"), F.max(duration).alias("max_ms"), F.avg(duration).alias("mean_ms"), exact_median(duration).alias("median_ms"),
+        F.min(duration).alias("min_ms"), F.max(duration).alias("max_ms"), F.avg(duration).alias("mean_ms"),
         F.coalesce(F.max(peak), F.lit(0)).cast("long").alias("peak_bytes"),
-    )
+    ], {"median_ms": duration})
 
 
 def scorecard(samples: DataFrame, by: By, flags: dict[str, Column], diff_lines: Column, duration: Column) -> DataFrame:
@@ -41,9 +86,9 @@ def scorecard(samples: DataFrame, by: By, flags: dict[str, Column], diff_lines:
     for name, flag in flags.items():
         out += [count_of(flag).alias(f"{name}_count"), F.round(share(count_of(flag), total), 1).alias(f"{name}_pct")]
     out.append(F.round(F.avg(diff_lines), 1).alias("avg_diff_lines"))
-    for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", exact_median)):
-        out.append(F.round(f(duration), 1).alias(f"{name}_ms"))
-    return samples.groupBy(*by).agg(*out)
+    out += [F.round(f(duration), 1).alias(f"{name}_ms") for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    cards = grouped(samples, by, out, {"median_ms": duration})
+    return cards.withColumn("median_ms", F.round("median_ms", 1))
 
 
 def comparison(cards: DataFrame, model: str, base: str, tuned: str, pcts: By) -> DataFrame:
@@ -70,17 +115,17 @@ def grand_total(summaries: DataFrame, clean: Column) -> DataFrame:
 
 def timing(rows: DataFrame, by: By, value: str) -> DataFrame:
     """Count, median, least, greatest, mean and sample deviation (0.0 of one value)."""
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"), exact_median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"),
+    return grouped(rows, by, [
+        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
         F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"),
-    )
+    ], {"median": F.col(value)})
 
 
 def token_stats(rows: DataFrame, by: By, tokens: str) -> DataFrame:
-    return rows.groupBy(*by).agg(
-        F.coalesce(F.min(tokens), F.lit(0)).alias("least"), F.coalesce(F.max(tokens), F.lit(0)).alias("most"),
-        F.coalesce(F.round(F.avg(tokens), 2), F.lit(0.0)).alias("mean"), F.coalesce(F.round(exact_median(tokens), 2), F.lit(0.0)).alias("median"),
-    )
+    found = grouped(rows, by, [
+        F.coalesce(F.min(tokens), F.lit(0)).alias("least"), F.coalesce(F.max(tokens), F.lit(0)).alias("most"), F.coalesce(F.round(F.avg(tokens), 2), F.lit(0.0)).alias("mean"),
+    ], {"median": F.col(tokens)})
+    return found.withColumn("median", F.coalesce(F.round("median", 2), F.lit(0.0)))
 
 
 def frequency_tables(rows: DataFrame, columns: By) -> DataFrame:
@@ -116,19 +161,28 @@ def peaks(samples: DataFrame, by: By, value: str, failed: Column) -> DataFrame:
     return samples.groupBy(*by).agg(F.coalesce(F.max(F.when(~failed, F.col(value))), F.lit(0.0)).alias("peak"), F.count(F.lit(1)).alias("n"), count_of(failed).alias("n_failed"))
 
 
-def tree_sums(nodes: DataFrame, value: str, max_depth: int = 64) -> DataFrame:
-    """Sum of ``value`` over each root (null parent) and its descendants, from rows (id, parent, value).
+def tree_sums(nodes: DataFrame, value: str, sample: str | None = None) -> DataFrame:
+    """Sum of ``value`` over each root (null parent) and its descendants, from rows (id, parent, value); with ``sample``, ids are of one sample each.
 
-    Pointer doubling: after k rounds each node points 2^k ancestors up, so a chain of depth d takes log d joins, each
-    on keys that are unique on one side. The rounds settle chains of fewer than 128 steps (2^7, for a ``max_depth`` of 64 to 127); a
-    deeper chain or a cycle fails instead of giving sums of parts.
+    Pointer doubling: after k rounds each node points 2^k ancestors up, so a chain of depth d takes log d joins, each on keys that are unique
+    on one side. Rounds go on until no pointer is left and are written, so lineage stays short; pointers that are left when a chain can't be longer belong
+    to a cycle, which fails. A parent that has no row of its own is the root of what points to it. Nodes without an id point nowhere.
     """
-    hops = nodes.select("id", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), value)
-    for _ in range(max(1, max_depth.bit_length())):
-        above = hops.select(F.col("id").alias("a"), F.col("up").alias("up2"), F.col("root").alias("root2"))
-        hops = hops.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), value)
-    root = F.when(F.col("up").isNull(), F.col("root")).otherwise(F.raise_error(F.lit(f"tree_sums: a chain is deeper than max_depth={max_depth} allows, or has a cycle")))
-    return hops.select(root.alias("root"), value).groupBy("root").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    own = [sample] if sample else []
+    hops = nodes.select(*own, "id", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), value)
+    total = None
+    for k in range(64):
+        above = hops.select(*[F.col(c).alias(f"__{c}") for c in own], F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("root").alias("__root"))
+        same = F.col("up") == F.col("__id")
+        for c in own:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        hops = written(hops.join(above, same, "left").select(*own, "id", F.col("__up").alias("up"), F.coalesce("__root", "root").alias("root"), value), "hops")
+        total, left = hops.agg(F.count(F.lit(1)), F.count("up")).head()
+        if not left:
+            break
+        if 1 << k > total:
+            raise ValueError("tree_sums: the parents have a cycle")
+    return hops.groupBy(*own, "root").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def verdicts(rows: DataFrame, by: By, established: Column, broken: Column) -> DataFrame:

@@ -10,8 +10,7 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42) ->
     """Adds ``split`` (train, val or test): of n rows in a stratum, round-half-even(n / 10) but 1 at least go to each of val and test from 10
     rows on, 1 each from 3, none below; the order within a stratum is that of a seeded hash of the key.
 
-    Ranks come from a window on the stratum; of a stratum that is too large for one task, sort once and rank by bucket of the hash instead
-    (``salted=True`` in ``ranked``).
+    Ranks come from ``ranked``, so no task sorts a stratum whole.
     """
     placed = ranked(rows, [stratum], [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)])
     n = F.col("__n")
@@ -24,10 +23,11 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42) ->
 def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Adds __rank (from 1, by ``order`` within the group) and __n (rows of the group).
 
-    A group may hold a third of all rows, so no task sorts a group whole: rows are dealt to 64 ordered buckets by the first byte of the first
-    order column's text, ranked within (group, bucket), and shifted by the counts of the buckets before, a table of at most 64 rows a group.
+    A group may hold a third of all rows, so no task sorts a group whole: rows are dealt to buckets by the first three characters of the first
+    order column's text (4096 of a digest in hexadecimal), ranked within (group, bucket), and shifted by the counts of the buckets before, a
+    table of at most as many rows a group.
     """
-    bucket = F.substring(order[0].cast("string"), 1, 2)
+    bucket = F.substring(order[0].cast("string"), 1, 3)
     dealt = rows.withColumn("__bucket", F.coalesce(bucket, F.lit("")))
     counts = dealt.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__own"))
     w = Window.partitionBy(*by)
@@ -48,21 +48,44 @@ def first_per_group(rows: DataFrame, by: list[str], order: list[str], k: int = 2
 
 
 def stride(rows: DataFrame, order: str, step: int) -> DataFrame:
-    """Every step-th row by order, from the first: position by counts of range partitions, not by one global sort."""
+    """Every step-th row by order (nulls first), from the first: position by counts of ranges, not by one global sort."""
     return positions(rows, order).filter(F.col("__pos") % step == 0).drop("__pos")
 
 
-def positions(rows: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """Adds __pos, the place (from 0) of each row by a numeric key: counts of ranges of equal width give each range's offset, and only rows of one range meet in a task."""
-    from pyspark.sql import functions as f
+def range_number(x: Column, bounds: list[float]) -> Column:
+    """How many of the ascending bounds are at most x, by halving."""
+    def within(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(bounds[mid]), within(lo, mid)).otherwise(within(mid + 1, hi))
 
-    ends = rows.agg(f.min(order).alias("lo"), f.max(order).alias("hi"))
-    width = f.greatest((f.col("hi") - f.col("lo")) / f.lit(buckets), f.lit(1e-9))
-    dealt = rows.crossJoin(f.broadcast(ends)).withColumn("__r", f.floor((f.col(order) - f.col("lo")) / width)).drop("lo", "hi")
-    counts = dealt.groupBy("__r").agg(f.count(f.lit(1)).alias("__own"))
-    before = counts.select(f.col("__r").alias("__s"), f.coalesce(f.sum("__own").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), f.lit(0)).alias("__before"))
-    within = f.row_number().over(Window.partitionBy("__r").orderBy(order)) - 1
-    return dealt.withColumn("__w", within).join(before, f.col("__r") == f.col("__s")).withColumn("__pos", f.col("__w") + f.col("__before")).drop("__r", "__s", "__w", "__before")
+    return within(0, len(bounds))
+
+
+def positions(rows: DataFrame, order: str, ranges: int = 128, parts: int = 64) -> DataFrame:
+    """Adds __pos, the place (from 0) of each row by a numeric key, nulls first; rows of one key are in any order.
+
+    Quantiles of the key (a sketch, ``ranges`` numbers on the driver) part the rows into ranges of about equal size, whatever outliers there are, and each
+    range is parted evenly again; counts of the parts give each part's offset, so only rows of one part meet in a task. Rows of a key that is a bound
+    itself, as one is that holds many rows, and rows without a key are dealt out by a hash.
+    """
+    probs = [i / ranges for i in range(ranges + 1)]
+    found = rows.agg(F.percentile_approx(order, F.array(*map(F.lit, probs)), F.lit(10_000))).head()[0]
+    bounds = sorted(set(found or []))
+    key = F.col(order)
+    at = F.when(key.isNotNull(), range_number(key, bounds))
+    lows, highs = F.array(*[F.lit(x) for x in (bounds[:1] or [0]) + bounds]), F.array(*[F.lit(x) for x in (bounds or [0]) + (bounds[-1:] or [0])])
+    low, high = F.get(lows, F.col("__i")), F.get(highs, F.col("__i"))
+    any_part = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(parts)).cast("int")
+    even = F.least(F.greatest(F.floor((key - low) / F.greatest((high - low).cast("double"), F.lit(1e-300)) * parts), F.lit(0)), F.lit(parts - 1)).cast("int")
+    equal = key == low
+    dealt = rows.withColumn("__i", F.coalesce(at, F.lit(-1)).cast("int"))
+    dealt = dealt.withColumn("__r", F.struct(F.col("__i").alias("range"), F.when(key.isNull() | equal, 0).otherwise(1).alias("above"), F.when(key.isNull() | equal, any_part).otherwise(even).alias("part"))).drop("__i")
+    counts = dealt.groupBy("__r").agg(F.count(F.lit(1)).alias("__own"))
+    before = counts.select(F.col("__r").alias("__s"), F.coalesce(F.sum("__own").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__r").orderBy(order)) - 1
+    return dealt.withColumn("__w", within).join(before, F.col("__r") == F.col("__s")).withColumn("__pos", F.col("__w") + F.col("__before")).drop("__r", "__s", "__w", "__before")
 
 
 def byte_cap(chunks: DataFrame, run: str, order: str, size: str, cap: int) -> DataFrame:

@@ -222,7 +222,7 @@ def w07(spark, sf):
 
 @query("w09_median", "SELECT event_type, median(value) AS median FROM events GROUP BY event_type")
 def w09(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(stats.exact_median("value").alias("median"))
+    return stats.grouped(events(spark, sf), ["event_type"], [F.count(F.lit(1)).alias("n")], {"median": F.col("value")}).drop("n")
 
 
 @query("w10_excerpt", """

@@ -371,8 +371,8 @@ def d15(spark, sf):
     n = F.col("event_id")
     sig = F.when(F.col("event_type") == "error", F.struct(F.lit("E").alias("type"), F.lit("m").alias("message"), F.lit("a.py").alias("file")))
     w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = events(spark, sf).select("event_id", "value", (n % 3).alias("x"), sig.alias("sig")).withColumns({"late": F.col("value") > 50})
-    rows = rows.join(events(spark, sf).select("event_id", "user_id"), "event_id").withColumns({"bx": F.lag("x").over(w), "bsig": F.lag("sig").over(w)})
+    rows = events(spark, sf).select("event_id", "user_id", "value", (n % 3).alias("x"), sig.alias("sig")).withColumns({"late": F.col("value") > 50})
+    rows = rows.withColumns({"bx": F.lag("x").over(w), "bsig": F.lag("sig").over(w)})
     same = T.same_signature(F.col("bsig"), F.col("sig"))
     gone = R.failure_gone(F.col("bx"), F.col("bsig"), F.col("x"), F.col("late"), same)
     clean = (F.col("x") == 0) & ~F.col("late")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -57,3 +58,10 @@ def own_folder(spark: SparkSession) -> str:
         fs.deleteOnExit(p)
         _kept.add(folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the application's folder and read again: cuts lineage, survives lost executors."""
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

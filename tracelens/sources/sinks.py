@@ -22,8 +22,10 @@ def manifest(pairs: DataFrame, name: str, split: str, task: str, category: str,
     parts = [
         as_map(stats.shares(pairs, split), split, share, "splits"), as_map(stats.shares(pairs, task), task, share, "task_distribution"),
         as_map(stats.shares(pairs, category), category, F.col("n"), "category_distribution"),
-        pairs.agg(F.count(F.lit(1)).alias("total_samples"), F.struct(*[F.struct(
-            F.coalesce(F.min(c), F.lit(0)).alias("min"), F.coalesce(F.max(c), F.lit(0)).alias("max"), F.coalesce(F.round(F.avg(c), 2), F.lit(0.0)).alias("mean"), F.coalesce(F.round(stats.exact_median(c), 2), F.lit(0.0)).alias("median")).alias(c) for c in tokens]).alias("token_statistics")),
+        stats.grouped(pairs, [], [F.count(F.lit(1)).alias("total_samples"), *[f(c).alias(f"{n}_{c}") for c in tokens for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]], {f"median_{c}": F.col(c) for c in tokens})
+        .select("total_samples", F.struct(*[F.struct(
+            F.coalesce(f"min_{c}", F.lit(0)).alias("min"), F.coalesce(f"max_{c}", F.lit(0)).alias("max"), F.coalesce(F.round(f"mean_{c}", 2), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.round(f"median_{c}", 2), F.lit(0.0)).alias("median")).alias(c) for c in tokens]).alias("token_statistics")),
     ]
     out = parts[0]
     for p in parts[1:]:
