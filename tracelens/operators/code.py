@@ -20,22 +20,30 @@ REPORT = "struct<target:string,time:string,aux_space:string,output_space:string,
 OTHER_EXTENSIONS = (".c", ".cpp", ".cs", ".css", ".go", ".html", ".htm", ".java", ".js", ".json", ".jsx", ".md", ".php", ".rb", ".rs", ".sh", ".sql", ".ts", ".tsx", ".xml", ".yaml", ".yml")
 
 
-def mapped(f: Callable, schema: str, *columns: Column) -> Column:
-    """Column of ``f`` over rows of the columns; a null in any of them gives null."""
+def mapper(f: Callable, schema: str, arguments: int = 1) -> Callable:
+    """Function of columns that maps ``f`` over Arrow batches; a null argument gives null."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_type(_parse_datatype_string(schema))
 
+    def over(*columns: pa.Array) -> pa.Array:
+        return pa.array([None if None in row else f(*row) for row in zip(*(c.to_pylist() for c in columns))], kind)
+
     @F.arrow_udf(schema)
     def run(first: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else f(x) for x in first.to_pylist()], kind)
+        return over(first)
 
     @F.arrow_udf(schema)
     def run2(first: pa.Array, second: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else f(x, y) for x, y in zip(first.to_pylist(), second.to_pylist())], kind)
+        return over(first, second)
 
-    return run(*columns) if len(columns) == 1 else run2(*columns)
+    return run if arguments == 1 else run2
+
+
+def mapped(f: Callable, schema: str, *columns: Column) -> Column:
+    """Column of ``f`` over rows of the columns; a null in any of them gives null."""
+    return mapper(f, schema, len(columns))(*columns)
 
 
 def syntax(source: Column) -> Column:
@@ -48,6 +56,19 @@ def definitions(files: DataFrame, key: str, source: str) -> DataFrame:
     return files.select(key, F.explode(mapped(pysource.definitions, f"array<{DEFINITION}>", F.col(source))).alias("d")).select(key, "d.*")
 
 
+def evidence(files: DataFrame, source: str, findings: Column) -> DataFrame:
+    """Adds syntax_valid, definitions and findings to each file, from one parse: of source that doesn't parse the syntax error is the only finding, and there are no definitions."""
+    kind = f"struct<error:struct<line:bigint,col:bigint,message:string>,definitions:array<{DEFINITION}>>"
+    both = mapped(lambda s: {"error": (e := pysource.syntax_problem(s)), "definitions": [] if e else pysource.definitions(s)}, kind, F.col(source))
+    work = files.withColumn("__facts", both)
+    at = lambda c: F.col(f"__facts.error.{c}")
+    broken = F.array(F.struct(
+        F.lit("SyntaxError").alias("code"), at("message").alias("message"), F.lit("error").alias("severity"), at("line").alias("start_line"), at("col").alias("start_col"),
+        at("line").alias("end_line"), at("col").alias("end_col"), F.lit(False).alias("fix_available")))
+    valid = F.col("__facts.error").isNull()
+    return work.withColumns({"syntax_valid": valid, "definitions": F.col("__facts.definitions"), "findings": F.when(valid, findings).otherwise(broken)}).drop("__facts")
+
+
 def structure(files: DataFrame, key: str, source: str) -> DataFrame:
     return files.select(key, F.explode(mapped(pysource.structure, f"array<{STRUCTURE}>", F.col(source))).alias("s")).select(key, "s.*")
 

@@ -1,4 +1,4 @@
-"""Plug-ins: analysers of a language, registered by name and made table functions of SQL."""
+"""Plug-ins: analysers of a language, registered by name, and their facts as functions of SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import SparkSession
 
 from ..functions import pysource
-from .code import reports
+from .code import DEFINITION, REPORT, mapper, reports
 
 
 class Analyzer(Protocol):
@@ -55,17 +55,10 @@ def default() -> Registry:
     return out
 
 
-def register_table_functions(spark: SparkSession) -> None:
-    """SQL table functions ``py_definitions(source)`` and ``py_complexity(source)``, for LATERAL joins."""
-    from pyspark.sql.functions import udtf
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions ``py_definitions(source)`` and ``py_complexity(source)``: arrays of rows, for ``LATERAL inline(...)``.
 
-    def table(f: Callable[[str], list[dict]], schema: str, names: list[str]):
-        class Rows:
-            def eval(self, source: str):
-                for row in f(source or ""):
-                    yield tuple(row[n] for n in names)
-
-        return udtf(Rows, returnType=schema)
-
-    spark.udtf.register("py_definitions", table(pysource.definitions, "kind string, qualified_name string, start_line int, end_line int", ["kind", "qualified_name", "start", "end"]))
-    spark.udtf.register("py_complexity", table(reports, "target string, time string, aux_space string, reason string", ["target", "time", "aux_space", "reason"]))
+    They map Arrow batches; a table function of Python would be called for each row, and one of Arrow can't stand in a lateral join.
+    """
+    for name, f, kind in (("py_definitions", pysource.definitions, DEFINITION), ("py_complexity", reports, REPORT)):
+        spark.udf.register(name, mapper(f, f"array<{kind}>"))

@@ -1,6 +1,7 @@
 """Sources, sinks, generated programs and what parsers find in them.
 
-``documents`` gives the ordinals of generated programs (see ``sources.generator``), whose facts are known by their kind, doc_id % 10.
+``documents`` gives the ordinals of generated programs (see ``sources.generator``): 31 programs of ten kinds, whose names, file names and line numbers change
+with doc_id. What is true of each is written out by hand in ``FACTS``, and the SQL reads that.
 """
 
 from __future__ import annotations
@@ -33,12 +34,39 @@ def scratch(spark, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-KIND = "doc_id % 10"
+#: Of each program: kind, variant, name, faulty line, last line, parameters, greatest loop depth, whether it calls itself, classes of time and of
+#: auxiliary space, why no class is given, confidence. Lines count without the comments in front.
+FACTS = [
+    (0, 0, "ratio", 3, 3, "values", 0, False, "O(n)", "O(1)", None, "HIGH"), (0, 1, "share", 3, 3, "part whole", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (0, 2, "slot", 2, 2, "index size", 0, False, "O(1)", "O(1)", None, "HIGH"), (0, 3, "spread", 3, 3, "value low high", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (0, 4, "rates", 4, 5, "counts seconds", 1, False, "O(n)", "O(1)", None, "MEDIUM"),
+    (1, 0, "walk", 3, 5, "items", 1, False, "O(n)", "O(1)", None, "MEDIUM"), (1, 1, "last", 2, 2, "items", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (1, 2, "take", 2, 3, "stack", 0, False, "O(1)", "O(1)", None, "HIGH"), (1, 3, "steps", 3, 5, "rows", 1, False, "O(n)", "O(1)", None, "MEDIUM"),
+    (2, 0, "pick", 2, 3, "lookup key", 0, False, "O(1)", "O(1)", None, "HIGH"), (2, 1, "tally", 4, 5, "words", 1, False, "O(n)", "O(1)", None, "MEDIUM"),
+    (2, 2, "deep", 2, 2, "config", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (3, 0, "label", 2, 2, "name count", 0, False, "O(1)", "O(1)", None, "HIGH"), (3, 1, "bill", 4, 5, "prices", 1, False, "O(n)", "O(1)", None, "MEDIUM"),
+    (3, 2, "call", 2, 2, "value", 0, False, "UNKNOWN", "UNKNOWN", "UNKNOWN_CALL", "LOW"), (3, 3, "cell", 2, 3, "grid", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (4, 0, "grow", 4, 5, "items", 1, False, "UNKNOWN", "UNKNOWN", "UNKNOWN_CALL", "LOW"), (4, 1, "trim", 2, 3, "name", 0, False, "UNKNOWN", "UNKNOWN", "UNKNOWN_CALL", "LOW"),
+    (4, 2, "first", 2, 2, "rows", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (5, 0, "parse", 2, 2, "text", 0, False, "O(1)", "O(1)", None, "HIGH"), (5, 1, "halves", 2, 3, "items", 0, False, "O(1)", "O(1)", None, "HIGH"),
+    (5, 2, "find", 2, 2, "items wanted", 0, False, "O(n)", "O(1)", None, "HIGH"),
+    (6, 0, "area", 2, 2, "width height", 0, False, "O(1)", "O(1)", None, "HIGH"), (6, 1, "merge", 4, 4, "parts", 1, False, "O(n)", "O(1)", None, "MEDIUM"),
+    (7, 0, "down", 2, 2, "n", 0, True, "UNKNOWN", "UNKNOWN", "DYNAMIC_RECURSION", "LOW"),
+    (8, 0, "open", 1, 2, "", 0, False, "UNKNOWN", "UNKNOWN", "UNSUPPORTED_SYNTAX", "LOW"), (8, 1, "gap", 1, 2, "", 0, False, "UNKNOWN", "UNKNOWN", "UNSUPPORTED_SYNTAX", "LOW"),
+    (9, 0, "pairs", 5, 6, "left right", 2, False, "O(nm)", "O(1)", None, "MEDIUM"), (9, 1, "best", 4, 6, "items", 1, False, "O(n)", "O(1)", None, "MEDIUM"),
+    (9, 2, "search", 6, 9, "items wanted", 1, False, "O(log n)", "O(1)", None, "MEDIUM"), (9, 3, "fact", 3, 4, "n", 0, True, "O(n)", "O(n)", None, "MEDIUM"),
+]
+
 
+def literal(x) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
-def by_kind(*values: str) -> str:
-    """SQL CASE over the ten kinds."""
-    return f"CASE {KIND} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+KIND = "doc_id % 10"
+#: Programs with their facts: a row for each document; ``pad`` comment lines stand first.
+SQL_PROGRAMS = f"""(SELECT d.doc_id, d.doc_id % 4 AS pad, f.* FROM documents d JOIN (VALUES {', '.join('(' + ', '.join(map(literal, f)) + ')' for f in FACTS)})
+  AS f(kind, variant, name, fault, last, params, depth, recursive, time, aux_space, reason, confidence)
+  ON d.doc_id % 10 = f.kind AND (d.doc_id // 10) % ([{', '.join(map(str, generator.VARIANTS))}])[d.doc_id % 10 + 1] = f.variant)"""
 
 
 # --- sources and sinks ----------------------------------------------------------------------------
@@ -139,22 +167,47 @@ def s12(spark, sf):
     return sinks.markdown_table(suite_rows(spark, sf), ["event_type", "total", "passed"], "event_type")
 
 
-CATEGORY = by_kind(*[f"'{t[0]}'" for t in generator.TEMPLATES])
+CATEGORY = f"([{', '.join(map(literal, generator.KINDS))}])[{{}} % 10 + 1]"
 
 
 @query("s13_generated_pairs", f"""
-WITH r AS (SELECT range AS i, CASE WHEN range < 1558 THEN 0 WHEN range < 3116 THEN 1 ELSE 2 END AS t FROM range(3800)), k AS (SELECT t, i - t * 1558 AS doc_id FROM r)
-SELECT CASE t WHEN 0 THEN 'ft_diag' WHEN 1 THEN 'ft_edit' ELSE 'ft_abst' END || '_' || printf('%05d', doc_id + 1) AS id, CASE t WHEN 0 THEN 'diagnosis' WHEN 1 THEN 'edit_proposal' ELSE 'abstention' END AS task_type, {CATEGORY} AS category FROM k""")
+WITH r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY doc_id) - 1 AS i, (SELECT count(*) FROM documents) AS total FROM documents),
+p AS (SELECT i, CASE WHEN i < CAST(floor(total * 0.41::DOUBLE) AS BIGINT) THEN 0 WHEN i < 2 * CAST(floor(total * 0.41::DOUBLE) AS BIGINT) THEN 1 ELSE 2 END AS t, CAST(floor(total * 0.41::DOUBLE) AS BIGINT) AS part FROM r),
+o AS (SELECT t, i - t * part AS o FROM p)
+SELECT CASE t WHEN 0 THEN 'ft_diag' WHEN 1 THEN 'ft_edit' ELSE 'ft_abst' END || '_' || printf('%05d', o + 1) AS id, CASE t WHEN 0 THEN 'diagnosis' WHEN 1 THEN 'edit_proposal' ELSE 'abstention' END AS task_type,
+  CASE WHEN t < 2 THEN {CATEGORY.format('o')} ELSE (['clean_code', 'external_dependency', 'out_of_bounds', 'prompt_budget_exceeded'])[o % 4 + 1] END AS category,
+  CASE WHEN t = 2 THEN (['UNGROUNDED_EVIDENCE', 'UNGROUNDED_EVIDENCE', 'OUT_OF_BOUNDS_LINES', 'PROMPT_BUDGET_EXCEEDED'])[o % 4 + 1] END AS reason FROM o""")
 def s13(spark, sf):
-    return generator.pairs(spark, 3800).select("id", "task_type", "category")
+    """As many pairs as there are documents."""
+    return generator.pairs(spark, docs(spark, sf).count()).select("id", "task_type", "category", "reason")
 
 
-FAULT = by_kind("3", "3", "2", "2", "4", "2", "2", "2", "1", "5")
+@query("s14_template_cases", f"SELECT doc_id, {CATEGORY.format('doc_id')} AS category, CAST(variant AS INTEGER) AS variant, name || '_' || doc_id || '.py' AS target_file, CAST(fault + pad AS BIGINT) AS fault_line FROM {SQL_PROGRAMS}")
+def s14(spark, sf):
+    return programs(spark, sf).select("doc_id", "category", "variant", "target_file", "fault_line")
 
 
-@query("s14_template_cases", f"SELECT doc_id, {CATEGORY} AS category, CAST({FAULT} AS BIGINT) AS fault_line FROM documents")
-def s14(spark, sf):
-    return programs(spark, sf).select("doc_id", "category", "fault_line")
+@query("s14_abstention_cases", """
+SELECT doc_id, (['clean_code', 'external_dependency', 'out_of_bounds', 'prompt_budget_exceeded'])[doc_id % 4 + 1] AS category, (['UNGROUNDED_EVIDENCE', 'UNGROUNDED_EVIDENCE', 'OUT_OF_BOUNDS_LINES', 'PROMPT_BUDGET_EXCEEDED'])[doc_id % 4 + 1] AS reason,
+  (['total_', 'fetch_', 'tiny_', 'wide_'])[doc_id % 4 + 1] || doc_id || '.py' AS target_file, CAST(([5, 5, 2, 152])[doc_id % 4 + 1] + doc_id % 4 AS BIGINT) AS n_lines FROM documents""")
+def s14_none(spark, sf):
+    own = generator.abstentions(spark, docs(spark, sf).select(F.col("doc_id").alias("ordinal"))).withColumnRenamed("ordinal", "doc_id")
+    return own.select("doc_id", "category", "reason", "target_file", T.line_count("source_code").alias("n_lines"))
+
+
+@query("s15_manifest", f"""
+SELECT 'bugs' AS dataset, CAST(count(*) AS VARCHAR) AS total, CAST(sum(fault + pad) AS BIGINT) AS faults, count(*) FILTER (kind = 8) AS syntax, CAST(sum(greatest(last, 1) + pad) AS BIGINT) AS row_count, min(name || '_' || doc_id || '.py') AS first FROM {SQL_PROGRAMS}""")
+def s15_manifest(spark, sf):
+    """A manifest of all generated programs, against a listing of their files with line counts; read back from its JSON."""
+    own = programs(spark, sf)
+    category = F.when(F.col("category") == "SyntaxError", "syntax_error").when(F.col("category") == "logic_bug", "logic_bug").otherwise("standard_exception")
+    entries = own.select(F.concat(F.lit("bug_"), F.col("doc_id").cast("string")).alias("id"), F.col("target_file").alias("path"), category.alias("category"), F.col("category").alias("error_type"), F.col("fault_line").cast("string").alias("description"))
+    entries = entries.withColumn("expected_status", generator.expected_status(F.col("error_type"), F.col("category")))
+    listing = own.select(F.col("target_file").alias("path"), T.line_count("source_code").alias("n_rows"))
+    kind = "dataset string, total_samples string, samples array<struct<path:string,id:string,category:string,expected_status:string,error_type:string,description:string,row_count:bigint>>"
+    made = generator.file_manifest("bugs", listing, entries).select(F.from_json("json", kind).alias("m"))
+    rows = made.select("m.dataset", F.col("m.total_samples").alias("total"), F.posexplode("m.samples").alias("at", "s"))
+    return rows.groupBy("dataset", "total").agg(F.sum(F.col("s.description").cast("long")).alias("faults"), F.count_if(F.col("s.expected_status") == "syntax_error").alias("syntax"), F.sum("s.row_count").alias("row_count"), F.min_by("s.path", "at").alias("first"))
 
 
 @query("s15_missing_files", "SELECT 'doc_' || doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -166,19 +219,18 @@ def s15(spark, sf):
 # --- parsers --------------------------------------------------------------------------------------
 
 
-@query("d01_syntax", f"SELECT doc_id, {KIND} = 8 AS broken FROM documents")
+@query("d01_syntax", f"SELECT doc_id, kind = 8 AS broken FROM {SQL_PROGRAMS}")
 def d01(spark, sf):
     return programs(spark, sf).select("doc_id", code.syntax(F.col("source_code")).isNotNull().alias("broken"))
 
 
 @query("d02_definitions", f"""
-SELECT doc_id, {by_kind("'ratio_'", "'walk_'", "'pick_'", "'label_'", "'grow_'", "'parse_'", "'area_'", "'down_'", "''", "'pairs_'")} || doc_id AS name, CAST(1 AS BIGINT) AS start, CAST({by_kind('3', '5', '3', '2', '5', '2', '2', '2', '0', '6')} AS BIGINT) AS "end",
-  {by_kind("['values']", "['items']", "['lookup', 'key']", "['name', 'count']", "['items']", "['text']", "['width', 'height']", "['n']", "[]", "['left', 'right']")} AS parameters FROM documents WHERE {KIND} <> 8""")
+SELECT doc_id, name || '_' || doc_id AS name, CAST(1 + pad AS BIGINT) AS start, CAST(last + pad AS BIGINT) AS "end", string_split(params, ' ') AS parameters FROM {SQL_PROGRAMS} WHERE kind <> 8""")
 def d02(spark, sf):
     return code.definitions(programs(spark, sf), "doc_id", "source_code").select("doc_id", "name", "start", "end", "parameters")
 
 
-@query("d03_structure", f"SELECT doc_id, CAST({by_kind('0', '1', '0', '0', '1', '0', '0', '0', '0', '2')} AS BIGINT) AS max_depth, {KIND} = 7 AS recursive FROM documents WHERE {KIND} <> 8")
+@query("d03_structure", f"SELECT doc_id, CAST(depth AS BIGINT) AS max_depth, recursive FROM {SQL_PROGRAMS} WHERE kind <> 8")
 def d03(spark, sf):
     rows = code.structure(programs(spark, sf), "doc_id", "source_code")
     return code.loop_summary(rows, "doc_id").select("doc_id", "max_depth", "recursive")
@@ -194,20 +246,17 @@ O1, ON, ONM = "'O(1)'", "'O(n)'", "'O(nm)'"
 UNK = "'UNKNOWN'"
 
 
-@query("d05_complexity", f"""
-SELECT doc_id, {by_kind(ON, ON, O1, O1, UNK, O1, O1, UNK, UNK, ONM)} AS time, {by_kind(O1, O1, O1, O1, UNK, O1, O1, UNK, UNK, O1)} AS aux_space,
-  {by_kind('NULL', 'NULL', 'NULL', 'NULL', "'UNKNOWN_CALL'", 'NULL', 'NULL', "'DYNAMIC_RECURSION'", "'UNSUPPORTED_SYNTAX'", 'NULL')} AS reason,
-  {by_kind("'HIGH'", "'MEDIUM'", "'HIGH'", "'HIGH'", "'LOW'", "'HIGH'", "'HIGH'", "'LOW'", "'LOW'", "'MEDIUM'")} AS confidence FROM documents""")
+@query("d05_complexity", f"SELECT doc_id, time, aux_space, reason, confidence FROM {SQL_PROGRAMS}")
 def d05(spark, sf):
     return code.complexities(programs(spark, sf), "doc_id", "source_code").select("doc_id", "time", "aux_space", "reason", "confidence")
 
 
-@query("d13_evidence", f"SELECT doc_id, {KIND} <> 8 AS syntax_valid, CAST(CASE WHEN {KIND} = 8 THEN 0 ELSE 1 END AS BIGINT) AS n_functions FROM documents")
+@query("d13_evidence", f"SELECT doc_id, kind <> 8 AS syntax_valid, CAST(CASE WHEN kind = 8 THEN 0 ELSE 1 END AS BIGINT) AS n_functions, CASE WHEN kind = 8 THEN ['SyntaxError'] WHEN doc_id % 3 = 0 THEN [] ELSE ['F' || doc_id % 3] END AS findings FROM {SQL_PROGRAMS}")
 def d13(spark, sf):
-    own = programs(spark, sf)
-    checked = own.select("doc_id", code.syntax(F.col("source_code")).isNull().alias("syntax_valid"))
-    found = code.definitions(own, "doc_id", "source_code").groupBy("doc_id").agg(F.count("*").alias("n_functions"))
-    return checked.join(found, "doc_id", "left").select("doc_id", "syntax_valid", F.when(F.col("syntax_valid"), F.coalesce("n_functions", F.lit(0))).otherwise(0).cast("long").alias("n_functions"))
+    """A lint tool's output for each program but every third; source that doesn't parse has its syntax error alone."""
+    lint = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit('[{"code": "F'), (F.col("doc_id") % 3).cast("string"), F.lit('"}]')))
+    found = code.evidence(programs(spark, sf), "source_code", files.findings(lint))
+    return found.select("doc_id", "syntax_valid", F.size("definitions").cast("long").alias("n_functions"), F.col("findings.code").alias("findings"))
 
 
 def sql_prompt(first: str, last: str, findings: bool) -> str:
@@ -325,11 +374,11 @@ def a16(spark, sf):
     return table(spark, sf, "events").select("event_id", costs.product_column(name("event_id"), name("user_id"), F.col("event_id") % 2 == 0).alias("class"))
 
 
-@query("x01_table_function", f"SELECT doc_id, CASE WHEN {KIND} = 8 THEN NULL ELSE 'function' END AS kind FROM documents WHERE {KIND} <> 8")
+@query("x01_table_function", f"SELECT doc_id, 'function' AS kind, CAST(last + pad AS BIGINT) AS end_line FROM {SQL_PROGRAMS} WHERE kind <> 8")
 def x01(spark, sf):
-    registry.register_table_functions(spark)
+    registry.register_functions(spark)
     programs(spark, sf).createOrReplaceTempView("tracelens_programs")
-    return spark.sql("SELECT p.doc_id, d.kind FROM tracelens_programs p, LATERAL py_definitions(p.source_code) d")
+    return spark.sql("SELECT p.doc_id, d.kind, d.end AS end_line FROM tracelens_programs p, LATERAL inline(py_definitions(p.source_code)) d")
 
 
 @query("t03_stream_summary", """
@@ -366,7 +415,7 @@ def names(*values) -> list[str]:
     return ["NULL" if v is None else f"'{v}'" for v in values]
 
 
-@query("a14_loops_and_recursion", f"SELECT doc_id, CAST({by_kind('0', '1', '0', '0', '1', '0', '0', '0', '0', '2')} AS BIGINT) AS max_depth, {KIND} = 7 AS any_recursion FROM documents WHERE {KIND} <> 8")
+@query("a14_loops_and_recursion", f"SELECT doc_id, CAST(depth AS BIGINT) AS max_depth, recursive AS any_recursion FROM {SQL_PROGRAMS} WHERE kind <> 8")
 def a14(spark, sf):
     per_function = code.loop_summary(code.structure(programs(spark, sf), "doc_id", "source_code"), "doc_id")
     return per_function.groupBy("doc_id").agg(F.max("max_depth").alias("max_depth"), F.bool_or("recursive").alias("any_recursion"))
