@@ -214,14 +214,14 @@ def test_budgeted_context(spark):
     source = "\n".join(f"line number {i} of this file" for i in range(1, 81))
     findings = [("E1", 38, "near"), ("E2", 5, "far"), ("E3", 41, "near too")]
     functions = [("outer", 20, 70), ("inner", 30, 50), ("other", 1, 10)]
-    budgets = [5000, 400, 390, 380, 300, 240, 200, 180, 150, 124, 10]
+    budgets = [1200, 400, 390, 380, 300, 240, 200, 180, 150, 124, 10]
     rows = spark.createDataFrame(
         [(b, "a.py", source.split("\n"), "ValueError: bad", ["runtime:ValueError"], 40, [(40, "run", "x = 1", True), (3, "lib", "", False)], findings, functions, [("C", 18, 72)]) for b in budgets],
         "budget int, path string, lines array<string>, error string, error_ids array<string>, line long, frames array<struct<line:bigint,function:string,code:string,is_target:boolean>>, "
         "findings array<struct<code:string,line:bigint,message:string>>, functions array<struct<name:string,start:bigint,end:bigint>>, classes array<struct<name:string,start:bigint,end:bigint>>",
     )
     got = {r.budget: r.context for r in context.diagnosis(rows, F.col("budget")).collect()}
-    assert got[5000].omitted == [] and (got[5000].start, got[5000].end) == (30, 50) and "ruff:E2:line_5" in got[5000].manifest and "[external]" in got[5000].prompt
+    assert got[1200].omitted == [] and (got[1200].start, got[1200].end) == (30, 50) and "ruff:E2:line_5" in got[1200].manifest and "[external]" in got[1200].prompt
     assert all(c is None or c.tokens <= b for b, c in got.items()) and got[10] is None
     steps = [len(got[b].omitted) for b in budgets if got[b]]
     assert steps == sorted(steps) and 0 in steps and 1 in steps and 4 in steps and 7 in steps
@@ -231,7 +231,7 @@ def test_budgeted_context(spark):
     assert (single.start, single.end) == (40, 40) and "### Traceback" not in single.prompt
     lines = F.col("lines")
     edits_ = rows.select("budget", context.edit(F.lit(""), lines, F.col("line"), F.col("findings"), F.col("budget")).alias("c")).collect()
-    assert {r.budget: r.c and tuple(r.c.omitted) for r in edits_}[5000] == () and {r.budget: r.c for r in edits_}[10] is None
+    assert {r.budget: r.c and tuple(r.c.omitted) for r in edits_}[1200] == () and {r.budget: r.c for r in edits_}[10] is None
 
 
 def test_schemas(spark):

@@ -322,3 +322,20 @@ def json_depth(x: Text) -> Column:
         lambda a: a["most"],
     )
     return F.when(valid, deep)
+
+
+#: Names of tensors outside of blocks, and of parts of blocks, in two formats (fixed values).
+TENSORS = {"model.embed_tokens.weight": "token_embd.weight", "model.norm.weight": "output_norm.weight", "lm_head.weight": "output.weight"}
+BLOCK_TENSORS = {
+    "self_attn.q_proj.weight": "attn_q.weight", "self_attn.q_proj.bias": "attn_q.bias", "self_attn.k_proj.weight": "attn_k.weight", "self_attn.k_proj.bias": "attn_k.bias",
+    "self_attn.v_proj.weight": "attn_v.weight", "self_attn.v_proj.bias": "attn_v.bias", "self_attn.o_proj.weight": "attn_output.weight", "mlp.gate_proj.weight": "ffn_gate.weight",
+    "mlp.up_proj.weight": "ffn_up.weight", "mlp.down_proj.weight": "ffn_down.weight", "input_layernorm.weight": "attn_norm.weight", "post_attention_layernorm.weight": "ffn_norm.weight",
+}
+
+
+def tensor_name(x: Text) -> Column:
+    """A tensor's name in the other format; a name that has none stays."""
+    table = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])
+    block = F.regexp_extract(col(x), r"(?s)^model\.layers\.([^.]*)\.(.*)$", 1)
+    part = F.try_element_at(table(BLOCK_TENSORS), F.regexp_extract(col(x), r"(?s)^model\.layers\.([^.]*)\.(.*)$", 2))
+    return F.coalesce(F.try_element_at(table(TENSORS), col(x)), F.concat(F.lit("blk."), block, F.lit("."), part), col(x))

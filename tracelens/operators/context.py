@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .windows import excerpt, shrink
 
+#: Tokens of the context window and its parts; the prompt's part is a ceiling.
+WINDOW_TOKENS, MOST_PROMPT, OUTPUT_TOKENS = 2048, 1200, 600
+
+
+def partition(prompt: Column, output: Column | None = None, window: Column | None = None) -> Column:
+    """Struct (prompt, output, margin) of a budget: the parts add up to the window. A prompt above the ceiling, or parts above the window, fail."""
+    window, output = F.lit(WINDOW_TOKENS) if window is None else window, F.lit(OUTPUT_TOKENS) if output is None else output
+    margin = window - prompt - output
+    asked = (
+        F.when(prompt > MOST_PROMPT, F.raise_error(F.concat(F.lit("prompt budget above the ceiling: "), prompt.cast("string"))).cast("long"))
+        .when(margin < 0, F.raise_error(F.lit("prompt and output budgets exceed the window")).cast("long")).otherwise(prompt.cast("long"))
+    )
+    return F.struct(asked.alias("prompt"), output.cast("long").alias("output"), margin.cast("long").alias("margin"))
+
+
 #: What is dropped, in this order.
 STEPS = ("secondary_diagnostics", "broader_ast_outline", "external_traceback_frames", "surrounding_lines", "excerpt_diagnostics", "traceback_summary", "single_line")
 
@@ -56,7 +71,7 @@ def diagnosis(rows: DataFrame, budget: Column, tokens: Callable[[Column], Column
 
     ``rows`` has path, lines (array of source lines), error and error_ids (the failure's text and identifiers), line (of the fault, or null), frames (line, function,
     code, is_target), findings (code, line, message), functions and classes (name, start, end). A step keeps away what the steps before it dropped;
-    narrowing tries each narrower window in turn and leaves the narrowest to the steps after it.
+    narrowing tries each narrower window in turn and leaves the narrowest to the steps after it. A budget above the ceiling fails (``partition``).
 
     All candidates are rendered by one lambda over an array of (step, window), so the plan stays small.
     """
@@ -99,7 +114,7 @@ def diagnosis(rows: DataFrame, budget: Column, tokens: Callable[[Column], Column
     work = work.withColumn("__made", F.transform("__tries", render))
     counted = F.transform("__made", lambda m: F.struct(m["prompt"].alias("prompt"), m["manifest"].alias("manifest"), tokens(m["prompt"]).alias("tokens"), F.slice(names, F.lit(1), m["step"]).alias("omitted"), m["start"].alias("start"), m["end"].alias("end")))
     work = work.withColumn("__counted", counted)
-    work = work.withColumn(out, F.get(F.filter("__counted", lambda x: x["tokens"] <= budget), F.lit(0)))
+    work = work.withColumn(out, F.get(F.filter("__counted", lambda x: x["tokens"] <= partition(budget)["prompt"]), F.lit(0)))
     return work.drop(*[x for x in work.columns if x.startswith("__")])
 
 

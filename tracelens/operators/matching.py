@@ -62,6 +62,52 @@ def diff_counts(baseline: DataFrame, candidate: DataFrame, key: list[str]) -> Da
     return n.select(*key, pre.cast("long").alias("pre_existing"), (F.col("b") - pre).cast("long").alias("eliminated"), (F.col("c") - pre).cast("long").alias("introduced"))
 
 
+def eliminated_findings(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(file, code, start_line, n) of baseline findings that are gone: baseline rows have start_line, and line, where it stands now (null if edited)."""
+    base = baseline.groupBy("file", "code", "start_line", "line").agg(F.count(F.lit(1)).alias("b"))
+    cand = candidate.groupBy("file", "code", "line").agg(F.count(F.lit(1)).alias("c"))
+    kept = base.join(cand, ["file", "code", "line"], "left").withColumn("n", F.col("b") - F.least("b", F.coalesce("c", F.lit(0))))
+    return kept.filter("n > 0").groupBy("file", "code", "start_line").agg(F.sum("n").alias("n"))
+
+
+def targeted_eliminated(targets: DataFrame, baseline: DataFrame, candidate: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``targets`` (file, code, start_line or null) with ``ok``: a target with a line is gone if a finding of its code and line is; one by code alone if any
+    of its code is gone or none is left. 'SyntaxError' by code alone is met where the baseline did not parse and the candidate does.
+
+    ``parsed``: file, base_valid, valid. Null codes match nothing.
+    """
+    gone = eliminated_findings(baseline, candidate)
+    exact = gone.select("file", "code", "start_line", F.lit(True).alias("__line")).distinct()
+    some = gone.select("file", "code", F.lit(True).alias("__code")).distinct()
+    left = candidate.select("file", "code", F.lit(True).alias("__left")).distinct()
+    rows = targets.join(exact, ["file", "code", "start_line"], "left").join(some, ["file", "code"], "left").join(left, ["file", "code"], "left").join(parsed.select("file", "base_valid", "valid"), "file", "left")
+    mended = (F.col("code") == "SyntaxError") & ~F.col("base_valid") & F.col("valid")
+    by_code = F.coalesce(mended, F.lit(False)) | F.col("__code").isNotNull() | F.col("__left").isNull()
+    return rows.withColumn("ok", F.when(F.col("start_line").isNotNull(), F.col("__line").isNotNull()).otherwise(by_code)).select(*targets.columns, "ok")
+
+
+def level_a(parsed: DataFrame, baseline: DataFrame, candidate: DataFrame, targets: DataFrame) -> DataFrame:
+    """Level A of each file of ``parsed`` (file, base_valid, valid): the candidate parses, no finding is new, and all targets are gone. A file without findings
+    or targets needs only to parse. See ``targeted_eliminated``."""
+    new = diff_counts(baseline, candidate, ["file", "code", "line"]).groupBy("file").agg(F.sum("introduced").alias("introduced"))
+    met = targeted_eliminated(targets, baseline, candidate, parsed).groupBy("file").agg(F.bool_and("ok").alias("met"))
+    out = parsed.select("file", "valid").join(new, "file", "left").join(met, "file", "left").withColumns({"introduced": F.coalesce("introduced", F.lit(0)), "targets_gone": F.coalesce("met", F.lit(True))})
+    return out.select("file", (F.col("valid") & (F.col("introduced") == 0) & F.col("targets_gone")).alias("passed"), F.col("valid").alias("parses"), "introduced", "targets_gone")
+
+
+def expected_vs_observed(manifest: DataFrame, observed: DataFrame, key: str, passed: Column) -> DataFrame:
+    """Each manifest row with its observation and ``passed``; a sample that was not observed has not passed."""
+    seen = observed.withColumn("__seen", F.lit(True))
+    return manifest.join(seen, key, "left").withColumns({"observed": F.col("__seen").isNotNull(), "passed": F.coalesce(passed & F.col("__seen"), F.lit(False))}).drop("__seen")
+
+
+def costs_of(calls: DataFrame, kind: str, name: str, costs: DataFrame) -> DataFrame:
+    """Calls with time, aux_space, amortized and expected of the cost dimension (kind, name, ...), nulls of calls that it lacks. The dimension has
+    some 55 rows, whatever the calls."""
+    dim = costs.select(F.col("kind").alias("__kind"), F.col("name").alias("__name"), "time", "aux_space", "amortized", "expected")
+    return calls.join(F.broadcast(dim), (F.col(kind) == F.col("__kind")) & (F.col(name) == F.col("__name")), "left").drop("__kind", "__name")
+
+
 PAIRED = "file long, baseline_id long, candidate_id long, outcome string"
 
 
@@ -120,10 +166,18 @@ def unknown_calls(calls: DataFrame, known: DataFrame, by: str, ordinal: str, nam
     return missing.groupBy(by).agg(F.min_by(name, ordinal).alias("first_unknown"))
 
 
-def mutual_calls(edges: DataFrame) -> DataFrame:
-    """Edges (caller, callee) whose reverse is there too, self calls aside."""
-    back = edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")).distinct()
-    return edges.filter("caller <> callee").distinct().join(back, ["caller", "callee"], "left_semi")
+def call_edges(structure: DataFrame, key: str) -> DataFrame:
+    """(key, on_self, caller, callee) of the calls in structure rows: by plain name between functions, by ``self.`` or ``cls.`` between methods."""
+    method = F.regexp_extract("label", r"^(?:self|cls)\.([^.]+)$", 1)
+    rows = structure.filter("kind = 'call'").select(key, (method != "").alias("on_self"), F.element_at(F.split("function", r"\."), -1).alias("caller"), F.when(method != "", method).otherwise(F.col("label")).alias("callee"), F.col("function").contains(".").alias("in_class"))
+    return rows.filter("callee <> '' and not contains(callee, '.') and on_self = in_class").select(key, "on_self", "caller", "callee").distinct()
+
+
+def mutual_calls(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Edges (caller, callee) whose reverse is there too, self calls aside; with ``by``, within each group of those columns."""
+    by = by or []
+    back = edges.select(*by, F.col("callee").alias("caller"), F.col("caller").alias("callee")).distinct()
+    return edges.filter("caller <> callee").distinct().join(back, [*by, "caller", "callee"], "left_semi")
 
 
 def resolve_selectors(selectors: DataFrame, functions: DataFrame) -> DataFrame:

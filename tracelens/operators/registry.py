@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import pysource
 from .code import DEFINITION, REPORT, mapper, reports
@@ -37,6 +38,16 @@ class Registry:
     def names(self) -> list[str]:
         return sorted(self._own)
 
+    def column(self, path: Column) -> Column:
+        """Name of the analyser for a column of paths, null without one."""
+        out = F.lit(None).cast("string")
+        for a in reversed(list(self._own.values())):
+            mine = F.lit(False)
+            for e in a.extensions:
+                mine = mine | F.lower(path).endswith(e)
+            out = F.when(mine, a.name).otherwise(out)
+        return out
+
     def for_path(self, path: str) -> Analyzer | None:
         return next((a for a in self._own.values() if path.lower().endswith(a.extensions)), None)
 

@@ -120,11 +120,6 @@ def signature(timed_out: Column, exit_code: Column, parsed: Column, limit: Colum
     return F.when(parsed.isNotNull(), parsed).when(timed_out, made("TimeoutExpired", late)).when(exit_code != 0, made("SystemExit", failed))
 
 
-def first_fitting(variants: list[tuple[str, Column]], tokens, budget: Column) -> Column:
-    """Struct (name, tokens) of the first variant whose token count fits the budget; null if none does."""
-    out = None
-    for name, text in variants:
-        n = tokens(text)
-        got = F.struct(F.lit(name).alias("name"), n.alias("tokens"))
-        out = F.when(n <= budget, got) if out is None else out.when(n <= budget, got)
-    return out
+def synced(a: Column, b: Column, names: tuple[str, str]) -> Column:
+    """Struct of two fields that name one thing: each takes the other's value where it has none."""
+    return F.struct(F.coalesce(a, b).alias(names[0]), F.coalesce(b, a).alias(names[1]))

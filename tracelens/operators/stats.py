@@ -203,3 +203,10 @@ def mean_loss(rows: DataFrame, by: By, loss: str) -> DataFrame:
 def collected_errors(rows: DataFrame, key: str, errors: Column) -> DataFrame:
     """(key, index, error) of every error of every row."""
     return rows.select(key, F.posexplode(errors).alias("index", "error")).withColumn("index", F.col("index").cast("long"))
+
+
+def innermost_frame(frames: Column, target: Column) -> Column:
+    """Struct (file, line) of the last target frame, else of the last frame, else the target without a line; ``frames`` are in order."""
+    ours = F.filter(frames, lambda f: f["is_target"])
+    top = F.when(F.size(ours) > 0, F.element_at(ours, -1)).when(F.size(frames) > 0, F.element_at(frames, -1))
+    return F.struct(F.coalesce(top["file"], target).alias("file"), top["line"].cast("long").alias("line"))

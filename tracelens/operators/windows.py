@@ -96,6 +96,26 @@ def byte_cap(chunks: DataFrame, run: str, order: str, size: str, cap: int) -> Da
     return out.withColumn("kept", F.least(F.col(size), left)).withColumn("capped", F.col("__upto") >= cap).drop("__upto")
 
 
+def drained(chunks: DataFrame, size: str, most: int = 4096) -> DataFrame:
+    """Reads of a pipe of at most ``most`` bytes each: a row for each read of each chunk, with its number (from 0) and bytes. Empty chunks are no reads."""
+    reads = F.sequence(F.lit(0).cast("long"), F.floor((F.col(size) - 1) / most))
+    rows = chunks.filter(F.col(size) > 0).withColumn("read", F.explode(reads))
+    return rows.withColumn("n_bytes", F.least(F.lit(most).cast("long"), F.col(size) - F.col("read") * most))
+
+
+def stopped_runs(chunks: DataFrame, run: str, order: str, elapsed: str, size: str, cap: int, limit: Column) -> DataFrame:
+    """Why each run ended: (run, stored, truncated, timed_out). Its chunks count in order until the cap is reached, which stops it, or until one comes at or after
+    ``limit`` seconds, which stops it as timed out; a cap that is reached by the same chunk comes first."""
+    so_far = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = chunks.withColumns({"__upto": F.sum(size).over(so_far), "__late": F.max(F.col(elapsed) >= limit).over(so_far)}).withColumn("__full", F.col("__upto") >= cap)
+    at = lambda flag: F.min(F.when(F.col(flag), F.col(order)))
+    found = rows.groupBy(run).agg(at("__full").alias("__f"), at("__late").alias("__l"), F.max("__upto").alias("__all"), F.max(F.when(~F.col("__late"), F.col("__upto"))).alias("__before"))
+    full = F.col("__f").isNotNull() & (F.col("__l").isNull() | (F.col("__f") <= F.col("__l")))
+    late = F.col("__l").isNotNull() & ~full
+    stored = F.when(full, F.lit(cap)).when(late, F.least(F.coalesce("__before", F.lit(0)), F.lit(cap))).otherwise(F.col("__all"))
+    return found.select(run, stored.cast("long").alias("stored"), full.alias("truncated"), late.alias("timed_out"))
+
+
 def out_of_order(edits: DataFrame, proposal: str, ordinal: str, start: str, end: str) -> DataFrame:
     """Adds ``violates``: whether an edit starts at or before the previous one's start or end."""
     w = Window.partitionBy(proposal).orderBy(ordinal)

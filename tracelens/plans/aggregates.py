@@ -213,13 +213,6 @@ def w06(spark, sf):
     return windows.running_shift(rows, "l_orderkey", ["l_suppkey", "l_partkey", "l_extendedprice"], F.col("l_linenumber") - 3).select("l_orderkey", "l_partkey", "l_suppkey", "shift")
 
 
-@query("w07_innermost_frame", """
-SELECT user_id, coalesce(max_by(event_id, event_id) FILTER (event_type = 'error'), max(event_id)) AS frame FROM events GROUP BY user_id""")
-def w07(spark, sf):
-    last = F.max_by("event_id", F.when(F.col("event_type") == "error", F.col("event_id")))
-    return events(spark, sf).groupBy("user_id").agg(F.coalesce(last, F.max("event_id")).alias("frame"))
-
-
 @query("w09_median", "SELECT event_type, median(value) AS median FROM events GROUP BY event_type")
 def w09(spark, sf):
     return stats.grouped(events(spark, sf), ["event_type"], [F.count(F.lit(1)).alias("n")], {"median": F.col("value")}).drop("n")

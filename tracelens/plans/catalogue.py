@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, programs, relational, scalars  # noqa: F401  (they register their queries)
+from . import aggregates, answers, programs, relational, scalars  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, Query
 
 

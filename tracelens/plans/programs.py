@@ -92,14 +92,15 @@ def s03(spark, sf):
     return files.texts(docs(spark, sf).select("doc_id", raw.alias("content"))).select("doc_id", "text")
 
 
-@query("s04_json_items", "SELECT doc_id AS id, source AS category FROM documents")
+@query("s04_json_items", "SELECT doc_id AS id, source AS category, text FROM documents")
 def s04(spark, sf):
+    """A JSON document for each source, written over several lines, in a file of its own."""
     path = scratch(spark, "manifest")
-    item = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("category"))).alias("samples")))
-    docs(spark, sf).select(item.alias("value")).write.text(path)
-    rows = spark.read.text(path)
-    parsed = rows.select(F.explode(F.from_json("value", "samples array<struct<id:bigint,category:string>>")["samples"]).alias("item"))
-    return parsed.select("item.*")
+    item = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("category"), "text")
+    groups = docs(spark, sf).groupBy("source", (F.col("doc_id") % 16).alias("part")).agg(F.collect_list(item).alias("samples"))
+    whole = F.to_json(F.struct(F.lit("d").alias("dataset"), "samples"), {"pretty": "true"})
+    groups.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.json_items(spark, path, "struct<id:bigint,category:string,text:string>", "samples")
 
 
 @query("s05_json_lines", "SELECT doc_id, lang, text FROM documents")
@@ -259,12 +260,12 @@ def d13(spark, sf):
     return found.select("doc_id", "syntax_valid", F.size("definitions").cast("long").alias("n_functions"), F.col("findings.code").alias("findings"))
 
 
-def sql_prompt(first: str, last: str, findings: bool) -> str:
-    """Tokens of an edit prompt over the lines first to last."""
+def sql_prompt(first: str, last: str, findings: bool, counter: int = 0) -> str:
+    """Tokens of an edit prompt over the lines first to last, by the estimate or, for counter 1, a token for each character and a half."""
     body = f"array_to_string(list_transform(range({first}, {last} + 1), lambda i: CAST(i AS VARCHAR) || ': ' || l[i]), chr(10))"
     told = " || CASE WHEN k > 0 THEN chr(10) || chr(10) || '### Findings' || chr(10) || 'E1 at line 1' || CASE WHEN k > 1 THEN chr(10) || 'W2 at line ' || line ELSE '' END ELSE '' END" if findings else ""
     fixed = f"'### Source' || chr(10) || '{T.CODE_START}' || chr(10) || replace(replace({body}, '<<<', '<\\<<'), '>>>', '>\\>>') || chr(10) || '{T.CODE_END}'"
-    return f"CAST(greatest(1, ceil(length({fixed}{told}) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT)"
+    return f"CAST(greatest(1, ceil(length({fixed}{told}) / {('3.5::DOUBLE * 1.15::DOUBLE', '1.5::DOUBLE')[counter]})) AS BIGINT)"
 
 
 SQL_FIRST, SQL_LAST = "CASE WHEN n > 30 THEN greatest(1, line - 15) ELSE 1 END", "CASE WHEN n > 30 THEN least(n, line + 15) ELSE n END"

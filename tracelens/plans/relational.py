@@ -60,14 +60,6 @@ def j02_pairs(spark, sf):
     return M.diff_pairs(*findings(spark, sf))
 
 
-@query("j03_targeted_eliminated", f"SELECT file, code, line FROM ({SQL_DIFF}) WHERE eliminated > 0 AND code = 'error' AND line IS NOT NULL")
-def j03(spark, sf):
-    base, cand = findings(spark, sf)
-    gone = M.diff_counts(base, cand, ["file", "code", "line"]).filter("eliminated > 0 and line is not null")
-    wanted = base.filter("code = 'error'").select("file", "code", "line")
-    return gone.select("file", "code", "line").join(wanted, ["file", "code", "line"], "left_semi")
-
-
 POINTS = "SELECT event_id, user_id AS file, event_id % 97 AS line_no FROM events"
 SPANS = "SELECT event_id AS ordinal, user_id AS file, event_id % 83 AS start, event_id % 83 + event_id % 19 AS \"end\" FROM events"
 
@@ -143,13 +135,6 @@ def j09(spark, sf):
     return l.select("doc_id", M.first_mismatch(wrong, F.col("l")).alias("at"))
 
 
-@query("j10_cost_lookup", """
-SELECT event_id, CASE event_type WHEN 'view' THEN 'O(1)' WHEN 'click' THEN 'O(n)' WHEN 'purchase' THEN 'O(n log n)' ELSE 'UNKNOWN' END AS cost FROM events""")
-def j10(spark, sf):
-    costs = spark.createDataFrame([("view", "O(1)"), ("click", "O(n)"), ("purchase", "O(n log n)")], "event_type string, cost string")
-    return events(spark, sf).join(F.broadcast(costs), "event_type", "left").select("event_id", F.coalesce("cost", F.lit("UNKNOWN")).alias("cost"))
-
-
 @query("j11_unknown_calls", "SELECT user_id, arg_min(event_type, event_id) AS first_unknown FROM events WHERE event_type NOT IN ('view', 'click') AND event_type <> CAST(user_id AS VARCHAR) GROUP BY user_id")
 def j11(spark, sf):
     known = spark.createDataFrame([("view",), ("click",)], "event_type string")
@@ -181,12 +166,6 @@ def j13(spark, sf):
     return M.resolve_selectors(s, functions_of(spark, sf))
 
 
-@query("j14_expected_vs_observed", "SELECT doc_id, quality = 1 AS expected, n_chars >= 300 AS observed, (quality = 1) = (n_chars >= 300) AS passed FROM labels JOIN documents USING (doc_id)")
-def j14(spark, sf):
-    both = table(spark, sf, "labels").join(docs(spark, sf).select("doc_id", "n_chars"), "doc_id")
-    return both.select("doc_id", (F.col("quality") == 1).alias("expected"), (F.col("n_chars") >= 300).alias("observed"), ((F.col("quality") == 1) == (F.col("n_chars") >= 300)).alias("passed"))
-
-
 @query("j15_pivot_models", "SELECT event_type, avg(value) FILTER (user_id % 4 = 0) AS base, avg(value) FILTER (user_id % 4 = 1) AS tuned FROM events GROUP BY event_type")
 def j15(spark, sf):
     rows = events(spark, sf).withColumn("model", F.when(F.col("user_id") % 4 == 0, "base").when(F.col("user_id") % 4 == 1, "tuned"))
@@ -317,12 +296,6 @@ def p13(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_sort(F.map_keys(R.allowed_env(env))).alias("names"))
 
 
-@query("p14_synced_fields", "SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN value END, CASE WHEN event_id % 3 = 0 THEN value END) AS a, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, CASE WHEN event_id % 2 = 0 THEN value END) AS b FROM events")
-def p14(spark, sf):
-    a, b = F.when(F.col("event_id") % 2 == 0, F.col("value")), F.when(F.col("event_id") % 3 == 0, F.col("value"))
-    return events(spark, sf).select("event_id", F.coalesce(a, b).alias("a"), F.coalesce(b, a).alias("b"))
-
-
 @query("p15_profile_report", "SELECT user_id, min(event_id) / 1e6 AS import_ms, avg(event_id) / 1e6 AS mean_ms, max(user_id + event_id) AS heap_bytes FROM events GROUP BY user_id")
 def p15(spark, sf):
     g = events(spark, sf).groupBy("user_id").agg(F.min("event_id").alias("i"), F.avg("event_id").alias("m"), F.max(F.col("user_id") + F.col("event_id")).alias("h"))
@@ -377,47 +350,3 @@ def d15(spark, sf):
     gone = R.failure_gone(F.col("bx"), F.col("bsig"), F.col("x"), F.col("late"), same)
     clean = (F.col("x") == 0) & ~F.col("late")
     return rows.select("event_id", R.level(n % 11 != 0, gone, clean, F.when(n % 2 == 0, True)).alias("level"))
-
-
-@query("d16_level_a", f"""
-WITH d AS ({SQL_DIFF}) SELECT file, sum(introduced) = 0 AND bool_and(code <> 'error' OR eliminated > 0 OR pre_existing = 0) AS passed, CAST(sum(introduced) AS BIGINT) AS introduced FROM d GROUP BY file""")
-def d16(spark, sf):
-    d = M.diff_counts(*findings(spark, sf), ["file", "code", "line"])
-    kept = F.bool_and((F.col("code") != "error") | (F.col("eliminated") > 0) | (F.col("pre_existing") == 0))
-    return d.groupBy("file").agg(((F.sum("introduced") == 0) & kept).alias("passed"), F.sum("introduced").alias("introduced"))
-
-
-@query("d17_fault_location", "SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN user_id END, CASE WHEN event_id % 3 = 0 THEN event_id END, CASE WHEN event_id % 5 = 0 THEN 5 END) AS line, CASE WHEN event_id % 2 = 0 THEN 'runtime_signature' WHEN event_id % 3 = 0 THEN 'runtime_frame' WHEN event_id % 5 = 0 THEN 'syntax_error' END AS origin FROM events")
-def d17(spark, sf):
-    n = F.col("event_id")
-    found = [(F.when(n % 2 == 0, F.col("user_id")), "runtime_signature"), (F.when(n % 3 == 0, n), "runtime_frame"), (F.when(n % 5 == 0, F.lit(5).cast("long")), "syntax_error")]
-    return events(spark, sf).select("event_id", F.coalesce(*[c for c, _ in found]).alias("line"), F.coalesce(*[F.when(c.isNotNull(), F.lit(o)) for c, o in found]).alias("origin"))
-
-
-@query("d18_budgeted_context", f"""
-WITH t AS (SELECT doc_id, {{0}} AS a, {{1}} AS b, {{2}} AS c FROM documents)
-SELECT doc_id, CASE WHEN a <= 300 THEN 'all' WHEN b <= 300 THEN 'without outline' WHEN c <= 300 THEN 'single line' END AS name, CASE WHEN a <= 300 THEN a WHEN b <= 300 THEN b WHEN c <= 300 THEN c END AS tokens FROM t""".format(
-    *[f"CAST(greatest(1, ceil(({n}) / 3.5::DOUBLE * 1.15::DOUBLE)) AS BIGINT)" for n in ("length(text) + length(source) * 20 + 4", "length(text) + 2", "length(string_split(text, chr(10))[1]) + 2")]))
-def d18(spark, sf):
-    code = F.split("text", "\n")
-    variants = [("all", F.concat(F.lit("##"), "text", F.lit("\n\n"), F.repeat("source", 20))), ("without outline", F.concat(F.lit("##"), "text")), ("single line", F.concat(F.lit("##"), F.get(code, F.lit(0))))]
-    return docs(spark, sf).select("doc_id", R.first_fitting(variants, T.estimate_tokens, F.lit(300)).alias("v")).select("doc_id", "v.*")
-
-
-@query("d20_retries", """
-SELECT user_id, CASE WHEN first(event_type ORDER BY event_id) <> 'error' THEN 'valid' WHEN list(event_type ORDER BY event_id)[2] <> 'error' THEN 'valid after retry' ELSE 'abstains' END AS outcome FROM events GROUP BY user_id""")
-def d20(spark, sf):
-    from ..operators.windows import first_per_group
-
-    two = first_per_group(events(spark, sf).select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], 2)
-    t = two.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"].alias("t"))
-    ok = lambda i: F.coalesce(F.get("t", F.lit(i)) != "error", F.lit(False))
-    return t.select("user_id", F.when(ok(0), "valid").when(ok(1), "valid after retry").otherwise("abstains").alias("outcome"))
-
-
-@query("d21_sample_metrics", """
-SELECT user_id % 4 AS model, count(*) AS n, count(*) FILTER (event_type <> 'error') AS first_valid, count(*) FILTER (NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = event_id)) AS hallucinated FROM events GROUP BY 1""")
-def d21(spark, sf):
-    known = table(spark, sf, "labels").select(F.col("doc_id").alias("event_id")).distinct().withColumn("known", F.lit(True))
-    rows = events(spark, sf).join(known, "event_id", "left")
-    return rows.groupBy((F.col("user_id") % 4).alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("first_valid"), F.count_if(F.col("known").isNull()).alias("hallucinated"))

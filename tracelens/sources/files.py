@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code
+from ..operators import code, rules
 
 MOST_SOURCE, MOST_INPUT, DEEPEST_INPUT = 256 * 1024, 1 << 20, 20
 
@@ -55,6 +55,32 @@ def splits(spark: SparkSession, folder: str, schema: str, names: Sequence[str] =
     return out
 
 
+ANSWERS = "sample bigint, task string, attempt int, status string, text string"
+RUNS = "run_id bigint, path string, exit_code int, stdout string, stderr string, duration_seconds double, timed_out boolean"
+
+
+def recorded_answers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Recorded answers of a model (JSON Lines): sample, task, attempt, status, text. An answer without a status is 'ok' if it has text, else 'unavailable'."""
+    rows = json_lines(spark, path, ANSWERS)
+    return rows.withColumn("status", F.coalesce("status", F.when(F.length(F.trim("text")) > 0, "ok").otherwise("unavailable")))
+
+
+def recorded_runs(spark: SparkSession, path: str | list[str], most_bytes: int = MOST_INPUT, limit: float = 5.0) -> DataFrame:
+    """Recorded runs of programs (JSON Lines) with output cut at ``most_bytes`` together, standard output first, whether it was, and the failure's signature (type,
+    message, file; null of a clean run)."""
+    rows = json_lines(spark, path, RUNS)
+    out, err = (F.coalesce(F.encode(c, "utf-8"), F.lit(b"")) for c in ("stdout", "stderr"))
+    room = F.greatest(F.lit(most_bytes) - F.octet_length(out), F.lit(0))
+    parsed = code.traceback(F.coalesce("stderr", F.lit("")), F.col("path"))
+    known = F.when(parsed["type"].isNotNull(), F.struct(parsed["type"].alias("type"), parsed["message"].alias("message"), parsed["file"].alias("file")))
+    late = F.coalesce("timed_out", F.lit(False))
+    failed = late | (F.coalesce("exit_code", F.lit(0)) != 0)
+    return rows.withColumns({
+        "error_signature": F.when(failed, rules.signature(late, F.coalesce("exit_code", F.lit(0)), known, F.lit(limit))), "output_truncated": F.octet_length(out) + F.octet_length(err) > most_bytes,
+        "stdout": F.decode(F.substring(out, 1, most_bytes), "utf-8"), "stderr": F.decode(F.call_function("substring", err, F.lit(1), room.cast("int")), "utf-8"),
+    })
+
+
 LINT = "array<struct<code:string,name:string,message:string,severity:string,location:struct<row:bigint,column:bigint>,end_location:struct<row:bigint,column:bigint>,fix:string>>"
 
 
