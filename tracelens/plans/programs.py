@@ -6,6 +6,7 @@ with doc_id. What is true of each is written out by hand in ``FACTS``, and the S
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -86,9 +87,11 @@ def s02(spark, sf):
     return files.texts(docs(spark, sf).select("doc_id", raw.alias("content"))).select("doc_id", "text")
 
 
-@query("s03_decoded_with_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# coding: nonsense' || chr(10) || 'x' || chr(65533) ELSE 'é' END AS text FROM documents")
+@query("s03_decoded_with_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# coding: nonsense' || chr(10) || text || chr(65533) ELSE text END AS text FROM documents")
 def s03(spark, sf):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.lit(b"# coding: nonsense\nx\xff")).otherwise(F.lit("é".encode()))
+    """Whole texts, half of them with an unknown coding and a byte that is no UTF-8."""
+    own = F.col("text").cast("binary")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(b"# coding: nonsense\n"), own, F.lit(b"\xff"))).otherwise(own)
     return files.texts(docs(spark, sf).select("doc_id", raw.alias("content"))).select("doc_id", "text")
 
 
@@ -316,9 +319,9 @@ def w08(spark, sf):
     return rows.select("event_id", "t.type", "t.message", "t.file", "t.line", F.size("t.frames").cast("long").alias("n_frames"))
 
 
-@query("f12_glyph_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[OK] a->b ?...' ELSE 'plain' END AS shown FROM documents")
+@query("f12_glyph_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[OK] a->b ?... ' ELSE '' END || regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS shown FROM documents")
 def f12(spark, sf):
-    put = F.when(F.col("doc_id") % 2 == 0, "✓ a→b 漢…").otherwise("plain")
+    put = F.concat(F.when(F.col("doc_id") % 2 == 0, "✓ a→b 漢… ").otherwise(""), "text")
     return docs(spark, sf).select("doc_id", code.glyphs(put, "ascii").alias("shown"))
 
 
@@ -399,8 +402,10 @@ def t03(spark, sf):
 
 
 def of_forms(spark, sf, sources):
-    """Documents with one of the given sources each, by doc_id."""
-    return docs(spark, sf).select("doc_id", F.get(F.array(*map(F.lit, sources)), (F.col("doc_id") % len(sources)).cast("int")).alias("source"))
+    """Documents with one of the given sources each, by doc_id, behind doc_id % 5 lines of comment; ``@`` is the doc_id."""
+    source = F.get(F.array(*map(F.lit, sources)), (F.col("doc_id") % len(sources)).cast("int"))
+    front = F.repeat(F.lit("# a line in front\n"), (F.col("doc_id") % 5).cast("int"))
+    return docs(spark, sf).select("doc_id", F.concat(front, F.replace(source, F.lit("@"), F.col("doc_id").cast("string"))).alias("source"))
 
 
 def cases(values) -> str:
@@ -409,7 +414,18 @@ def cases(values) -> str:
 
 
 def classes(spark, sf, sources, *columns):
-    return code.complexities(of_forms(spark, sf, sources), "doc_id", "source").select("doc_id", *columns)
+    """Target, last line and other columns of what is inferred of functions that carry their doc_id's name."""
+    found = code.complexities(of_forms(spark, sf, [named(x) for x in sources]), "doc_id", "source")
+    return found.select("doc_id", "target", F.col("end").alias("last"), *columns)
+
+
+def named(source: str) -> str:
+    return re.sub(r"\bf\(", "f@(", source)
+
+
+def sql_ends(sources) -> str:
+    """SQL of target and last line of each document's function."""
+    return f"'f' || doc_id AS target, CAST({cases([str(len(x.splitlines())) for x in sources])} + doc_id % 5 AS BIGINT) AS last"
 
 
 def names(*values) -> list[str]:
@@ -422,10 +438,10 @@ def a14(spark, sf):
     return per_function.groupBy("doc_id").agg(F.max("max_depth").alias("max_depth"), F.bool_or("recursive").alias("any_recursion"))
 
 
-ERRORS = ["ValueError: bad\n  worse\n", "a.b.MyError\n", "one\nKeyError: 'k'\nHello\n", "   \n", "    IndentError: deep\n"]
+ERRORS = ["ValueError: bad @\n  worse\n", "a.b.MyError\n", "one\nKeyError: 'k'\nHello\n", "   \n", "    IndentError: deep\n"]
 
 
-@query("f21_exceptions", f"SELECT doc_id, {cases(names('ValueError', 'a.b.MyError', 'Hello', None, 'IndentError'))} AS type, {cases(names('bad worse', '', '', None, 'deep'))} AS message FROM documents")
+@query("f21_exceptions", f"SELECT doc_id, {cases(names('ValueError', 'a.b.MyError', 'Hello', None, 'IndentError'))} AS type, {cases(["'bad ' || doc_id || ' worse'", "''", "''", 'NULL', "'deep'"])} AS message FROM documents")
 def f21(spark, sf):
     t = code.traceback(F.col("source"), F.lit("main.py"))
     return of_forms(spark, sf, ERRORS).select("doc_id", t.alias("t")).select("doc_id", "t.type", "t.message")
@@ -438,16 +454,17 @@ def f35(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get(files.findings(raw), F.lit(0)).alias("f")).select("event_id", "f.severity", "f.start_line", "f.end_line")
 
 
-@query("f36_syntax_positions", f"SELECT doc_id, {cases(['NULL', '2', '1'])}::BIGINT AS line, {cases(['NULL', 'true', 'true'])} AS has_column FROM documents")
+@query("f36_syntax_positions", f"SELECT doc_id, ({cases(['NULL', '2', '1'])} + doc_id % 5)::BIGINT AS line, {cases(['NULL', 'true', 'true'])} AS has_column FROM documents")
 def f36(spark, sf):
     found = of_forms(spark, sf, ["x = 1\n", "x = 1\ny = = 2\n", "def f(:\n"]).select("doc_id", code.syntax(F.col("source")).alias("s"))
     return found.select("doc_id", "s.line", (F.col("s.col") >= 1).alias("has_column"))
 
 
-@query("d06_all_functions", f"SELECT doc_id, CAST({cases(['3', '1', '1'])} AS BIGINT) AS n, {cases(['true', 'false', 'false'])} AS has_method FROM documents")
+@query("d06_all_functions", f"SELECT doc_id, CAST({cases(['3', '1', '1'])} AS BIGINT) AS n, {cases(['true', 'false', 'false'])} AS has_method, {cases(["'B.m' || doc_id", "'<module>'", "'<module>'"])} AS some FROM documents")
 def d06(spark, sf):
-    forms = ["def a(): return 1\nclass B:\n    def m(self): return 2\n    async def n(self): return 3\n    class C:\n        def deep(self): return 4\n", "x = 1\n", ""]
-    return classes(spark, sf, forms, "target").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("target").contains(".")).alias("has_method"))
+    forms = ["def a(): return 1\nclass B:\n    def m@(self): return 2\n    async def n(self): return 3\n    class C:\n        def deep(self): return 4\n", "x = 1\n", ""]
+    found = code.complexities(of_forms(spark, sf, forms), "doc_id", "source")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("target").contains(".")).alias("has_method"), F.max(F.when(~F.col("target").isin("a", "B.n"), F.col("target"))).alias("some"))
 
 
 RECURSIVE = [
@@ -456,7 +473,7 @@ RECURSIVE = [
 ]
 
 
-@query("d07_recursion", f"SELECT doc_id, {cases(names('O(2^n)', 'O(log n)', 'O(n)', 'UNKNOWN', 'UNKNOWN'))} AS time, {cases(names('O(n)', 'O(log n)', 'O(n)', 'UNKNOWN', 'UNKNOWN'))} AS aux_space, {cases(names(None, None, None, 'DYNAMIC_RECURSION', 'DYNAMIC_RECURSION'))} AS reason FROM documents")
+@query("d07_recursion", f"SELECT doc_id, {sql_ends(RECURSIVE)}, {cases(names('O(2^n)', 'O(log n)', 'O(n)', 'UNKNOWN', 'UNKNOWN'))} AS time, {cases(names('O(n)', 'O(log n)', 'O(n)', 'UNKNOWN', 'UNKNOWN'))} AS aux_space, {cases(names(None, None, None, 'DYNAMIC_RECURSION', 'DYNAMIC_RECURSION'))} AS reason FROM documents")
 def d07(spark, sf):
     return classes(spark, sf, RECURSIVE, "time", "aux_space", "reason")
 
@@ -467,7 +484,7 @@ WHILES = [
 ]
 
 
-@query("d08_halving_loops", f"SELECT doc_id, {cases(names('O(log n)', 'UNKNOWN', 'O(log n)', 'UNKNOWN'))} AS time, {cases(names(None, 'DYNAMIC_BOUNDS', None, 'DYNAMIC_BOUNDS'))} AS reason FROM documents")
+@query("d08_halving_loops", f"SELECT doc_id, {sql_ends(WHILES)}, {cases(names('O(log n)', 'UNKNOWN', 'O(log n)', 'UNKNOWN'))} AS time, {cases(names(None, 'DYNAMIC_BOUNDS', None, 'DYNAMIC_BOUNDS'))} AS reason FROM documents")
 def d08(spark, sf):
     return classes(spark, sf, WHILES, "time", "reason")
 
@@ -475,7 +492,7 @@ def d08(spark, sf):
 CONTAINERS = [f"def f(xs, {p}):\n    for x in xs:\n        if x in {n}:\n            return x\n" for p, n in (("seen", "seen"), ("ys: list[int]", "ys"), ("ys: set[int]", "ys"), ("lookup", "lookup"), ("other", "other"))]
 
 
-@query("d09_container_kinds", f"SELECT doc_id, {cases(names('O(n)', 'O(nm)', 'O(n)', 'O(n)', 'O(nm)'))} AS time, {cases(['true', 'false', 'true', 'true', 'false'])} AS expected FROM documents")
+@query("d09_container_kinds", f"SELECT doc_id, {sql_ends(CONTAINERS)}, {cases(names('O(n)', 'O(nm)', 'O(n)', 'O(n)', 'O(nm)'))} AS time, {cases(['true', 'false', 'true', 'true', 'false'])} AS expected FROM documents")
 def d09(spark, sf):
     return classes(spark, sf, CONTAINERS, "time", "expected")
 
@@ -487,7 +504,7 @@ def nested(depth: int) -> str:
 NESTS = [nested(1), nested(2), nested(3), nested(4), "def f(a, b):\n    for x in a:\n        for y in b:\n            pass\n", "def f(a):\n    for i in range(9):\n        for x in a:\n            pass\n"]
 
 
-@query("d10_nested_loops", f"SELECT doc_id, {cases(names('O(n)', 'O(n²)', 'O(n³)', 'UNKNOWN', 'O(nm)', 'O(n)'))} AS time, {cases(names(None, None, None, 'DYNAMIC_BOUNDS', None, None))} AS reason FROM documents")
+@query("d10_nested_loops", f"SELECT doc_id, {sql_ends(NESTS)}, {cases(names('O(n)', 'O(n²)', 'O(n³)', 'UNKNOWN', 'O(nm)', 'O(n)'))} AS time, {cases(names(None, None, None, 'DYNAMIC_BOUNDS', None, None))} AS reason FROM documents")
 def d10(spark, sf):
     return classes(spark, sf, NESTS, "time", "reason")
 
@@ -495,12 +512,14 @@ def d10(spark, sf):
 SPACES = ["def f(a):\n    return [x for x in a]\n", "def f(a):\n    b = [x for x in a]\n    return len(b)\n", "def f(a):\n    return a[1:]\n", "def f(a):\n    yield 1\n", "def f(a):\n    a.sort()\n", "def f(a):\n    out = []\n    for x in a:\n        out.append(x)\n    return out\n"]
 
 
-@query("d11_spaces", f"SELECT doc_id, {cases(names('O(1)', 'O(n)', 'O(1)', 'O(1)', 'O(n)', 'O(1)'))} AS aux_space, {cases(names('O(n)', 'O(1)', 'O(n)', 'O(1)', 'O(1)', 'O(n)'))} AS output_space FROM documents")
+@query("d11_spaces", f"SELECT doc_id, {sql_ends(SPACES)}, {cases(names('O(1)', 'O(n)', 'O(1)', 'O(1)', 'O(n)', 'O(1)'))} AS aux_space, {cases(names('O(n)', 'O(1)', 'O(n)', 'O(1)', 'O(1)', 'O(n)'))} AS output_space FROM documents")
 def d11(spark, sf):
     return classes(spark, sf, SPACES, "aux_space", "output_space")
 
 
-@query("d12_confidence", f"SELECT doc_id, {cases(names('HIGH', 'MEDIUM', 'LOW'))} AS confidence, {cases(['true', 'false', 'true'])} AS no_assumptions FROM documents")
+CONFIDENT = ["def f(x):\n    return x + 1\n", nested(1), "def f(x):\n    return g(x)\n"]
+
+
+@query("d12_confidence", f"SELECT doc_id, {sql_ends(CONFIDENT)}, {cases(names('HIGH', 'MEDIUM', 'LOW'))} AS confidence, {cases(['true', 'false', 'true'])} AS no_assumptions FROM documents")
 def d12(spark, sf):
-    forms = ["def f(x):\n    return x + 1\n", nested(1), "def f(x):\n    return g(x)\n"]
-    return classes(spark, sf, forms, "confidence", (F.size("assumptions") == 0).alias("no_assumptions"))
+    return classes(spark, sf, CONFIDENT, "confidence", (F.size("assumptions") == 0).alias("no_assumptions"))
