@@ -140,8 +140,8 @@ def repairs(spark, sf):
     """(parsed, baseline, candidate, targets): findings of each user's even events before a repair, of odd ones after it."""
     base, cand = findings(spark, sf)
     parsed = events(spark, sf).select(F.col("user_id").alias("file")).distinct().select("file", (F.col("file") % 3 != 0).alias("base_valid"), (F.col("file") % 5 != 0).alias("valid"))
-    wanted = spark.createDataFrame([("error", 2), ("click", None), ("SyntaxError", None), ("view", 4)], "code string, start_line long")
-    return parsed, base.withColumn("start_line", F.col("id") % 5 + 1), cand, parsed.select("file").join(F.broadcast(wanted))
+    wanted = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(n).cast("long").alias("start_line")) for c, n in (("error", 2), ("click", None), ("SyntaxError", None), ("view", 4))])
+    return parsed, base.withColumn("start_line", F.col("id") % 5 + 1), cand, parsed.select("file", F.explode(wanted).alias("t")).select("file", "t.*")
 
 
 @query("j03_targeted_eliminated", f"WITH {SQL_GONE} SELECT * FROM m")
