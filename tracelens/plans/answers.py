@@ -23,7 +23,7 @@ def answer(cites, rationale):
 
 
 def recorded(spark, sf):
-    """Two attempts at a diagnosis of each document, the second missing for a quarter."""
+    """Two attempts at a diagnosis of each document; no text was recorded of a quarter of the second ones."""
     d, n = docs(spark, sf), F.col("doc_id")
     none, own = F.array().cast("array<string>"), F.array(F.concat(F.lit("runtime:"), "source"))
     good = answer(own, F.lit("See line 1."))
@@ -32,7 +32,8 @@ def recorded(spark, sf):
     second = [good, answer(F.array(F.lit("runtime:other"), F.lit("x")), F.lit("r")), F.lit("not JSON")]
     status = F.when(n % 7 == 5, "timeout").otherwise("ok")
     of = lambda k, s, t: d.select(n.alias("sample"), F.lit("diagnosis").alias("task"), F.lit(k).alias("attempt"), s.alias("status"), t.alias("text"))
-    again = of(2, F.lit("ok"), F.get(F.array(*second), (F.floor(n / 7) % 4).cast("int"))).filter("sample div 7 % 4 < 3")
+    text = F.get(F.array(*second), (F.floor(n / 7) % 4).cast("int"))
+    again = of(2, F.when(text.isNull(), "unavailable").otherwise("ok"), text)
     return of(1, status, F.get(F.array(*first), (n % 7).cast("int"))).unionByName(again)
 
 
@@ -90,7 +91,7 @@ SELECT sample, d = 'valid' AND p = 'valid' AS first_valid, d <> 'abstains' OR p
 def d21(spark, sf):
     n = F.col("doc_id")
     level = F.when((n % 6 > 0) & (n % 6 < 5), F.get(F.array(*map(F.lit, "ABCD")), (n % 6 - 1).cast("int")))
-    levels = docs(spark, sf).filter("doc_id % 6 < 5").select(n.alias("sample"), level.alias("level"))
+    levels = docs(spark, sf).select(n.alias("sample"), level.alias("level"))
     return answers.sample_metrics(diagnoses(spark, sf), proposals(spark, sf), levels)
 
 
@@ -200,16 +201,16 @@ def j12_methods(spark, sf):
 
 
 @query("j14_expected_vs_observed", f"""
-SELECT doc_id, CASE kind WHEN 8 THEN 'syntax_error' WHEN 9 THEN 'assertion_failure' ELSE 'runtime_exception' END AS expected_status, doc_id % 5 <> 4 AS observed,
-  doc_id % 5 <> 4 AND doc_id % 3 <> 0 AND (kind <> 8 OR NOT (doc_id % 7 <> 0 AND doc_id % 2 = 0)) AS passed FROM {SQL_PROGRAMS}""")
+SELECT doc_id, CASE kind WHEN 8 THEN 'syntax_error' WHEN 9 THEN 'assertion_failure' ELSE 'runtime_exception' END AS expected_status, doc_id IN (SELECT doc_id FROM labels) AS observed,
+  doc_id IN (SELECT doc_id FROM labels) AND doc_id % 3 <> 0 AND (kind <> 8 OR NOT (doc_id % 7 <> 0 AND doc_id % 2 = 0)) AS passed FROM {SQL_PROGRAMS}""")
 def j14(spark, sf):
-    """The manifest of the generated programs against recorded runs, of which a fifth are missing."""
+    """The manifest of the generated programs against recorded runs; those of documents without a label are missing."""
     from ..sources import generator
 
     n, kind = F.col("doc_id"), F.col("category")
     category = F.when(kind == "SyntaxError", "syntax_error").when(kind == "logic_bug", "logic_bug").otherwise("standard_exception")
     manifest = programs(spark, sf).select("doc_id", category.alias("category"), generator.expected_status(kind, category).alias("expected_status"))
-    runs = docs(spark, sf).filter("doc_id % 5 <> 4").select("doc_id", (n % 3).alias("exit_code"), (n % 2 == 0).alias("success"), (n % 7 != 0).alias("syntax_valid"))
+    runs = table(spark, sf, "labels").select("doc_id").distinct().select("doc_id", (n % 3).alias("exit_code"), (n % 2 == 0).alias("success"), (n % 7 != 0).alias("syntax_valid"))
     no = F.lit(False)
     passed = rules.bug_passed(F.col("category"), F.col("expected_status"), F.col("exit_code"), F.col("success"), F.col("syntax_valid"), no, no)
     return matching.expected_vs_observed(manifest, runs, "doc_id", passed).select("doc_id", "expected_status", "observed", "passed")
