@@ -214,6 +214,18 @@ def s15_manifest(spark, sf):
     return rows.groupBy("dataset", "total").agg(F.sum(F.col("s.description").cast("long")).alias("faults"), F.count_if(F.col("s.expected_status") == "syntax_error").alias("syntax"), F.sum("s.row_count").alias("row_count"), F.min_by("s.path", "at").alias("first"))
 
 
+@query("s15_complexity_manifest", f"""
+SELECT name || '_' || doc_id || '.py' AS path, name || '_' || doc_id AS selector, CASE time WHEN 'UNKNOWN' THEN NULL ELSE time END AS expected_time, reason IS NOT NULL AS should_abstain, CAST(last + pad AS BIGINT) AS row_count FROM {SQL_PROGRAMS} WHERE kind <> 8""")
+def s15_complexity(spark, sf):
+    """A manifest of what is inferred of all generated functions, read back from its JSON."""
+    own = programs(spark, sf)
+    found = code.complexities(own.select("target_file", "source_code"), "target_file", "source_code").filter("target <> '<module>'")
+    entries = found.select(F.col("target_file").alias("path"), F.col("target").alias("selector"), F.when(F.col("reason").isNull(), F.col("time")).alias("expected_time"), F.col("reason").isNotNull().alias("should_abstain"))
+    listing = own.select(F.col("target_file").alias("path"), T.line_count("source_code").alias("n_rows"))
+    kind = "samples array<struct<path:string,selector:string,expected_time:string,should_abstain:boolean,row_count:bigint>>"
+    return generator.file_manifest("complexity", listing, entries).select(F.explode(F.from_json("json", kind)["samples"]).alias("s")).select("s.*")
+
+
 @query("s15_missing_files", "SELECT 'doc_' || doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def s15(spark, sf):
     path = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path")
