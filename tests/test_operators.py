@@ -249,3 +249,24 @@ def test_strict_schema_rejects_wrong_types():
     edit = '{"target_file": "a.py", "edits": [{"operation": "replace", "start_line": 1, "end_line": 1, "extra": 0}], "explanation": "e"}'
     assert pysource.schema_errors(edit, "edit_proposal") == ["type of edits"] and pysource.schema_errors(edit.replace(', "extra": 0', ""), "edit_proposal") == []
     assert pysource.schema_errors("[]", "diagnosis") == ["not an object"] and pysource.schema_errors('{"target": "t", "reason": "EMPTY_RESPONSE", "details": "d", "raw_payload": null}', "abstention") == []
+
+
+def test_tokenizer_counter(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tracelens.operators import context
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref, texts = Tokenizer.from_file(path), ["", "a", "def f(x):\n    return x + 1\n", "naïve 日本語", None]
+    count = code.tokenizer_counter(path)
+    assert values(spark, texts, count(F.col("x")).alias("n")) == [len(ref.encode(t or "").ids) for t in texts]
+    rows = spark.createDataFrame([("x = 1\n" * n,) for n in (1, 40, 90)], "t string").withColumn("l", T.lines("t"))
+    none = F.expr("cast(array() as array<struct<code:string,line:bigint>>)")
+    got = [r.c for r in rows.select(context.edit(F.col("t"), F.col("l"), F.lit(20).cast("long"), none, F.lit(300), count).alias("c")).collect()]
+    assert [c and (len(c.omitted), c.tokens == len(ref.encode(c.prompt).ids)) for c in got] == [(0, True), (0, True), (1, True)]
+
+
+def test_measured_invocations(spark):
+    rows = spark.createDataFrame([("a", 1, 9.0), ("a", 3, 1.0), ("a", 2, 8.0), ("b", 1, 5.0), (None, 1, 1.0), (None, 2, 2.0), (None, 3, 3.0)], "t string, k int, v double")
+    assert sorted(map(tuple, windows.measured(rows, ["t"], "k", 2).collect()), key=str) == [("a", 3, 1.0), (None, 3, 3.0)]

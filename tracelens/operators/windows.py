@@ -103,6 +103,12 @@ def drained(chunks: DataFrame, size: str, most: int = 4096) -> DataFrame:
     return rows.withColumn("n_bytes", F.least(F.lit(most).cast("long"), F.col(size) - F.col("read") * most))
 
 
+def measured(invocations: DataFrame, by: list[str], order: str, warmup: int) -> DataFrame:
+    """Recorded invocations without the first ``warmup`` of each target; a target with no more than those has none."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return invocations.withColumn("__at", at).filter(F.col("__at") > warmup).drop("__at")
+
+
 def stopped_runs(chunks: DataFrame, run: str, order: str, elapsed: str, size: str, cap: int, limit: Column) -> DataFrame:
     """Why each run ended: (run, stored, truncated, timed_out). Its chunks count in order until the cap is reached, which stops it, or until one comes at or after
     ``limit`` seconds, which stops it as timed out; a cap that is reached by the same chunk comes first."""

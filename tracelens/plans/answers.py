@@ -323,3 +323,22 @@ def x03(spark, sf):
     own = docs(spark, sf).select("doc_id", "text", T.lines("text").alias("lines")).withColumn("line", F.pmod("doc_id", total) + 1)
     none = F.expr("cast(array() as array<struct<code:string,line:bigint>>)")
     return own.select("doc_id", context.edit(F.col("text"), F.col("lines"), F.col("line"), none, F.lit(700), lambda x: F.ceil(F.length(x) / F.lit(1.5)).cast("long")).alias("c")).select("doc_id", "c.tokens")
+
+
+@query("x05_measured_invocations", """
+WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT user_id, count(value) AS n, median(value) AS median, min(value) AS least, max(value) AS most, avg(value) AS mean, coalesce(stddev_samp(value), 0.0) AS deviation FROM r WHERE k > 2 GROUP BY user_id""")
+def x05(spark, sf):
+    """Latencies of recorded invocations after two of warm-up; nothing is invoked."""
+    return stats.timing(windows.measured(events(spark, sf).select("user_id", "event_id", "value"), ["user_id"], "event_id", 2), ["user_id"], "value")
+
+
+@query("x06_resolved_functions", f"""
+SELECT doc_id AS id, CASE WHEN kind <> 8 AND doc_id % 3 = 0 THEN name || '_' || doc_id END AS matched, CASE WHEN kind <> 8 AND doc_id % 3 = 0 THEN NULL ELSE 'not found' END AS problem FROM {SQL_PROGRAMS}""")
+def x06(spark, sf):
+    """Selectors of functions against what the files define: by name, by a name that is not there, by a class that is not. No module is imported."""
+    own, n = programs(spark, sf), F.col("doc_id")
+    stem = F.regexp_replace("target_file", r"\.py$", "")
+    wanted = own.select(n.alias("id"), F.col("target_file").alias("file"), F.when(n % 3 == 2, "C").alias("class_name"), F.when(n % 3 == 1, F.concat(stem, F.lit("x"))).otherwise(stem).alias("function"))
+    defined = code.definitions(own, "target_file", "source_code").filter("kind = 'function'").select(F.col("target_file").alias("file"), "ordinal", "name", "qualified_name", "is_method")
+    return matching.resolve_selectors(wanted, defined)
