@@ -152,8 +152,8 @@ def sieve(ids: DataFrame) -> np.ndarray:
     slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)).alias("slot"))
     words = slots.selectExpr("cast(slot div 64 as int) as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
     out = np.zeros(SIEVE_BITS // 64, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r["word"]] = r["bits"]
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
