@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, license_scan, pii, quality, sharding, simhash, token_counts, warc
+from . import bpe, decontam, langid, license_scan, line_dedup, pii, prefix_trie, quality, sharding, simhash, token_counts, warc
 from .common import read_table
 
 
@@ -51,6 +51,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(docs, benchmark))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.digest(line_dedup.deduplicated(docs, line_dedup.keep_bitmaps(docs)))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -88,3 +97,32 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
        CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to FROM g
 """
+
+ORACLES["op12_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, t.pos AS pos, t.line AS line, translate(trim(t.line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM d, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, pos)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+kept AS (SELECT r, pos, line, last IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM l LEFT JOIN k ON l.key = k.key)
+SELECT any_value(d.doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM kept JOIN d ON d.r = kept.r GROUP BY kept.r
+"""
+
+ORACLES["op13_prefix_trie"] = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'r': role, 't': text} ORDER BY k) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS BIGINT) AS h FROM own),
+w AS (SELECT h.c AS c, list_concat(coalesce(b.turns, [])[1 : h.h], h.turns[h.h + 1 :]) AS turns FROM h LEFT JOIN own AS b ON b.c = h.c - h.c % 100),
+p AS (SELECT c, d, turns[1 : d] AS p, d = len(turns) AS ends FROM w, unnest(range(0, len(turns) + 1)) AS u(d)),
+n AS (SELECT p, any_value(d) AS d, min(c) AS c, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM p GROUP BY p),
+s AS (SELECT n.*, up.c AS parent, (n.n_convs - 1) * length(CASE WHEN n.d > 0 THEN n.p[n.d].t ELSE '' END) AS v,
+             (SELECT count(*) FROM n AS x WHERE x.d = n.d + 1 AND x.p[1 : n.d] = n.p) AS kids
+      FROM n LEFT JOIN n AS up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1 : n.d - 1])
+SELECT a.c AS conv_id, a.d AS depth, a.parent AS parent_conv_id, any_value(a.n_convs) AS n_convs, any_value(a.kids) AS n_children,
+       CAST(count(*) FILTER (b.kids = 0) AS BIGINT) AS n_leaves, CAST(sum(b.v) AS BIGINT) AS saved_tokens, any_value(sha256(a.ids)) AS ends_sha256
+FROM s AS a JOIN s AS b ON b.d >= a.d AND b.p[1 : a.d] = a.p GROUP BY a.c, a.d, a.parent
+"""
