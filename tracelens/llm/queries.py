@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, license_scan, line_dedup, pii, prefix_trie, quality, sharding, simhash, token_counts, warc
+from . import bpe, collocations, decontam, langid, license_scan, line_dedup, pii, prefix_trie, quality, sharding, simhash, token_counts, warc
 from .common import read_table
 
 
@@ -51,6 +51,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(docs, benchmark))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digest(line_dedup.deduplicated(docs, line_dedup.keep_bitmaps(docs)))
@@ -98,6 +102,26 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
        CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to FROM g
 """
 
+ORACLES["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(w[k : k + m - 1], ' ') AS phrase, count(*) AS a
+      FROM w, unnest(range(1, 5)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(k) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, m, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS tail
+      FROM f, unnest(range(1, m)) AS t(k)),
+s AS (SELECT c.lang, c.phrase, c.m, c.a, x.a AS l, y.a AS r, k, CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+      FROM c JOIN f AS x ON x.lang = c.lang AND x.phrase = head JOIN f AS y ON y.lang = c.lang AND y.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, a, array_to_string(string_split(phrase, ' ')[j : j + i - 1], ' ') AS part
+      FROM f, unnest(range(2, m)) AS t(i), unnest(range(1, m - i + 2)) AS u(j)),
+g AS (SELECT lang, part, max(a) AS longer FROM o GROUP BY lang, part)
+SELECT b.lang AS lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN g ON g.lang = b.lang AND g.part = b.phrase
+WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000
+"""
+
 ORACLES["op12_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, doc_id, t.pos AS pos, t.line AS line, translate(trim(t.line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
