@@ -259,6 +259,12 @@ def cuts(words: int, phrase: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), words - 1), lambda k: F.struct(k.alias("k"), part(F.lit(1), k).alias("head"), part(k + 1, words - k).alias("tail")))
 
 
+def score(a: str, l: str, r: str) -> Column:
+    """floor(2000000 a / (l + r)), exact."""
+    decimal = lambda c: F.col(c).cast("decimal(20,0)")
+    return F.call_function("div", decimal(a) * F.lit(2000000).cast("decimal(7,0)"), decimal(l) + decimal(r)).cast("long")
+
+
 def collocations(docs: DataFrame, max_words: int = 4, least: int = 30, covered: int = 80, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language, after all that an extension of at least ``covered`` percent explains are gone.
 
@@ -272,8 +278,7 @@ def collocations(docs: DataFrame, max_words: int = 4, least: int = 30, covered:
     of = lambda name, n: phrases.select(F.col("lang").alias(f"__{n}_lang"), F.col("phrase").alias(f"__{n}_phrase"), F.col("n").alias(n))
     for side, n in (("head", "l"), ("tail", "r")):
         tried = tried.join(of(side, n), (F.col("lang") == F.col(f"__{n}_lang")) & (F.col(f"cut.{side}") == F.col(f"__{n}_phrase"))).drop(f"__{n}_lang", f"__{n}_phrase")
-    exact = F.call_function("div", F.col("a").cast("decimal(20,0)") * F.lit(2000000).cast("decimal(7,0)"), F.col("l").cast("decimal(20,0)") + F.col("r").cast("decimal(20,0)"))
-    scored = tried.withColumn("score", exact.cast("long")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut.k", "l", "r")).alias("low"))
+    scored = tried.withColumn("score", score("a", "l", "r")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut.k", "l", "r")).alias("low"))
 
     parts = F.split("phrase", " ")
     shorter = F.array(*[F.array_join(F.slice(parts, F.lit(first), F.col("words") - 1), " ") for first in (1, 2)])

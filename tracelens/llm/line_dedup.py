@@ -47,7 +47,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     first = (F.row_number().over(ahead) == 1) | ~F.col("doc").eqNullSafe(F.lag("doc").over(ahead))
     firsts = lines.withColumn("first", first).filter("first")
     shared = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= least_docs)
-    keys = shared.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "last")
+    # As expressions, so that the join has exchanges of its own on both sides, which adaptive execution can split at a hot key.
+    keys = shared.select(F.expr("h1 ^ 0L").alias("k1"), F.expr("h2 ^ 0L").alias("k2"), "last")
     dropped = lines.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).filter(~F.col("doc").eqNullSafe(F.col("last")))
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % BITS)).alias("dropped")
     words = dropped.groupBy("doc", "version", F.floor(F.col("at") / BITS).cast("int").alias("word")).agg(bits)
