@@ -62,6 +62,22 @@ def sum_column(classes: Column) -> Column:
     return F.aggregate(classes, F.lit(ONE), lambda a, x: table[F.concat(a, F.lit("+"), x)])
 
 
+def sum_aggregate(order: Column, name: Column) -> Column:
+    """The same sum as an aggregate over rows in an order (equal places by class), for groups of any size: what it keeps of any part of a group is six values.
+
+    Before the first class of O(n²) or more, O(n log n) and O(nm) together, in whichever order, lose the sum; from there on the greatest class wins. Null classes add nothing.
+    """
+    place = F.struct(order.alias("order"), name.alias("name"))
+    first = lambda flag: F.min(F.when(flag, place))
+    large = name.isin(*LADDER[LADDER.index(N2) :])
+    begin, middle, flat = first(large), first(name == N_LOG_N), first(name == NM)
+    counts = lambda at: at.isNotNull() & (begin.isNull() | (at < begin))
+    rank = F.array_position(F.array(*map(F.lit, LADDER)), name)
+    most = F.get(F.array(*map(F.lit, LADDER)), (F.max(F.when(rank > 0, rank)) - 1).cast("int"))
+    lost = F.coalesce(F.bool_or(name == UNKNOWN), F.lit(False)) | (counts(middle) & counts(flat))
+    return F.when(lost, UNKNOWN).when(begin.isNull() & flat.isNotNull(), NM).otherwise(F.coalesce(most, F.lit(ONE)))
+
+
 def product_column(a: Column, b: Column, distinct: Column) -> Column:
     table = _table((f"{x}*{y}*{str(d).lower()}", multiply(x, y, d)) for x, y in product(CLASSES, repeat=2) for d in (False, True))
     return table[F.concat(a, F.lit("*"), b, F.lit("*"), distinct.cast("string"))]

@@ -209,12 +209,6 @@ def nested_prefixes(selectors: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.join(functions.select("file", "qualified_name").distinct(), ["file", "qualified_name"], "left_semi").select("id").distinct()
 
 
-def contained(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
-    """Nodes (by, pre) of ``inner`` that lie below a node (by, pre, post) of ``outer``: preorder numbers make it a range join within ``by``."""
-    o = outer.select(F.col(by).alias("__by"), F.col("pre").alias("__pre"), F.col("post").alias("__post"))
-    return inner.join(o, (F.col(by) == F.col("__by")) & (F.col("pre") > F.col("__pre")) & (F.col("pre") <= F.col("__post")), "left_semi")
-
-
 def first_mismatch(expected: Column, actual: Column) -> Column:
     """Index (from 0) of the first unequal pair of two arrays; null if all are equal. A missing element is unequal."""
     same = F.zip_with(expected, actual, lambda a, b: a.eqNullSafe(b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFrame:
     """Adds ``split`` (train, val or test): of n rows in a stratum, round-half-even(n / 10) but 1 at least go to each of val and test from 10
@@ -89,9 +91,8 @@ def positions(rows: DataFrame, order: str, ranges: int = 128, parts: int = 64) -
 
 
 def byte_cap(chunks: DataFrame, run: str, order: str, size: str, cap: int) -> DataFrame:
-    """Bytes kept of each chunk under the run's cap, and whether the cap is reached by then; a chunk after it keeps none."""
-    upto = F.sum(size).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = chunks.withColumn("__upto", upto)
+    """Bytes kept of each chunk under the run's cap, and whether the cap is reached by then; a chunk after it keeps none. A run of any length is summed in ranges."""
+    out = running(chunks, [run], [order], sums={"__upto": F.col(size)})
     left = F.greatest(F.lit(cap) - (F.col("__upto") - F.col(size)), F.lit(0))
     return out.withColumn("kept", F.least(F.col(size), left)).withColumn("capped", F.col("__upto") >= cap).drop("__upto")
 
@@ -112,8 +113,7 @@ def measured(invocations: DataFrame, by: list[str], order: str, warmup: int) ->
 def stopped_runs(chunks: DataFrame, run: str, order: str, elapsed: str, size: str, cap: int, limit: Column) -> DataFrame:
     """Why each run ended: (run, stored, truncated, timed_out). Its chunks count in order until the cap is reached, which stops it, or until one comes at or after
     ``limit`` seconds, which stops it as timed out; a cap that is reached by the same chunk comes first."""
-    so_far = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = chunks.withColumns({"__upto": F.sum(size).over(so_far), "__late": F.max(F.col(elapsed) >= limit).over(so_far)}).withColumn("__full", F.col("__upto") >= cap)
+    rows = running(chunks, [run], [order], sums={"__upto": F.col(size)}, greatest={"__late": F.col(elapsed) >= limit}).withColumn("__full", F.col("__upto") >= cap)
     at = lambda flag: F.min(F.when(F.col(flag), F.col(order)))
     found = rows.groupBy(run).agg(at("__full").alias("__f"), at("__late").alias("__l"), F.max("__upto").alias("__all"), F.max(F.when(~F.col("__late"), F.col("__upto"))).alias("__before"))
     full = F.col("__f").isNotNull() & (F.col("__l").isNull() | (F.col("__f") <= F.col("__l")))
@@ -130,9 +130,8 @@ def out_of_order(edits: DataFrame, proposal: str, ordinal: str, start: str, end:
 
 
 def running_shift(edits: DataFrame, proposal: str, order: list[str], delta: Column) -> DataFrame:
-    """Adds ``shift``: sum of the deltas of the edits before."""
-    w = Window.partitionBy(proposal).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return edits.withColumn("shift", F.coalesce(F.sum(delta).over(w), F.lit(0)).cast("long"))
+    """Adds ``shift``: sum of the deltas of the edits before, whatever their number."""
+    return running(edits, [proposal], order, sums={"shift": delta.cast("long")}, before=True)
 
 
 def excerpt(start: Column, end: Column, fault: Column, total: Column, around: int = 15, first: int = 30) -> Column:

@@ -377,8 +377,7 @@ f AS (SELECT user_id, list_reduce(list_prepend(0, l), lambda a, b: CASE WHEN a =
 SELECT user_id, ({NAMES})[r + 1] AS total FROM f""")
 def a15(spark, sf):
     name = F.get(F.array(*map(F.lit, costs.CLASSES)), (F.col("event_id") % 8).cast("int"))
-    lists = stats.grouped_lists(table(spark, sf, "events").select("user_id", "event_id", name.alias("class")), ["user_id"], "event_id", "class")
-    return lists.select("user_id", costs.sum_column(F.col("items")).alias("total"))
+    return table(spark, sf, "events").groupBy("user_id").agg(costs.sum_aggregate(F.col("event_id"), name).alias("total"))
 
 
 @query("a16_cost_product", f"""

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import edits as E
 from ..operators import matching as M
 from ..operators import rules as R
+from ..operators import scan
 from .registry import query, table
 from .scalars import SQL_LINES
 
@@ -107,9 +108,11 @@ def edited(spark, sf):
 
 
 def edited_lines(spark, sf):
-    """A row for each line of each text, its number n beside the measured edits; none of an empty text."""
-    own = edited(spark, sf).select("doc_id", E.measured(F.col("edits")).alias("edits"), F.size("l").cast("long").alias("n_lines"))
-    return own.filter("n_lines > 0").select("doc_id", "edits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines"))).alias("n"))
+    """The lines (doc_id, n) of each text, none of an empty one, and its measured edits (doc_id, insert, start, end, new, old)."""
+    own = edited(spark, sf)
+    n = own.select("doc_id", F.size("l").cast("long").alias("n_lines")).filter("n_lines > 0")
+    lines = n.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines"))).alias("n"))
+    return lines, own.select("doc_id", F.inline(E.measured(F.col("edits"))))
 
 
 SQL_NUMBERS = f"(SELECT doc_id, n FROM (SELECT doc_id, {SQL_LINES} AS l FROM documents) AS s, unnest(range(1, len(l) + 1)) AS t(n))"
@@ -117,14 +120,12 @@ SQL_NUMBERS = f"(SELECT doc_id, n FROM (SELECT doc_id, {SQL_LINES} AS l FROM doc
 
 @query("j07_line_shift", f"SELECT doc_id, n, CASE WHEN n IN (3, 8, 9) THEN NULL ELSE n + CASE WHEN n > 3 THEN 1 ELSE 0 END + CASE WHEN n >= 6 THEN 1 ELSE 0 END - CASE WHEN n > 9 THEN 2 ELSE 0 END END AS mapped FROM {SQL_NUMBERS}")
 def j07(spark, sf):
-    rows = edited_lines(spark, sf)
-    return rows.select("doc_id", "n", E.map_line(F.col("n"), F.col("edits")).alias("mapped"))
+    return scan.mapped_lines(*edited_lines(spark, sf), "doc_id", "n")
 
 
 @query("j08_new_lines", f"SELECT doc_id, n, n IN (3, 4, 7) AS is_new FROM {SQL_NUMBERS}")
 def j08(spark, sf):
-    rows = edited_lines(spark, sf)
-    return rows.select("doc_id", "n", E.is_new_line(F.col("n"), F.col("edits")).alias("is_new"))
+    return scan.new_lines(*edited_lines(spark, sf), "doc_id", "n")
 
 
 @query("j09_first_mismatch", f"""
@@ -176,7 +177,7 @@ def j15(spark, sf):
 SELECT event_id FROM events a WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'view' AND a.user_id = b.user_id AND a.event_id > b.event_id AND a.event_id <= b.event_id + b.event_id % 300)""")
 def j16(spark, sf):
     e = events(spark, sf).select("event_id", "user_id", "event_type", F.col("event_id").alias("pre"), F.expr("event_id + event_id % 300").alias("post"))
-    return M.contained(e.filter("event_type = 'error'"), e.filter("event_type = 'view'"), "user_id").select("event_id")
+    return scan.contained(e.filter("event_type = 'error'"), e.filter("event_type = 'view'"), "user_id").select("event_id")
 
 
 @query("j17_nested_prefixes", f"""
