@@ -28,44 +28,52 @@ ACCURACY, AROUND = 10_000, 0.001
 def grouped(rows: DataFrame, by: By, aggregates: Sequence[Column], medians: dict[str, Column]) -> DataFrame:
     """Groups (none: all rows) with aggregates and exact medians (null where a group has no value), in the order given.
 
-    No task holds a group's values. Sketches of bounded size give two values that enclose each median; then values outside are counted and
-    values inside are counted one by one, a few thousandths of a group, and the middle is picked among those.
+    No task holds a group's values, and however many medians there are, rows are read for the aggregates and sketches, and once more for all medians
+    together. Sketches of bounded size give two values that enclose each median; values below them are counted, those between are counted one by
+    one, a few thousandths of a group, and a window over these distinct values finds the middle ranks.
     """
     keys = [f"__k{i}" for i in range(len(by))]
-    source = rows.select("*", *[F.col(b).alias(k) for b, k in zip(by, keys)], *[v.cast("double").alias(f"__v_{m}") for m, v in medians.items()])
+    values = [f"__v{i}" for i in range(len(medians))]
+    source = rows.select("*", *[F.col(b).alias(k) for b, k in zip(by, keys)], *[c.cast("double").alias(v) for c, v in zip(medians.values(), values)])
     ends = F.array(F.lit(0.5 - AROUND), F.lit(0.5 + AROUND))
-    bounds = [x for m in medians for x in (F.percentile_approx(f"__v_{m}", ends, F.lit(ACCURACY)).alias(f"__at_{m}"), F.count(f"__v_{m}").alias(f"__n_{m}"))]
-    out = source.groupBy(*keys).agg(*aggregates, *bounds)
-
-    def join(left: DataFrame, right: DataFrame) -> DataFrame:
-        other = right.select(*[F.col(c).alias(f"{c}_") if c in keys else F.col(c) for c in right.columns])
-        if not keys:
-            return left.crossJoin(F.broadcast(other))  # a single row
+    bounds = [x for v in values for x in (F.percentile_approx(v, ends, F.lit(ACCURACY)).alias(f"__at{v}"), F.count(v).alias(f"__n{v}"))]
+    base = source.groupBy(*keys).agg(*aggregates, *bounds)
+    names = [c for c in base.columns if not c.startswith("__")]
+    if not medians:
+        return base.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], *names)
+
+    each = F.array(*[F.struct(F.lit(i).alias("__m"), F.col(f"__at{v}")[0].alias("__low"), F.col(f"__at{v}")[1].alias("__high"), F.col(f"__n{v}").alias("__n")) for i, v in enumerate(values)])
+    limits = base.select(*[F.col(k).alias(f"{k}_") for k in keys], F.inline(each))
+    spread = source.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(v).alias("__v")) for i, v in enumerate(values)])).alias("__x")).select(*keys, "__x.*") if len(values) > 1 else source.select(*keys, F.lit(0).alias("__i"), F.col(values[0]).alias("__v"))
+    same = F.col("__i") == F.col("__m")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    # One row a median where there are no groups.
+    near = spread.filter("__v is not null").join(limits if keys else F.broadcast(limits), same).filter("__v <= __high")
+    inside = F.col("__v") >= F.col("__low")
+    counts = near.groupBy(*keys, "__i", "__n", F.when(inside, F.col("__v")).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
+
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__i").orderBy(F.col("__value").asc_nulls_first()))
+    placed = counts.withColumn("__upto", upto)
+    holds = lambda rank: ((F.col("__upto") - F.col("__c") <= rank) & (rank < F.col("__upto"))).cast("double")
+    low, high = holds(F.floor((F.col("__n") - 1) / 2)), holds(F.floor(F.col("__n") / 2))
+    picked = placed.withColumn("__w", 0.5 * low + 0.5 * high).filter("__w > 0")
+
+    def middle(i: int) -> Column:
+        own = F.col("__i") == i
+        found = F.sum(F.when(own & F.col("__value").isNotNull(), F.col("__w")))
+        lost = F.raise_error(F.lit("a median lies outside the bounds of its sketch")).cast("double")
+        return F.when(F.count_if(own) == 0, None).when(found == 1, F.sum(F.when(own, F.col("__w") * F.col("__value")))).otherwise(lost)
+
+    middles = picked.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(*[middle(i).alias(f"__m{i}") for i in range(len(values))])
+    if keys:
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-        return left.join(other, same, "left").drop(*[f"{k}_" for k in keys])
-
-    for m in medians:
-        v, at, n = F.col(f"__v_{m}"), F.col(f"__at_{m}"), F.col(f"__n_{m}")
-        limited = join(source.select(*keys, v).filter(v.isNotNull()), out.select(*keys, at.alias("__at"), n.alias("__n")))
-        side = F.when(v < F.col("__at")[0], -1).when(v > F.col("__at")[1], 1).otherwise(0)
-        counts = limited.groupBy(*keys, "__n", side.alias("__side"), F.when(side == 0, v).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
-        inside = F.when(F.col("__side") == 0, F.struct("__value", "__c"))
-        held = counts.groupBy(*keys, "__n").agg(F.coalesce(F.sum(F.when(F.col("__side") < 0, F.col("__c"))), F.lit(0)).alias("__below"), F.sort_array(F.collect_list(inside)).alias("__held"))
-        picked = held.select(*keys, (0.5 * ranked_value(F.floor((F.col("__n") - 1) / 2)) + 0.5 * ranked_value(F.floor(F.col("__n") / 2))).alias(f"__m_{m}"))
-        out = join(out, picked)
-    names = [c for c in out.columns if not c.startswith("__")]
-    if not keys:
-        return out.select(*names, *[F.col(f"__m_{m}").alias(m) for m in medians])
-    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], *names, *[F.col(f"__m_{m}").alias(m) for m in medians])
-
-
-def ranked_value(rank: Column) -> Column:
-    """The value of a rank (from 0) among __below smaller values and __held (value, count), sorted; fails if it is not among those."""
-    zero = F.struct(F.col("__below").cast("long").alias("upto"), F.lit(None).cast("double").alias("value"))
-    found = F.aggregate("__held", zero, lambda a, x: F.struct((a["upto"] + x["__c"]).alias("upto"), F.when(a["value"].isNull() & (a["upto"] <= rank) & (rank < a["upto"] + x["__c"]), x["__value"]).otherwise(a["value"]).alias("value")))
-    return F.coalesce(found["value"], F.raise_error(F.lit("a median lies outside the bounds of its sketch")).cast("double"))
+        out = base.join(middles, same, "left")
+    else:
+        out = base.crossJoin(F.broadcast(middles))  # a single row
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], *names, *[F.col(f"__m{i}").alias(m) for i, m in enumerate(medians)])
 
 
 def summarize(samples: DataFrame, by: By, passed: Column, schema_valid: Column, duration: Column, peak: Column) -> DataFrame:
