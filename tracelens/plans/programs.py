@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs
 from ..functions import text as T
-from ..operators import code, registry, stats
+from ..operators import code, registry, stats, tracebacks
 from ..session import own_folder
 from ..sources import files, generator, sinks
 from ..streaming import suites
@@ -327,8 +327,8 @@ def w08(spark, sf):
     view = F.concat(F.lit('Traceback (most recent call last):\n  File "/tmp/x/main.py", line '), n, F.lit(', in <module>\n    run()\n    ^^^^^\n  File "/lib/other.py", line 9, in run\n    d[k]\nKeyError: \'k\'\n'))
     click = F.lit('  File "/lib/other.py", line 7, in f\n    boom\n  [Previous line repeated 3 more times]\npkg.CustomError: first\n  second\n')
     err = F.when(F.col("event_type") == "view", view).when(F.col("event_type") == "click", click).when(F.col("event_type") == "purchase", "ValueError\n").otherwise("")
-    rows = table(spark, sf, "events").select("event_id", code.traceback(err, F.lit("main.py")).alias("t"))
-    return rows.select("event_id", "t.type", "t.message", "t.file", "t.line", F.size("t.frames").cast("long").alias("n_frames"))
+    outputs = table(spark, sf, "events").select("event_id", err.alias("stderr"), F.lit("main.py").alias("target"))
+    return tracebacks.tracebacks(outputs, "event_id", "stderr", "target")
 
 
 @query("f12_glyph_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[OK] a->b ?... ' ELSE '' END || regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS shown FROM documents")
@@ -454,8 +454,8 @@ ERRORS = ["ValueError: bad @\n  worse\n", "a.b.MyError\n", "one\nKeyError: 'k'\n
 
 @query("f21_exceptions", f"SELECT doc_id, {cases(names('ValueError', 'a.b.MyError', 'Hello', None, 'IndentError'))} AS type, {cases(["'bad ' || doc_id || ' worse'", "''", "''", 'NULL', "'deep'"])} AS message FROM documents")
 def f21(spark, sf):
-    t = code.traceback(F.col("source"), F.lit("main.py"))
-    return of_forms(spark, sf, ERRORS).select("doc_id", t.alias("t")).select("doc_id", "t.type", "t.message")
+    outputs = of_forms(spark, sf, ERRORS).withColumn("target", F.lit("main.py"))
+    return tracebacks.tracebacks(outputs, "doc_id", "source", "target").select("doc_id", "type", "message")
 
 
 @query("f35_normalized_findings", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'info' ELSE 'warning' END AS severity, CAST(1 AS BIGINT) AS start_line, CAST(greatest(1, user_id - 3) AS BIGINT) AS end_line FROM events")
