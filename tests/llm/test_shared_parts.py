@@ -90,7 +90,7 @@ def test_counters_prove_rareness(spark, prose):
     f, _ = counted(prose, 4)
     want = {(lang, " ".join(p)): a for lang, c in f.items() for p, a in c.items() if a >= 30}
     rows = []
-    for bits in (3, 16):
+    for bits in (4, 16):
         made = collocations.exploded(docs, 4, collocations.counters(docs, 4, bits, 30)).filter("words > 0")
         found = {(r.lang, r.phrase): r.n for r in made.groupBy("lang", "phrase").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
         rows.append(len(found))
@@ -98,6 +98,18 @@ def test_counters_prove_rareness(spark, prose):
     assert rows[1] < rows[0] == sum(len(c) for c in f.values())
 
 
+def test_packed_counters():
+    """Blocks of all densities come back as they were, and totals stop at 255."""
+    np, rng = collocations.np, collocations.np.random.default_rng(1)
+    for share in (0, 0.001, 0.03, 0.05, 0.5, 1):
+        block = np.where(rng.random(1 << 12) < share, rng.choice([1, 1, 1, 2, 200, 255], 1 << 12), 0).astype(np.uint8)
+        packed, total = collocations.pack(block), np.zeros(1 << 12, np.uint16)
+        assert bool(packed) == bool(block.any())
+        for _ in range(2 if packed else 0):
+            collocations.add_packed(total, packed)
+        assert (total == np.minimum(2 * block.astype(int), 255)).all()
+
+
 def test_exact_scores_of_large_counts(spark):
     """Products beyond 64 bits and quotients a hair below a whole number."""
     a, l = 9_007_199_254_740_993, 18_014_398_509_481_987_000 // 2

@@ -6,8 +6,8 @@ what is left.
 
 A phrase that stands below ``least`` times in all is no candidate, no part of one and no extension of one, as parts are at least as frequent as
 the whole. Rows for most of those are never made: a first pass over all texts adds up a table of counters, each for all phrases whose
-hash leads to it, so a counter below ``least`` proves that its phrases are rarer. The table has a fixed size for any input; where it
-fills up, more phrases are exploded, with the same result.
+hash leads to it, so a counter below ``least`` proves that its phrases are rarer. The table has one size for any input; where it fills up,
+more phrases are exploded, with the same result.
 
 * A null text is empty, a null lang is ``und``; repeated rows count as often as they are there. Texts of any length are read in stretches.
 * Other columns, whatever their names, are not read.
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Bytes of the stretches that are worked on at once, and rows of phrases that are held before equal ones are added up.
-STRETCH, HELD = 1 << 20, 1 << 20
-#: Counters (a byte each) at least and at most, as powers of two, and bytes of a block in which they are added up.
-FEWEST_BITS, MOST_BITS, BLOCK = 12, 26, 1 << 16
+STRETCH, HELD = 1 << 19, 1 << 20
+#: Counters (a byte each) as a power of two, and how many are added up at once.
+BITS, BLOCK = 26, 1 << 16
 
 _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -155,6 +155,27 @@ def _cells(batch: pa.RecordBatch, max_words: int, bits: int) -> Iterator[tuple[s
                 yield lang, words, m, at[new:], (mark[new:] >> np.uint64(64 - bits)).astype(np.uint32)
 
 
+def pack(block: np.ndarray) -> bytes:
+    """A block of counters: which are at least 1, as bits where they are many, and a list of the others (place, and what is missing)."""
+    above = 1 if np.count_nonzero(block) * 3 > len(block) // 8 else 0
+    at = np.flatnonzero(block > above)
+    if not above and not len(at):
+        return b""
+    bits = np.packbits(block > 0).tobytes() if above else b""
+    return bytes([above]) + bits + at.astype(np.uint16).tobytes() + (block[at] - np.uint8(above)).tobytes()
+
+
+def add_packed(total: np.ndarray, packed: bytes) -> None:
+    """Adds a packed block to a total, which stops at 255."""
+    data = np.frombuffer(packed, np.uint8, offset=1)
+    if packed[0]:
+        total += np.unpackbits(data[: len(total) // 8])
+        data = data[len(total) // 8 :]
+    n = len(data) // 3
+    total[np.frombuffer(data[: 2 * n].tobytes(), np.uint16)] += data[2 * n :]
+    np.minimum(total, 255, out=total)
+
+
 def counters(docs: DataFrame, max_words: int, bits: int, least: int) -> np.ndarray:
     """A bit for each hash of ``bits`` bits: whether phrases that lead to it stand ``least`` (255 at most) times or more.
 
@@ -179,9 +200,8 @@ def counters(docs: DataFrame, max_words: int, bits: int, least: int) -> np.ndarr
         if held:
             add()
         for at in range(0, 1 << bits, size):
-            block = table[at : at + size]
-            if block.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([at // size], pa.int32()), "counts": pa.array([block.tobytes()], pa.binary())})
+            if packed := pack(table[at : at + size]):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([at // size], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
@@ -195,7 +215,7 @@ def counters(docs: DataFrame, max_words: int, bits: int, least: int) -> np.ndarr
                     if at is not None:
                         yield bits_of()
                     at, total = block.as_py(), np.zeros(size, np.uint16)
-                total = np.minimum(total + np.frombuffer(counts.as_buffer(), np.uint8), 255)
+                add_packed(total, counts.as_py())
         if at is not None:
             yield bits_of()
 
@@ -246,9 +266,7 @@ def exploded(docs: DataFrame, max_words: int, frequent: np.ndarray) -> DataFrame
 
 def frequent_phrases(docs: DataFrame, max_words: int = 4, least: int = 30) -> DataFrame:
     """(lang, words, phrase, n) of all phrases that stand ``least`` times or more in a language, and with words 0 the number of its words."""
-    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bits = min(MOST_BITS, max(FEWEST_BITS, (size // 16).bit_length()))
-    rows = exploded(docs, max_words, counters(docs, max_words, bits, least))
+    rows = exploded(docs, max_words, counters(docs, max_words, BITS, least))
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
 
 
