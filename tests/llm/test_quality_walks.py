@@ -1,5 +1,7 @@
 """Cutoffs of strata with few labels, and of rules that some good documents break."""
 
+from pyspark.sql import functions as F
+
 from tracelens.llm import quality
 
 WORDS = " ".join(f"word{i}" for i in range(80))
@@ -21,7 +23,7 @@ def test_strata_of_few_labels(spark):
 
 
 def test_lenient_cutoffs_where_strict_ones_fail(spark):
-    rows = [(i, WORDS + (" " + "#" * 40 if i % 10 == 0 else ""), "en") for i in range(4000)]
+    rows = [(i, f"{WORDS} own{i}" + (" " + "#" * 40 if i % 10 == 0 else ""), "en") for i in range(4000)]
     docs = spark.createDataFrame(rows + [(9000, JUNK["symbols"], "en")], DOCS)
     got = {r.doc_id for r in quality.keep(docs, spark.createDataFrame([(r[0], 1, 0) for r in rows], LABELS)).select("doc_id").collect()}
     assert got == set(range(4000))
@@ -86,7 +88,11 @@ def test_kept_against_plain_steps(spark):
         return {"bangs_per_word": (t or "").count("!") / max(len(w), 1), "upper_share": sum("A" <= c <= "Z" for c in t or "") / max(sum(map(len, w)), 1), "few_words": -len(w)}
 
     strata = {lang or "" for i, _, lang in rows if i in good}
-    cuts = {s: plain_cutoffs([facts(t) for i, t, lang in rows if i in good and (lang or "") == s], rules, 0.1, 0.3 / len(strata)) for s in strata}
+    own = dict((i, (t, lang)) for i, t, lang in rows if i not in (None, 3))  # all texts differ; of the two of document 3 one counts
+    three = min((t for i, t, lang in rows if i == 3), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).head()[0])
+    assert [lang for i, _, lang in rows if i == 3 and lang == "en"]
+    counted = [(i, t, lang) for i, (t, lang) in own.items()] + ([(3, three, "en")] if {lang for i, _, lang in rows if i == 3} == {"en"} else [r for r in rows if r[0] == 3])
+    cuts = {s: plain_cutoffs([facts(t) for i, t, lang in counted if i in good and (lang or "") == s], rules, 0.1, 0.3 / len(strata)) for s in strata}
     assert any(cuts.values())
     want = sorted((str(i), t) for i, t, lang in rows if len((t or "").split()) >= 50 and not any(facts(t)[r] > c for r, c in cuts.get(lang or "", {}).items()))
     assert len(want) < sum(len((t or "").split()) >= 50 for _, t, _ in rows)  # the cutoffs reject some that the base rules keep
@@ -123,3 +129,39 @@ def test_false_rejections_stay_within_the_risk():
             kept *= 1 - tails[r][rules[r][1].index(int(c))]
         wrong, acted = wrong + (1 - kept > risk), acted + bool(found)
     assert acted > trials / 4 and wrong <= level * trials
+
+
+def cutoffs(spark, rows, labels, **options):
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    measured = docs.select("doc_id", quality.stratum_of("lang").alias("stratum"), F.xxhash64("text").alias("version"), quality.features("text").alias("q"))
+    return {r.stratum: r.cutoffs for r in quality.calibrate(measured, spark.createDataFrame(labels, LABELS), **options).collect()}
+
+
+def test_repeated_rows_and_copies_are_one_trial(spark):
+    """One document, however often it is repeated and under whatever ids, sets no cutoff; repeating rows of many leaves theirs as they are."""
+    one = [(1, WORDS, "en")]
+    assert cutoffs(spark, one * 400, [(1, 1, 0)]) == {}
+    assert cutoffs(spark, [(i, WORDS, "en") for i in range(400)], [(i, 1, 0) for i in range(400)]) == {}
+    rows = [(i, f"{WORDS} own{i}" + (" " + "#" * 40 if i % 60 == 0 else ""), "en") for i in range(300)]
+    labels = [(i, 1, 0) for i in range(1000)]
+    once = cutoffs(spark, rows, labels)
+    assert once["en"]
+    copies = [(500 + i, rows[i % 40][1], "en") for i in range(400)]
+    assert cutoffs(spark, rows * 3 + copies, labels) == once
+
+
+def test_false_rejections_with_copies(spark):
+    """Holdouts with many copies of few texts: as one trial each they keep the risk, which they would not if every row counted."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rules, risk, level, wrong = {"a": ("n_words", [1])}, 0.05, 0.1, {True: 0, False: 0}
+    for _ in range(300):
+        share = rng.uniform(0.051, 0.08)
+        texts = rng.random(60) < share  # whether a text is rejected; each stands many times
+        counts = rng.geometric(0.2, 60)
+        for as_rows in wrong:
+            n, k = (int(counts.sum()), int(counts[texts].sum())) if as_rows else (60, int(texts.sum()))
+            found = quality.cutoffs_of({r: {0: k, None: n - k} for r in ("a", quality.JOINT)}, rules, risk, level)
+            wrong[as_rows] += bool(found)
+    assert wrong[False] <= level * 300 < wrong[True]

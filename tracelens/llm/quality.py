@@ -158,10 +158,10 @@ def sieve(ids: DataFrame) -> np.ndarray:
 
 
 def measure_good(docs: DataFrame, good: DataFrame, stratum: str | None) -> DataFrame:
-    """doc_id, stratum and features q of the documents that have a good label, and of some others: the sieve lets a share of
-    them pass, which ``calibrate``'s join drops. Other texts are not measured."""
+    """doc_id, stratum, version (a hash of the text) and features q of the documents that have a good label, and of some others: the sieve lets a
+    share of them pass, which ``calibrate``'s join drops. Other texts are not measured."""
     bits = docs.sparkSession.sparkContext.broadcast(sieve(good).view(np.uint64))
-    rows = docs.select("doc_id", stratum_of(stratum).alias("stratum"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)).alias("slot"))
+    rows = docs.select("doc_id", stratum_of(stratum).alias("stratum"), F.xxhash64("text").alias("version"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)).alias("slot"))
     kinds = pa.struct([(n, pa.int64()) for n in NAMES])
 
     def run(batches):
@@ -170,18 +170,27 @@ def measure_good(docs: DataFrame, good: DataFrame, stratum: str | None) -> DataF
             hit = (bits.value[slot // 64] >> (slot % 64).astype(np.uint64)) & np.uint64(1)
             own = batch.filter(pa.array(hit.astype(bool)))
             q = [dict(zip(NAMES, measure(x))) for x in utf8(own["text"])]
-            yield pa.RecordBatch.from_arrays([own["doc_id"], own["stratum"], pa.array(q, kinds)], names=["doc_id", "stratum", "q"])
+            yield pa.RecordBatch.from_arrays([own["doc_id"], own["stratum"], own["version"], pa.array(q, kinds)], names=["doc_id", "stratum", "version", "q"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stratum string, q {FEATURES}")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stratum string, version long, q {FEATURES}")
+
+
+def trials(held: DataFrame) -> DataFrame:
+    """stratum and features of one trial for each doc_id and each distinct text of a stratum, from rows (doc_id, stratum, version, q).
+
+    Rows that repeat a document, and copies of its text under other ids, say nothing new, and the binomial bound is about independent trials. Of equal
+    texts the smallest doc_id counts, of several texts of one doc_id that with the smallest hash.
+    """
+    texts = held.groupBy("stratum", "version").agg(F.min("doc_id").alias("doc_id"), F.min("q").alias("q"))
+    return texts.groupBy("stratum", "doc_id").agg(F.min(F.struct("version", "q")).alias("one")).select("stratum", "one.q.*")
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, rules: dict = RULES) -> DataFrame:
     """(stratum, cutoffs map<string,double>): a rule that no cutoff passes for is left out of the map, a stratum without cutoffs has no row.
 
-    ``measured``: doc_id, stratum, q (features) of the good documents at least (``good_ids``).
+    ``measured``: doc_id, stratum, version, q (features) of the good documents at least (``good_ids``); see ``trials`` for what counts.
     """
-    good = good_ids(labels)
-    held = measured.join(good, "doc_id", "left_semi").select("stratum", "q.*")
+    held = trials(measured.join(good_ids(labels), "doc_id", "left_semi"))
     # cutoffs fall, so the first that a value lies above is found by how many do not lie below it
     first = {
         name: F.expr(f"nullif(size(filter(array({', '.join(f'{float(c)}D' for c in cutoffs)}), c -> double({value}) <= c)), {len(cutoffs)})")
@@ -245,7 +254,7 @@ def assess(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **o
     that disagree count as not good; labels with null quality or unknown doc_id count for nothing. Without labels no
     cutoff is set, and only the base rules reject. Repeated rows each give a row. Only doc_id, text and the stratum are read.
     """
-    measured = materialize(docs.select("doc_id", stratum_of(stratum).alias("stratum"), features("text").alias("q")), "quality")
+    measured = materialize(docs.select("doc_id", stratum_of(stratum).alias("stratum"), F.xxhash64("text").alias("version"), features("text").alias("q")), "quality")
     base, failed = verdict("q", options.get("rules") or RULES)
     judged = with_cutoffs(measured, "stratum", materialize(calibrate(measured, labels, **options), "cutoffs"))
     judged = judged.select("doc_id", "stratum", "q", base.alias("base_failed"), failed.alias("failed_rules"))
