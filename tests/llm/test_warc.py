@@ -48,3 +48,19 @@ def test_damage():
         A.parse(member[:-1])
     with pytest.raises(A.Damaged):
         A.verify(*A.parse(member.replace(b"xxxxx", b"xxyxx", 1)))
+
+
+def test_lengths():
+    """A length that is no number, none, and members that go on beyond it: each is Damaged, and no more is inflated than the length tells."""
+    import zlib
+
+    def packed(header, body):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(b"WARC/1.1\r\n" + header + b"\r\n\r\n" + body) + z.flush()
+
+    assert list(A.members(io.BytesIO(packed(b"Content-Length: 3", b"abc\r\n\r\n") * 2))) == [b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"] * 2
+    bomb = packed(b"Content-Length: 10", b"\0" * 300_000_000)
+    for bad in (packed(b"Content-Length: x1", b"abc\r\n\r\n"), packed(b"Content-Length: -1", b""), packed(b"Content-Length: 1_0", b""), packed(b"A: b", b"abc"), bomb, packed(b"A: " + b"x" * 3_000_000, b"")):
+        with pytest.raises(A.Damaged):
+            [A.parse(m) for m in A.members(io.BytesIO(bad))]
+    assert A.http_length(b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n") is None

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import discard, keep_rows, materialize, text_map, utf8
 
@@ -133,7 +134,7 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, text, n_words, hits (array of word intervals, end exclusive),
-    item_ids (array of the items with an occurring window, sorted).
+    item_ids (array of the items with an occurring window, sorted; ids that are no integers as strings).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
     window. The patterns are broadcast; their size is measured first, and a benchmark of more than
@@ -143,9 +144,11 @@ def decontaminate(
     item_id is dropped from item_ids, yet its words count as hit. Repeated items count once, by id.
     Repeated rows of ``docs`` each give a row. Columns of ``docs`` besides doc_id and text are not read.
     """
+    whole = isinstance(benchmark.schema["item_id"].dataType, IntegralType)
+    kind, id_type = ("bigint", pa.int64()) if whole else ("string", pa.string())
     out = docs.select("doc_id", "text").withColumns(
         {"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-         "item_ids": F.expr("cast(array() as array<bigint>)")}
+         "item_ids": F.expr(f"cast(array() as array<{kind}>)")}
     )
 
     def search(rows: DataFrame, shared: Broadcast) -> DataFrame:
@@ -168,7 +171,7 @@ def decontaminate(
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"], batch["text"], pa.array(n_words, pa.int64()),
                      pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                     pa.array(ids, pa.list_(pa.int64()))],
+                     pa.array(ids, pa.list_(id_type))],
                     names=["doc_id", "text", "n_words", "hits", "item_ids"],
                 )
 
@@ -177,10 +180,10 @@ def decontaminate(
         return text_map(
             rows, rows.columns,
             f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, "
-            "hits array<struct<start:bigint,end:bigint>>, item_ids array<bigint>", make,
+            f"hits array<struct<start:bigint,end:bigint>>, item_ids array<{kind}>", make,
         )
 
-    return _each(out, benchmark.select(F.col("item_id").cast("long"), "text"), block_chars, search)
+    return _each(out, benchmark.select(F.col("item_id").cast(kind), "text"), block_chars, search)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:

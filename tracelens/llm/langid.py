@@ -72,24 +72,43 @@ class Words:
         self.offset = np.r_[0, ends[:-1]]
 
 
-def groups(texts: list[str]):
-    """(first, last) of runs of texts of about GROUP_CHARS code points."""
+def groups(texts: list[str], most: int = GROUP_CHARS):
+    """(first, last) of runs of texts of about ``most`` code points; a text of more is a run by itself."""
     at, size = 0, 0
     for i, t in enumerate(texts):
+        if len(t) > most and at < i:
+            yield at, i
+            at, size = i, 0
         size += len(t)
-        if size >= GROUP_CHARS:
+        if size >= most:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
 
 
+def chunks(text: str, most: int):
+    """(first, last) of stretches of a text of about ``most`` code points that cut no word; a longer word is a stretch by itself."""
+    letter, at = tables()[0], 0
+    while len(text) - at > most:
+        end = at + most
+        while end > at and letter[ord(text[end - 1])]:
+            end -= 1
+        if end == at:
+            end = at + most
+            while end < len(text) and letter[ord(text[end])]:
+                end += 1
+        yield at, end
+        at = end
+    yield at, len(text)
+
+
 def train(docs: DataFrame, max_docs_per_lang: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages sorted, log-probabilities [language, bucket], scripts [language, script]).
 
     Counts are summed where the rows lie, then over tasks. Of a language with more than ``max_docs_per_lang``
-    documents, about so many are taken, chosen by a hash of doc_id: the bound of the fit. Only the sums, at most
-    BUCKETS + len(SCRIPTS) numbers a language, reach the driver. Languages are counted first: beyond MOST_LANGS of them, as of a column
+    documents, about so many are taken, chosen by a hash of doc_id: the bound of the fit. Only the sums reach the driver, one row of
+    BUCKETS + len(SCRIPTS) numbers a language. Languages are counted first: beyond MOST_LANGS of them, as of a column
     that holds no languages, the model and what it scores would outgrow memory, and the fit fails. Null languages and texts teach nothing.
     """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
@@ -103,26 +122,40 @@ def train(docs: DataFrame, max_docs_per_lang: int = 20_000) -> tuple[list[str],
     limits = counts.select("lang", F.least(F.lit(part), F.floor(F.lit(float(part * max_docs_per_lang)) / F.col("count")) + 1).alias("limit"))
     sample = known.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < F.col("limit"))
 
+    width = BUCKETS + len(SCRIPTS)
+
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                own = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                for a, b in groups(texts):
-                    w = Words(texts[a:b])
+                own = total.setdefault(lang, np.zeros(width, np.int64))
+                for a, b in chunks(text, GROUP_CHARS):
+                    w = Words([text[a:b]])
                     own[:BUCKETS] += np.bincount(w.bucket, minlength=BUCKETS)
                     own[BUCKETS:] += np.bincount(w.script, minlength=len(SCRIPTS))
         for lang, own in total.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["lang", "slot", "n"])
+            yield sums_row(lang, own)
+
+    def sums_row(lang, own):
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own.tobytes()], pa.binary())], names=["lang", "sums"])
 
-    sums = sample.select("lang", "text").mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    full = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
-    for r in sums.collect():
-        full[langs.index(r["lang"]), r["slot"]] = r["n"]
+    def added(batches):
+        lang, own = None, None
+        for batch in batches:
+            for name, sums in zip(batch["lang"].to_pylist(), batch["sums"]):
+                if name != lang:
+                    if own is not None:
+                        yield sums_row(lang, own)
+                    lang, own = name, np.zeros(width, np.int64)
+                own += np.frombuffer(sums.as_buffer(), np.int64)
+        if own is not None:
+            yield sums_row(lang, own)
+
+    kind = "lang string, sums binary"
+    parts = sample.select("lang", "text").mapInArrow(run, kind).repartition("lang").sortWithinPartitions("lang").mapInArrow(added, kind)
+    full = np.zeros((len(langs), width))
+    for lang, sums in parts.collect():
+        full[langs.index(lang)] = np.frombuffer(sums, np.int64)
     grams, scripts = full[:, :BUCKETS] + 0.5, full[:, BUCKETS:]
     logs = np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32)
     return langs, logs, scripts >= np.maximum(1, 0.001 * scripts.sum(axis=1, keepdims=True))
@@ -171,13 +204,60 @@ def word_scores(w: Words, logs: np.ndarray, scripts: np.ndarray) -> np.ndarray:
     return np.where(fits, out, out.max(axis=1, keepdims=True) + APART)
 
 
+def step(best: np.ndarray | None, row: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """One word of Viterbi: the new best scores, which labels stay what they were, and the label that the others come from."""
+    if best is None:
+        return row, np.ones(len(row), bool), 0
+    at = int(best.argmax())
+    floor = best[at] - switch
+    return np.maximum(best, floor) + row, best >= floor, at
+
+
+def label_long(text: str, model, switch: float, most: int):
+    """What ``label_texts`` gives of one text, worked off in stretches: forwards, keeping the best scores before each stretch, then backwards, each stretch
+    once more from those. Memory is that of a stretch, and a row of scores for each."""
+    langs, logs, scripts = model
+    cuts, before, best = list(chunks(text, most)), [], None
+    for a, b in cuts:
+        before.append(best)
+        w = Words([text[a:b]])
+        for row in word_scores(w, logs, scripts) if len(w.first) else ():
+            best = step(best, row, switch)[0]
+    if best is None:
+        return "und", 0.0, []
+    label, letters, spans = int(best.argmax()), np.zeros(len(langs), np.int64), []
+    for (a, b), best in zip(reversed(cuts), reversed(before)):
+        w = Words([text[a:b]])
+        if not len(w.first):
+            continue
+        stays, froms = np.empty((len(w.first), len(langs)), bool), np.empty(len(w.first), np.int64)
+        for i, row in enumerate(word_scores(w, logs, scripts)):
+            best, stays[i], froms[i] = step(best, row, switch)
+        for i in range(len(w.first) - 1, -1, -1):
+            letters[label] += w.size[i]
+            start = a + int(w.start[i])
+            if spans and spans[-1][2] == label:
+                spans[-1] = (start, spans[-1][1], label)
+            else:
+                spans.append((start, start + int(w.size[i]), label))
+            label = label if stays[i, label] else int(froms[i])
+    best = int(letters.argmax())
+    return langs[best], float(letters[best] / letters.sum()), [(x, y, langs[k]) for x, y, k in reversed(spans)]
+
+
 def label_texts(texts: list[str], model, switch: float):
     """(language or 'und', share of letters, spans (start, end, language)) of each text."""
     langs, logs, scripts = model
     out = [("und", 0.0, [])] * len(texts)
-    for a, b in groups(texts):
+    if not langs:
+        return out
+    most = max(1, min(GROUP_CHARS, SCORES // len(langs)))
+    for a, b in groups(texts, most):
+        if b - a == 1 and len(texts[a]) > most:
+            out[a] = label_long(texts[a], model, switch, most)
+            continue
         w = Words(texts[a:b])
-        if not len(w.first) or not langs:
+        if not len(w.first):
             continue
         scores = word_scores(w, logs, scripts)
         cuts = np.searchsorted(w.text, np.arange(b - a + 1))

@@ -20,6 +20,8 @@ from .common import materialize, new_path
 
 VERSION = b"WARC/1.1"
 READ_BYTES = 1 << 16
+#: Longest header of a record.
+HEADER_BYTES = 1 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -71,21 +73,49 @@ class Damaged(ValueError):
     """A record that is cut short, misframed, or fails a digest."""
 
 
+def framed_size(head: bytes) -> int | None:
+    """Bytes of the record whose beginning is given, by its Content-Length; None while its header is not complete."""
+    header, gap, _ = head.partition(b"\r\n\r\n")
+    if gap:
+        return len(header) + 8 + content_length(header)
+    if len(head) > HEADER_BYTES:
+        raise Damaged("no end of the header")
+    return None
+
+
+def content_length(header: bytes) -> int:
+    """Content-Length of a record's header; Damaged if there is none, or no number."""
+    for line in header.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            if not value.strip().isdigit():
+                raise Damaged("Content-Length is no number")
+            return int(value)
+    raise Damaged("no Content-Length")
+
+
 def members(stream) -> Iterator[bytes]:
-    """Inflated members of a gzip stream, in order; a record's bytes are held once."""
+    """Inflated members of a gzip stream, in order; a record's bytes are held once, and never more than its Content-Length tells: what goes on beyond it is Damaged."""
     held = b""
     while True:
-        inflate, parts = zlib.decompressobj(31), []
+        inflate, parts, size, most = zlib.decompressobj(31), [], 0, None
         while not inflate.eof:
             if not held and not (held := stream.read(READ_BYTES)):
                 if parts or inflate.unconsumed_tail:
                     raise Damaged("cut short")
                 return
             try:
-                parts.append(inflate.decompress(held))
+                part = inflate.decompress(held, READ_BYTES)
             except zlib.error as e:
                 raise Damaged(str(e)) from e
-            held = inflate.unused_data
+            parts.append(part)
+            size += len(part)
+            if most is None:
+                parts = [b"".join(parts)]
+                most = framed_size(parts[0])
+            if most is not None and size > most:
+                raise Damaged("Content-Length does not frame the record")
+            held = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
         yield b"".join(parts)
 
 
@@ -100,8 +130,8 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.partition(b":")
         if colon:
             headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-    size = int(headers.get("content-length", "-1"))
-    if size < 0 or rest[size:] != b"\r\n\r\n":
+    size = content_length(head)
+    if rest[size:] != b"\r\n\r\n":
         raise Damaged("Content-Length does not frame the record")
     return headers, rest[:size]
 
@@ -117,10 +147,11 @@ def verify(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def http_length(block: bytes) -> int | None:
-    """Content-Length of the HTTP header that a block begins with."""
+    """Content-Length of the HTTP header that a block begins with; None if there is none, or no number."""
     for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n"):
         if line.lower().startswith(b"content-length:"):
-            return int(line.partition(b":")[2])
+            value = line.partition(b":")[2].strip()
+            return int(value) if value.isdigit() else None
     return None
 
 
