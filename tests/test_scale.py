@@ -64,18 +64,6 @@ def test_spans_in_bins(spark):
     assert pairs == sorted((x[0], y[0]) for x in spans for y in spans if x[1] == y[1] and x[2] <= y[3] and x[3] >= y[2] and x[3] >= x[2] and y[3] >= y[2])
 
 
-def test_diff_pairs_of_all_files(spark):
-    """Groups of one code and line give the pairs that whole files give."""
-    rng = random.Random(4)
-    make = lambda first, lines: [(first + i, rng.choice([1, 2, 3]), rng.choice("AB"), rng.choice(lines), rng.randint(1, 2), rng.choice("xy")) for i in range(120)]
-    b, c = make(0, [1, 2, None]), make(1000, [1, 2])
-    kind = "id long, file long, code string, line long, col long, message string"
-    got = sorted(map(tuple, matching.diff_pairs(spark.createDataFrame(b, kind), spark.createDataFrame(c, kind)).collect()), key=str)
-    names = ("id", "file", "code", "line", "col", "message")
-    of = lambda rows, f: [dict(zip(names, r)) for r in rows if r[1] == f]
-    assert got == sorted(((f, *x) for f in (1, 2, 3) for x in matching.pair_findings(of(b, f), of(c, f))), key=str)
-
-
 def test_reassembled_lines(spark):
     rows = [(["a", "b"], "\r\n", True, True), (["a", None, "c"], "\n", False, False), ([], "\n", True, False), (["x"] * 100_000, "mixed", True, False)]
     df = spark.createDataFrame(rows, "l array<string>, s string, t boolean, b boolean")

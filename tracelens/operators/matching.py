@@ -108,58 +108,6 @@ def costs_of(calls: DataFrame, kind: str, name: str, costs: DataFrame) -> DataFr
     return calls.join(F.broadcast(dim), (F.col(kind) == F.col("__kind")) & (F.col(name) == F.col("__name")), "left").drop("__kind", "__name")
 
 
-PAIRED = "file long, baseline_id long, candidate_id long, outcome string"
-
-
-def pair_findings(baseline: list[dict], candidate: list[dict]) -> list[tuple]:
-    """(baseline_id, candidate_id, outcome) of one file's findings, in their order.
-
-    A finding is (id, code, line, col, message); line of a baseline finding is where it stands now, None if edited. Within a (code, line), baseline
-    findings choose in turn, first for equal column and message, then for either, then for any; the earliest candidate that is left wins.
-    """
-    pools: dict[tuple, list[dict]] = {}
-    for c in candidate:
-        pools.setdefault((c["code"], c["line"]), []).append(c)
-    fits = (
-        lambda b, c: b["col"] == c["col"] and b["message"] == c["message"],
-        lambda b, c: b["col"] == c["col"] or b["message"] == c["message"],
-        lambda b, c: True,
-    )
-    open_ = [b for b in baseline if b["line"] is not None]
-    out = [(b["id"], None, "eliminated") for b in baseline if b["line"] is None]
-    for fit in fits:
-        left = []
-        for b in open_:
-            pool = pools.get((b["code"], b["line"]), [])
-            at = next((i for i, c in enumerate(pool) if fit(b, c)), None)
-            if at is None:
-                left.append(b)
-            else:
-                out.append((b["id"], pool.pop(at)["id"], "pre_existing"))
-        open_ = left
-    out += [(b["id"], None, "eliminated") for b in open_]
-    return out + [(None, c["id"], "introduced") for pool in pools.values() for c in pool]
-
-
-def diff_pairs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Which finding is which: cogroups the findings of one file, code and line, within which the passes are independent; see ``pair_findings``.
-
-    Findings whose line was edited meet nobody and are in no group.
-    """
-    import pandas as pd
-
-    key = ["file", "code", "line"]
-
-    def run(k, b, c):
-        rows = lambda df: [{**r, "line": int(k[2]), "code": k[1]} for r in df.sort_values("id").to_dict("records")]
-        found = pair_findings(rows(b), rows(c))
-        return pd.DataFrame([(k[0], *x) for x in found], columns=["file", "baseline_id", "candidate_id", "outcome"]).astype({"baseline_id": "Int64", "candidate_id": "Int64"})
-
-    there = baseline.filter("line is not null")
-    gone = baseline.filter("line is null").select("file", F.col("id").alias("baseline_id"), F.lit(None).cast("long").alias("candidate_id"), F.lit("eliminated").alias("outcome"))
-    return there.groupBy(*key).cogroup(candidate.groupBy(*key)).applyInPandas(run, PAIRED).unionByName(gone)
-
-
 def unknown_calls(calls: DataFrame, known: DataFrame, by: str, ordinal: str, name: str) -> DataFrame:
     """The first call, in walk order, of each function that no cost table knows and that is no call of itself."""
     missing = calls.filter(F.col(name) != F.col(by)).join(known, name, "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import edits as E
 from ..operators import matching as M
+from ..operators import pairing
 from ..operators import rules as R
 from ..operators import scan
 from .registry import query, table
@@ -58,7 +59,7 @@ def j02(spark, sf):
 
 @query("j02_diff_pairs")
 def j02_pairs(spark, sf):
-    return M.diff_pairs(*findings(spark, sf))
+    return pairing.diff_pairs(*findings(spark, sf))
 
 
 POINTS = "SELECT event_id, user_id AS file, event_id % 97 AS line_no FROM events"
