@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bytes of the stretches that are worked on at once, and rows of phrases that are held before equal ones are added up.
+#: Bytes of the stretches that are worked on at once, and hashes that are held before they are counted.
 STRETCH, HELD = 1 << 19, 1 << 20
 #: Counters (a byte each) as a power of two, and how many are added up at once.
 BITS, BLOCK = 26, 1 << 16
@@ -228,38 +228,24 @@ def counters(docs: DataFrame, max_words: int, bits: int, least: int) -> np.ndarr
 
 
 def exploded(docs: DataFrame, max_words: int, frequent: np.ndarray) -> DataFrame:
-    """Rows (lang, words, phrase, n): each phrase that may be frequent, n times as a task has seen it in some stretches; with words 0 how many words a task has seen."""
+    """Rows (lang, words, phrase, n): one for each place of a phrase that may be frequent, n = 1; with words 0 how many words a stretch has."""
     bits = (len(frequent) * 8).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, rows, totals = shared.value, {}, 0, {}
-
-        def rows_of(lang: str, m: int, phrase: list[str] | pa.Array, n: list[int] | pa.Array) -> pa.RecordBatch:
-            k = len(n)
-            return pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang, pa.string()), k), "words": pa.repeat(pa.scalar(m, pa.int32()), k), "phrase": phrase, "n": n})
-
-        def flush():
-            for (lang, m), found in held.items():
-                counts = pa.chunked_array(found).value_counts()
-                for at in range(0, len(counts), 1 << 15):
-                    part = counts.slice(at, 1 << 15)
-                    yield rows_of(lang, m, part.field("values").cast(pa.string()), part.field("counts"))
+    def rows_of(lang: str, m: int, phrases: pa.Array, n: int) -> pa.RecordBatch:
+        k = len(phrases)
+        same = [pa.repeat(pa.scalar(x, t), k) for x, t in ((lang, pa.string()), (m, pa.int32()), (n, pa.int64()))]
+        return pa.RecordBatch.from_arrays([same[0], same[1], phrases.cast(pa.string()), same[2]], names=["lang", "words", "phrase", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches:
             for lang, words, m, at, cells in _cells(batch, max_words, bits):
-                if m == 1:
-                    totals[lang] = totals.get(lang, 0) + len(at)
+                if m == 1 and len(at):
+                    yield rows_of(lang, 0, pa.array([""]), len(at))
                 at = at[(table[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]
                 if len(at):
-                    held.setdefault((lang, m), []).append(words.text(at, m))
-                    rows += len(at)
-                if rows > HELD:
-                    yield from flush()
-                    held, rows = {}, 0
-        yield from flush()
-        for lang, n in totals.items():
-            yield rows_of(lang, 0, [""], pa.array([n], pa.int64()))
+                    yield rows_of(lang, m, words.text(at, m), 1)
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, n long")
 
