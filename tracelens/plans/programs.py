@@ -97,12 +97,10 @@ def s03(spark, sf):
 
 @query("s04_json_items", "SELECT doc_id AS id, source AS category, text FROM documents")
 def s04(spark, sf):
-    """A JSON document for each source, written over several lines, in a file of its own."""
+    """JSON documents of about a megabyte of one source each, written over several lines, in files of their own."""
     path = scratch(spark, "manifest")
     item = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("category"), "text")
-    groups = docs(spark, sf).groupBy("source", (F.col("doc_id") % 16).alias("part")).agg(F.collect_list(item).alias("samples"))
-    whole = F.to_json(F.struct(F.lit("d").alias("dataset"), "samples"), {"pretty": "true"})
-    groups.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    files.json_documents(docs(spark, sf), "source", "doc_id", item, F.lit("d").alias("dataset"), "samples").write.option("maxRecordsPerFile", 1).text(path)
     return files.json_items(spark, path, "struct<id:bigint,category:string,text:string>", "samples")
 
 
@@ -149,6 +147,16 @@ def s09(spark, sf):
     return spark.read.schema("doc_id bigint, split string").json(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
+@query("s09_committed_splits", "SELECT 'all' AS name, count(*) AS n FROM documents UNION ALL SELECT lang, count(*) FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang")
+def s09_committed(spark, sf):
+    """What the manifest of the split files says, counted as they were written."""
+    path = scratch(spark, "committed")
+    langs = ["en", "de", "fr", "es"]
+    sinks.write_splits(docs(spark, sf).select("doc_id", "text", F.col("lang").alias("split")), path, names=langs)
+    made = sinks.read_manifest(spark, path)
+    return spark.createDataFrame([("all", made["total_samples"]), *((k, made[k]) for k in langs if made[k])], "name string, n bigint")
+
+
 @query("s10_manifest", "SELECT CAST(count(*) AS VARCHAR) AS total, CAST(count(*) FILTER (lang = 'en') AS VARCHAR) AS en, CAST(round(count(*) FILTER (lang = 'en') / count(*) * 100.0::DOUBLE, 2) AS DOUBLE) AS en_pct, CAST(max(n_chars) AS VARCHAR) AS longest FROM documents")
 def s10(spark, sf):
     m = sinks.manifest(docs(spark, sf), "documents", "lang", "source", "lang", ["n_chars"])
@@ -202,16 +210,17 @@ def s14_none(spark, sf):
 @query("s15_manifest", f"""
 SELECT 'bugs' AS dataset, CAST(count(*) AS VARCHAR) AS total, CAST(sum(fault + pad) AS BIGINT) AS faults, count(*) FILTER (kind = 8) AS syntax, CAST(sum(greatest(last, 1) + pad) AS BIGINT) AS row_count, min(name || '_' || doc_id || '.py') AS first FROM {SQL_PROGRAMS}""")
 def s15_manifest(spark, sf):
-    """A manifest of all generated programs, against a listing of their files with line counts; read back from its JSON."""
+    """A manifest of all generated programs, against a listing of their files with line counts, written and read back; its head's counts come from the write."""
     own = programs(spark, sf)
     category = F.when(F.col("category") == "SyntaxError", "syntax_error").when(F.col("category") == "logic_bug", "logic_bug").otherwise("standard_exception")
     entries = own.select(F.concat(F.lit("bug_"), F.col("doc_id").cast("string")).alias("id"), F.col("target_file").alias("path"), category.alias("category"), F.col("category").alias("error_type"), F.col("fault_line").cast("string").alias("description"))
     entries = entries.withColumn("expected_status", generator.expected_status(F.col("error_type"), F.col("category")))
     listing = own.select(F.col("target_file").alias("path"), T.line_count("source_code").alias("n_rows"))
-    kind = "dataset string, total_samples string, samples array<struct<path:string,id:string,category:string,expected_status:string,error_type:string,description:string,row_count:bigint>>"
-    made = generator.file_manifest("bugs", listing, entries).select(F.from_json("json", kind).alias("m"))
-    rows = made.select("m.dataset", F.col("m.total_samples").alias("total"), F.posexplode("m.samples").alias("at", "s"))
-    return rows.groupBy("dataset", "total").agg(F.sum(F.col("s.description").cast("long")).alias("faults"), F.count_if(F.col("s.expected_status") == "syntax_error").alias("syntax"), F.sum("s.row_count").alias("row_count"), F.min_by("s.path", "at").alias("first"))
+    path = scratch(spark, "bugs")
+    made = sinks.commit(generator.manifest_samples(listing, entries), path, "bugs", sinks.per_value("expected_status", ["syntax_error"]))
+    rows = files.json_lines(spark, path, "path string, category string, description string, row_count bigint")
+    found = rows.agg(F.sum(F.col("description").cast("long")).alias("faults"), F.sum("row_count").alias("row_count"), F.min("path").alias("first"))
+    return found.select(F.lit(made["dataset_name"]).alias("dataset"), F.lit(str(made["total_samples"])).alias("total"), "faults", F.lit(made["syntax_error"]).alias("syntax"), "row_count", "first")
 
 
 @query("s15_complexity_manifest", f"""
@@ -222,8 +231,9 @@ def s15_complexity(spark, sf):
     found = code.complexities(own.select("target_file", "source_code"), "target_file", "source_code").filter("target <> '<module>'")
     entries = found.select(F.col("target_file").alias("path"), F.col("target").alias("selector"), F.when(F.col("reason").isNull(), F.col("time")).alias("expected_time"), F.col("reason").isNotNull().alias("should_abstain"))
     listing = own.select(F.col("target_file").alias("path"), T.line_count("source_code").alias("n_rows"))
-    kind = "samples array<struct<path:string,selector:string,expected_time:string,should_abstain:boolean,row_count:bigint>>"
-    return generator.file_manifest("complexity", listing, entries).select(F.explode(F.from_json("json", kind)["samples"]).alias("s")).select("s.*")
+    path = scratch(spark, "complexity")
+    sinks.commit(generator.manifest_samples(listing, entries), path, "complexity")
+    return files.json_lines(spark, path, "path string, selector string, expected_time string, should_abstain boolean, row_count bigint")
 
 
 @query("s15_missing_files", "SELECT 'doc_' || doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

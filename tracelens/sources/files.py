@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code, rules
+from ..operators.scan import running
 
 MOST_SOURCE, MOST_INPUT, DEEPEST_INPUT = 256 * 1024, 1 << 20, 20
 
@@ -39,6 +40,16 @@ def json_items(spark: SparkSession, path: str, schema: str, field: str) -> DataF
     return spark.read.schema(f"{field} array<{schema}>").option("multiLine", True).json(path).select(F.explode(field).alias("item")).select("item.*")
 
 
+def json_documents(rows: DataFrame, by: str, order: str, item: Column, head: Column, field: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """Column ``value``: pretty JSON documents (head's fields, then the array ``field`` of items) of one ``by`` each, in order. A document takes items until it has
+    ``most_bytes``, so it is at most an item larger, whatever a ``by`` holds."""
+    text = rows.select(by, order, item.alias("__item")).withColumn("__size", F.octet_length(F.to_json("__item")))
+    numbered = running(text, [by], [order], sums={"__before": F.col("__size")}, before=True)
+    part = F.floor(F.col("__before") / most_bytes)
+    documents = numbered.groupBy(by, part.alias("__part")).agg(F.array_sort(F.collect_list(F.struct(order, "__item")))["__item"].alias(field))
+    return documents.select(F.to_json(F.struct(head, field), {"pretty": "true"}).alias("value"))
+
+
 def json_lines(spark: SparkSession, path: str | list[str], schema: str, first: int | None = None) -> DataFrame:
     """Objects of JSON Lines files; blank lines are skipped, lines that don't parse are dropped. ``first``: as many as that, where a caller wants few."""
     rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)

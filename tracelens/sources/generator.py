@@ -150,17 +150,14 @@ def missing_files(manifest: DataFrame, listing: DataFrame, path: str = "path") -
     return manifest.join(listing.select(path).distinct(), path, "left_anti")
 
 
-def file_manifest(name: str, listing: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row, column ``json``: a manifest of files: name, version, number of samples, and the samples by path, each with all columns of its entry
-    and the rows of its file; whatever is expected of a suite's samples is a column of the entries. An entry whose file is not listed fails.
+def manifest_samples(listing: DataFrame, entries: DataFrame) -> DataFrame:
+    """The samples of a manifest of files, a row each: path, all other columns of its entry, and row_count, the rows of its file. An entry whose file is not listed fails.
 
-    ``listing``: path, n_rows. Manifests describe fixtures that people wrote, so their samples fit one row.
+    ``listing``: path, n_rows. ``sinks.commit`` writes them with a head that counts them; a manifest of any number of samples is never one value.
     """
     joined = entries.join(listing.select("path", F.col("n_rows").alias("row_count"), F.lit(True).alias("there")), "path", "left")
     checked = joined.withColumn("path", F.when(F.col("there"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("missing file: "), "path"))))
-    sample = F.struct("path", *[F.col(f"`{c}`") for c in entries.columns if c != "path"], "row_count")
-    found = checked.agg(F.count(F.lit(1)).alias("total_samples"), F.sort_array(F.collect_list(sample)).alias("samples"))
-    return found.select(F.to_json(F.struct(F.lit(name).alias("dataset"), F.lit("1.0").alias("version"), "total_samples", "samples"), {"ignoreNullFields": "false"}).alias("json"))
+    return checked.select("path", *[F.col(f"`{c}`") for c in entries.columns if c != "path"], "row_count")
 
 
 def expected_status(error: Column, category: Column) -> Column:

@@ -2,15 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats
+from ..session import hadoop_fs
+
+
+#: Name of the file that describes a committed output, beside its data.
+MANIFEST = "_manifest.json"
+
+
+def commit(rows: DataFrame, folder: str, name: str, counts: dict[str, Column] | None = None, split: str | None = None, format: str = "json") -> dict:
+    """Write ``rows`` (a folder for each value of ``split``) with their manifest as one output: all of it is there, or nothing.
+
+    The rows go to a folder beside, where failed and repeated tasks leave nothing that counts; then one rename puts it in place. The manifest's
+    ``counts`` (aggregates, ``total_samples`` always) are observed while the rows are written, so nothing is read twice. An output that is there already
+    stays until the new one is complete; a failure on the way leaves it as it was. Returns the manifest.
+    """
+    spark, staged = rows.sparkSession, f"{folder}.staged-{uuid.uuid4().hex}"
+    seen = Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("total_samples"), *[c.alias(k) for k, c in (counts or {}).items()])
+    fs, path = hadoop_fs(spark, staged)
+    final, old = hadoop_fs(spark, folder)[1], hadoop_fs(spark, f"{staged}.old")[1]
+    try:
+        writer = observed.write.format(format).option("ignoreNullFields", False)
+        (writer.partitionBy(split) if split else writer).save(staged)
+        made = {"dataset_name": name, "version": "1.0", **seen.get}
+        stream = fs.create(hadoop_fs(spark, f"{staged}/{MANIFEST}")[1])
+        stream.write(bytearray(json.dumps(made).encode()))
+        stream.close()
+        if replaced := fs.exists(final):
+            fs.rename(final, old)
+        if not fs.rename(path, final):
+            if replaced:
+                fs.rename(old, final)
+            raise OSError(f"{folder} could not be put in place")
+        fs.delete(old, True)
+    finally:
+        fs.delete(path, True)
+    return made
+
+
+def read_manifest(spark: SparkSession, folder: str) -> dict:
+    """The manifest of a committed output; an error if there is none."""
+    fs, path = hadoop_fs(spark, f"{folder}/{MANIFEST}")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def per_value(column: str, values: list[str]) -> dict[str, Column]:
+    """Counts for ``commit``: how many rows have each of the values."""
+    return {v: F.count_if(F.col(column) == v) for v in values}
 
 
-def write_splits(pairs: DataFrame, folder: str, split: str = "split") -> None:
-    """One folder of JSON Lines for each split; null fields are written."""
-    pairs.write.mode("overwrite").partitionBy(split).option("ignoreNullFields", False).json(folder)
+def write_splits(pairs: DataFrame, folder: str, split: str = "split", names: Sequence[str] = ("train", "val", "test")) -> dict:
+    """One folder of JSON Lines for each split, and how many rows each has; null fields are written. See ``commit``."""
+    return commit(pairs, folder, "splits", per_value(split, list(names)), split)
 
 
 def manifest(pairs: DataFrame, name: str, split: str, task: str, category: str, tokens: list[str]) -> DataFrame:
