@@ -15,8 +15,8 @@ from ..functions import costs
 from ..functions import text as T
 from ..operators import code, registry, stats, tracebacks
 from ..session import own_folder
-from ..sources import files, generator, sinks
-from ..streaming import suites
+from ..sources import files, generator, rollups, sinks
+from ..streaming import runs, suites
 from .aggregates import suites as suite_rows
 from .registry import query, table
 from .scalars import SQL_LINES
@@ -157,6 +157,37 @@ def s09_committed(spark, sf):
     return spark.createDataFrame([("all", made["total_samples"]), *((k, made[k]) for k in langs if made[k])], "name string, n bigint")
 
 
+@query("a01_kept_up_to_date", """
+SELECT event_type, count(*) AS total, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_id % 3 <> 0) AS schema_valid, min(value) AS min_ms, max(value) AS max_ms, avg(value) AS mean_ms, max(user_id) AS peak_bytes,
+  true AS median_holds, true AS users_hold FROM events GROUP BY event_type""")
+def a01_kept(spark, sf):
+    """The suite summary from states of each day: three increments, one of them added twice, a compaction, and a fourth. The sketches' figures are held against exact ones."""
+    rows = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    made = rollups.suite_measures(F.col("event_type") != "error", F.col("event_id") % 3 != 0, F.col("value"), F.col("user_id"), F.col("user_id"))
+    store = rollups.Rollup(spark, scratch(spark, "rollup"), ["event_type", "day"], made)
+    for i in (0, 1, 2, 1):
+        store.add(f"part-{i}", rows.filter(F.col("event_id") % 4 == i))
+    store.compact()
+    store.add("part-3", rows.filter(F.col("event_id") % 4 == 3))
+    found = rollups.suite_summary(store.merged(["event_type"]))
+    exact = rows.groupBy(F.col("event_type").alias("__type")).agg(F.count_distinct("user_id").alias("__users"))
+    ranks = rows.join(F.broadcast(found.select(F.col("event_type").alias("__of"), "median_ms")), F.col("event_type") == F.col("__of")).groupBy("__of").agg(F.avg((F.col("value") <= F.col("median_ms")).cast("double")).alias("__rank"))
+    both = found.join(exact, F.col("event_type") == F.col("__type")).join(ranks, F.col("event_type") == F.col("__of"))
+    holds = [(F.abs(F.col("__rank") - 0.5) < 0.05).alias("median_holds"), (F.abs(F.col("n_who") - F.col("__users")) <= 0.1 * F.col("__users")).alias("users_hold")]
+    return both.select("event_type", "total", "passed", "schema_valid", "min_ms", "max_ms", "mean_ms", "peak_bytes", *holds)
+
+
+@query("a08_kept_up_to_date", "SELECT 'event_type' AS dimension, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'user', CAST(user_id % 7 AS VARCHAR), count(*) FROM events GROUP BY 2")
+def a08_kept(spark, sf):
+    """Frequency tables from states of each day, added in two increments."""
+    pairs = F.array(F.struct(F.lit("event_type").alias("dimension"), F.col("event_type").alias("value")), F.struct(F.lit("user").alias("dimension"), (F.col("user_id") % 7).cast("string").alias("value")))
+    rows = table(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"), F.inline(pairs))
+    store = rollups.Rollup(spark, scratch(spark, "frequencies"), ["dimension", "value", "day"], {"n": rollups.total()})
+    for i in range(2):
+        store.add(f"part-{i}", rows.filter(F.col("event_id") % 2 == i))
+    return store.merged(["dimension", "value"])
+
+
 @query("s10_manifest", "SELECT CAST(count(*) AS VARCHAR) AS total, CAST(count(*) FILTER (lang = 'en') AS VARCHAR) AS en, CAST(round(count(*) FILTER (lang = 'en') / count(*) * 100.0::DOUBLE, 2) AS DOUBLE) AS en_pct, CAST(max(n_chars) AS VARCHAR) AS longest FROM documents")
 def s10(spark, sf):
     m = sinks.manifest(docs(spark, sf), "documents", "lang", "source", "lang", ["n_chars"])
@@ -419,6 +450,27 @@ def t03(spark, sf):
     return spark.read.parquet(where).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "total", "passed", "peak")
 
 
+@query("t03_ended_runs", """
+WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, value, (SELECT max(epoch_us(ts)) // 1000 FROM events) - 600000 AS seen FROM events),
+b AS (SELECT *, CAST(coalesce(ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) > 36000000, true) AS INTEGER) AS b FROM e),
+n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ms) AS k FROM b)
+SELECT user_id AS run, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n, max(value) AS peak, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM n GROUP BY user_id, k, seen HAVING max(ms) + 36000000 < seen""")
+def t03_ended(spark, sf):
+    """Runs that end by ten hours of silence, from a stream of the table's files; those that the watermark has not left behind are open."""
+    where, state, key = scratch(spark, "runs"), scratch(spark, "state"), "spark.sql.streaming.stateStore.providerClass"
+    batch = table(spark, sf, "events")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parque[t]")
+    samples = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "size": F.floor("value")})
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, runs.PROVIDER)
+    try:
+        out = runs.ended_runs(samples, "user_id", "ts", "value", "size", 36_000_000)
+        out.writeStream.format("parquet").option("path", where).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+    return spark.read.schema(out.schema).parquet(where)
+
+
 # --- rules of complexity, each over programs that tell its cases apart ------------------------------
 
 

@@ -17,11 +17,11 @@ from ..session import hadoop_fs
 MANIFEST = "_manifest.json"
 
 
-def commit(rows: DataFrame, folder: str, name: str, counts: dict[str, Column] | None = None, split: str | None = None, format: str = "json") -> dict:
+def commit(rows: DataFrame, folder: str, name: str, counts: dict[str, Column] | None = None, split: str | None = None, format: str = "json", facts: dict | None = None) -> dict:
     """Write ``rows`` (a folder for each value of ``split``) with their manifest as one output: all of it is there, or nothing.
 
     The rows go to a folder beside, where failed and repeated tasks leave nothing that counts; then one rename puts it in place. The manifest's
-    ``counts`` (aggregates, ``total_samples`` always) are observed while the rows are written, so nothing is read twice. An output that is there already
+    ``counts`` (aggregates, ``total_samples`` always) are observed while the rows are written, so nothing is read twice; ``facts`` are told as they are. An output that is there already
     stays until the new one is complete; a failure on the way leaves it as it was. Returns the manifest.
     """
     spark, staged = rows.sparkSession, f"{folder}.staged-{uuid.uuid4().hex}"
@@ -32,7 +32,7 @@ def commit(rows: DataFrame, folder: str, name: str, counts: dict[str, Column] |
     try:
         writer = observed.write.format(format).option("ignoreNullFields", False)
         (writer.partitionBy(split) if split else writer).save(staged)
-        made = {"dataset_name": name, "version": "1.0", **seen.get}
+        made = {"dataset_name": name, "version": "1.0", **(facts or {}), **seen.get}
         stream = fs.create(hadoop_fs(spark, f"{staged}/{MANIFEST}")[1])
         stream.write(bytearray(json.dumps(made).encode()))
         stream.close()
