@@ -22,6 +22,7 @@ class Client:
     """Recorded answers in place of a model: ``ask`` gives each question its row, or status 'unavailable' where none was recorded."""
 
     def __init__(self, recorded: DataFrame):
+        self.rows = recorded
         self.recorded = recorded.groupBy("sample", "task", "attempt").agg(F.min(F.struct("status", "text")).alias("__answer"))
 
     def ask(self, questions: DataFrame) -> DataFrame:
@@ -29,6 +30,13 @@ class Client:
         found = questions.join(self.recorded, ["sample", "task", "attempt"], "left")
         return found.withColumns({"status": F.coalesce("__answer.status", F.lit("unavailable")), "text": F.col("__answer.text")}).drop("__answer")
 
+    def attempts(self, samples: DataFrame, task: str) -> DataFrame:
+        """``samples`` with the structs first and second (status, text) of two attempts at a task: one aggregate of what was recorded, one join."""
+        at = lambda k: F.min(F.when(F.col("attempt") == k, F.struct("status", "text")))
+        found = self.rows.filter(F.col("task") == task).groupBy("sample").agg(at(1).alias("__1"), at(2).alias("__2"))
+        known = lambda c: F.struct(F.coalesce(F.col(c)["status"], F.lit("unavailable")).alias("status"), F.col(c)["text"].alias("text"))
+        return samples.join(found, "sample", "left").withColumns({"first": known("__1"), "second": known("__2")}).drop("__1", "__2")
+
 
 def failed_call(status: Column) -> Column:
     """Reason to abstain of a call that brought no text; null of one that did."""
@@ -92,17 +100,10 @@ def one_retry(status: Column, first: Column, again: Column, second: Column, keep
     )
 
 
-def attempts(asked: DataFrame, context: list[str]) -> DataFrame:
-    """A row for each sample of answered questions: its ``context`` columns and the structs first and second (status, text); a missing attempt is null."""
-    at = lambda k: F.max(F.when(F.col("attempt") == k, F.struct("status", "text")))
-    return asked.groupBy("sample").agg(*[F.first(c, ignorenulls=True).alias(c) for c in context], at(1).alias("first"), at(2).alias("second"))
-
-
 def diagnose(client: Client, samples: DataFrame) -> DataFrame:
     """Outcome of the diagnosis of each sample (sample, manifest, total_lines): outcome, reason, retried, whether the first answer cited unknown evidence, and the
     verdicts of both attempts."""
-    asked = client.ask(samples.select("sample", "manifest", "total_lines", F.lit("diagnosis").alias("task"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt")))
-    both = attempts(asked, ["manifest", "total_lines"])
+    both = client.attempts(samples.select("sample", "manifest", "total_lines"), "diagnosis")
     both = both.withColumns({f"v{k}": diagnosis(F.col(f"{k}.text"), F.col("manifest"), F.col("total_lines")) for k in ("first", "second")})
     cited = F.from_json("first.text", DIAGNOSIS)["cited_evidence_ids"]
     unknown = F.coalesce(F.exists(cited, lambda x: ~F.array_contains("manifest", x)), F.lit(False)) & (F.col("first.status") == "ok")
@@ -111,8 +112,7 @@ def diagnose(client: Client, samples: DataFrame) -> DataFrame:
 
 def propose(client: Client, samples: DataFrame) -> DataFrame:
     """The same of the edit proposals of samples (sample, target, source); changed: lines of the proposal that stands, 0 without one."""
-    asked = client.ask(samples.select("sample", "target", "source", F.lit("edit_proposal").alias("task"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt")))
-    both = attempts(asked, ["target", "source"])
+    both = client.attempts(samples.select("sample", "target", "source"), "edit_proposal")
     for k in ("first", "second"):
         both = with_proposal(both, F.col(f"{k}.text"), "target", "source", f"v{k}")
     out = both.withColumn("o", one_retry(F.col("first.status"), F.col("vfirst"), F.col("second.status"), F.col("vsecond"), True))

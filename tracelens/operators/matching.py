@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def ungrounded(cited: DataFrame, manifest: DataFrame, key: str | list[str]) -> DataFrame:
     """Citations that the manifest lacks, repeats kept."""
@@ -128,11 +130,11 @@ def mutual_calls(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     return edges.filter("caller <> callee").distinct().join(back, [*by, "caller", "callee"], "left_semi")
 
 
-def resolve_selectors(selectors: DataFrame, functions: DataFrame) -> DataFrame:
+def resolve_selectors(selectors: DataFrame, functions: DataFrame, path: str | None = None) -> DataFrame:
     """Selectors (id, file, class_name, function) against functions (file, ordinal, name, qualified_name, is_method): adds
     ``matched`` (qualified name) and ``problem`` ('not found', 'ambiguous').
 
-    A class selects the exact qualified name; without one a top-level function comes first, else the only method of that name. Functions are
+    ``path``: column of the path that a selector itself names, null of none; its last part must be the file's, whatever the case. A class selects the exact qualified name; without one a top-level function comes first, else the only method of that name. Functions are
     first reduced to a row for each (file, name) and (file, qualified name), so neither join multiplies selectors.
     """
     by_name = functions.groupBy(F.col("file").alias("__file"), F.col("name").alias("__name")).agg(
@@ -142,8 +144,10 @@ def resolve_selectors(selectors: DataFrame, functions: DataFrame) -> DataFrame:
     by_path = functions.select(F.col("file").alias("__file2"), F.col("qualified_name").alias("exact")).distinct()
     free = F.col("class_name").isNull()
     wanted = F.when(~free, F.concat_ws(".", "class_name", "function"))
-    both = selectors.join(by_name, free & (F.col("file") == F.col("__file")) & (F.col("function") == F.col("__name")), "left")
-    both = both.join(by_path, (F.col("file") == F.col("__file2")) & (wanted == F.col("exact")), "left")
+    here = F.coalesce(F.lower(T.basename(path)) == F.lower(T.basename("file")), F.lit(True)) if path else F.lit(True)
+    selectors = selectors.withColumn("__here", here)
+    both = selectors.join(by_name, F.col("__here") & free & (F.col("file") == F.col("__file")) & (F.col("function") == F.col("__name")), "left")
+    both = both.join(by_path, F.col("__here") & (F.col("file") == F.col("__file2")) & (wanted == F.col("exact")), "left")
     matched = F.coalesce("exact", "top", F.when(F.col("methods") == 1, F.col("method")))
     problem = F.when(matched.isNotNull(), None).when(F.col("methods") > 1, "ambiguous").otherwise("not found")
     return both.select("id", matched.alias("matched"), problem.alias("problem"))

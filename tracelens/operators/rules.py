@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -69,6 +69,13 @@ def boundary_passed(category: Column, exit_code: Column, success: Column, confid
     return F.when(category == "detection", (exit_code == 0) & confidence.isNotNull()).when(info, (exit_code == 0) & success).when(category == "processes", parsed).otherwise(True)
 
 
+def category_or_first(rows: DataFrame, own: Column, order: str, first: int) -> DataFrame:
+    """The rows of a category; where it has none, the first rows by order. Both branches stop early: one row tells whether there is any."""
+    mine = rows.filter(own)
+    some = mine.limit(1).select(F.lit(1).alias("__one"))
+    return mine.unionByName(rows.orderBy(order).limit(first).join(some, F.lit(True), "left_anti"))
+
+
 def pair_errors(prompt: Column, completion: Column, total: Column, counted_prompt: Column, counted_completion: Column, roles: Column) -> Column:
     """Array of what is wrong with an instruction pair's token counts and messages."""
     names = ("system", "user", "assistant")

@@ -31,10 +31,9 @@ def recorded(spark, sf):
              F.regexp_replace(good, r"\}$", ', "extra": 1}')]
     second = [good, answer(F.array(F.lit("runtime:other"), F.lit("x")), F.lit("r")), F.lit("not JSON")]
     status = F.when(n % 7 == 5, "timeout").otherwise("ok")
-    of = lambda k, s, t: d.select(n.alias("sample"), F.lit("diagnosis").alias("task"), F.lit(k).alias("attempt"), s.alias("status"), t.alias("text"))
     text = F.get(F.array(*second), (F.floor(n / 7) % 4).cast("int"))
-    again = of(2, F.when(text.isNull(), "unavailable").otherwise("ok"), text)
-    return of(1, status, F.get(F.array(*first), (n % 7).cast("int"))).unionByName(again)
+    tries = [(1, status, F.get(F.array(*first), (n % 7).cast("int"))), (2, F.when(text.isNull(), "unavailable").otherwise("ok"), text)]
+    return d.select(n.alias("sample"), F.lit("diagnosis").alias("task"), F.inline(F.array(*[F.struct(F.lit(k).alias("attempt"), s.alias("status"), t.alias("text")) for k, s, t in tries])))
 
 
 SQL_DIAGNOSES = f"""
@@ -64,8 +63,8 @@ def proposed(spark, sf):
     good, wrong = made(target, faulty, fixed), made(target, F.lit("no such line"), fixed)
     first = [good, wrong, made(F.lit("other.py"), faulty, fixed), F.lit("[]"), made(target, faulty, F.lit("def (:"))]
     second = [good, wrong, F.lit("not JSON")]
-    of = lambda k, t: p.select(n.alias("sample"), F.lit("edit_proposal").alias("task"), F.lit(k).alias("attempt"), F.lit("ok").alias("status"), t.alias("text"))
-    return of(1, F.get(F.array(*first), (n % 5).cast("int"))).unionByName(of(2, F.get(F.array(*second), (F.floor(n / 5) % 3).cast("int"))))
+    tries = [(1, F.get(F.array(*first), (n % 5).cast("int"))), (2, F.get(F.array(*second), (F.floor(n / 5) % 3).cast("int")))]
+    return p.select(n.alias("sample"), F.lit("edit_proposal").alias("task"), F.inline(F.array(*[F.struct(F.lit(k).alias("attempt"), F.lit("ok").alias("status"), t.alias("text")) for k, t in tries])))
 
 
 def proposals(spark, sf):
@@ -95,12 +94,13 @@ def d21(spark, sf):
     return answers.sample_metrics(diagnoses(spark, sf), proposals(spark, sf), levels)
 
 
-@query("s16_recorded_answers", "SELECT doc_id AS sample, CASE WHEN doc_id % 7 = 5 THEN 'timeout' ELSE 'ok' END AS status, doc_id % 7 <> 5 AS answered FROM documents")
+@query("s16_recorded_answers", """
+SELECT doc_id AS sample, CAST(a AS INTEGER) AS attempt, CASE WHEN a = 1 AND doc_id % 7 = 5 THEN 'timeout' WHEN a = 2 AND doc_id // 7 % 4 = 3 THEN 'unavailable' ELSE 'ok' END AS status,
+  NOT (a = 1 AND doc_id % 7 = 5 OR a = 2 AND doc_id // 7 % 4 = 3) AS answered FROM documents, unnest(range(1, 3)) AS t(a)""")
 def s16(spark, sf):
     path = scratch(spark, "answers")
-    rows = recorded(spark, sf).filter("attempt = 1")
-    rows.withColumn("status", F.when(F.col("status") != "ok", F.col("status"))).write.json(path)
-    return files.recorded_answers(spark, path).select("sample", "status", F.col("text").isNotNull().alias("answered"))
+    recorded(spark, sf).withColumn("status", F.when(F.col("status") != "ok", F.col("status"))).write.json(path)
+    return files.recorded_answers(spark, path).select("sample", "attempt", "status", F.col("text").isNotNull().alias("answered"))
 
 
 @query("x04_recorded_client", "SELECT doc_id AS sample, CAST(a AS INTEGER) AS attempt, CASE WHEN a = 1 AND doc_id % 7 = 5 THEN 'timeout' WHEN a = 3 OR a = 2 AND doc_id // 7 % 4 = 3 THEN 'unavailable' ELSE 'ok' END AS status FROM documents, unnest(range(1, 4)) AS t(a)")

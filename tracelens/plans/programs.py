@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs
 from ..functions import text as T
-from ..operators import code, registry, stats, tracebacks
+from ..operators import code, registry, stats, tracebacks, windows
 from ..session import own_folder
 from ..sources import files, generator, rollups, sinks
 from ..streaming import runs, suites
@@ -111,6 +111,15 @@ def s05(spark, sf):
     return files.json_lines(spark, path, "doc_id bigint, lang string, text string")
 
 
+@query("s05_first_valid_lines", "SELECT least(25, count(*) FILTER (doc_id % 3 <> 0)) AS n, true AS whole FROM documents")
+def s05_first(spark, sf):
+    """The limit counts rows that parse: every third line is broken, and blank ones stand between."""
+    path = scratch(spark, "broken")
+    value = F.when(F.col("doc_id") % 3 == 0, '{"doc_id": ').when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit("}\n"))).otherwise(F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit("}")))
+    docs(spark, sf).select(value.alias("value")).write.text(path)
+    return files.json_lines(spark, path, "doc_id bigint", first=25).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(F.col("doc_id") % 3 != 0), F.lit(True)).alias("whole"))
+
+
 @query("s06_split_union", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'val' WHEN doc_id % 10 = 1 THEN 'test' ELSE 'train' END AS split FROM documents")
 def s06(spark, sf):
     path = scratch(spark, "splits")
@@ -215,14 +224,15 @@ CATEGORY = f"([{', '.join(map(literal, generator.KINDS))}])[{{}} % 10 + 1]"
 
 @query("s13_generated_pairs", f"""
 WITH r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY doc_id) - 1 AS i, (SELECT count(*) FROM documents) AS total FROM documents),
-p AS (SELECT i, CASE WHEN i < CAST(floor(total * 0.41::DOUBLE) AS BIGINT) THEN 0 WHEN i < 2 * CAST(floor(total * 0.41::DOUBLE) AS BIGINT) THEN 1 ELSE 2 END AS t, CAST(floor(total * 0.41::DOUBLE) AS BIGINT) AS part FROM r),
-o AS (SELECT t, i - t * part AS o FROM p)
-SELECT CASE t WHEN 0 THEN 'ft_diag' WHEN 1 THEN 'ft_edit' ELSE 'ft_abst' END || '_' || printf('%05d', o + 1) AS id, CASE t WHEN 0 THEN 'diagnosis' WHEN 1 THEN 'edit_proposal' ELSE 'abstention' END AS task_type,
+p AS (SELECT doc_id, i, CASE WHEN i < CAST(floor(total * 0.41::DOUBLE) AS BIGINT) THEN 0 WHEN i < 2 * CAST(floor(total * 0.41::DOUBLE) AS BIGINT) THEN 1 ELSE 2 END AS t, CAST(floor(total * 0.41::DOUBLE) AS BIGINT) AS part FROM r),
+o AS (SELECT doc_id, t, i - t * part AS o FROM p)
+SELECT doc_id, CASE t WHEN 0 THEN 'ft_diag' WHEN 1 THEN 'ft_edit' ELSE 'ft_abst' END || '_' || printf('%05d', o + 1) AS id, CASE t WHEN 0 THEN 'diagnosis' WHEN 1 THEN 'edit_proposal' ELSE 'abstention' END AS task_type,
   CASE WHEN t < 2 THEN {CATEGORY.format('o')} ELSE (['clean_code', 'external_dependency', 'out_of_bounds', 'prompt_budget_exceeded'])[o % 4 + 1] END AS category,
   CASE WHEN t = 2 THEN (['UNGROUNDED_EVIDENCE', 'UNGROUNDED_EVIDENCE', 'OUT_OF_BOUNDS_LINES', 'PROMPT_BUDGET_EXCEEDED'])[o % 4 + 1] END AS reason FROM o""")
 def s13(spark, sf):
-    """As many pairs as there are documents."""
-    return generator.pairs(spark, docs(spark, sf).count()).select("id", "task_type", "category", "reason")
+    """A pair for each document, by its place among all."""
+    d = docs(spark, sf).select("doc_id")
+    return generator.pairs_of(windows.positions(d, "doc_id"), "__pos", d.count()).select("doc_id", "id", "task_type", "category", "reason")
 
 
 @query("s14_template_cases", f"SELECT doc_id, {CATEGORY.format('doc_id')} AS category, CAST(variant AS INTEGER) AS variant, name || '_' || doc_id || '.py' AS target_file, CAST(fault + pad AS BIGINT) AS fault_line FROM {SQL_PROGRAMS}")

@@ -162,10 +162,12 @@ SQL_FUNCTIONS = "SELECT source AS file, doc_id AS ordinal, 'f' || doc_id % 7 AS
 WITH f AS ({SQL_FUNCTIONS}), s AS (SELECT event_id AS id, 'src' || event_id % 25 AS file, CASE WHEN event_id % 3 = 0 THEN 'C' || event_id % 4 END AS cls, 'f' || event_id % 9 AS fn FROM events),
 m AS (SELECT id, arg_min(qualified_name, ordinal) FILTER (cls IS NOT NULL AND qualified_name = cls || '.' || fn) AS ex, arg_min(qualified_name, ordinal) FILTER (cls IS NULL AND NOT is_method) AS top,
   arg_min(qualified_name, ordinal) FILTER (cls IS NULL AND is_method) AS meth, count(*) FILTER (cls IS NULL AND is_method) AS n FROM s LEFT JOIN f ON s.file = f.file AND s.fn = f.name GROUP BY id)
-SELECT id, coalesce(ex, top, CASE WHEN n = 1 THEN meth END) AS matched, CASE WHEN coalesce(ex, top, CASE WHEN n = 1 THEN meth END) IS NOT NULL THEN NULL WHEN n > 1 THEN 'ambiguous' ELSE 'not found' END AS problem FROM m""")
+SELECT id, CASE WHEN id % 7 <> 3 THEN coalesce(ex, top, CASE WHEN n = 1 THEN meth END) END AS matched, CASE WHEN id % 7 = 3 THEN 'not found' WHEN coalesce(ex, top, CASE WHEN n = 1 THEN meth END) IS NOT NULL THEN NULL WHEN n > 1 THEN 'ambiguous' ELSE 'not found' END AS problem FROM m""")
 def j13(spark, sf):
     s = events(spark, sf).selectExpr("event_id as id", "concat('src', event_id % 25) as file", "if(event_id % 3 = 0, concat('C', event_id % 4), null) as class_name", "concat('f', event_id % 9) as function")
-    return M.resolve_selectors(s, functions_of(spark, sf))
+    forms = F.array(F.lit(None).cast("string"), F.concat(F.lit("lib/"), F.upper("file")), F.concat(F.lit("C:\\x\\"), "file"), F.concat("file", F.lit("_other")))
+    named = s.withColumn("named", F.get(forms, F.when(F.col("id") % 7 == 3, 3).otherwise(F.col("id") % 3).cast("int")))
+    return M.resolve_selectors(named, functions_of(spark, sf), "named")
 
 
 @query("j15_pivot_models", "SELECT event_type, avg(value) FILTER (user_id % 4 = 0) AS base, avg(value) FILTER (user_id % 4 = 1) AS tuned FROM events GROUP BY event_type")
@@ -192,13 +194,18 @@ def j17(spark, sf):
 # --- predicates and projections -------------------------------------------------------------------
 
 
-@query("p01_category_or_first", """
-SELECT doc_id FROM documents WHERE lang = 'xx' UNION ALL SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'xx')""")
+SQL_CATEGORY = "SELECT doc_id FROM documents WHERE {own} UNION ALL SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE {own})"
+
+
+@query("p01_category_or_first", SQL_CATEGORY.format(own="lang = 'xx'"))
 def p01(spark, sf):
-    d = docs(spark, sf)
-    own = d.filter("lang = 'xx'").select("doc_id")
-    some = own.limit(1).select(F.lit(1).alias("one"))
-    return own.union(d.select("doc_id").orderBy("doc_id").limit(10).join(some, F.lit(True), "left_anti"))
+    """A category that no row has: the first ten rows."""
+    return R.category_or_first(docs(spark, sf), F.col("lang") == "xx", "doc_id", 10).select("doc_id")
+
+
+@query("p01_category_present", SQL_CATEGORY.format(own="lang = 'de'"))
+def p01_present(spark, sf):
+    return R.category_or_first(docs(spark, sf), F.col("lang") == "de", "doc_id", 10).select("doc_id")
 
 
 def frames(spark, sf):
@@ -263,14 +270,16 @@ def p08(spark, sf):
 
 
 @query("p09_pair_gates", """
-WITH r AS (SELECT conv_id, list(role ORDER BY turn, role) AS r, max(length(text)) AS p FROM conversations GROUP BY conv_id)
-SELECT conv_id, list_filter([CASE WHEN p > 1200 THEN 'prompt too long' END, CASE WHEN conv_id % 5 = 0 THEN 'token sum' END, CASE WHEN len(r) <> 3 THEN 'not three messages' END,
+WITH r AS (SELECT conv_id, list(role ORDER BY turn, role) AS r, max(length(text)) AS p, conv_id * 37 % 900 AS c FROM conversations GROUP BY conv_id)
+SELECT conv_id, list_filter([CASE WHEN p > 1200 THEN 'prompt too long' END, CASE WHEN c > 600 THEN 'completion too long' END, CASE WHEN p + c + CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END > 2048 THEN 'context too long' END,
+  CASE WHEN conv_id % 5 = 0 THEN 'token sum' END, CASE WHEN conv_id % 7 > 2 THEN 'prompt count' END, CASE WHEN conv_id % 8 > 2 THEN 'completion count' END, CASE WHEN len(r) <> 3 THEN 'not three messages' END,
   CASE WHEN len(r) = 3 AND r[1] <> 'system' THEN 'message 0 is not system' END, CASE WHEN len(r) = 3 AND r[2] <> 'user' THEN 'message 1 is not user' END, CASE WHEN len(r) = 3 AND r[3] <> 'assistant' THEN 'message 2 is not assistant' END], lambda x: x IS NOT NULL) AS errors FROM r""")
 def p09(spark, sf):
+    """Every gate, each broken by some conversations."""
+    n, p, c = F.col("conv_id"), F.col("p"), F.col("conv_id") * 37 % 900
     r = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role")))["role"].alias("r"), F.max(F.length("text")).alias("p"))
-    total = F.col("p") + 10 + F.when(F.col("conv_id") % 5 == 0, 1).otherwise(0)
-    got = R.pair_errors(F.col("p"), F.lit(10), F.least(total, F.lit(10**6)), F.col("p"), F.lit(10), F.col("r"))
-    return r.select("conv_id", F.filter(got, lambda e: e != "context too long").alias("errors"))
+    total = p + c + F.when(n % 5 == 0, 1).otherwise(0)
+    return r.select("conv_id", R.pair_errors(p, c, total, p + n % 7, c - n % 8, F.col("r")).alias("errors"))
 
 
 @query("p10_record_checks", """

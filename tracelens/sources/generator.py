@@ -121,12 +121,18 @@ def abstentions(spark: SparkSession, ordinals: DataFrame) -> DataFrame:
 
 
 def pairs(spark: SparkSession, total: int) -> DataFrame:
-    """``total`` instruction pairs: id, task_type, category, target_file, source_code, fault_line, prompt, completion, evidence_manifest, faulty and fixed line,
+    """``total`` instruction pairs; see ``pairs_of``."""
+    return pairs_of(spark.range(total).withColumnRenamed("id", "place"), "place", total).drop("place")
+
+
+def pairs_of(rows: DataFrame, place: str, total: int) -> DataFrame:
+    """One instruction pair for each row, whose place (from 0, of ``total``) decides its task; all columns stay, none of which may be named like one of these: id, task_type, category, target_file, source_code, fault_line, prompt, completion, evidence_manifest, faulty and fixed line,
     token counts. Abstentions have no fault."""
-    first, second, third = counts(total)
-    fault = lambda task, n: sources(spark, spark.range(n).select(F.col("id").alias("ordinal"), F.lit(task).alias("task")))
-    faults = fault(0, first).unionByName(fault(1, second)).withColumn("reason", F.lit(None).cast("string"))
-    none = abstentions(spark, spark.range(third).select(F.col("id").alias("ordinal"), F.lit(2).alias("task")))
+    spark, (first, second, _), at = rows.sparkSession, counts(total), F.col(place)
+    task = F.when(at < first, 0).when(at < first + second, 1).otherwise(2)
+    placed = rows.withColumns({"task": task, "ordinal": at - F.when(task == 0, 0).when(task == 1, first).otherwise(first + second)})
+    faults = sources(spark, placed.filter("task < 2")).withColumn("reason", F.lit(None).cast("string"))
+    none = abstentions(spark, placed.filter("task = 2"))
     full = faults.unionByName(none, allowMissingColumns=True)
     name, prefix = (F.get(F.array(*[F.lit(t[k]) for t in TASKS]), F.col("task")) for k in (0, 1))
     told = F.when(F.col("reason").isNull(), F.concat("category", F.lit(" at line "), F.col("fault_line").cast("string"))).otherwise("no failure was recorded")
@@ -139,7 +145,7 @@ def pairs(spark: SparkSession, total: int) -> DataFrame:
         .otherwise(F.to_json(F.struct(F.col("target_file").alias("target"), "reason", F.lit("No evidence names a cause.").alias("details"))))
     )
     out = full.select(
-        F.concat(prefix, F.lit("_"), F.format_string("%05d", F.col("ordinal") + 1)).alias("id"), name.alias("task_type"), "category", "target_file", "source_code", "fault_line",
+        *[F.col(f"`{c}`") for c in rows.columns], F.concat(prefix, F.lit("_"), F.format_string("%05d", F.col("ordinal") + 1)).alias("id"), name.alias("task_type"), "category", "target_file", "source_code", "fault_line",
         prompt.alias("prompt"), completion.alias("completion"), F.when(F.col("task") == 0, cited).alias("evidence_manifest"), "faulty", "fixed", "reason",
     )
     return out.withColumns({"prompt_tokens": T.count_tokens("prompt"), "completion_tokens": T.count_tokens("completion")}).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
