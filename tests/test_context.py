@@ -97,3 +97,18 @@ def test_budget_above_the_ceiling_fails(spark):
     for bad in ((1201,), (1200, 900, 2048)):
         with pytest.raises(Exception, match="budget"):
             parts(*bad)
+
+
+def test_no_try_after_the_one_that_fits(spark):
+    """A row that fits as it is is rendered once: counting the tokens of any narrower try fails here."""
+    none = "cast(array() as array<struct<name:string,start:bigint,end:bigint>>)"
+    row = spark.range(1).select(
+        F.lit("a.py").alias("path"), F.array_repeat(F.lit("x = 1"), 200).alias("lines"), F.lit("e").alias("error"), F.array(F.lit("runtime:e")).alias("error_ids"), F.lit(90).cast("long").alias("line"),
+        F.expr("cast(array() as array<struct<line:bigint,function:string,code:string,is_target:boolean>>)").alias("frames"), F.expr("cast(array() as array<struct<code:string,line:bigint,message:string>>)").alias("findings"),
+        F.expr(none).alias("functions"), F.expr(none).alias("classes"),
+    )
+    narrow = lambda p: F.when(p.contains("lines omitted"), F.raise_error(F.lit("a narrower try")).cast("long")).otherwise(F.length(p).cast("long"))
+    assert context.diagnosis(row, F.lit(1200), narrow).select("context").head()[0].omitted == []
+    with pytest.raises(Exception, match="a narrower try"):
+        context.diagnosis(row, F.lit(100), narrow).select("context").collect()
+    assert context.diagnosis(row, F.lit(3)).select("context").head()[0] is None

@@ -73,7 +73,8 @@ def diagnosis(rows: DataFrame, budget: Column, tokens: Callable[[Column], Column
     code, is_target), findings (code, line, message), functions and classes (name, start, end). A step keeps away what the steps before it dropped;
     narrowing tries each narrower window in turn and leaves the narrowest to the steps after it. A budget above the ceiling fails (``partition``).
 
-    All candidates are rendered by one lambda over an array of (step, window), so the plan stays small.
+    The tries are rendered by one lambda over an array of (step, window), so the plan stays small, in turn and until one fits: of a row that fits as it is one
+    prompt is ever built.
     """
     c = F.col
     work = rows.withColumns({"__total": F.size("lines").cast("long"), "__inner": enclosing(c("functions"), c("line"))})
@@ -111,10 +112,15 @@ def diagnosis(rows: DataFrame, budget: Column, tokens: Callable[[Column], Column
         return F.struct(F.concat_ws("\n\n", *parts).alias("prompt"), ids.alias("manifest"), v["step"].alias("step"), v["start"].alias("start"), v["end"].alias("end"))
 
     names = F.array(*map(F.lit, STEPS))
-    work = work.withColumn("__made", F.transform("__tries", render))
-    counted = F.transform("__made", lambda m: F.struct(m["prompt"].alias("prompt"), m["manifest"].alias("manifest"), tokens(m["prompt"]).alias("tokens"), F.slice(names, F.lit(1), m["step"]).alias("omitted"), m["start"].alias("start"), m["end"].alias("end")))
-    work = work.withColumn("__counted", counted)
-    work = work.withColumn(out, F.get(F.filter("__counted", lambda x: x["tokens"] <= partition(budget)["prompt"]), F.lit(0)))
+
+    def fitting(v: Column) -> Column:
+        """The rendered try if it fits, else null; what is rendered is bound, so each try is rendered once."""
+        told = lambda m: F.struct(m["prompt"].alias("prompt"), m["manifest"].alias("manifest"), tokens(m["prompt"]).alias("tokens"), F.slice(names, F.lit(1), m["step"]).alias("omitted"), m["start"].alias("start"), m["end"].alias("end"))
+        return F.get(F.filter(F.transform(F.transform(F.array(v), render), told), lambda x: x["tokens"] <= partition(budget)["prompt"]), F.lit(0))
+
+    # A fold that renders no more once a try fits: tries after it are left alone.
+    none = F.lit(None).cast("struct<prompt:string,manifest:array<string>,tokens:bigint,omitted:array<string>,start:bigint,end:bigint>")
+    work = work.withColumn(out, F.aggregate("__tries", none, lambda found, v: F.when(found.isNotNull(), found).otherwise(fitting(v))))
     return work.drop(*[x for x in work.columns if x.startswith("__")])
 
 
