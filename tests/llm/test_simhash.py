@@ -101,3 +101,18 @@ def test_components_of_paths_and_stars(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long").filter("u is not null")).collect()))
     assert got == {i: 0 for i in range(301)} | {1000 + k: 1000 for k in range(400)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_count_filter_decides_what_is_verified(monkeypatch):
+    """In a list of equal bytes at three positions few pairs share a fourth byte; only those are verified, links are those of all pairs, and no link is outside the filter."""
+    rng = np.random.default_rng(2)
+    members = rng.integers(0, 1 << 64, 400, np.uint64) & ~np.uint64(0xFFFFFF) | np.uint64(0x123456)
+    near = members[:150] ^ (np.uint64(1) << rng.integers(24, 64, 150).astype(np.uint64))
+    members = np.unique(np.r_[members, near, near[:50] ^ np.uint64(1 << 30)])
+    retained = sum(len(S.candidates(x, members[i + 1 :])) for i, x in enumerate(members))
+    pairs = len(members) * (len(members) - 1) // 2
+    links = {(i, i + 1 + int(j)) for i, x in enumerate(members) for j in np.flatnonzero(S._linked(x, members[i + 1 :]))}
+    want = {(i, j) for i, j in combinations(range(len(members)), 2) if (int(members[i]) ^ int(members[j])).bit_count() <= 4}
+    assert links == want and len(want) < retained < pairs / 20
+    monkeypatch.setattr(S, "SHARED", 3)  # without the filter every pair of the list is a candidate
+    assert sum(len(S.candidates(x, members[i + 1 :])) for i, x in enumerate(members)) == pairs

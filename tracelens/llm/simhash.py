@@ -5,7 +5,7 @@ each differing bit spoils one byte. Posting lists of one (position, byte) would
 tallying their pairs would grow with the square of the input. A list is therefore keyed by the bytes at three
 positions, or four for very many fingerprints; the position sets cover every set of four positions, so each pair with
 four shared bytes meets in a list. Within a list, pairs are tallied by shared positional bytes, those below the guaranteed four
-are dropped, and the rest are verified by Hamming distance.
+are dropped, and only the rest are verified by Hamming distance.
 """
 
 from __future__ import annotations
@@ -70,11 +70,17 @@ def fingerprint(text: str) -> Column:
     return run(text)
 
 
+def candidates(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Count filter: which of ``others`` share at least SHARED positional bytes with x. Members of a list share the bytes of its key, one less than that."""
+    tally = np.count_nonzero((others ^ x).view(np.uint8).reshape(-1, 8) == 0, axis=1)
+    return np.flatnonzero(tally >= SHARED)
+
+
 def _linked(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of ``others`` share at least SHARED bytes with x and differ in at most BITS bits."""
-    diff = others ^ x
-    tally = 8 - np.count_nonzero(diff.view(np.uint8).reshape(-1, 8), axis=1)
-    return (tally >= SHARED) & (np.bitwise_count(diff) <= BITS)
+    """Which of ``others`` link to x: the candidates, verified by their differing bits."""
+    out, at = np.zeros(len(others), bool), candidates(x, others)
+    out[at] = np.bitwise_count(others[at] ^ x) <= BITS
+    return out
 
 
 def forest(members: np.ndarray) -> list[tuple[int, int]]:
