@@ -81,6 +81,16 @@ def s01(spark, sf):
     return docs(spark, sf).filter(F.octet_length("text") <= files.MOST_SOURCE).select(*files.target_columns(path, raw))
 
 
+@query("s01_scanned_files", "SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes, true AS decodes, true AS ends FROM documents GROUP BY source")
+def s01_files(spark, sf):
+    """Files of each source's texts, written and scanned as files: their sizes, whether all decode as declared and end with a line end."""
+    path = scratch(spark, "sources")
+    docs(spark, sf).select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    found = files.scan(spark, path, most=1 << 30)
+    source = F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source")
+    return found.groupBy(source).agg(F.sum("file_size_bytes").alias("n_bytes"), F.bool_and(F.col("encoding") == "utf-8").alias("decodes"), F.bool_and("has_trailing_newline").alias("ends"))
+
+
 @query("s02_decoded_text", "SELECT doc_id, text FROM documents")
 def s02(spark, sf):
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(b"\xef\xbb\xbf"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
