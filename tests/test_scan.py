@@ -2,7 +2,9 @@
 
 import random
 import time
+from functools import reduce
 from itertools import product
+from operator import xor
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ def plain_running(rows, before):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[3]))
         for i, r in enumerate(own):
             seen = [x[2] for x in (own[:i] if before else own[: i + 1]) if x[2] is not None]
-            out.append((*r, sum(seen), max(seen, default=None), seen[-1] if seen else None))
+            out.append((*r, sum(seen), max(seen, default=None), seen[-1] if seen else None, reduce(xor, seen, 0)))
     return sorted(out, key=str)
 
 
@@ -30,8 +32,10 @@ def test_running(spark, before, parts):
     rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([None, *range(40)]), rng.choice([None, *range(-5, 9)]), i) for i in range(700)]
     df = spark.createDataFrame(rows, "g string, o long, v long, i long").repartition(5)
     v = F.col("v")
-    got = scan.running(df, ["g"], ["o", "i"], {"s": v}, {"m": v}, {"l": v}, before, parts)
+    got = scan.running(df, ["g"], ["o", "i"], {"s": v}, {"m": v}, {"l": v}, {"x": v}, before, parts)
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_running(rows, before)
+    cut = scan.running(df, ["g"], ["o", "i"], {"s": v}, {"m": v}, {"l": v}, {"x": v}, before, parts, cut_by=["o"])
+    assert sorted((tuple(r) for r in cut.collect()), key=str) == plain_running(rows, before)
     assert scan.running(df.filter("i < 0"), ["g"], ["o", "i"], {"s": v}).collect() == []
 
 

@@ -45,19 +45,22 @@ def running(
     sums: dict[str, Column] | None = None,
     greatest: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
+    xors: dict[str, Column] | None = None,
     before: bool = False,
     parts: int | None = None,
+    cut_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Adds running values of each group in order (nulls first): sums (0 of none), greatest values and last values that are not null (null of none).
+    """Adds running values of each group in order (nulls first): sums (0 of none), greatest values and last values that are not null (null of none), exclusive-or (0 of none).
 
-    They go up to each row, or up to the row before with ``before``. Rows that ``order`` leaves equal come in any order.
+    They go up to each row, or up to the row before with ``before``. Rows that ``order`` leaves equal come in any order. ``cut_by``: the first keys of ``order``, by which
+    ranges are cut (all of them), where others are long texts.
     """
-    sums, greatest, last = sums or {}, greatest or {}, last or {}
-    values = {**sums, **greatest, **last}
-    dealt = ordered_parts(rows.withColumns({f"__v_{k}": v for k, v in values.items()}), [*by, *order], "__part", parts)
+    sums, greatest, last, xors = sums or {}, greatest or {}, last or {}, xors or {}
+    values = {**sums, **greatest, **last, **xors}
+    dealt = ordered_parts(rows.withColumns({f"__v_{k}": v for k, v in values.items()}), [*by, *(cut_by or order)], "__part", parts)
 
     upto = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
-    fold = {**{k: F.sum for k in sums}, **{k: F.max for k in greatest}, **{k: lambda c: F.last(c, ignorenulls=True) for k in last}}
+    fold = {**{k: F.sum for k in sums}, **{k: F.max for k in greatest}, **{k: lambda c: F.last(c, ignorenulls=True) for k in last}, **{k: F.bit_xor for k in xors}}
     own = dealt.withColumns({f"__own_{k}": fold[k](F.col(f"__v_{k}")).over(upto) for k in values})
 
     place = F.struct(*order)
@@ -75,6 +78,7 @@ def running(
     found = {k: F.coalesce(F.col(f"__own_{k}"), zero) + F.coalesce(F.col(f"__c_{k}"), zero) for k in sums}
     found |= {k: F.greatest(f"__own_{k}", f"__c_{k}") for k in greatest}
     found |= {k: F.coalesce(f"__own_{k}", f"__c_{k}") for k in last}
+    found |= {k: F.coalesce(F.col(f"__own_{k}"), zero).bitwiseXOR(F.coalesce(F.col(f"__c_{k}"), zero)) for k in xors}
     return both.select(*rows.columns, *[v.alias(k) for k, v in found.items()])
 
 
