@@ -7,6 +7,7 @@ subtrees come from the chains, those without open children first. Each round is
 
 * Turns come in order of turn (null first), turns of one number by role, then text. Null roles and texts are empty.
 * Rows without a conv_id are of no conversation. Without conversations there is no node, not even a root.
+* A conversation of any length is ordered and summed in ranges (``running``), never in one task.
 * Prefixes are told apart by 128 bits, exclusive-or of a hash of each turn and its place.
 * Other columns, whatever their names, are not read.
 """
@@ -17,9 +18,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import running
 from .common import discard, materialize
 
 #: Ids that one piece of a member list holds at most.
@@ -29,8 +31,8 @@ PIECE = 4096
 def ordered_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, place from 1, role, text)."""
     turns = conversations.filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return turns.select("conv_id", F.row_number().over(order).alias("place"), "role", "text")
+    placed = running(turns, ["conv_id"], ["turn", "role", "text"], sums={"place": F.lit(1)}, cut_by=["turn"])
+    return placed.select("conv_id", F.col("place").cast("int").alias("place"), "role", "text")
 
 
 def rebuilt(turns: DataFrame) -> DataFrame:
@@ -53,9 +55,9 @@ def rebuilt(turns: DataFrame) -> DataFrame:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, depth, p1, p2, chars) of turns (conv_id, depth, role, text), depth 0 included: the digest of all turns up to each and the turn's code points."""
-    upto = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "depth", F.length("role"), "role", "text")).over(upto).alias(f"p{seed}") for seed in (1, 2)]
-    return turns.select("conv_id", "depth", *marks, F.char_length("text").cast("long").alias("chars"))
+    marks = [F.xxhash64(F.lit(seed), "depth", F.length("role"), "role", "text").alias(f"m{seed}") for seed in (1, 2)]
+    marked = turns.select("conv_id", "depth", *marks, F.char_length("text").cast("long").alias("chars"))
+    return running(marked, ["conv_id"], ["depth"], xors={"p1": F.col("m1"), "p2": F.col("m2")}).select("conv_id", "depth", "p1", "p2", "chars")
 
 
 def minima(prefix: DataFrame) -> DataFrame:
@@ -189,9 +191,9 @@ def trie(turns: DataFrame) -> DataFrame:
     totals = chain_totals(chains)
     joined = hung.filter("host is not null").join(totals, F.col("conv_id") == F.col("top"))
     given = joined.groupBy(F.col("host").alias("__host"), (F.col("first") - 1).alias("__at")).agg(F.sum("leaves").alias("__l"), F.sum("saved").alias("__s"))
-    below = Window.partitionBy("conv_id").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = lambda a, b: F.sum(F.col(a) + F.coalesce(b, F.lit(0))).over(below)
-    out = nodes.join(given, (F.col("conv_id") == F.col("__host")) & (F.col("depth") == F.col("__at")), "left").withColumns({"n_leaves": total("leaf", "__l"), "saved_tokens": total("saved", "__s")})
+    hosted = nodes.join(given, (F.col("conv_id") == F.col("__host")) & (F.col("depth") == F.col("__at")), "left").withColumn("__up", -F.col("depth"))
+    total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    out = running(hosted, ["conv_id"], ["__up"], sums={"n_leaves": total("leaf", "__l"), "saved_tokens": total("saved", "__s")})
 
     ended = owners_at(first.select("conv_id", "n"), F.col("n"), prefix, least).select("owner", F.col("n").alias("depth"), "conv_id")
     marks = member_digests(ended).select(F.col("owner").alias("__e"), F.col("depth").alias("__at_end"), "ends_sha256")
@@ -205,4 +207,4 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     conv_id is the smallest member, parent_conv_id that of the parent, n_convs the members, n_children the children; n_leaves and saved_tokens are
     summed over the subtree (childless nodes; other members times the code points of the last text); ends_sha256 is of the members that end here.
     """
-    return trie(rebuilt(ordered_turns(conversations)))
+    return trie(rebuilt(materialize(ordered_turns(conversations), "turns")))
