@@ -456,3 +456,17 @@ def test_decontamination_with_names_as_ids(spark):
     numbers = decontam.decontaminate(docs, spark.createDataFrame([(10, words), (9, words)], "item_id int, text string"))
     assert numbers.filter("doc_id = 1").head().item_ids == [9, 10]
     assert decontam.digest(numbers).filter("doc_id = 1").head().items_sha256 == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_license_chains_of_overlaps():
+    """A loses to B and B to C, which A does not touch: A and C stay. In general what stays is what a plain walk from the strongest on keeps."""
+    a, b, c = (0, 10, "a", 3, 0.8), (8, 20, "b", 2, 0.9), (18, 30, "c", 0, 1.0)
+    assert license_scan.strongest([a, b, c]) == [a, c] and license_scan.strongest([b, a]) == [b] and license_scan.strongest([]) == []
+    rng = random.Random(3)
+    for _ in range(200):
+        found = [(s := rng.randint(0, 60), s + rng.randint(1, 15), rng.choice("xyz"), 0, rng.choice([0.8, 0.9, 1.0])) for _ in range(rng.randint(0, 12))]
+        plain = []
+        for m in sorted(found, key=lambda m: (-m[4], m[0] - m[1], m)):
+            if all(m[1] <= k[0] or k[1] <= m[0] for k in plain):
+                plain.append(m)
+        assert license_scan.strongest(found) == sorted(plain)

@@ -179,14 +179,7 @@ class NoticeScanner:
                     out.append((m.start(), m.end(), label, e, 1 - e / size))
                     break
                 a = m.start() + 1  # another match may begin later
-        kept: list[tuple] = []
-        for m in sorted(out):  # notices that differ in little overlap; the closer one stays
-            if kept and m[0] < kept[-1][1]:
-                if (m[4], m[1] - m[0]) > (kept[-1][4], kept[-1][1] - kept[-1][0]):
-                    kept[-1] = m
-            else:
-                kept.append(m)
-        return kept
+        return strongest(out)
 
     def named(self, n: int, joined: str, start: int, end: int) -> bool:
         """Whether a match, widened to whole words, holds what names its license."""
@@ -197,6 +190,16 @@ class NoticeScanner:
         return bool(self.names[n].search(joined, start, end))
 
 
+def strongest(matches: list[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
+    """Matches without overlaps, by start: the most similar first, then the longest, then the earliest; one stays if it overlaps none that stays before it."""
+    kept: list[tuple] = []
+    for m in sorted(set(matches), key=lambda m: (-m[4], m[0] - m[1], m)):
+        i = bisect.bisect(kept, m)
+        if (i == 0 or kept[i - 1][1] <= m[0]) and (i == len(kept) or m[1] <= kept[i][0]):
+            kept.insert(i, m)
+    return kept
+
+
 def scan_licenses(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, edits_per: int = 8
 ) -> DataFrame:
