@@ -146,7 +146,7 @@ def test_quality_thresholds(spark):
     assert quality.tail(10, 10, 0.1) == 1 and abs(quality.tail(20, 0, 0.1) - 0.9**20) < 1e-12
     assert quality.choose([3, 2, 1], [0, 0, 50], 1000, 0.02, 0.01) == 2.0 and quality.choose([3], [0], 10, 0.02, 0.01) is None
     text = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, text + (" ! !" if i % 2 else ""), "en") for i in range(4000)] + [(10_000 + i, text.replace(" ", "!!! "), "en") for i in range(50)] + [(20_000, text.replace(" ", "!!! "), None)]
+    rows = [(i, f"{text} own{i}" + (" ! !" if i % 2 else ""), "en") for i in range(4000)] + [(10_000 + i, text.replace(" ", "!!! "), "en") for i in range(50)] + [(20_000, text.replace(" ", "!!! "), None)]
     docs = spark.createDataFrame(rows, EMPTY)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(4000)] + [(10_000, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.digest(quality.assess(docs, labels))
