@@ -477,17 +477,19 @@ n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ms) AS k FROM b)
 SELECT user_id AS run, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n, max(value) AS peak, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM n GROUP BY user_id, k, seen HAVING max(ms) + 36000000 < seen""")
 def t03_ended(spark, sf):
     """Runs that end by ten hours of silence, from a stream of the table's files; those that the watermark has not left behind are open."""
-    where, state, key = scratch(spark, "runs"), scratch(spark, "state"), "spark.sql.streaming.stateStore.providerClass"
+    where, state = scratch(spark, "runs"), scratch(spark, "state")
     batch = table(spark, sf, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parque[t]")
     samples = stream.withColumns({"ts": F.col("ts").cast("timestamp"), "size": F.floor("value")})
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, runs.PROVIDER)
+    old = {key: spark.conf.get(key, None) for key in runs.SETTINGS}
+    for key, value in runs.SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         out = runs.ended_runs(samples, "user_id", "ts", "value", "size", 36_000_000)
         out.writeStream.format("parquet").option("path", where).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(out.schema).parquet(where)
 
 

@@ -1,25 +1,23 @@
 """Runs that arrive as a stream of samples: a run ends when it has been silent for a while.
 
-Samples of one key come in any order, within a batch and across batches, as long as they are not later than the watermark allows. The state of a key is its open
-runs, each an interval of time with what is known of it; a timer at the end of the silence closes them. The batch form gives the same rows of
+Samples of one key come in any order, within a batch and across batches, as long as they are not later than the watermark allows. Runs are Spark's session
+windows: the state of a key is its open runs, each an interval of time with what is known of it, and the watermark closes them. The batch form gives the same rows of
 the same samples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: State beyond an executor's heap; session windows take any store.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Open runs of a key: first and last sample (milliseconds), number of samples, greatest value and total size.
-STATE = "first bigint, last bigint, n bigint, peak double, total bigint"
+#: Settings for a stream of very many runs, or of a run with very many samples: its samples become one row in each task before the shuffle.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
 def merged(runs: list[tuple], gap_ms: int) -> list[tuple]:
-    """Runs (first, last, n, peak, total), sorted, of which those become one that are at most ``gap_ms`` apart."""
+    """Runs (first, last, n, peak, total), sorted, of which those become one that are at most ``gap_ms`` apart: the rule that both forms follow, in plain Python."""
     out: list[tuple] = []
     for run in sorted(runs, key=lambda r: r[:2]):
         if out and run[0] - out[-1][1] <= gap_ms:
@@ -30,55 +28,21 @@ def merged(runs: list[tuple], gap_ms: int) -> list[tuple]:
     return out
 
 
-class Runs(StatefulProcessor):
-    """Keeps the open runs of a key; emits those that the watermark has left ``gap_ms`` behind."""
-
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        """Samples of a batch join the open runs, some thousands at a time, so a key with very many samples takes no more memory than its runs."""
-        runs, held = [tuple(r) for r in self.open.get()] if self.open.exists() else [], []
-        for row in rows:
-            held.append((row.ms, row.ms, 1, row.value, row.size or 0))
-            if len(held) >= 4096:
-                runs, held = merged(runs + held, self.gap_ms), []
-        yield from self.settle(key, merged(runs + held, self.gap_ms), timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        runs = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        yield from self.settle(key, runs, timerValues.getCurrentWatermarkInMs())
-
-    def settle(self, key, runs: list[tuple], watermark: int) -> Iterator[Row]:
-        """Emits what has ended, keeps the rest, and sets a timer for the next end. A run ends when no sample that may still come can join it."""
-        ended = [r for r in runs if r[1] + self.gap_ms < watermark]
-        left = [r for r in runs if r[1] + self.gap_ms >= watermark]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if left:
-            self.open.put([tuple(r) for r in left])
-            self.handle.registerTimer(max(min(r[1] for r in left) + self.gap_ms + 1, watermark + 1))
-        else:
-            self.open.clear()
-        for r in ended:
-            yield Row(run=key[0], first_ms=r[0], last_ms=r[1], n=r[2], peak=r[3], total=r[4])
-
-    def close(self) -> None:
-        pass
+def of_a_run() -> list[Column]:
+    """First and last sample (milliseconds), number of samples, greatest value and total size."""
+    return [F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")]
 
 
 def ended_runs(samples: DataFrame, run: str, time: str, value: str, size: str, gap_ms: int, late: str = "10 minutes") -> DataFrame:
-    """A stream of runs (run, first_ms, last_ms, n, peak, total) that have ended, from a stream of samples. Samples without a time are in no run; those later than
-    ``late`` behind the latest are dropped by the watermark. The session needs the state store of ``PROVIDER``."""
-    kind = samples.schema[run].dataType.simpleString()
-    rows = samples.filter(F.col(time).isNotNull()).withWatermark(time, late)
+    """A stream of runs (run, first_ms, last_ms, n, peak, total) that have ended, from a stream of samples. Samples without a time are in no run.
+
+    Times count in whole milliseconds, and samples ``gap_ms`` apart are in one run, so the session's gap is half a millisecond longer: a run ends when the watermark,
+    ``late`` behind the latest sample, is more than ``gap_ms`` behind its last. Samples that lie so far behind it themselves are dropped.
+    """
+    rows = samples.filter(F.col(time).isNotNull()).withColumn(time, F.timestamp_millis(F.unix_millis(time))).withWatermark(time, late)
     rows = rows.select(F.col(run).alias("run"), time, F.unix_millis(time).alias("ms"), F.col(value).cast("double").alias("value"), F.col(size).cast("long").alias("size"))
-    out = f"run {kind}, first_ms bigint, last_ms bigint, n bigint, peak double, total bigint"
-    return rows.groupBy("run").transformWithState(Runs(gap_ms), out, "Append", "EventTime")
+    silence = F.session_window(time, f"{gap_ms} milliseconds 500 microseconds")
+    return rows.groupBy("run", silence).agg(*of_a_run()).drop("session_window")
 
 
 def runs_of(samples: DataFrame, run: str, time: str, value: str, size: str, gap_ms: int) -> DataFrame:
@@ -87,5 +51,4 @@ def runs_of(samples: DataFrame, run: str, time: str, value: str, size: str, gap_
     order = Window.partitionBy("run").orderBy("ms")
     begins = F.coalesce(F.col("ms") - F.lag("ms").over(order) > gap_ms, F.lit(True))
     numbered = rows.withColumn("begins", begins.cast("long")).withColumn("number", F.sum("begins").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = numbered.groupBy("run", "number").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    return found.drop("number")
+    return numbered.groupBy("run", "number").agg(*of_a_run()).drop("number")
