@@ -7,13 +7,18 @@ that goes on with a group of the one before, fewer rows than there are ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .edits import is_new_line, map_line
+
 #: Sampled rows for each bound.
 SAMPLED = 64
+#: Edits of a file that each of its lines is held against in place.
+FEW_EDITS = 16
 
 
 def range_count(rows: DataFrame) -> int:
@@ -117,6 +122,32 @@ def new_lines(lines: DataFrame, edits: DataFrame, by: str, line: str) -> DataFra
     return found.select(*lines.columns, ((F.col(line) >= 1) & F.coalesce(F.col("edit_last") >= F.col(line), F.lit(False))).alias("is_new"))
 
 
+def mapped_files(files: DataFrame, by: str, line: str) -> DataFrame:
+    """All lines (by, line, mapped) of whole files; see ``mapped_lines`` and ``of_files``."""
+    return of_files(files, by, line, "mapped", map_line, mapped_lines)
+
+
+def new_in_files(files: DataFrame, by: str, line: str) -> DataFrame:
+    """All lines (by, line, is_new) of whole files; see ``new_lines`` and ``of_files``."""
+    return of_files(files, by, line, "is_new", is_new_line, new_lines)
+
+
+def of_files(files: DataFrame, by: str, line: str, name: str, in_place: Callable[[Column, Column], Column], joined: Callable[[DataFrame, DataFrame, str, str], DataFrame]) -> DataFrame:
+    """Lines 1 to n_lines of each file with what its edits make of them. ``files``: rows (by, n_lines, edits), one a file, edits as ``edits.measured`` gives them.
+
+    What a file's text tells, two numbers and its edits, is written once, so texts are read once. Each line of a file with few edits is held against them where it
+    arises, without a shuffle; those of a file with more meet them in a join.
+    """
+    known = written(files.filter("n_lines > 0").select(by, "n_lines", "edits"), "files")
+    some = F.coalesce(F.size("edits"), F.lit(0)) > FEW_EDITS
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines"))).alias(line)
+    found = known.filter(~some).select(by, F.coalesce("edits", F.array().cast(known.schema["edits"].dataType)).alias("edits"), each).select(by, line, in_place(F.col(line), F.col("edits")).alias(name))
+    many = known.filter(some)
+    if many.isEmpty():
+        return found
+    return found.union(joined(many.select(by, each), many.select(by, F.inline("edits")), by, line).select(by, line, name))
+
+
 def contained(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
     """Nodes (by, pre, ...) of ``inner`` that lie below a node (by, pre, post) of ``outer``: a sweep in preorder that keeps the greatest post so far."""
     found = as_of(inner, outer.select(by, "pre", F.col("post").alias("outer_post")), [by], "pre", greatest=["outer_post"], strictly=True)

@@ -108,12 +108,9 @@ def edited(spark, sf):
     return docs(spark, sf).withColumn("l", T.lines("text")).withColumn("edits", F.expr(EDITS).cast(f"array<{E.EDIT}>"))
 
 
-def edited_lines(spark, sf):
-    """The lines (doc_id, n) of each text, none of an empty one, and its measured edits (doc_id, insert, start, end, new, old)."""
-    own = edited(spark, sf)
-    n = own.select("doc_id", F.size("l").cast("long").alias("n_lines")).filter("n_lines > 0")
-    lines = n.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines"))).alias("n"))
-    return lines, own.select("doc_id", F.inline(E.measured(F.col("edits"))))
+def edited_files(spark, sf):
+    """Of each text: its number of lines and its measured edits."""
+    return edited(spark, sf).select("doc_id", F.size("l").cast("long").alias("n_lines"), E.measured(F.col("edits")).alias("edits"))
 
 
 SQL_NUMBERS = f"(SELECT doc_id, n FROM (SELECT doc_id, {SQL_LINES} AS l FROM documents) AS s, unnest(range(1, len(l) + 1)) AS t(n))"
@@ -121,12 +118,12 @@ SQL_NUMBERS = f"(SELECT doc_id, n FROM (SELECT doc_id, {SQL_LINES} AS l FROM doc
 
 @query("j07_line_shift", f"SELECT doc_id, n, CASE WHEN n IN (3, 8, 9) THEN NULL ELSE n + CASE WHEN n > 3 THEN 1 ELSE 0 END + CASE WHEN n >= 6 THEN 1 ELSE 0 END - CASE WHEN n > 9 THEN 2 ELSE 0 END END AS mapped FROM {SQL_NUMBERS}")
 def j07(spark, sf):
-    return scan.mapped_lines(*edited_lines(spark, sf), "doc_id", "n")
+    return scan.mapped_files(edited_files(spark, sf), "doc_id", "n")
 
 
 @query("j08_new_lines", f"SELECT doc_id, n, n IN (3, 4, 7) AS is_new FROM {SQL_NUMBERS}")
 def j08(spark, sf):
-    return scan.new_lines(*edited_lines(spark, sf), "doc_id", "n")
+    return scan.new_in_files(edited_files(spark, sf), "doc_id", "n")
 
 
 @query("j09_first_mismatch", f"""
