@@ -78,9 +78,10 @@ def f09(spark, sf):
 SELECT doc_id, CAST(nullif(list_position(list_transform(l, lambda x: trim(x, ' ')), trim(l[least(2, len(l))], ' ')), 0) AS BIGINT) AS line_no
 FROM (SELECT doc_id, {SQL_LINES} AS l FROM documents)""")
 def f10(spark, sf):
+    """The second line, else the only one, with spaces around it; they alone are stripped. A text without lines has none."""
     own = docs(spark, sf).withColumn("l", T.lines("text"))
-    snippet = F.concat(F.lit("  "), F.element_at("l", F.least(F.lit(2), F.size("l"))), F.lit("  \nmore"))
-    return own.select("doc_id", T.find_snippet_line("text", snippet).alias("line_no"))
+    snippet = F.concat(F.lit("  "), F.get("l", F.least(F.lit(2), F.size("l")) - 1), F.lit("  \nmore"))
+    return own.select("doc_id", T.find_snippet_line("text", snippet, F.trim).alias("line_no"))
 
 
 DIRTY = "chr(27) || '[31m' || text || chr(27) || '[0m' || chr(13) || chr(10) || chr(7) || chr(27) || ']0;title' || chr(7) || 'end' || chr(13)"
