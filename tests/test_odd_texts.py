@@ -41,3 +41,17 @@ def test_a_snippet_is_stripped_of_all_white_space(spark):
     df = spark.createDataFrame(rows, "text string, snippet string, want long")
     assert [r[0] for r in df.select(T.find_snippet_line("text", "snippet")).collect()] == [want for *_, want in rows]
     assert [r[0] for r in df.select(T.find_snippet_line("text", "snippet", F.trim)).collect()] == [3, *[want for *_, want in rows[1:]]]
+
+
+def test_sections_of_odd_texts(spark, odd):
+    got = as_its_sql(spark, odd, "f37_prompt_sections")
+    assert (0, None) in got and len(got) == 8 * len(TEXTS) + 1
+
+
+def test_sections(spark):
+    rows = [
+        ("a", True, "b", "### X\na\n\n### Y\nb"), ("a", False, "b", "### Y\nb"), ("a", None, "b", "### Y\nb"), (None, False, "b", "### Y\nb"), (None, True, "b", None), ("", True, "", "### X\n\n\n### Y\n"),
+        ("a", True, None, None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "a string, asked boolean, b string, want string")
+    assert [r[0] for r in df.select(T.sections(("X", F.col("a"), F.col("asked")), ("Y", F.col("b")))).collect()] == [want for *_, want in rows]

@@ -221,7 +221,7 @@ def f34(spark, sf):
 @query("f37_prompt_sections", """
 SELECT doc_id, '### Target' || chr(10) || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '### Language' || chr(10) || lang ELSE '' END || chr(10) || chr(10) || '### Code' || chr(10) || text AS prompt FROM documents""")
 def f37(spark, sf):
-    return docs(spark, sf).select("doc_id", T.sections(("Target", F.col("source")), ("Language", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), ("Code", F.col("text"))).alias("prompt"))
+    return docs(spark, sf).select("doc_id", T.sections(("Target", F.col("source")), ("Language", F.col("lang"), F.col("doc_id") % 2 == 0), ("Code", F.col("text"))).alias("prompt"))
 
 
 @query("f38_correction_prompt", """
