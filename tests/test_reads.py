@@ -19,3 +19,21 @@ def test_a_large_chunk_is_no_list_and_no_task(spark):
     found = windows.drained(chunks, "size").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")).collect()
     assert sum(r.n for r in found) == 400_002 and sum(r.b for r in found) == 4096 * 400_000 + 13
     assert max(r.n for r in found) < 100_000
+
+
+def shuffled(spark):
+    """Rows written by all shuffles of the session so far."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_what_is_shuffled_grows_with_the_chunks(spark):
+    """Large chunks throughout are dealt out whole; one among small ones still is not."""
+    for sizes in ([100 + i % 50 for i in range(3000)], [5] * 2000 + [90_000]):
+        chunks = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").coalesce(2)
+        before = shuffled(spark)
+        found = windows.drained(chunks, "size", 1, 2).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"), F.sum(F.col("read") + 1).alias("r")).collect()
+        assert sum(r.n for r in found) == sum(r.b for r in found) == sum(sizes) and sum(r.r for r in found) == sum(n * (n + 1) // 2 for n in sizes)
+        assert shuffled(spark) - before < len(sizes) + 16 * 32 + 100
+        assert max(r.n for r in found) < sum(sizes) / 8
